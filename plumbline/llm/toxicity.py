@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import hash_share, small_batches
 
 #: Most texts, in expectation, of either training sample; most words that the classifier weighs.
-POSITIVES, UNLABELLED, WORDS = 4000, 12000, 1024
+POSITIVES, UNLABELLED, WORDS = 4000, 12000, 384
 BUCKETS, CACHE = 1 << 20, 300_000
-EPOCHS, RATE, DECAY, BETA, GAMMA = 300, 0.05, 1e-4, 0.0, 1.0
+EPOCHS, RATE, DECAY, BETA, GAMMA = 400, 0.05, 3e-5, 0.0, 1.0
 
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 _BUCKET: dict[bytes, int] = {}
@@ -74,9 +74,12 @@ def nn_pu(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float
     Logistic loss; where the negative part falls below -BETA its gradient is reversed (by GAMMA).
     """
     w, b = np.zeros(p.shape[1]), 0.0
+    p32, u32 = p.astype(np.float32), u.astype(np.float32)
+    pt, ut = np.ascontiguousarray(p32.T), np.ascontiguousarray(u32.T)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, EPOCHS + 1):
-        zp, zu = p @ w + b, u @ w + b
+        w32 = w.astype(np.float32)
+        zp, zu = (p32 @ w32).astype(np.float64) + b, (u32 @ w32).astype(np.float64) + b
         sp, su = _sigmoid(zp), _sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         # Gradients of the mean losses by z: as positive sp - 1, as negative s.
@@ -84,7 +87,7 @@ def nn_pu(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float
             gp, gu = prior * (sp - 1) - prior * sp, su
         else:
             gp, gu = GAMMA * prior * sp, -GAMMA * su
-        grad = np.append(p.T @ (gp / len(p)) + u.T @ (gu / len(u)) + DECAY * w, gp.mean() + gu.mean())
+        grad = np.append(pt @ (gp / len(p)).astype(np.float32) + ut @ (gu / len(u)).astype(np.float32) + DECAY * w, gp.mean() + gu.mean())
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
