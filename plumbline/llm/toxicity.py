@@ -4,7 +4,7 @@ A text is the set of its words. Confirmed toxic texts and unlabelled texts (boun
 the words on which a linear classifier is trained with numpy: the risk is the class prior's share of
 the loss on positives, plus the unlabelled loss as negatives less that share of the positives'
 loss as negatives, with that difference held from going below zero. The class prior is the share of
-toxic rows among the learning labels.
+toxic rows among the learning labels, which must be labels of a fair sample of the documents.
 
 Defined results: a null or wordless text has the bias's score; labels that are null, repeated or of
 ids without a document are harmless (an id is toxic if any of its rows says so); without positives
