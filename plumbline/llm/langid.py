@@ -29,8 +29,8 @@ from plumbline.llm.packing import ngram_counts
 BUCKETS = 4096
 #: Learning rows a language, in expectation, on which centroids are fitted; centroids a language.
 SAMPLE, CENTROIDS = 512, 3
-#: A text is rejected below this share of its language's 1 % quantile of cosines; texts with fewer n-grams need less, as the root of their number.
-REJECT_SHARE, FULL_NGRAMS = 0.4, 1500
+#: A text is rejected below this share of its language's 1 % quantile of cosines; texts with fewer different n-grams need less, as the root of their number.
+REJECT_SHARE, FULL_NGRAMS = 0.4, 400
 
 #: Bytes that aren't part of ASCII letters or of longer sequences become spaces.
 _KEEP = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -74,7 +74,7 @@ class Model:
             odds = np.exp(20 * (best - best[k]))
             names.append(self.languages[k])
             scores.append(float(min(1.0, 1 / odds.sum())))
-            rejected.append(bool(best[k] < self.least[k] * min(1.0, np.sqrt(n.sum() / FULL_NGRAMS))))
+            rejected.append(bool(best[k] < self.least[k] * min(1.0, np.sqrt(np.count_nonzero(n) / FULL_NGRAMS))))
         return names, scores, rejected
 
 
