@@ -21,7 +21,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    """Documents; an input of fewer splits than cores is dealt to all cores, as the operators are bound by CPU."""
+    found, cores = read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
