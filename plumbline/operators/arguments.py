@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed import CONCLUSIVE, EXPLICATIVE
-from plumbline.functions.text import by_lang, contains_any, lexicon
+from plumbline.functions.fixed import CONCLUSIVE, EXPLICATIVE, QUANTIFIERS
+from plumbline.functions.text import by_lang, contains_any, count_phrases, lexicon, sentences
 from plumbline.operators.profile import explicit_premises
 
 SEQUITUR, MIN_WORDS, CIRCLE, RESTATED = 0.12, 5, 0.70, 0.5
@@ -45,6 +45,23 @@ def inventory(notes: DataFrame) -> DataFrame:
     return each.select("doc_id", "arg_idx", "text", "thesis", kind(F.col("text"), F.col("lang")).alias("kind"))
 
 
+def objective(text: Column) -> Column:
+    """The first sentence of more than eight characters, cut to 200: what a text is about when no model says it."""
+    return F.substring(F.get(F.filter(F.transform(sentences(text), lambda x: F.trim(x)), lambda s: F.length(s) > 8), F.lit(0)), 1, 200)
+
+
+def suspect(candidate: Column, lang: Column) -> Column:
+    """Whether a premise holds a universal quantifier (as a token) or a booster (as a phrase)."""
+    words = F.split(F.trim(F.lower(candidate)), r"\s+")
+    return F.arrays_overlap(words, by_lang(lang, lambda k: F.array(*[F.lit(q) for q in QUANTIFIERS[k]]))) | (count_phrases(candidate, lang, "booster") > 0)
+
+
+def context(text: Column, premises: Column) -> Column:
+    """An argument and its different premises, joined and cut to what a model reads."""
+    parts = F.filter(F.transform(F.array_distinct(F.concat(F.array(text), premises)), lambda x: F.trim(x)), lambda p: p != "")
+    return F.substring(F.array_join(parts, " "), 1, 1500)
+
+
 def premises(notes: DataFrame) -> DataFrame:
     """(doc_id, explicit, total, score): without a model every candidate is explicit already."""
     n = F.size(explicit_premises(F.col("sents")))

@@ -28,7 +28,7 @@ def lines(text: Column) -> Column:
 
 def recurring_lines(text: Column, least: int = LEAST_FREQUENCY) -> Column:
     """Sorted short lines that occur at least so often and end no sentence."""
-    trimmed = F.filter(F.transform(lines(text), F.trim), lambda x: (x != "") & (F.length(x) < HEADER_CHARS) & ~x.rlike("[.!?]$"))
+    trimmed = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) < HEADER_CHARS) & ~x.rlike("[.!?]$"))
     # Sorted, equal lines stand together: a line recurs if it equals the one least - 1 places on.
     ordered = F.sort_array(trimmed)
     hits = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(ordered) - (least - 1), F.lit(1))), lambda i: F.get(ordered, i - 1) == F.get(ordered, i + (least - 2))), lambda i: F.get(ordered, i - 1))
@@ -36,7 +36,7 @@ def recurring_lines(text: Column, least: int = LEAST_FREQUENCY) -> Column:
 
 
 def reflow(text: Column) -> Column:
-    blocks = F.transform(F.split(text, r"\n\s*\n"), lambda b: F.array_join(F.filter(F.transform(F.split(b, "\n"), F.trim), lambda x: x != ""), " "))
+    blocks = F.transform(F.split(text, r"\n\s*\n"), lambda b: F.array_join(F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: x != ""), " "))
     return F.array_join(F.transform(F.filter(blocks, lambda b: b != ""), lambda b: F.regexp_replace(b, r"\s{2,}", " ")), "\n\n")
 
 
@@ -64,6 +64,15 @@ def clean(docs: DataFrame, reflowed: bool = True) -> DataFrame:
     )
 
 
+def clean_chunk(text: Column, recurring: Column, reflowed: bool = True) -> Column:
+    """A chunk without the lines that recur in its whole document (recurring) and without note numbers.
+
+    Only whole lines go: a recurring line that packing has joined to the sentence before it stays.
+    """
+    kept = F.array_join(F.filter(lines(F.regexp_replace(text, COMMENT, "")), lambda x: ~F.array_contains(recurring, F.trim(x)) & ~F.trim(x).rlike(NOTE)), "\n")
+    return F.trim(F.regexp_replace(reflow(kept) if reflowed else kept, r"\n{3,}", "\n\n"))
+
+
 def paratext(title: Column, text: Column) -> Column:
     """The first marker that the title holds or the text begins with, or null."""
     head = F.substring(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), 1, HEAD)

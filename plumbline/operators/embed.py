@@ -93,3 +93,13 @@ def premises_used(sents: list[str], least: float = 0.4, top: int = 3) -> list[li
         near = np.lexsort((np.arange(len(sim)), -sim))[:top]
         out.append([int(j) for j in near if sim[j] > least])
     return out
+
+
+def used_premises(sents: Column) -> Column:
+    """Column of arrays: for each sentence the positions of the premises it uses (premises_used)."""
+
+    @F.pandas_udf("array<array<int>>")
+    def near(column: pd.Series) -> pd.Series:
+        return pd.Series([premises_used(list(s)) if s is not None else [] for s in column])
+
+    return near(sents)

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed import ABSTRACT_STOPWORDS, ABSTRACT_SUFFIXES, ABSTRACT_TERMS, FALLACIES_EN, FALLACIES_IT, MARKERS
-from plumbline.functions.text import NOT_AFTER, NOT_BEFORE
+from plumbline.functions.fixed import ABSTRACT_STOPWORDS, ABSTRACT_SUFFIXES, ABSTRACT_TERMS, ARGUMENTATIVE, FALLACIES_EN, FALLACIES_IT, MARKERS
+from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, by_lang, phrase_pattern
 
 SAME_SENTENCE = 2
 
@@ -48,6 +48,11 @@ def _tagged(text: Column, kind: str, pattern: str, severity: float, confidence:
     return F.transform(_matches(text, pattern), row)
 
 
+def argumentative(sentence: Column, lang: Column) -> Column:
+    """Whether a sentence has a word of arguing: only these need a model's look."""
+    return F.regexp_like(sentence, by_lang(lang, lambda k: F.lit(phrase_pattern(ARGUMENTATIVE[k]))))
+
+
 def confirmed(regex: DataFrame, model: DataFrame) -> DataFrame:
     """Pattern findings (doc_id, sent_idx, kind, ...) with confirmed: a model finding of the kind in the same sentence, or in the document where the sentence is unknown."""
     by_sentence = model.select("doc_id", "sent_idx", "kind").distinct().withColumn("s", F.lit(True))

@@ -99,3 +99,37 @@ def budget(chunks: DataFrame, cost: Column, most: int) -> DataFrame:
     """chunks (doc_id, chunk_id) with kept: the costs up to and with it stay within the budget."""
     order = Window.partitionBy("doc_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, 0)
     return chunks.withColumn("kept", F.sum(cost).over(order) <= most)
+
+
+def resolve(runs: DataFrame, target: str) -> DataFrame:
+    """The latest run that a uid, else a hash prefix, else a path or its base name, stands for; runs (run_uid, doc_hash, path, ts, run_id)."""
+    base = F.element_at(F.split("path", "/"), -1)
+    rank = F.when(F.col("run_uid") == target, 0).when(F.startswith("doc_hash", F.lit(target)), 1).when((F.col("path") == target) | (base == target), 2)
+    return runs.withColumn("rank", rank).where("rank is not null").orderBy("rank", F.desc("ts"), F.desc("run_id")).limit(1).drop("rank")
+
+
+def marker_quality(gold: DataFrame, hits: DataFrame) -> DataFrame:
+    """(uses, found, recall, clean, silent, precision): gold (id, mode, horn) against hits (id, horn): recall of used horns, and silence where there is none."""
+    matched = hits.select("id", "horn").distinct().withColumn("hit", F.lit(1))
+    any_hit = hits.select("id").distinct().withColumn("any", F.lit(1))
+    g = gold.join(matched, ["id", "horn"], "left").join(any_hit, "id", "left")
+    use, none = F.col("mode") == "USE", F.col("horn") == "NONE"
+    out = g.agg(F.count_if(use).alias("uses"), F.count_if(use & F.col("hit").isNotNull()).alias("found"), F.count_if(none).alias("clean"), F.count_if(none & F.col("any").isNull()).alias("silent"))
+    return out.select("uses", "found", F.try_divide("found", "uses").alias("recall"), "clean", "silent", F.try_divide("silent", "clean").alias("precision"))
+
+
+def stable(reruns: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """(key, n, stable): whether all reruns of a key gave the same values."""
+    return reruns.groupBy(key).agg(F.count("*").alias("n"), (F.count_distinct(F.struct(*values)) == 1).alias("stable"))
+
+
+def ordered_pairs(scores: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (better, worse) with holds: whether the better scores higher; scores (id, epsilon)."""
+    hi, lo = scores.select(F.col("id").alias("better"), F.col("epsilon").alias("e1")), scores.select(F.col("id").alias("worse"), F.col("epsilon").alias("e2"))
+    return pairs.join(hi, "better", "left").join(lo, "worse", "left").select("better", "worse", (F.col("e1") > F.col("e2")).alias("holds"))
+
+
+def set_recall(expected: DataFrame, found: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """(group, n, hits, recall) by one join, for expected terms of each group."""
+    f = found.select(*keys).distinct().withColumn("hit", F.lit(1))
+    return expected.select(group, *keys).distinct().join(f, keys, "left").groupBy(group).agg(F.count("*").alias("n"), F.count("hit").alias("hits"), (F.count("hit") / F.count("*")).alias("recall"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed import WEIGHTS
+from plumbline.functions.fixed import ERODES, WEIGHTS
 from plumbline.functions.text import rounded
 from plumbline.operators import arguments, embed, profile
+from plumbline.operators.findings import fallacy_hits
 
 FLOOR, NOTHING, STATE = 1e-3, 0.5, 0.3
-BANDS = ((0.85, "very high"), (0.65, "high"), (0.40, "medium"))
+BANDS = ((0.85, "high"), (0.65, "medium"), (0.40, "low"))
 DENSITY = ((0.01, "low"), (0.03, "medium"), (0.06, "high"))
 
 
@@ -38,7 +39,7 @@ def density(implicit: Column, text: Column) -> Column:
     return implicit / F.greatest(F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")), F.lit(1))
 
 
-def band(x: Column, cuts: tuple = BANDS, rest: str = "low") -> Column:
+def band(x: Column, cuts: tuple = BANDS, rest: str = "critical") -> Column:
     out = None
     for least, name in cuts:
         out = F.when(x >= least, name) if out is None else out.when(x >= least, name)
@@ -105,6 +106,34 @@ def message(kind: Column, severity: Column, confidence: Column, detail: Column)
     return F.format_string("[%s] sev=%.2f conf=%.2f — %s", kind, severity, confidence, shown)
 
 
+def findings(docs: DataFrame) -> DataFrame:
+    """(doc_id, ord, kind, severity, confidence, detail, confirmed): what lowers or marks a text, in a fixed order of origins.
+
+    Pattern fallacies are suspects (confirmed false) until a model confirms them; excess hedging is
+    told but lowers no component. Density findings need implicit premises, so a model.
+    """
+    notes = profile.annotated(docs).withColumn("drift", embed.coherence(F.col("sents"))["drift"])
+    b, ratio = profile.bias_columns(), lambda c: F.create_map(F.lit("ratio"), F.format_string("%.3f", c))
+    cases = [
+        ("hedging_excess", 1, b["hedging_severity"], 0.8, ratio(b["hedging"])),
+        ("booster_excess", 1, b["booster_severity"], 0.8, ratio(b["booster"])),
+        ("appeal_to_authority", 1, F.when(b["uncited"] > 0, 0.6), 0.65, F.create_map(F.lit("uses"), b["uncited"].cast("string"))),
+        ("thematic_incoherence", 4, F.when(F.col("drift") > 0.25, F.least(F.lit(1.0), F.col("drift") * 2.5)), 0.7, F.create_map(F.lit("drift"), F.format_string("%.4f", F.col("drift")))),
+    ]
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(o).alias("ord"), s.alias("severity"), F.lit(c).alias("confidence"), d.alias("detail")) for k, o, s, c, d in cases])
+    own = notes.select("doc_id", F.inline(F.filter(rows, lambda r: r["severity"].isNotNull()))).withColumn("confirmed", F.lit(True))
+    hits = fallacy_hits(docs).select("doc_id", F.lit(0).alias("ord"), F.concat(F.lit("fallacy:"), F.col("kind")).alias("kind"), "severity", "confidence", F.create_map(F.lit("match"), F.col("match")).alias("detail"), F.lit(False).alias("confirmed"))
+    return hits.unionByName(own)
+
+
+def with_causes(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """genesis rows with causes: confirmed findings that erode the component, the most severe first."""
+    eroded = F.element_at(F.create_map(*[F.lit(x) for k, c in ERODES.items() for x in (k, c)]), F.substring_index("kind", ":", 1))
+    cause = F.struct((-F.col("severity")).alias("minus"), "kind")
+    by = found.where("confirmed").withColumn("component", eroded).where("component is not null").groupBy("doc_id", "component").agg(F.sort_array(F.collect_list(cause)).alias("c"))
+    return rows.join(by, ["doc_id", "component"], "left").withColumn("causes", F.coalesce(F.transform("c", lambda x: x["kind"]), F.array().cast("array<string>"))).drop("c")
+
+
 def combine(found: list[DataFrame]) -> DataFrame:
     """Findings (doc_id, kind, severity, confidence, detail map) in a fixed order of origins."""
     out = None

@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed import ABSTRACT_STOPWORDS, ABSTRACT_TERMS, CONCLUSIVE, EXPLICIT_PREMISE, FALLACIES_EN, LEXICONS, PARATEXT, POS, STYLE
+from plumbline.functions.fixed import ABSTRACT_STOPWORDS, ABSTRACT_TERMS, ARGUMENTATIVE, CONCLUSIVE, EXPLICIT_PREMISE, FALLACIES_EN, LEXICONS, PARATEXT, POS, QUANTIFIERS, STYLE
 from plumbline.functions.text import rounded, sentences
-from plumbline.operators import arguments, chunk, clean, embed, findings, history, profile, score
+from plumbline.operators import arguments, chunk, clean, clauses, document, embed, findings, history, inductive, profile, report, score
+from plumbline.registry import components as feeding
+from plumbline.sources import files, stores
 
 #: Labels that the evaluation queries hold against each other.
 FEW = 3
@@ -226,7 +228,132 @@ def v_source_ratio(spark, d):
     return joined.groupBy("source").agg(F.count("*").alias("n"), rounded(F.avg(F.col("toxic")), 6).alias("toxic_share"))
 
 
+# Clauses, premises, chunked documents, findings, reports
+
+
+def a_clauses(spark, d):
+    return clauses.sentence_clauses(a_sentences(spark, d)).select("doc_id", "sent_idx", F.col("text").alias("clause"))
+
+
+def f_argumentative(spark, d):
+    each = docs(spark, d).select("doc_id", "lang", F.posexplode(sentences(F.col("text"))).alias("sent_idx", "sentence"))
+    return each.where(findings.argumentative(F.col("sentence"), F.col("lang"))).select("doc_id", "sent_idx")
+
+
+def h_suspect(spark, d):
+    each = docs(spark, d).select("doc_id", "lang", F.posexplode(sentences(F.col("text"))).alias("sent_idx", "sentence"))
+    return each.where(arguments.suspect(F.col("sentence"), F.col("lang"))).select("doc_id", "sent_idx")
+
+
+def h_objective(spark, d):
+    return docs(spark, d).select("doc_id", arguments.objective(F.col("text")).alias("objective"))
+
+
+def e_premises_used(spark, d):
+    near = docs(spark, d).select("doc_id", embed.used_premises(sentences(F.coalesce("text", F.lit("")))).alias("near"))
+    return near.select("doc_id", F.posexplode("near").alias("sent_idx", "premises"))
+
+
+def d_chunk_scores(spark, d):
+    rows = document.chunk_scores(document.cleaned_chunks(docs(spark, d)))
+    return rows.select("doc_id", "chunk_id", "title", "loc", "chars", rounded(F.col("epsilon"), 4).alias("epsilon"))
+
+
+def d_reduced(spark, d):
+    return document.reduced(document.chunk_scores(document.cleaned_chunks(docs(spark, d))))
+
+
+def d_reports(spark, d):
+    cut = document.cleaned_chunks(docs(spark, d))
+    rows = document.chunk_scores(cut)
+    return report.document_reports(document.reduced(rows), rows, document.discards(cut))
+
+
+def x_density(spark, d):
+    n = notes(spark, d).select("doc_id", score.density(F.size(profile.explicit_premises(F.col("sents"))), F.col("text")).alias("x"))
+    return n.select("doc_id", rounded(F.col("x"), 4).alias("density"), score.density_band(F.round("x", 4)).alias("band"))
+
+
+def x_findings(spark, d):
+    return score.findings(docs(spark, d)).select("doc_id", "ord", "kind", "severity", "confidence", "confirmed", score.message(F.col("kind"), F.col("severity"), F.col("confidence"), F.col("detail")).alias("message"))
+
+
+def x_causes(spark, d):
+    text = docs(spark, d)
+    return score.with_causes(score.genesis(score.components(text)), score.findings(text))
+
+
+def r_reports(spark, d):
+    text = docs(spark, d)
+    return report.text_reports(score.score(text), score.findings(text))
+
+
+# Judged side and stores, with the driver's tables standing in for answers of a model
+
+
+def _answers(spark, d):
+    e = read(spark, d, "events")
+    return e.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("axis"), F.when(F.col("value") >= 10, '{"v": 1}').alias("answer"), F.when(F.col("value") < 10, "down").alias("error"), (F.col("value") < 5).alias("bad_json"))
+
+
+def i_failed_parts(spark, d):
+    return inductive.failed_parts(_answers(spark, d)).select("doc_id", "failed", F.array_join("axes", ",").alias("axes"))
+
+
+def i_panel(spark, d):
+    judged = read(spark, d, "labels").select("doc_id", F.lit("trilemma").alias("axis"), F.lit('{"horn": "C1"}').alias("answer"), F.when(F.col("toxic") == 1, "down").alias("error"), F.lit(False).alias("bad_json"))
+    return inductive.panel(score.components(docs(spark, d)), judged, feeding())
+
+
+def i_compare(spark, d):
+    hits = read(spark, d, "documents").select("doc_id", F.concat(F.lit("C"), (F.col("doc_id") % 3 + 1).cast("string")).alias("horn"), F.col("source").alias("subtype"), F.coalesce("lang", F.lit("-")).alias("match")).where("doc_id % 7 <> 0")
+    judged = read(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "NONE").otherwise(F.concat(F.lit("c"), (F.col("quality") + 1).cast("string"))).alias("horn"))
+    return inductive.compare(hits, judged)
+
+
+def k_missing(spark, d):
+    done = read(spark, d, "labels")
+    return stores.missing(read(spark, d, "documents").select("doc_id", "source"), done, ["doc_id"], F.col("toxic") == 1)
+
+
+def k_front_matter(spark, d):
+    doc = read(spark, d, "documents")
+    return doc.select("doc_id", stores.front_matter({"source": F.col("source"), "lang": F.col("lang"), "sha256": F.sha2("text", 256)}).alias("front"))
+
+
+def k_all_runs(spark, d):
+    return files.all_runs(runs(spark, d).select("run_id", "epsilon"), read(spark, d, "labels").select(F.col("doc_id").alias("run_id"), F.col("quality").cast("double").alias("failed")))
+
+
+def q_resolve(spark, d):
+    return history.resolve(history.numbered(runs(spark, d)), "6b86b273ff34").select("run_id", "run_uid")
+
+
+def v_marker_quality(spark, d):
+    gold = read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "USE").otherwise("MENTION").alias("mode"), F.when(F.col("toxic") == 1, "NONE").otherwise("C1").alias("horn"))
+    hits = docs(spark, d).where(F.length("text") > 800).select(F.col("doc_id").alias("id"), F.lit("C1").alias("horn"))
+    q = history.marker_quality(gold, hits)
+    return q.select("uses", "found", rounded(F.col("recall"), 6).alias("recall"), "clean", "silent", rounded(F.col("precision"), 6).alias("precision"))
+
+
+def v_stable(spark, d):
+    return history.stable(read(spark, d, "events"), "user_id", ["event_type"])
+
+
+def v_ordered_pairs(spark, d):
+    scores = docs(spark, d).select(F.col("doc_id").alias("id"), F.length("text").alias("epsilon"))
+    pairs = scores.select(F.col("id").alias("better"), (F.col("id") + 1).alias("worse"))
+    return history.ordered_pairs(scores, pairs)
+
+
+def v_set_recall(spark, d):
+    found = history.set_recall(docs(spark, d).select("lang", "doc_id"), read(spark, d, "labels"), ["doc_id"], "lang")
+    return found.select("lang", "n", "hits", rounded(F.col("recall"), 6).alias("recall"))
+
+
 NAMES = (
+    a_clauses, f_argumentative, h_suspect, h_objective, e_premises_used, d_chunk_scores, d_reduced, d_reports, x_density, x_findings, x_causes, r_reports, i_failed_parts, i_panel, i_compare, k_missing, k_front_matter,
+    k_all_runs, q_resolve, v_marker_quality, v_stable, v_ordered_pairs, v_set_recall,
     s_identity, t_recurring_lines, t_clean, t_paratext, c_chunks, a_sentences, a_pos_distribution, p_profile, p_mtld, y_style, b_bias, b_authority, e_hash_buckets, e_coherence, f_fallacies, m_markers,
     m_inclosure, m_abstract_terms, g_inventory, h_premises, x_score, x_genesis, x_geometric_mean, d_document_score, d_budget, k_document_view, q_numbered_runs, q_drift, q_latest, q_recent, q_pending,
     q_approved, q_trace_summary, v_confusion, v_per_class, v_stride_sample, v_source_ratio,
@@ -321,6 +448,7 @@ def _kind_sql() -> str:
 RUNS = "runs AS (SELECT sha256(CAST(user_id AS VARCHAR)) AS doc_hash, ts, event_id AS run_id, value AS epsilon, event_type AS path FROM events)"
 GRADED = "graded AS (SELECT doc_id, quality, CASE WHEN length(text) > 1500 THEN 1 ELSE 0 END AS predicted FROM documents JOIN labels USING (doc_id))"
 EXPLICIT = f"len(list_filter(sents, lambda s: len(list_filter({_list(EXPLICIT_PREMISE)}, lambda m: contains(lower(s), m))) > 0))"
+EACH = f"(SELECT doc_id, lang, CAST(generate_subscripts(sents, 1) - 1 AS INTEGER) AS sent_idx, unnest(sents) AS s FROM (SELECT doc_id, lang, {SENTS} AS sents FROM documents))"
 LINES = r"string_split(text, chr(10))"
 BIAS = rf"""b AS (SELECT doc_id, hedge / n AS hedging, boost / n AS booster FROM (SELECT doc_id, {_phrases('hedging')} AS hedge, {_phrases('booster')} AS boost,
         greatest(len(list_filter(toks, lambda w: regexp_matches(w, '^\p{{L}}+$'))), 1) AS n FROM notes))"""
@@ -378,5 +506,26 @@ def oracle_sql() -> dict[str, str]:
             SELECT class, n, hits, round(a, 6) AS accuracy, round(greatest(0.0, (a + z * z / (2 * n)) / (1 + z * z / n) - z / (1 + z * z / n) * sqrt(a * (1 - a) / n + z * z / (4 * n * n))), 6) AS low,
                 round(least(1.0, (a + z * z / (2 * n)) / (1 + z * z / n) + z / (1 + z * z / n) * sqrt(a * (1 - a) / n + z * z / (4 * n * n))), 6) AS high FROM p""",
         "v_stride_sample": f"SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE (k * least({FEW}, n)) % n < least({FEW}, n)",
+        "a_clauses": f"SELECT doc_id, sent_idx, trim(s) AS clause FROM (SELECT doc_id, CAST(generate_subscripts(sents, 1) - 1 AS INTEGER) AS sent_idx, unnest(sents) AS s FROM (SELECT doc_id, {SENTS} AS sents FROM documents))",
+        "f_argumentative": rf"""SELECT doc_id, sent_idx FROM {EACH} WHERE regexp_matches(' ' || s || ' ', CASE WHEN lang = 'en' THEN '(?i)[^\p{{L}}\p{{N}}_]({'|'.join(ARGUMENTATIVE['en'])})[^\p{{L}}\p{{N}}_]' ELSE '(?i)[^\p{{L}}\p{{N}}_]({'|'.join(ARGUMENTATIVE['it'])})[^\p{{L}}\p{{N}}_]' END)""",
+        "h_suspect": rf"""SELECT doc_id, sent_idx FROM (SELECT doc_id, lang, sent_idx, s AS text FROM {EACH}) WHERE list_has_any(regexp_split_to_array(trim(lower(text)), '\s+'), CASE WHEN lang = 'en' THEN {_list(QUANTIFIERS['en'])} ELSE {_list(QUANTIFIERS['it'])} END) OR {_phrases('booster')} > 0""",
+        "h_objective": f"SELECT doc_id, substr(list_filter(list_transform({SENTS}, lambda s: trim(s)), lambda s: length(s) > 8)[1], 1, 200) AS objective FROM documents",
+        "x_density": rf"""WITH {NOTES}, x AS (SELECT doc_id, {EXPLICIT} / greatest(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')), 1) AS x FROM notes)
+            SELECT doc_id, round(x, 4) AS density, CASE WHEN round(x, 4) < 0.01 THEN 'low' WHEN round(x, 4) < 0.03 THEN 'medium' WHEN round(x, 4) < 0.06 THEN 'high' ELSE 'critical' END AS band FROM x""",
+        "i_failed_parts": "SELECT user_id AS doc_id, count(*) FILTER (value < 10) AS failed, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (value < 10), '') AS axes FROM events GROUP BY user_id",
+        "i_compare": """WITH h AS (SELECT doc_id, 'C' || (doc_id % 3 + 1) AS horn_marker, source AS subtype, coalesce(lang, '-') AS match FROM documents WHERE doc_id % 7 <> 0),
+            j AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'NONE' ELSE 'C' || (quality + 1) END AS horn_model FROM labels)
+            SELECT doc_id, horn_marker, horn_model, subtype, match, CASE WHEN horn_marker = horn_model THEN 'agree' ELSE 'diverge' END AS outcome FROM h JOIN j USING (doc_id)
+            UNION ALL SELECT doc_id, NULL, horn_model, NULL, NULL, 'model_only' FROM j WHERE horn_model <> 'NONE' AND NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = j.doc_id AND horn_marker = horn_model)""",
+        "k_missing": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic IS DISTINCT FROM 1)",
+        "k_front_matter": """SELECT doc_id, '---' || chr(10) || 'source: ' || coalesce('"' || source || '"', 'null') || chr(10) || 'lang: ' || coalesce('"' || lang || '"', 'null') || chr(10) || 'sha256: ' || coalesce('"' || sha256(text) || '"', 'null') || chr(10) || '---' || chr(10) AS front FROM documents""",
+        "k_all_runs": "SELECT event_id AS run_id, value AS epsilon, 'text' AS kind, CAST(NULL AS DOUBLE) AS failed FROM events UNION ALL SELECT doc_id, NULL, 'document', CAST(quality AS DOUBLE) FROM labels",
+        "q_resolve": f"WITH {RUNS}, n AS (SELECT *, 'R_' || substr(doc_hash, 1, 12) || '_' || lpad(CAST(row_number() OVER (PARTITION BY doc_hash ORDER BY ts, run_id) AS VARCHAR), 3, '0') AS run_uid FROM runs) SELECT run_id, run_uid FROM n WHERE starts_with(doc_hash, '6b86b273ff34') ORDER BY ts DESC, run_id DESC LIMIT 1",
+        "v_marker_quality": """WITH g AS (SELECT doc_id, quality = 1 AS used, toxic = 1 AS clean, length(text) > 800 AS hit FROM labels LEFT JOIN documents USING (doc_id)),
+            c AS (SELECT count(*) FILTER (used) AS uses, count(*) FILTER (used AND NOT clean AND hit) AS found, count(*) FILTER (clean) AS clean, count(*) FILTER (clean AND NOT coalesce(hit, false)) AS silent FROM g)
+            SELECT uses, found, round(found / uses, 6) AS recall, clean, silent, round(silent / clean, 6) AS precision FROM c""",
+        "v_stable": "SELECT user_id, count(*) AS n, count(DISTINCT event_type) = 1 AS stable FROM events GROUP BY user_id",
+        "v_ordered_pairs": "SELECT a.doc_id AS better, a.doc_id + 1 AS worse, length(a.text) > length(b.text) AS holds FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1",
+        "v_set_recall": "SELECT lang, count(*) AS n, count(l.doc_id) AS hits, round(count(l.doc_id) / count(*), 6) AS recall FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang",
         "v_source_ratio": "SELECT source, count(*) AS n, round(avg(toxic), 6) AS toxic_share FROM documents JOIN labels USING (doc_id) GROUP BY source",
     }

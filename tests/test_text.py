@@ -40,6 +40,12 @@ def test_clean(spark):
     assert r[1].text == "" and r[2].text is None
 
 
+def test_lines_are_trimmed_of_blanks_alone(spark):
+    text = "\n".join(["0 a 0", "  Part 1  ", "2 b 2", "Part 1", "x", "Part 1", "0 a 0", "0 a 0"])
+    got = docs(spark, text).select(clean.recurring_lines(F.col("text")).alias("r"), clean.reflow(F.col("text")).alias("f")).first()
+    assert got.r == ["0 a 0", "Part 1"] and got.f == "0 a 0 Part 1 2 b 2 Part 1 x Part 1 0 a 0 0 a 0"
+
+
 def test_packer_keeps_its_units(spark):
     rng = random.Random(1)
     units = [("p", "x" * rng.randint(1, 90)) for _ in range(200)]
