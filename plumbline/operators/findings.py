@@ -50,7 +50,7 @@ def _tagged(text: Column, kind: str, pattern: str, severity: float, confidence:
 
 def argumentative(sentence: Column, lang: Column) -> Column:
     """Whether a sentence has a word of arguing: only these need a model's look."""
-    return F.regexp_like(sentence, by_lang(lang, lambda k: F.lit(phrase_pattern(ARGUMENTATIVE[k]))))
+    return by_lang(lang, lambda k: sentence.rlike(phrase_pattern(ARGUMENTATIVE[k])))
 
 
 def confirmed(regex: DataFrame, model: DataFrame) -> DataFrame:

@@ -99,9 +99,8 @@ def style(notes: DataFrame) -> DataFrame:
     cols = rate(["pron_1p", "pron_2p", "pron_3p"], lambda k: style_list(lang, k)) | rate(["causal", "adversative", "concessive"], lambda k: lexicon(lang, k))
     verbs = F.filter(F.arrays_zip("words", "tags"), lambda p: p["tags"] == "VERB")
     nouns = F.filter(F.arrays_zip("words", "tags"), lambda p: p["tags"] == "NOUN")
-    ends = by_lang(lang, lambda k: F.lit("(" + "|".join(_suffixes(k)) + ")$"))
     cols["modal"] = F.size(F.filter(verbs, lambda p: F.array_contains(style_list(lang, "modal"), p["words"]))) * per
-    cols["nominal"] = F.size(F.filter(nouns, lambda p: F.regexp_like(p["words"], ends))) * per
+    cols["nominal"] = F.size(F.filter(nouns, lambda p: by_lang(lang, lambda k: p["words"].rlike("(" + "|".join(_suffixes(k)) + ")$")))) * per
     cols["questions"] = F.size(F.filter("sents", lambda s: F.rtrim(s).endswith("?"))) / F.greatest(F.size("sents"), F.lit(1))
     cols["quotes"] = F.regexp_count("text", F.lit("[\"«»“”]")) * per
     return notes.select("doc_id", F.size("words").cast("long").alias("n_token"), *[rounded(c, 4 if k == "questions" else 3).alias(k) for k, c in cols.items()])

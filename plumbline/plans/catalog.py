@@ -469,7 +469,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, n_token, round({_rate('words', _style('pron_1p'))} * per, 3) AS pron_1p, round({_rate('w2', _style('pron_2p'))} * per, 3) AS pron_2p, round({_rate('w3', _style('pron_3p'))} * per, 3) AS pron_3p,
                 round({_rate('words', _lex('causal'))} * per, 3) AS causal, round({_rate('c2', _lex('adversative'))} * per, 3) AS adversative, round({_rate('c3', _lex('concessive'))} * per, 3) AS concessive,
                 round(len(list_filter(z, lambda p: p[2] = 'VERB' AND list_contains({_style('modal')}, p[1]))) * per, 3) AS modal,
-                round(len(list_filter(z, lambda p: p[2] = 'NOUN' AND regexp_matches(p[1], CASE WHEN lang = 'en' THEN '({'|'.join(STYLE['en']['nominal'])})$' ELSE '({'|'.join(STYLE['it']['nominal'])})$' END))) * per, 3) AS nominal,
+                round(len(list_filter(z, lambda p: p[2] = 'NOUN' AND CASE WHEN lang = 'en' THEN regexp_matches(p[1], '({'|'.join(STYLE['en']['nominal'])})$') ELSE regexp_matches(p[1], '({'|'.join(STYLE['it']['nominal'])})$') END)) * per, 3) AS nominal,
                 round(len(list_filter(sents, lambda s: ends_with(rtrim(s), '?'))) / n_sentence, 4) AS questions, round(len(regexp_extract_all(text, '["«»“”]')) * per, 3) AS quotes FROM s2""",
         "b_bias": f"WITH {NOTES}, {BIAS} SELECT doc_id, round(hedging, 6) AS hedging, round(booster, 6) AS booster, CASE WHEN hedging > 0.06 THEN round(least(1.0, hedging / 0.15), 6) END AS hedging_severity, CASE WHEN booster > 0.04 THEN round(least(1.0, booster / 0.12), 6) END AS booster_severity, round(greatest(0.0, 1 - coalesce(CASE WHEN booster > 0.04 THEN least(1.0, booster / 0.12) END, 0.0)), 6) AS linguistic_bias FROM b",
         "e_hash_buckets": rf"""
@@ -507,7 +507,7 @@ def oracle_sql() -> dict[str, str]:
                 round(least(1.0, (a + z * z / (2 * n)) / (1 + z * z / n) + z / (1 + z * z / n) * sqrt(a * (1 - a) / n + z * z / (4 * n * n))), 6) AS high FROM p""",
         "v_stride_sample": f"SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE (k * least({FEW}, n)) % n < least({FEW}, n)",
         "a_clauses": f"SELECT doc_id, sent_idx, trim(s) AS clause FROM (SELECT doc_id, CAST(generate_subscripts(sents, 1) - 1 AS INTEGER) AS sent_idx, unnest(sents) AS s FROM (SELECT doc_id, {SENTS} AS sents FROM documents))",
-        "f_argumentative": rf"""SELECT doc_id, sent_idx FROM {EACH} WHERE regexp_matches(' ' || s || ' ', CASE WHEN lang = 'en' THEN '(?i)[^\p{{L}}\p{{N}}_]({'|'.join(ARGUMENTATIVE['en'])})[^\p{{L}}\p{{N}}_]' ELSE '(?i)[^\p{{L}}\p{{N}}_]({'|'.join(ARGUMENTATIVE['it'])})[^\p{{L}}\p{{N}}_]' END)""",
+        "f_argumentative": rf"""SELECT doc_id, sent_idx FROM {EACH} WHERE CASE WHEN lang = 'en' THEN regexp_matches(' ' || s || ' ', '(?i)[^\p{{L}}\p{{N}}_]({'|'.join(ARGUMENTATIVE['en'])})[^\p{{L}}\p{{N}}_]') ELSE regexp_matches(' ' || s || ' ', '(?i)[^\p{{L}}\p{{N}}_]({'|'.join(ARGUMENTATIVE['it'])})[^\p{{L}}\p{{N}}_]') END""",
         "h_suspect": rf"""SELECT doc_id, sent_idx FROM (SELECT doc_id, lang, sent_idx, s AS text FROM {EACH}) WHERE list_has_any(regexp_split_to_array(trim(lower(text)), '\s+'), CASE WHEN lang = 'en' THEN {_list(QUANTIFIERS['en'])} ELSE {_list(QUANTIFIERS['it'])} END) OR {_phrases('booster')} > 0""",
         "h_objective": f"SELECT doc_id, substr(list_filter(list_transform({SENTS}, lambda s: trim(s)), lambda s: length(s) > 8)[1], 1, 200) AS objective FROM documents",
         "x_density": rf"""WITH {NOTES}, x AS (SELECT doc_id, {EXPLICIT} / greatest(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')), 1) AS x FROM notes)
