@@ -1,0 +1,51 @@
+"""Flat features of runs for datasets: components, counts of findings, and the judged side.
+
+Each is one aggregation that combines before its shuffle; joins meet on the document alone.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.functions.fixed import ERODES, WEIGHTS
+from plumbline.operators.inductive import health
+
+COUNTED = [*ERODES, "hedging_excess"]
+
+
+def finding_counts(found: DataFrame) -> DataFrame:
+    """(doc_id, n_findings, n_confirmed, worst, n_<kind>...): one column a kind, fallacies of all kinds together."""
+    kind = F.substring_index("kind", ":", 1)
+    return found.groupBy("doc_id").agg(
+        F.count("*").alias("n_findings"), F.count_if("confirmed").alias("n_confirmed"), F.max(F.when(F.col("confirmed"), F.col("severity"))).alias("worst"), *[F.count_if(kind == k).alias(f"n_{k}") for k in COUNTED]
+    )
+
+
+def text_features(scored: DataFrame, found: DataFrame) -> DataFrame:
+    """One flat row a scored document; documents without findings count none."""
+    counts = finding_counts(found)
+    zero = [c for c in counts.columns if c.startswith("n_")]
+    return scored.join(counts, "doc_id", "left").na.fill(0, zero)
+
+
+def document_features(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """One flat row a document of scored chunks and answers (doc_id, chunk_id, axis, answer, error, bad_json).
+
+    Components are averages over the chunks that measured them; the horn is the first chunk's that
+    has one; judged tells whether any call went well; a document without calls has no failed axes.
+    """
+    live = F.col("epsilon") > 0
+    weight = F.sum(F.when(live, F.col("chars")))
+    det = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.exp(F.sum(F.when(live, F.col("chars") * F.log("epsilon"))) / weight).alias("epsilon"), *[F.avg(k).alias(k) for k in WEIGHTS])
+    state = health(F.col("answer"), F.col("error"), F.col("bad_json"))
+    horn = F.nullif(F.upper(F.get_json_object("answer", "$.horn")), F.lit(""))
+    bad = state.isin("error", "bad_json")
+    ind = answers.groupBy("doc_id").agg(
+        F.min_by(F.when(F.col("axis") == "trilemma", horn), F.when((F.col("axis") == "trilemma") & horn.isNotNull(), F.col("chunk_id"))).alias("horn"),
+        F.coalesce(F.bool_or(state == "ok"), F.lit(False)).alias("judged"),
+        F.count_distinct("axis").alias("n_axes"),
+        F.sort_array(F.collect_set(F.when(bad, F.col("axis")))).alias("failed_axes"),
+    )
+    out = det.join(ind, "doc_id", "left")
+    return out.withColumns({"judged": F.coalesce("judged", F.lit(False)), "n_axes": F.coalesce("n_axes", F.lit(0)), "failed_axes": F.coalesce("failed_axes", F.array().cast("array<string>"))})

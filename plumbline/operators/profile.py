@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,15 +118,46 @@ def _suffixes(k: str) -> list[str]:
     return STYLE[k]["nominal"]
 
 
+def person_names(text: Column) -> Column:
+    """Runs of capitalised words, in order; a lone article is none."""
+    names = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])(\p{Lu}\p{L}+(?:\s\p{Lu}\p{L}+)*)"), F.lit(1))
+    return F.filter(names, lambda n: ~n.isin("Il", "La", "Lo", "I", "Le"))
+
+
+def uncited_pattern(k: str) -> str:
+    """A use of authority that no quotation or reference follows within 100 characters."""
+    return f"(?s){AUTHORITY[k]}(?!.{{0,99}}{QUOTES})(?!.{{0,90}}(?i:{REFERENCE}))"
+
+
+def authorities(notes: DataFrame) -> DataFrame:
+    """(doc_id, nth, person, severity, confidence): every uncited appeal to an authority, with its name."""
+
+    def people(k: str) -> Column:
+        groups = range(1, re.compile(AUTHORITY[k]).groups + 1)
+        found = [F.regexp_extract_all("text", F.lit(uncited_pattern(k)), F.lit(g)) for g in groups]
+        return F.transform(found[0], lambda n, i: F.coalesce(*[F.nullif(F.get(f, i), F.lit("")) for f in found]))
+
+    each = notes.select("doc_id", F.posexplode(by_lang(F.col("lang"), people)).alias("nth", "person"))
+    return each.withColumns({"severity": F.lit(0.6), "confidence": F.lit(0.65)})
+
+
+def bias_labels(notes: DataFrame) -> DataFrame:
+    """(doc_id, labels, source): excesses with their ratios, up to three uncited names, and the first person named."""
+    b, names = bias_columns(), F.col("names")
+    by = authorities(notes).groupBy("doc_id").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("nth", "person"))), 1, 3), lambda x: x["person"]).alias("names"))
+    rows = notes.select("doc_id", *[b[k].alias(k) for k in ("hedging", "booster", "hedging_severity", "booster_severity")], person_names(F.col("text")).alias("people")).join(by, "doc_id", "left")
+    told = [F.when(F.col(f"{k}_severity").isNotNull(), F.format_string(f"{k}_excess(%.3f)", k)) for k in ("hedging", "booster")]
+    people = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.concat(F.lit("appeal_to_authority:"), n))
+    return rows.select("doc_id", F.concat(F.array_compact(F.array(*told)), people).alias("labels"), F.coalesce(F.get("people", F.lit(0)), F.lit("unknown")).alias("source"))
+
+
 def bias_columns() -> dict[str, Column]:
     """Ratios, severities (null: none), uncited authorities and both components, over annotated rows."""
     text, lang = F.col("text"), F.col("lang")
     words = F.greatest(F.size(F.filter("toks", lambda w: w.rlike(r"^\p{L}+$"))), F.lit(1))
     hedging, booster = count_phrases(text, lang, "hedging") / words, count_phrases(text, lang, "booster") / words
-    # A use of authority counts unless a quotation or a reference follows within 100 characters.
-    uncited = by_lang(lang, lambda k: F.regexp_count(text, F.lit(f"(?s){AUTHORITY[k]}(?!.{{0,99}}{QUOTES})(?!.{{0,90}}(?i:{REFERENCE}))")))
-    names = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])(\p{Lu}\p{L}+(?:\s\p{Lu}\p{L}+)*)"), F.lit(1))
-    person = F.exists(names, lambda n: ~n.isin("Il", "La", "Lo", "I", "Le"))
+    uncited = by_lang(lang, lambda k: F.regexp_count(text, F.lit(uncited_pattern(k))))
+    person = F.size(person_names(text)) > 0
     cited = text.rlike(QUOTES) | text.rlike("(?i)" + REFERENCE)
     severity = F.when(booster > 0.04, F.least(F.lit(1.0), booster / 0.12))
     return {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import ABSTRACT_STOPWORDS, ABSTRACT_TERMS, ARGUMENTATIVE, CONCLUSIVE, EXPLICIT_PREMISE, FALLACIES_EN, LEXICONS, PARATEXT, POS, QUANTIFIERS, STYLE
 from plumbline.functions.text import rounded, sentences
-from plumbline.operators import arguments, chunk, clean, clauses, document, embed, findings, history, inductive, profile, report, score
+from plumbline.operators import arguments, chunk, clean, clauses, document, embed, features, findings, history, inductive, profile, report, score
 from plumbline.registry import components as feeding
 from plumbline.sources import files, stores
 
@@ -283,6 +283,15 @@ def x_causes(spark, d):
     return score.with_causes(score.genesis(score.components(text)), score.findings(text))
 
 
+def x_features(spark, d):
+    text = docs(spark, d)
+    return features.text_features(score.score(text), score.findings(text))
+
+
+def b_labels(spark, d):
+    return profile.bias_labels(notes(spark, d)).select("doc_id", F.array_join("labels", ";").alias("labels"), "source")
+
+
 def r_reports(spark, d):
     text = docs(spark, d)
     return report.text_reports(score.score(text), score.findings(text))
@@ -352,7 +361,7 @@ def v_set_recall(spark, d):
 
 
 NAMES = (
-    a_clauses, f_argumentative, h_suspect, h_objective, e_premises_used, d_chunk_scores, d_reduced, d_reports, x_density, x_findings, x_causes, r_reports, i_failed_parts, i_panel, i_compare, k_missing, k_front_matter,
+    a_clauses, f_argumentative, h_suspect, h_objective, e_premises_used, d_chunk_scores, d_reduced, d_reports, x_density, x_findings, x_causes, x_features, b_labels, r_reports, i_failed_parts, i_panel, i_compare, k_missing, k_front_matter,
     k_all_runs, q_resolve, v_marker_quality, v_stable, v_ordered_pairs, v_set_recall,
     s_identity, t_recurring_lines, t_clean, t_paratext, c_chunks, a_sentences, a_pos_distribution, p_profile, p_mtld, y_style, b_bias, b_authority, e_hash_buckets, e_coherence, f_fallacies, m_markers,
     m_inclosure, m_abstract_terms, g_inventory, h_premises, x_score, x_genesis, x_geometric_mean, d_document_score, d_budget, k_document_view, q_numbered_runs, q_drift, q_latest, q_recent, q_pending,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline import cli, registry
 from plumbline.functions.fixed import WEIGHTS
-from plumbline.operators import arguments, clean, document, findings, history, inductive, report, score
+from plumbline.operators import arguments, clean, document, features, findings, history, inductive, profile, report, score
 from plumbline.streaming import ingest
 
 DOCS = "doc_id long, text string, lang string"
@@ -145,3 +145,27 @@ def test_streams(spark, tmp_path):
     q = ingest.first_sightings(spark.readStream.schema(seen.schema).parquet(str(tmp_path / "seen"))).writeStream.format("memory").queryName("sightings").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.doc_hash for r in spark.table("sightings").collect()) == ["a", "b"]
+
+
+def test_authorities_and_labels(spark):
+    d = docs(spark, "As Mario Rossi said the sky is low. As Kant argued (cf. 1781) it is not.", "Perhaps maybe it seems so.", None)
+    n = profile.annotated(d)
+    assert [(r.doc_id, r.person) for r in profile.authorities(n).collect()] == []
+    lower = profile.annotated(docs(spark, "It is low, as Mario Rossi said. " + "It rains on and on. " * 8 + "It is not, as Kant argued (cf. 1781).", "Perhaps maybe it seems so.", None))
+    assert [(r.doc_id, r.person) for r in profile.authorities(lower).collect()] == [(0, "Mario Rossi")]
+    got = {r.doc_id: (r.labels, r.source) for r in profile.bias_labels(lower).collect()}
+    assert got[0] == (["appeal_to_authority:Mario Rossi"], "It") and got[1] == (["hedging_excess(0.600)"], "Perhaps") and got[2] == ([], "unknown")
+
+
+def test_features(spark):
+    d = docs(spark, "Obviously clearly certainly it is so.", "", None)
+    rows = {r.doc_id: r for r in features.text_features(score.score(d), score.findings(d)).collect()}
+    assert len(rows) == 3 and rows[0].n_booster_excess == 1 and rows[0].n_fallacy == 2 and rows[0].n_confirmed == 1 and rows[1].n_findings == 0
+    comps = ", ".join(f"{k} double" for k in WEIGHTS)
+    chunks = spark.createDataFrame([(1, 0, 10, 0.5, *[0.2] * 10), (1, 1, 30, 0.5, *[0.4] * 9, None), (2, 0, 5, None, *[None] * 10)], f"doc_id long, chunk_id int, chars long, epsilon double, {comps}")
+    answers = spark.createDataFrame([(1, 0, "trilemma", None, "down", False), (1, 1, "trilemma", '{"horn": "c2"}', None, False), (1, 1, "r2", None, "x", True)], "doc_id long, chunk_id int, axis string, answer string, error string, bad_json boolean")
+    got = {r.doc_id: r for r in features.document_features(chunks, answers).collect()}
+    one, two = got[1], got[2]
+    assert one.epsilon == pytest.approx(0.5) and one.formal_validity == pytest.approx(0.3) and one.objective_integrity == pytest.approx(0.2)
+    assert (one.horn, one.judged, one.n_axes, one.failed_axes) == ("C2", True, 2, ["r2", "trilemma"])
+    assert (two.epsilon, two.horn, two.judged, two.n_axes, two.failed_axes) == (None, None, False, 0, [])
