@@ -2,13 +2,14 @@
 
 Vectors get one more component that makes their lengths equal, so the largest inner product is the
 least distance; then a random rotation spreads every vector's energy over all columns. Rows lie in
-the lists of k-means centroids (fitted on a bounded sample). A query goes to its nearest lists. There
-candidates' partial distances grow by blocks of columns, and after each block a hypothesis test
+the lists of k-means centroids (fitted on a bounded sample). A query goes to its nearest lists; how
+many hold the share REACH of the true neighbours is measured on trial queries, which are compared with
+every row, so it follows the data at any size. There candidates' partial distances grow by blocks of columns, and after each block a hypothesis test
 drops those whose distance, as the columns so far estimate it, lies beyond the query's bound with
 significance; the rest get the exact inner product of the original vectors.
 
-A list is cut into blocks of candidates and of queries, so a list that holds a third of all rows
-is many tasks of bounded size. Each block returns a query's best k, and those are merged.
+Small lists share a bin, and a bin is cut into blocks of candidates and of queries, so a list that
+holds a third of all rows is many tasks of bounded size. Each block returns a query's best k, and those are merged.
 
 Defined results: vectors that are null, zero, of another than the commonest length, or hold null or
 non-finite components take no part, nor rows with a null id; equal scores go by the smaller id; a
@@ -19,6 +20,7 @@ fewer candidates than k all are returned; other columns are ignored.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,10 +31,10 @@ from plumbline.llm.common import hash_share, materialize
 
 #: Vectors, in expectation, on which the centroids are fitted; rows a list aims at; most lists.
 SAMPLE, LIST_ROWS, LISTS = 16_384, 256, 4096
-#: Least share of the lists that a query probes, and least number.
-PROBE_SHARE, PROBES = 0.1, 16
+#: Share of the trial queries' true neighbours that the probed lists must hold, trial queries (in expectation), least number of probes.
+REACH, TRIALS, PROBES = 0.97, 256, 16
 #: Candidates and queries in one unit of work; columns in a block; significance of the test (a multiple of the estimate's standard error).
-UNIT_ROWS, UNIT_QUERIES, COLUMNS, SIGNIFICANCE = 4096, 1024, 16, 2.1
+UNIT_ROWS, UNIT_QUERIES, COLUMNS, SIGNIFICANCE = 4096, 4096, 16, 2.1
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -56,7 +58,6 @@ class Index:
         self.rotation = np.linalg.qr(np.random.default_rng(1).standard_normal((d + 1, d + 1)))[0]
         k = int(max(1, min(LISTS, len(sample), rows // LIST_ROWS)))
         self.centroids = _kmeans(self.place(sample), k)
-        self.probes = int(min(k, max(PROBES, np.ceil(PROBE_SHARE * k))))
 
     def place(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Rotated vectors with the component that evens lengths (0 for queries)."""
@@ -71,12 +72,27 @@ class Index:
         return np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1)
 
 
-def scan(queries: np.ndarray, originals: np.ndarray, ids: np.ndarray, placed_q: np.ndarray, placed: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (position): ids and exact scores of its best k among the candidates, with early abandoning."""
+def bins(centroids: np.ndarray, sizes: dict[int, int]) -> dict[int, int]:
+    """The bin of each list: neighbouring lists share one as long as it holds at most UNIT_ROWS rows."""
+    along = (centroids - centroids.mean(axis=0)) @ np.linalg.svd(centroids - centroids.mean(axis=0), full_matrices=False)[2][0]
+    out, now, held = {}, 0, 0
+    for c in np.argsort(along, kind="stable").tolist():
+        if c in sizes:
+            if held and held + sizes[c] > UNIT_ROWS:
+                now, held = now + 1, 0
+            out[c], held = now, held + sizes[c]
+    return out
+
+
+def scan(queries: np.ndarray, originals: np.ndarray, ids: np.ndarray, placed_q: np.ndarray, placed: np.ndarray, own: np.ndarray, lists: np.ndarray, probed: list, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query (position): ids and exact scores of its best k among the candidates of its lists, with early abandoning."""
     out = []
+    mine = np.zeros(int(lists.max()) + 1, bool)
     d = placed.shape[1]
     for q in range(len(queries)):
-        live = np.flatnonzero(ids != own[q])
+        mine[:] = False
+        mine[[c for c in probed[q] if c < len(mine)]] = True
+        live = np.flatnonzero(mine[lists] & (ids != own[q]))
         partial = np.zeros(len(live))
         for at in range(0, d, COLUMNS):
             end = min(d, at + COLUMNS)
@@ -115,7 +131,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
         return spark.createDataFrame([], empty)
     found = sound.where(hash_share(F.col("id"), SAMPLE / total, 9)).select("id", "v").collect() or sound.select("id", "v").limit(SAMPLE).collect()
     sample = np.array([r.v for r in sorted(found, key=lambda r: (r.id, r.v))])
-    index = spark.sparkContext.broadcast(pickle.dumps(Index(sample, float(np.sqrt(square)), total)))
+    own_index = Index(sample, float(np.sqrt(square)), total)
+    index = spark.sparkContext.broadcast(pickle.dumps(own_index))
     state: dict = {}
 
     def load() -> Index:
@@ -130,37 +147,47 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
 
     listed = materialize(sound.select("id", "v", home("v").alias("list")), "lists")
     sizes = {r["list"]: r.n for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    blocks = {c: max(1, -(-n // UNIT_ROWS)) for c, n in sizes.items()}
-
-    @F.pandas_udf("array<int>")
-    def probes(v: pd.Series) -> pd.Series:
+    homes = bins(own_index.centroids, sizes)
+    full: dict[int, int] = {}
+    for c, b in homes.items():
+        full[b] = full.get(b, 0) + sizes[c]
+    blocks = {b: -(-n // UNIT_ROWS) for b, n in full.items()}
+    asked = materialize(sound.where("q").groupBy("id").agg(F.min("v").alias("v")), "asked")
+    usual = _probes(asked, listed, own_index, k)
+
+    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = load()
-        near = ix.lists(ix.place(np.stack(v.to_numpy()), query=True), len(ix.centroids))
-        out = []
-        for row in near.tolist():
-            # More lists than the usual number where those hold too few rows.
-            seen, take = 0, 0
-            while take < len(row) and (take < ix.probes or seen <= k):
-                seen += sizes.get(row[take], 0)
-                take += 1
-            out.append([c for c in row[:take] if c in sizes])
-        return pd.Series(out)
-
-    asked = sound.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    probed = materialize(asked.select("id", "v", F.explode(probes("v")).alias("list")), "probes")
-    crowds = {r["list"]: r.n for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    parts = {c: max(1, -(-n // UNIT_QUERIES)) for c, n in crowds.items()}
+        for batch in batches:
+            near = ix.lists(ix.place(np.stack(batch["v"].to_numpy()), query=True), len(ix.centroids)) if len(batch) else np.zeros((0, 0), int)
+            out = []
+            for i, v, row in zip(batch["id"].tolist(), batch["v"], near.tolist(), strict=True):
+                # More lists than the usual number where those hold too few rows.
+                seen, take = 0, 0
+                while take < len(row) and (take < usual or seen <= k):
+                    seen += sizes.get(row[take], 0)
+                    take += 1
+                at: dict[int, list[int]] = {}
+                for c in row[:take]:
+                    if c in homes:
+                        at.setdefault(homes[c], []).append(c)
+                out += [(i, v, b, c) for b, c in at.items()]
+            yield pd.DataFrame(out, columns=["id", "v", "bin", "lists"])
+
+    probed = materialize(asked.mapInPandas(probes, "id long, v array<double>, bin int, lists array<int>"), "probes")
+    crowds = {r["bin"]: r.n for r in probed.groupBy("bin").agg(F.count("*").alias("n")).collect()}
+    parts = {b: max(1, -(-n // UNIT_QUERIES)) for b, n in crowds.items()}
 
     @F.pandas_udf("array<long>")
     def units_of_rows(c: pd.Series, i: pd.Series) -> pd.Series:
-        return pd.Series([[(a << 40) | (hash_of(x) % blocks[a] << 20) | p for p in range(parts.get(a, 0))] for a, x in zip(c.tolist(), i.tolist(), strict=True)])
+        at = [homes[x] for x in c.tolist()]
+        return pd.Series([[(b << 40) | (hash_of(x) % blocks[b] << 20) | p for p in range(parts.get(b, 0))] for b, x in zip(at, i.tolist(), strict=True)])
 
     @F.pandas_udf("array<long>")
-    def units_of_queries(c: pd.Series, i: pd.Series) -> pd.Series:
-        return pd.Series([[(a << 40) | (b << 20) | hash_of(x) % parts[a] for b in range(blocks[a])] for a, x in zip(c.tolist(), i.tolist(), strict=True)])
+    def units_of_queries(b: pd.Series, i: pd.Series) -> pd.Series:
+        return pd.Series([[(a << 40) | (n << 20) | hash_of(x) % parts[a] for n in range(blocks[a])] for a, x in zip(b.tolist(), i.tolist(), strict=True)])
 
-    left = listed.select("id", "v", F.explode(units_of_rows("list", "id")).alias("unit"))
-    right = probed.select("id", "v", F.explode(units_of_queries("list", "id")).alias("unit"))
+    left = listed.select("id", "v", "list", F.explode(units_of_rows("list", "id")).alias("unit"))
+    right = probed.select("id", "v", "lists", F.explode(units_of_queries("bin", "id")).alias("unit"))
 
     def work(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(candidates) or not len(queries):
@@ -169,7 +196,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
         candidates = candidates.sort_values("id")
         x, y = np.stack(candidates["v"].to_numpy()), np.stack(queries["v"].to_numpy())
         ids, own = candidates["id"].to_numpy(), queries["id"].to_numpy()
-        got = scan(y, x, ids, ix.place(y, query=True), ix.place(x), own, k)
+        got = scan(y, x, ids, ix.place(y, query=True), ix.place(x), own, candidates["list"].to_numpy(), queries["lists"].tolist(), k)
         return pd.DataFrame({"query_id": np.repeat(own[[q for q, _, _ in got]], [len(i) for _, i, _ in got]), "vec_id": np.concatenate([i for _, i, _ in got]), "score": np.concatenate([s for _, _, s in got])})
 
     best = left.groupBy("unit").cogroup(right.groupBy("unit")).applyInPandas(work, "query_id long, vec_id long, score double")
@@ -177,6 +204,39 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _probes(asked: DataFrame, listed: DataFrame, index: Index, k: int) -> int:
+    """How many lists hold the share REACH of the true k nearest rows of trial queries."""
+    n = asked.count()
+    trial = n > TRIALS and asked.where(hash_share(F.col("id"), TRIALS / n, 11)).collect() or asked.limit(TRIALS).collect()
+    if not trial:
+        return PROBES
+    own, y = np.array([r.id for r in trial]), np.array([r.v for r in trial])
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [pd.DataFrame({"score": np.zeros(0), "id": np.zeros(0, np.int64), "list": np.zeros(0, np.int32)})] * len(own)
+        for b in batches:
+            if not len(b):
+                continue
+            scores, ids = np.stack(b["v"].to_numpy()) @ y.T, b["id"].to_numpy()
+            for q in range(len(own)):
+                s = np.where(ids == own[q], -np.inf, scores[:, q])
+                top = np.argpartition(-s, k)[:k] if len(s) > k else np.arange(len(s))
+                top = top[s[top] > (best[q]["score"].iloc[-1] if len(best[q]) == k else -np.inf)]
+                if len(top):
+                    both = pd.concat([best[q], pd.DataFrame({"score": s[top], "id": ids[top], "list": b["list"].to_numpy()[top]})])
+                    best[q] = both.sort_values(["score", "id"], ascending=[False, True])[:k]
+        yield pd.concat([x.assign(q=q) for q, x in enumerate(best)])[["q", "id", "list", "score"]]
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    found = listed.select("id", "v", "list").mapInPandas(nearest, "q int, id long, list int, score double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).collect()
+    if not found:
+        return PROBES
+    near = index.lists(index.place(y, query=True), len(index.centroids))
+    place = np.argsort(near, axis=1)
+    ranks = np.sort([place[r.q, r["list"]] for r in found])
+    return max(PROBES, int(ranks[int(np.ceil(REACH * len(ranks))) - 1]) + 1)
+
+
 def hash_of(x: int) -> int:
     """A 31-bit mix of an id."""
     return (((x ^ (x >> 31)) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> 33

@@ -377,6 +377,22 @@ def test_neighbours_recall_on_the_table(spark):
     assert hits / (20 * len(found)) >= 0.9
 
 
+def test_neighbours_recall_where_probes_are_fewer_than_lists(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(table, F.col("vec_id") % 100 == 0, 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 20_000, 100):
+        s = x @ x[q]
+        s[q] = -9
+        hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * len(found)) >= 0.9
+
+
 # Piecewise hashing
 
 
