@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, ctph, langid, mixing, packing, queries, secrets, sharding, simhash, toxicity
+from plumbline.llm import ann, chat, ctph, langid, mixing, packing, queries, secrets, sharding, similar, simhash, toxicity
 from plumbline.llm.graph import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -261,6 +261,38 @@ def test_components_of_a_long_chain(spark):
     assert {r.component for r in got} == {0} and len(got) == 201
 
 
+# Near copies by similarity
+
+
+def plain_shingles(text):
+    words = (text or "").split()
+    n = min(5, len(words))
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if words else set()
+
+
+def test_near_copies_equal_brute_force(spark, edges, none, monkeypatch):
+    monkeypatch.setattr(similar, "SMALL", 4)
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    texts = []
+    for copies in (60, *[3] * 40):
+        base = rng.choices(vocabulary, k=rng.randint(60, 300))
+        for _ in range(copies):
+            new = list(base)
+            for at in rng.sample(range(len(new)), rng.randint(0, len(new) // 20)):
+                new[at] = rng.choice(vocabulary)
+            texts.append(" ".join(new))
+    sets = [plain_shingles(x) for x in texts]
+    like = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    tops = union_find(len(texts), like)
+    bits = [plain_fingerprint(x) for x in texts]
+    assert sum(int(bits[i] ^ bits[j]).bit_count() > 4 for i, j in like) > 20  # beyond the keys of the contract
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.one_of_each(docs).collect()) == sorted(set(tops))
+    assert similar.one_of_each(edges).columns == edges.columns and similar.one_of_each(none).count() == 0
+
+
 # Toxicity
 
 
