@@ -293,6 +293,15 @@ def test_near_copies_equal_brute_force(spark, edges, none, monkeypatch):
     assert similar.one_of_each(edges).columns == edges.columns and similar.one_of_each(none).count() == 0
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(rng.choices([f"w{k}" for k in range(500)], k=40)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (3, c), (None, d)]
+    got = similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.text, r.doc_id) for r in got if r.doc_id) == sorted([(c, 3), (d, 7)])
+    assert sorted(r.text for r in got if r.doc_id is None) == sorted([a, b])
+
+
 # Toxicity
 
 
