@@ -12,8 +12,8 @@ Equal fingerprints are one node, so copies make no pairs. The join's partitions
 where many different fingerprints share a key.
 
 Defined results: a null text is empty and, like any text without words, has fingerprint zero, which
-links like any other; a null id takes part only through its fingerprint; repeated rows get equal
-results; other columns are ignored; texts of any length are read whole.
+links like any other; a null id takes part through its fingerprint, and a group without any id has a
+null component_id; repeated rows get equal results; other columns are ignored; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -128,10 +128,11 @@ def groups(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> D
     """(doc_id, fp long, component_id) of each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     prints = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(F.col("text"), width).alias("fp")), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    found = components(links(nodes.where("id is not null"), max_bits)).withColumnRenamed("node", "id")
-    named = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(nodes.select(F.col("fp").alias("id"), "fp"), max_bits)).withColumnRenamed("node", "fp")
+    named = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(ids, "group").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:

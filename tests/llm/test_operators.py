@@ -256,6 +256,20 @@ def test_groups_of_documents(spark, edges, none):
     assert simhash.groups(none).count() == 0 and simhash.one_of_each(none).count() == 0
 
 
+def test_rows_without_id_link_and_shared_ids_do_not(spark, monkeypatch):
+    from pyspark.sql import types as T
+
+    # The text stands for its fingerprint.
+    monkeypatch.setattr(simhash, "fingerprints", lambda text, width: text.cast(T.LongType()))
+    far, other = 0xFFFF << 20, 0xFFFF << 40
+    rows = [(5, "0"), (None, str(0b1111)), (6, str(0b11111111)), (None, str(far)), (9, str(other)), (9, str(other | far))]
+    got = {r.fp: r.component_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 5, 0b1111: 5, 0b11111111: 5, far: None, other: 9, other | far: 9}
+    rows = [(9, str(other)), (9, "0"), (1, str(0b111))]
+    got = {r.fp: r.component_id for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {other: 9, 0: 1, 0b111: 1}
+
+
 def test_components_of_a_long_chain(spark):
     got = components(spark.createDataFrame([(k, k + 1) for k in range(200)], "u long, v long")).collect()
     assert {r.component for r in got} == {0} and len(got) == 201
