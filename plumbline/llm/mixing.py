@@ -111,7 +111,9 @@ class Rates:
 def solve(rows: DataFrame, targets: list[float], least: float = 0.0, growth: float = 1.0) -> Rates:
     """Rates for rows (tokens, p_0, p_1, ...) whose expected totals are targets (shares) of growth x the rows' tokens.
 
-    Where targets can't be met (a least rate, say), the rounds end near the least squares.
+    A least rate leaves each domain at least that multiple of its tokens. Where one has more than its share
+    of the total, the total is raised until it hasn't, times growth. Where targets still can't be met, the
+    rounds end near the least squares.
     """
     n = len(targets)
     share = np.array(targets, float) / sum(targets)
@@ -126,7 +128,7 @@ def solve(rows: DataFrame, targets: list[float], least: float = 0.0, growth: flo
         got = [x or 0.0 for x in at.agg(*sums, *gram).first()]
         totals = np.array(got[:n])
         if rates.targets is None:
-            total = growth * float(totals.sum())
+            total = growth * max(float(totals.sum()), least * float(np.max(totals[share > 0] / share[share > 0])))
             rates.targets = share * total
         rates.totals = totals
         miss = totals - rates.targets

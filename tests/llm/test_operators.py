@@ -275,6 +275,13 @@ def test_components_of_a_long_chain(spark):
     assert {r.component for r in got} == {0} and len(got) == 201
 
 
+def test_mixing_meets_targets_though_nothing_is_dropped(spark):
+    rows = spark.createDataFrame([(100, 0.98, 0.02)] * 30 + [(100, 0.02, 0.98)] * 20, "tokens long, p_0 double, p_1 double")
+    got = mixing.solve(rows, [0.35, 0.65], 1.0, 1.1)
+    assert np.allclose(got.totals / got.totals.sum(), [0.35, 0.65], atol=1e-3)
+    assert rows.agg(F.min(got.column())).first()[0] >= 1
+
+
 # Near copies by similarity
 
 
