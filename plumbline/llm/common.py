@@ -62,3 +62,19 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 def hash_share(key: Column, share: float, seed: int) -> Column:
     """True for about that share of the keys, always the same ones."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 24)) < F.lit(min(1 << 24, int(share * (1 << 24))))
+
+
+def least_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """A bounded sample: rows of the least different values of the hash column key, one of each value, at most that many.
+
+    Copies of a row share a hash, so no group of copies can fill the sample, nor rows of one id.
+    """
+    n = rows.agg(F.approx_count_distinct(key).alias("n")).first().n
+    near = rows.where(F.col(key) <= F.lit(hash_bound(2 * most / max(1, n))))
+    return near.groupBy(key).agg(*[F.first(c).alias(c) for c in rows.columns if c != key]).orderBy(key).limit(most)
+
+
+def hash_bound(share: float) -> int:
+    """The value up to which that share of all 64-bit hashes lies."""
+    whole = (1 << 63) - 1
+    return whole if share >= 1 else int(-whole + 2 * whole * share)

@@ -5,7 +5,7 @@ unit length, are compared by cosine with a few k-means centroids for each langua
 far from every centroid, for its number of n-grams, is rejected.
 
 Document frequencies cover all learning rows. Centroids are fitted on a bounded sample of at most
-about SAMPLE rows a language.
+SAMPLE different texts a language, drawn by a hash of the text.
 
 Defined results: a null text or one without letters is "und" with score 0 and counts as rejected;
 learning rows with a null language or text are left out; with nothing to learn from every row is
@@ -20,14 +20,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import hash_share, small_batches
+from plumbline.llm.common import hash_bound, small_batches
 from plumbline.llm.packing import ngram_counts
 
 BUCKETS = 4096
-#: Learning rows a language, in expectation, on which centroids are fitted; centroids a language.
+#: Most different texts a language on which centroids are fitted; centroids a language.
 SAMPLE, CENTROIDS = 512, 3
 #: A text is rejected below this share of its language's 1 % quantile of cosines; texts with fewer different n-grams need less, as the root of their number.
 REJECT_SHARE, FULL_NGRAMS = 0.4, 400
@@ -109,22 +109,24 @@ def fit(rows: DataFrame) -> Model:
     n = df.get(BUCKETS, 0)
     idf = np.array([np.log((1 + n) / (1 + df.get(k, 0))) + 0.05 for k in range(BUCKETS)])
 
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    texts = rows.select("text", "lang", F.xxhash64("text", F.lit(2)).alias("h"))
+    sizes = {r.lang: r.n for r in texts.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return Model([], idf, np.zeros((0, BUCKETS)), np.zeros(0, int), np.zeros(0))
-    chosen = F.lit(False)
-    for lang, size in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & hash_share(F.col("doc_id"), SAMPLE / size, 2))
+    # Copies of a text are one row of the sample, and a language's sample is cut at SAMPLE texts.
+    bound = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, hash_bound(2 * SAMPLE / max(1, n)))]), F.col("lang"))
+    one = texts.where(F.col("h") <= bound).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
 
     def centroids(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "text"])
+        part = part.sort_values(["h", "text"])
         x = np.log1p(np.array([counts(t) for t in part["text"]], dtype=np.float64)) * idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         c = _cluster(x, CENTROIDS)
         least = float(np.quantile((x @ c.T).max(axis=1), 0.01)) * REJECT_SHARE
         return pd.DataFrame({"lang": part["lang"].iloc[0], "centroid": [v.astype("<f4").tobytes() for v in c], "least": least})
 
-    found = rows.where(chosen).groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, least double").collect()
+    found = one.withColumn("nth", nth).where(F.col("nth") <= SAMPLE).groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, least double").collect()
     found = sorted(found, key=lambda r: (r.lang, bytes(r.centroid)))
     languages = sorted({r.lang for r in found})
     least = {r.lang: r.least for r in found}
@@ -134,6 +136,7 @@ def fit(rows: DataFrame) -> Model:
 
 def identify(model: Model, text: Column) -> Column:
     """Column (lang_pred string, score double, rejected boolean) of a text column."""
+
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predicted(texts: pd.Series) -> pd.DataFrame:
         names, scores, rejected = model.predict(texts.tolist())

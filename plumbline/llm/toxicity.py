@@ -1,10 +1,16 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A text is the set of its words. Confirmed toxic texts and unlabelled texts (bounded samples) give
-the words on which a linear classifier is trained with numpy: the risk is the class prior's share of
-the loss on positives, plus the unlabelled loss as negatives less that share of the positives'
-loss as negatives, with that difference held from going below zero. The class prior is the share of
-toxic rows among the learning labels, which must be labels of a fair sample of the documents.
+A text is the set of its words. How many texts hold each word is counted over all documents. Words
+count whose share among confirmed toxic texts differs from their share among all texts beyond what
+as many words differ by chance (a z-score over the root of twice the logarithm of their number). On
+them a linear classifier is trained with numpy: the risk is the class prior's share of the loss on
+positives, plus the unlabelled loss as negatives less that share of the positives' loss as
+negatives, with that difference held from going below zero. The class prior is the share of toxic
+rows among the learning labels, which must be labels of a fair sample of the documents.
+
+Bounded: the positives (POSITIVES different texts) and the unlabelled texts over which the risk's
+expectation is taken (UNLABELLED different texts, drawn by a hash of the text, so that copies of one
+text or rows of one id can't fill the sample). Everything else covers all rows.
 
 Defined results: a null or wordless text has the bias's score; labels that are null, repeated or of
 ids without a document are harmless (an id is toxic if any of its rows says so); without positives
@@ -15,18 +21,21 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import hash_share, small_batches
+from plumbline.llm.common import least_hashes, small_batches
 
-#: Most texts, in expectation, of either training sample; most words that the classifier weighs.
-POSITIVES, UNLABELLED, WORDS = 4000, 12000, 384
+#: Most texts of either training sample; least texts that hold a word which counts.
+POSITIVES, UNLABELLED, LEAST = 4000, 12000, 5
 BUCKETS, CACHE = 1 << 20, 300_000
+#: Chosen by threefold cross-validation over learning rows alone (see the README).
 EPOCHS, RATE, DECAY, BETA, GAMMA = 400, 0.05, 3e-5, 0.0, 1.0
 
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -55,13 +64,16 @@ class Model:
     bias: float
     prior: float
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def table(self) -> np.ndarray:
+        out = np.zeros(BUCKETS, np.float32)
+        out[list(self.weights)] = list(self.weights.values())
+        return out
+
+    def scores(self, texts: list[str | None], table: np.ndarray | None = None) -> np.ndarray:
         if not self.weights:
             return np.zeros(len(texts))
-        table = np.zeros(BUCKETS, np.float32)
-        table[list(self.weights)] = list(self.weights.values())
-        z = np.array([self.bias + float(table[word_set(t)].sum(dtype=np.float64)) for t in texts])
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        table = self.table() if table is None else table
+        return _sigmoid(np.array([self.bias + float(table[word_set(t)].sum(dtype=np.float64)) for t in texts]))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -96,16 +108,14 @@ def nn_pu(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float
     return w, b
 
 
-def _chosen(p: list[np.ndarray], u: list[np.ndarray]) -> np.ndarray:
-    """Buckets whose share among positives most surpasses their share among the unlabelled, by z-score, both ways."""
-    np_, nu = max(len(p), 1), max(len(u), 1)
-    cp = np.bincount(np.concatenate([*p, np.zeros(0, np.int32)]).astype(np.int64), minlength=BUCKETS) / np_
-    cu = np.bincount(np.concatenate([*u, np.zeros(0, np.int32)]).astype(np.int64), minlength=BUCKETS) / nu
-    seen = (cp * np_ + cu * nu) >= 5
-    both = (cp * np_ + cu * nu) / (np_ + nu)
-    z = np.where(seen, np.abs(cp - cu) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / np_ + 1 / nu)), 0)
-    order = np.argsort(-z, kind="stable")[:WORDS]
-    return np.sort(order[z[order] > 2])
+def _chosen(positives: list[np.ndarray], holds: np.ndarray, texts: int) -> np.ndarray:
+    """Buckets that tell positives from all texts; holds: by bucket, how many of the texts have it."""
+    n, both = len(positives), len(positives) + texts
+    found = np.bincount(np.concatenate([*positives, np.zeros(0, np.int32)]).astype(np.int64), minlength=BUCKETS)
+    share = (found + holds) / both
+    z = np.abs(found / n - holds / texts) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n + 1 / texts))
+    seen = found + holds >= LEAST
+    return np.flatnonzero(seen & (z > np.sqrt(2 * np.log(max(2, seen.sum())))))
 
 
 def _matrix(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
@@ -115,6 +125,26 @@ def _matrix(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
     return x
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, n = np.zeros(BUCKETS, np.int64), 0
+    for b in batches:
+        for text in b.column("text").to_pylist():
+            total[word_set(text)] += 1
+            n += 1
+    hit = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *hit.tolist()], pa.int32()), pa.array([n, *total[hit].tolist()], pa.int64())], ["bucket", "n"])
+
+
+def _holds(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How many texts have each bucket's words (those that at least LEAST have), and how many texts there are."""
+    each = docs.select("text").mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = each.where((F.col("bucket") < 0) | (F.col("n") >= LEAST)).toPandas()
+    out = np.zeros(BUCKETS, np.int64)
+    words = found[found["bucket"] >= 0]
+    out[words["bucket"]] = words["n"]
+    return out, int(found.loc[found["bucket"] < 0, "n"].sum())
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from docs (doc_id, text) and labels (doc_id, toxic); neither may hold rows kept for testing."""
     small_batches(docs.sparkSession)
@@ -129,28 +159,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def words(texts: pd.Series) -> pd.Series:
         return pd.Series([word_set(t).tobytes() for t in texts])
 
-    def sample(rows: DataFrame) -> list[np.ndarray]:
-        found = rows.select("doc_id", words("text").alias("words")).collect()
-        return [np.frombuffer(r.words, np.int32) for r in sorted(found, key=lambda r: (r.doc_id, bytes(r.words)))]
+    def sample(rows: DataFrame, most: int) -> list[np.ndarray]:
+        drawn = least_hashes(rows.select("text", F.xxhash64("text", F.lit(7)).alias("h")), "h", most)
+        found = drawn.select("h", words("text").alias("words")).collect()
+        return [np.frombuffer(r.words, np.int32) for r in sorted(found, key=lambda r: r.h)]
 
-    # At most about POSITIVES ids: their size is bounded.
-    chosen_ids = F.broadcast(marks.where("toxic = 1").where(hash_share(F.col("doc_id"), POSITIVES / toxic, 6)).select("doc_id"))
-    positives = sample(docs.join(chosen_ids, "doc_id", "left_semi"))
-    unlabelled = sample(docs.where(hash_share(F.col("doc_id"), UNLABELLED / max(1, docs.count()), 7)))
-    if not positives or not unlabelled:
+    # Labelled ids join on their key; only the drawn texts come here.
+    positives = sample(docs.join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), POSITIVES)
+    holds, texts = _holds(docs)
+    if not positives or not texts:
         return Model({}, 0.0, prior)
-    chosen = _chosen(positives, unlabelled)
+    chosen = _chosen(positives, holds, texts)
     if not len(chosen):
         return Model({}, 0.0, prior)
-    w, b = nn_pu(_matrix(positives, chosen), _matrix(unlabelled, chosen), prior)
+    w, b = nn_pu(_matrix(positives, chosen), _matrix(sample(docs, UNLABELLED), chosen), prior)
     return Model(dict(zip(chosen.tolist(), w.tolist(), strict=True)), float(b), prior)
 
 
 def score(model: Model, text: Column) -> Column:
     """Score of a text column, 0 to 1."""
+    state: dict[str, np.ndarray] = {}
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(texts.tolist()), dtype=np.float64)
+        if not state:
+            state["table"] = model.table()
+        return pd.Series(model.scores(texts.tolist(), state["table"]), dtype=np.float64)
 
     return scored(text.cast("string"))
