@@ -10,12 +10,13 @@ Roles and texts are escaped: a backslash is doubled, and after the first charact
 string (<|, <s>, </s>, [INST], [/INST], <<SYS>>, <</SYS>>) a backslash is put. That is undone from
 the left. The loss mask covers the text of assistant turns.
 
-Messages are folded each on its own, so a long log is not one group until it is rendered; a rendered
-conversation is one value and must fit in a row.
+A log's messages are folded each on its own; a conversation's messages meet when it is rendered, as a
+rendered conversation is one value and must fit in a row.
 
 Defined results: null texts and roles are empty; a null kind counts as "message"; events with the
 same place are ordered by kind, role and text; a message whose events are all cleared stays, empty;
-a null conv_id is a conversation of its own; other columns are ignored.
+rows without conv_id are one conversation; texts of any length are kept whole; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,11 +42,27 @@ def unescape(text: Column) -> Column:
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """Events of a table with a row a turn (conv_id, turn, role, text): rows with the same turn stay apart."""
+    """The log of a table with a row a turn (conv_id, turn, role, text), as a client streams it.
+
+    A turn opens as a draft. An assistant's streams one answer, is regenerated, and streams its text
+    in two halves; any other streams a word too many and is then edited to the first half of its
+    text, to which a delta adds the rest. Folding gives the turns back. Rows with the same turn stay
+    apart, in order of role and text; so a conversation's turns are numbered in one sorted group.
+    """
     place = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    message = F.row_number().over(place).cast("long")
-    return rows.select("conv_id", message.alias("seq"), message.alias("message"), F.lit("message").alias("kind"), "role", "text")
+    rows = rows.select("conv_id", F.row_number().over(place).cast("long").alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    nothing = F.lit(None).cast("string")
+
+    def log(*events: tuple[str, Column, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text")) for k, (kind, role, text) in enumerate(events)])
+
+    answer = log(("message", F.col("role"), F.lit("")), ("delta", nothing, F.lit("draft ")), ("regenerate", nothing, nothing), ("delta", nothing, first), ("delta", nothing, rest))
+    remark = log(("message", F.col("role"), F.lit("draft")), ("delta", nothing, F.lit(" word")), ("edit", nothing, first), ("delta", nothing, rest))
+    each = rows.select("conv_id", "message", F.inline(F.when(F.col("role") == ASSISTANT, answer).otherwise(remark)))
+    return each.select("conv_id", (F.col("message") * 8 + F.col("step")).alias("seq"), "message", "kind", "role", "text")
 
 
 def messages(events: DataFrame) -> DataFrame:
