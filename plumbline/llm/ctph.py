@@ -6,12 +6,15 @@ holds the signatures at that size and at its double ("size:signature:signature")
 compared where their block sizes agree or differ by a factor of two, by edit distance; signatures
 without a common run of letters are unlike (0).
 
-The next document of each is the one with the next smaller id. Texts are dealt by id ranges, and a
-range also gets a copy of the first document of the next range, so no order over all rows is needed.
+The next document of each is the one with the next smaller id. Texts are sorted over the cluster in
+descending order of ids, each task carries the one document whose next is to come from row to row,
+and the ends of the tasks are joined afterwards on the tasks' numbers: of every task its first and
+last document. Nothing else leaves a task, and nothing goes to the driver.
 
 Defined results: a null text is empty; the empty text's fingerprint is "4::" and is like itself
 only; a null id sorts after all others; rows with the same id follow each other by their text's
-hash; one row is its own next; other columns are ignored.
+hash, copies of a row by their place in the input, so that no id or row need stay in one task; one
+row is its own next; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,19 +24,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches
+from plumbline.llm.common import materialize, small_batches
 
 WINDOW, LETTERS, LEAST_BLOCK, SHARED = 7, 64, 4, 5
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 SLICE = 1 << 20
-#: Rows in an id range, in expectation.
-RANGE_ROWS, QUANTILES = 4096, 1000
-
 
 def _triggers(data: bytes, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Chunk ends at that block size (a power of two), and the rolling hash there."""
@@ -151,65 +151,74 @@ def edited(text: str, following: str) -> str:
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_LOWEST = -(1 << 63)
+#: What a task gives: results, and the texts of its first and last document.
+_PARTS = SCHEMA + ", part int, place string, text string"
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of all documents and their edited texts, with likenesses (see SCHEMA)."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("at"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total, bounds = texts.agg(F.count("*"), F.percentile_approx("at", [k / QUANTILES for k in range(1, QUANTILES)], 10_000)).first()
-    if not total:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    step = max(1, QUANTILES * RANGE_ROWS // total)
-    edges = np.unique(np.array(bounds[step - 1 :: step], np.int64))
-    # Beyond QUANTILES ranges, each is cut evenly by id.
-    parts = max(1, total // (RANGE_ROWS * QUANTILES))
-
-    def ranges(at: np.ndarray) -> np.ndarray:
-        """Number of the id range, in descending order of ids."""
-        k = np.searchsorted(edges, at, side="left")
-        if parts > 1:
-            lo = np.concatenate([edges[:1] - 1, edges])[k].astype(np.float64)
-            hi = np.concatenate([edges, edges[-1:] + 1])[k].astype(np.float64)
-            within = np.clip((at - lo) / np.maximum(hi - lo, 1) * parts, 0, parts - 1).astype(np.int64)
-        else:
-            within = 0
-        return (len(edges) - k) * parts + (parts - 1 - within)
-
-    @F.pandas_udf("long")
-    def place(at: pd.Series) -> pd.Series:
-        return pd.Series(ranges(at.to_numpy(np.int64)))
-
-    # One row a range; their number follows the cluster's partitions, not a range's content.
-    heads = sorted((r.part, r.head) for r in texts.select(place("at").alias("part"), "at").groupBy("part").agg(F.max("at").alias("head")).collect())
-    before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
-
-    @F.pandas_udf("array<long>")
-    def places(at: pd.Series) -> pd.Series:
-        own = ranges(at.to_numpy(np.int64)).tolist()
-        return pd.Series([[p, before[x]] if x in before else [p] for p, x in zip(own, at.tolist(), strict=True)])
-
-    dealt = texts.select("doc_id", "at", "text", F.posexplode(places("at")).alias("copy", "part"))
-    dealt = dealt.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "copy", F.desc("at"), F.xxhash64("text"))
-    return dealt.select("doc_id", "text", "part", "copy").mapInArrow(_compare, SCHEMA)
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("tie"))
+    order = [F.desc("doc_id"), F.xxhash64("text"), F.col("tie")]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    done = materialize(dealt.mapInArrow(_compare, _PARTS), "compared")
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return done.where("place = 'within'").select(names).unionByName(_across(done).select(names))
+
+
+def _across(done: DataFrame) -> DataFrame:
+    """The last document of each task with the first of the next task that has any; the last of all with the first of all."""
+    ends = done.where("place <> 'within'")
+    # A row for each task that has documents.
+    parts = ends.where("place = 'last'").select("part")
+    following = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(0)))).alias("to"))
+    last = ends.where("place = 'last'").join(following, "part").select("to", "doc_id", "text", "fingerprint")
+    first = ends.where("place = 'first'").select(F.col("part").alias("to"), F.col("text").alias("after"), F.col("fingerprint").alias("next"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [_row(*x) for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "fingerprint", "after", "next")), strict=True)]
+            yield _table(rows, SCHEMA)
+
+    return last.join(first, "to").select("doc_id", "text", "fingerprint", "after", "next").mapInArrow(joined, SCHEMA)
+
+
+def _row(doc_id: int | None, text: str, own: str, after: str, following: str) -> tuple:
+    """A result but for its likenesses, and the next fingerprint."""
+    new = edited(text, after)
+    return (doc_id, len(text), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), own, fingerprint(new), following)
+
+
+def _table(rows: list[tuple], schema: str, **more: list) -> pa.RecordBatch:
+    near_edited = likeness([(r[3], r[4]) for r in rows])
+    near_next = likeness([(r[3], r[5]) for r in rows])
+    columns = [*([r[k] for r in rows] for k in range(5)), near_edited, near_next, *more.values()]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    waiting: tuple | None = None  # the row whose next is to come: id, text, part, fingerprint
+    part = TaskContext.get().partitionId()
+    waiting: tuple | None = None  # the document whose next is to come: id, text, fingerprint
+
+    def end(place: str, doc_id: int | None, text: str, own: str) -> pa.RecordBatch:
+        fields = [c.split()[0] for c in _PARTS.split(", ")]
+        values = {"doc_id": doc_id, "text": text, "fingerprint": own, "part": part, "place": place}
+        return pa.RecordBatch.from_pylist([{f: values.get(f) for f in fields}], schema)
+
+    schema = _table([], _PARTS, part=[], place=[], text=[]).schema
     for batch in batches:
-        rows: list[tuple] = []
-        for doc_id, text, part, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "copy")), strict=True):
-            if copy and (waiting is None or waiting[2] != part):
-                continue  # other rows of the same head
+        rows = []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             own = fingerprint(text)
             if waiting:
-                new = edited(waiting[1], text)
-                rows.append((waiting[0], len(waiting[1]), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), waiting[3], fingerprint(new), own))
-            waiting = None if copy else (doc_id, text, part, own)
-        near_edited = likeness([(r[3], r[4]) for r in rows])
-        near_next = likeness([(r[3], r[5]) for r in rows])
-        columns = [*([r[k] for r in rows] for k in range(5)), near_edited, near_next]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                rows.append(_row(*waiting, text, own))
+            else:
+                yield end("first", doc_id, text, own)
+            waiting = (doc_id, text, own)
+        yield _table(rows, _PARTS, part=[part] * len(rows), place=["within"] * len(rows), text=[None] * len(rows))
+    if waiting:
+        yield end("last", *waiting)

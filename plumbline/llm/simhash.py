@@ -8,8 +8,10 @@ two bits share one of them; so the keys (near codewords of one segment, codeword
 both orders of each pair of segments are enough to meet every such pair. The join is on those keys;
 each meeting is checked by the exact bit difference, and links make components.
 
-Equal fingerprints are one node, so copies make no pairs. The join's partitions are split by Spark
-where many different fingerprints share a key.
+Equal fingerprints are one node, so copies make no pairs. For components a family of near ones needn't
+make all its pairs: the nodes of a key are first checked against the least of them, and after that
+only nodes of a key that are still in different components meet. The joins' partitions are split by
+Spark where many different fingerprints share a key.
 
 Defined results: a null text is empty and, like any text without words, has fingerprint zero, which
 links like any other; a null id takes part through its fingerprint, and a group without any id has a
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, small_batches
+from plumbline.llm.common import discard, materialize, small_batches
 from plumbline.llm.graph import components
 
 SEED, SHINGLE, MAX_BITS = 42, 4, 4
@@ -107,21 +109,48 @@ def near_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(u, v) for all nodes (id, fp; fp distinct) whose fingerprints differ in at most max_bits bits."""
-    if not 0 <= max_bits <= MAX_BITS:
-        raise ValueError(f"the keys are proven for at most {MAX_BITS} bits")
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """(key, id, fp): every key of each node (id, fp)."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows, keys = near_keys(b["fp"].to_numpy(np.int64).view(np.uint64))
             yield pd.DataFrame({"key": keys.astype(np.int32), "id": b["id"].to_numpy()[rows], "fp": b["fp"].to_numpy()[rows]})
 
-    # The shared table keeps the keys from being made once for each side.
-    k = nodes.mapInPandas(keyed, "key int, id long, fp long")
-    a, b = k.alias("a"), k.alias("b")
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
-    return a.hint("merge").join(b, near).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    # A small table of nodes grows many times over here, so it is dealt to all tasks.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.select("id", "fp").repartition(tasks, "id").mapInPandas(keyed, "key int, id long, fp long")
+
+
+def _near(a: str, b: str, max_bits: int) -> Column:
+    if not 0 <= max_bits <= MAX_BITS:
+        raise ValueError(f"the keys are proven for at most {MAX_BITS} bits")
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(u, v) for all nodes (id, fp; fp distinct) whose fingerprints differ in at most max_bits bits."""
+    k = _keyed(nodes)
+    met = k.alias("a").hint("merge").join(k.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _near("a.fp", "b.fp", max_bits))
+    return met.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+
+
+def linked(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(node, component) of all linked nodes (id, fp; fp distinct), without making all links of a family."""
+    k = materialize(_keyed(nodes), "keys")
+    least = k.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    stars = k.join(least, "key").select(F.col("c.id").alias("u"), F.col("id").alias("v"), "fp", F.col("c.fp").alias("to")).where((F.col("u") != F.col("v")) & _near("fp", "to", max_bits))
+    some = materialize(stars.select("u", "v").distinct(), "links")
+    first = components(some)
+    now = k.join(first.select(F.col("node").alias("id"), F.col("component").alias("in")), "id", "left").withColumn("in", F.coalesce("in", "id"))
+    apart = now.groupBy("key").agg((F.min("in") < F.max("in")).alias("apart")).where("apart").select("key")
+    left = materialize(now.join(apart, "key"), "apart")
+    met = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.in") != F.col("b.in")) & _near("a.fp", "b.fp", max_bits))
+    more = materialize(met.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), "links")
+    found = first if more.isEmpty() else components(some.union(more))
+    for used in (k, some, left, more):
+        discard(used)
+    return found
 
 
 def groups(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -129,7 +158,7 @@ def groups(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> D
     small_batches(docs.sparkSession)
     prints = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(F.col("text"), width).alias("fp")), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(nodes.select(F.col("fp").alias("id"), "fp"), max_bits)).withColumnRenamed("node", "fp")
+    found = linked(nodes.select(F.col("fp").alias("id"), "fp"), max_bits).withColumnRenamed("node", "fp")
     named = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
     return prints.join(named.join(ids, "group").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

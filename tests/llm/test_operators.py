@@ -484,11 +484,13 @@ def test_fingerprints_of_edits_stay_alike():
     assert ctph.fingerprint("") == "4::" and ctph.fingerprint("é" * 5000) == ctph.fingerprint("é" * 5000)
 
 
-def test_next_documents_across_ranges(spark, edges, none, monkeypatch):
+def test_next_documents_across_ranges(spark, edges, none):
     rng = random.Random(9)
     rows = [(k * 3, "".join(rng.choices("ab cd\né", k=rng.randint(0, 90)))) for k in range(500)]
-    monkeypatch.setattr(ctph, "RANGE_ROWS", 16)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")  # about 16 rows in a task
     got = {r.doc_id: r for r in ctph.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", usual)
     down = rows[::-1]
     assert len(got) == 500
     for (doc, text), (_, after) in zip(down, down[1:] + down[:1], strict=True):
