@@ -4,8 +4,8 @@ Vectors get one more component that makes their lengths equal, so the largest in
 least distance; then a random rotation spreads every vector's energy over all columns. Rows lie in
 the lists of k-means centroids (fitted on a bounded sample). A query goes to its nearest lists; how
 many hold the share REACH of the true neighbours is measured on trial queries, which are compared with
-every row, so it follows the data at any size. There candidates' partial distances grow by blocks of columns, and after each block a hypothesis test
-drops those whose distance, as the columns so far estimate it, lies beyond the query's bound with
+every row, so it follows the data at any size. There candidates' partial distances grow by blocks of
+columns, and after each block a hypothesis test drops those whose distance, as the columns so far estimate it, lies beyond the query's bound with
 significance; the rest get the exact inner product of the original vectors.
 
 Small lists share a bin, and a bin is cut into blocks of candidates and of queries, so a list that
@@ -13,8 +13,10 @@ holds a third of all rows is many tasks of bounded size. Each block returns a qu
 
 Defined results: vectors that are null, zero, of another than the commonest length, or hold null or
 non-finite components take no part, nor rows with a null id; equal scores go by the smaller id; a
-query whose id occurs several times is answered once for each distinct vector, by the smallest; with
-fewer candidates than k all are returned; other columns are ignored.
+query whose id occurs several times is answered once, by its least vector, and rows with its id are
+its own; rows that agree in id and vector are one candidate, rows that share an id otherwise are
+each one; with fewer candidates than k all are returned; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import hash_share, materialize
+from plumbline.llm.common import discard, least_hashes, materialize
 
-#: Vectors, in expectation, on which the centroids are fitted; rows a list aims at; most lists.
+#: Most different vectors on which the centroids are fitted; rows a list aims at; most lists.
 SAMPLE, LIST_ROWS, LISTS = 16_384, 256, 4096
-#: Share of the trial queries' true neighbours that the probed lists must hold, trial queries (in expectation), least number of probes.
+#: Share of the trial queries' true neighbours that the probed lists must hold, most trial queries, least number of probes.
 REACH, TRIALS, PROBES = 0.97, 256, 16
 #: Candidates and queries in one unit of work; columns in a block; significance of the test (a multiple of the estimate's standard error).
 UNIT_ROWS, UNIT_QUERIES, COLUMNS, SIGNIFICANCE = 4096, 4096, 16, 2.1
@@ -129,8 +131,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
     total, square = sound.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not total:
         return spark.createDataFrame([], empty)
-    found = sound.where(hash_share(F.col("id"), SAMPLE / total, 9)).select("id", "v").collect() or sound.select("id", "v").limit(SAMPLE).collect()
-    sample = np.array([r.v for r in sorted(found, key=lambda r: (r.id, r.v))])
+    found = least_hashes(sound.select("v", F.xxhash64("v", F.lit(9)).alias("h")), "h", SAMPLE).collect()
+    sample = np.array([r.v for r in sorted(found, key=lambda r: r.h)])
     own_index = Index(sample, float(np.sqrt(square)), total)
     index = spark.sparkContext.broadcast(pickle.dumps(own_index))
     state: dict = {}
@@ -153,6 +155,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
         full[b] = full.get(b, 0) + sizes[c]
     blocks = {b: -(-n // UNIT_ROWS) for b, n in full.items()}
     asked = materialize(sound.where("q").groupBy("id").agg(F.min("v").alias("v")), "asked")
+    discard(sound)
     usual = _probes(asked, listed, own_index, k)
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,6 +177,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
             yield pd.DataFrame(out, columns=["id", "v", "bin", "lists"])
 
     probed = materialize(asked.mapInPandas(probes, "id long, v array<double>, bin int, lists array<int>"), "probes")
+    discard(asked)
     crowds = {r["bin"]: r.n for r in probed.groupBy("bin").agg(F.count("*").alias("n")).collect()}
     parts = {b: max(1, -(-n // UNIT_QUERIES)) for b, n in crowds.items()}
 
@@ -193,7 +197,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
         if not len(candidates) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         ix = load()
-        candidates = candidates.sort_values("id")
+        # Copies of a row share their list and their unit.
+        candidates = candidates.sort_values("id", kind="stable")
+        candidates = candidates[~candidates.assign(v=candidates["v"].map(lambda v: v.tobytes())).duplicated(["id", "v"])]
         x, y = np.stack(candidates["v"].to_numpy()), np.stack(queries["v"].to_numpy())
         ids, own = candidates["id"].to_numpy(), queries["id"].to_numpy()
         got = scan(y, x, ids, ix.place(y, query=True), ix.place(x), own, candidates["list"].to_numpy(), queries["lists"].tolist(), k)
@@ -206,8 +212,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
 
 def _probes(asked: DataFrame, listed: DataFrame, index: Index, k: int) -> int:
     """How many lists hold the share REACH of the true k nearest rows of trial queries."""
-    n = asked.count()
-    trial = n > TRIALS and asked.where(hash_share(F.col("id"), TRIALS / n, 11)).collect() or asked.limit(TRIALS).collect()
+    trial = least_hashes(asked.select("id", "v", F.xxhash64("id", F.lit(11)).alias("h")), "h", TRIALS).collect()
     if not trial:
         return PROBES
     own, y = np.array([r.id for r in trial]), np.array([r.v for r in trial])

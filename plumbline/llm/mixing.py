@@ -18,13 +18,14 @@ rated each on its own; other columns are kept or ignored, whatever their names.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import discard, hash_share, materialize
+from plumbline.llm.common import hash_share, materialize
 
 BUCKETS = 4096
 #: Labelled documents, in expectation, on which the classifier is fitted.
@@ -94,18 +95,25 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Model:
 
 @dataclass
 class Rates:
-    """The steps of the projected gradient: a rate is their fold over a row's posteriors."""
+    """The steps of the projected gradient: a rate is their fold over a row's posteriors.
+
+    error: the largest miss of a domain's expected total, as a share of the whole; converged: it is
+    below CLOSE. Targets that can't be met (a least rate in the way) end without.
+    """
 
     least: float
     steps: list[np.ndarray] = field(default_factory=list)
     totals: np.ndarray | None = None
     targets: np.ndarray | None = None
+    error: float = 0.0
+    converged: bool = False
 
     def column(self) -> Column:
-        rate = F.lit(1.0)
-        for g in self.steps:
-            rate = F.greatest(F.lit(self.least), rate - sum((F.col(f"p_{k}") * F.lit(float(x)) for k, x in enumerate(g)), F.lit(0.0)))
-        return rate
+        if not self.steps:
+            return F.greatest(F.lit(self.least), F.lit(1.0))
+        n = len(self.steps[0])
+        steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in self.steps])
+        return F.aggregate(steps, F.lit(1.0), lambda rate, g: F.greatest(F.lit(self.least), rate - sum((F.col(f"p_{k}") * g[k] for k in range(1, n)), F.col("p_0") * g[0])))
 
 
 def solve(rows: DataFrame, targets: list[float], least: float = 0.0, growth: float = 1.0) -> Rates:
@@ -133,7 +141,8 @@ def solve(rows: DataFrame, targets: list[float], least: float = 0.0, growth: flo
         rates.totals = totals
         miss = totals - rates.targets
         error = float(np.abs(miss).max() / max(total, 1.0))
-        if error < CLOSE or not total:
+        rates.error, rates.converged = error, error < CLOSE or not total
+        if rates.converged:
             break
         scale = max(scale / 2, 1 / 64) if error > last else min(1.0, scale * 1.5)
         last = error
@@ -152,22 +161,27 @@ def copies(rate: Column, key: Column) -> Column:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, growth: float = 1.0) -> DataFrame:
-    """(doc_id, tokens, p_<domain>..., rate, copies) of each row of docs (doc_id, text)."""
+    """(doc_id, tokens, p_<domain>..., rate, copies, target_error, converged) of each row of docs (doc_id, text)."""
     domains = sorted(targets)
     model = fit(docs, labelled, domains)
     rows = materialize(model.attach(docs.select("doc_id", F.col("text").alias("t")), "t").drop("t"), "posteriors")
     rates = solve(rows, [targets[d] for d in domains], least, growth)
     rated = rows.withColumn("rate", rates.column())
-    return rated.select("doc_id", "tokens", *[F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(domains)], "rate", copies(F.col("rate"), F.coalesce("doc_id", F.lit(0))).alias("copies"))
+    shown = [F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(domains)]
+    return rated.select("doc_id", "tokens", *shown, "rate", copies(F.col("rate"), F.coalesce("doc_id", F.lit(0))).alias("copies"), F.lit(rates.error).alias("target_error"), F.lit(rates.converged).alias("converged"))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, growth: float = 1.0) -> DataFrame:
-    """docs, each row as often as its copies say."""
+    """docs, each row as often as its copies say. Warns if the targets aren't met.
+
+    Rows are classified once: posteriors are written beside them, and the rounds read those columns only.
+    """
     domains = sorted(targets)
     model = fit(docs, labelled, domains)
-    rows = materialize(model.attach(docs.select(F.col("text").alias("t")), "t").drop("t"), "posteriors")
-    rates = solve(rows, [targets[d] for d in domains], least, growth)
-    discard(rows)
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("t"))
-    rated = model.attach(whole, "t").select("row", copies(rates.column(), F.coalesce(F.col("row.doc_id"), F.lit(0))).alias("n"))
+    rows = materialize(model.attach(whole, "t").drop("t"), "posteriors")
+    rates = solve(rows.drop("row"), [targets[d] for d in domains], least, growth)
+    if not rates.converged:
+        warnings.warn(f"mixing targets are missed by up to {rates.error:.6f} of all tokens", stacklevel=2)
+    rated = rows.select("row", copies(rates.column(), F.coalesce(F.col("row.doc_id"), F.lit(0))).alias("n"))
     return rated.select("row", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).select("row.*")

@@ -2,11 +2,14 @@
 
 Each document's hashed byte n-gram vector is projected to a few dimensions, the point's Hilbert
 key is the sort key of a range partitioning, and each range is filled into sequences in key order,
-so that a sequence holds neighbouring documents. One shuffle moves the texts; the tokens never
-move. Only the last sequence of a range can be short.
-
-Defined results: a null text counts as empty (one piece with the end id); repeated rows are packed
-each on its own; an empty table gives no rows; other columns are ignored.
+so that a sequence holds neighbouring documents. The ranges hold equal bytes, as far as a sample of
+keys tells; a key that fills several ranges (many equal texts) is dealt to all of them in turn,
+which keeps the order. One shuffle moves the texts; the tokens never move. Only the last sequence
+of a range can be short.
+
+Defined results: a null text counts as empty (one piece with the end id); a null id is kept;
+repeated rows are packed each on its own; equal keys go by id and text; texts of any length are
+packed whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import small_batches
 
 BUCKETS, DIMS, BITS, BLOCK = 2048, 3, 10, 1 << 20
+#: Sampled keys for each range, in expectation, from which the ranges' ends are told.
+SAMPLED = 64
 
 #: Piece rows of a packing.
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -144,21 +149,47 @@ def _fill(batches: Iterator[pa.RecordBatch], vocabulary: str, length: int, end_i
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), names)
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0) -> DataFrame:
-    """Pieces of all documents (doc_id, text) in sequences of at most length tokens.
+def _ends(texts: DataFrame, tasks: int) -> np.ndarray:
+    """Keys at which tasks ranges of equal bytes end, all but the last; from a sample, of which SAMPLED keys a range come here."""
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(own), pa.int64()), pa.array([len(t or "") + 16 for t in own], pa.int64())], ["curve", "size"])
+
+    share = SAMPLED * tasks / max(1, texts.count())
+    some = texts.sample(share, 1) if share < 1 else texts
+    found = some.select("text").mapInArrow(weighed, "curve long, size long").toPandas().sort_values("curve")
+    if not len(found):
+        return np.zeros(0, np.int64)
+    upto = found["size"].cumsum().to_numpy()
+    return found["curve"].to_numpy()[np.searchsorted(upto, upto[-1] * np.arange(1, tasks) / tasks)]
 
-    A hot key (many equal texts) is cut further by doc_id, so no range must hold it whole.
-    """
-    small_batches(docs.sparkSession)
+
+def _ranges(keys: np.ndarray, ends: np.ndarray, seen: int) -> np.ndarray:
+    """The range of each key; a key that ends ranges goes to all that may hold it in turn."""
+    first, last = np.searchsorted(ends, keys, "left"), np.searchsorted(ends, keys, "right")
+    return first + (seen + np.arange(len(keys))) % (last - first + 1)
+
+
+def pack(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0) -> DataFrame:
+    """Pieces of all documents (doc_id, text) in sequences of at most length tokens."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ends = _ends(texts, tasks)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for b in batches:
             keys = curve_keys(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(keys, pa.int64())], ["doc_id", "text", "curve"])
+            ranges = _ranges(keys, ends, seen)
+            seen += len(keys)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(keys, pa.int64()), pa.array(ranges, pa.int32())], ["doc_id", "text", "curve", "part"])
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _fill(batches, vocabulary, length, end_id)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    along = texts.mapInArrow(keyed, "doc_id long, text string, curve long")
-    return along.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", F.crc32(F.col("text").cast("binary"))).mapInArrow(filled, SCHEMA)
+    along = texts.mapInArrow(keyed, "doc_id long, text string, curve long, part int").repartitionById(tasks, "part")
+    return along.sortWithinPartitions("curve", "doc_id", F.crc32(F.col("text").cast("binary"))).select("doc_id", "text").mapInArrow(filled, SCHEMA)
