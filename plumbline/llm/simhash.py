@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import discard, materialize, small_batches
@@ -170,7 +170,6 @@ def hexadecimal(fp: Column) -> Column:
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """docs with one row of each group: the one whose id is its component's; rows without id go."""
-    kept = groups(docs, width, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long") == kept["__keep"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return rows.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*docs.columns)
+    kept = groups(docs, width, max_bits).where("doc_id = component_id").select("doc_id").distinct()
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("told"), F.struct(*docs.columns).alias("row")).where("doc_id is not null")
+    return whole.groupBy("doc_id").agg(F.min_by("row", "told").alias("row")).join(kept, "doc_id", "left_semi").select("row.*")

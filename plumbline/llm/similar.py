@@ -24,7 +24,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import discard, materialize, small_batches
@@ -201,6 +201,8 @@ def groups(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies."""
     kept = groups(docs).groupBy("group").agg(F.min(F.struct(*ROW)).alias("row")).select("row.*")
-    order = Window.partitionBy(*ROW).orderBy(F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
-    rows = _named(docs).withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    whole = _named(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    # Copies combine before the shuffle, so a group of any size is one row of each task.
+    told = F.xxhash64(*[F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind])
+    one = whole.groupBy(*ROW).agg(F.min_by("row", told).alias("row"))
+    return one.join(kept, ROW, "left_semi").select("row.*")
