@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import LEXICONS, POS, STYLE
 
-SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-ZÀ-ÝΑ-Ω])"
+#: One character of white space, and one end of a line, of any script.
+WHITE = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
+LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+SENTENCE_BREAK = r"(?<=[.!?])" + WHITE + r"+(?=[A-ZÀ-ÝΑ-Ω])"
 TOKEN = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
 NOT_BEFORE, NOT_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
@@ -27,6 +30,16 @@ def by_file_lang(lang: Column, make, missing) -> Column:
     return F.when(lang == "en", make("en")).when(lang == "it", make("it")).otherwise(missing)
 
 
+def strip(x: Column) -> Column:
+    """Text without white space at both ends."""
+    return F.regexp_replace(x, rf"\A{WHITE}+|{WHITE}+\z", "")
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lexicon(lang: Column, name: str) -> Column:
     """Array of a file lexicon's terms."""
     return by_file_lang(lang, lambda k: F.array(*[F.lit(t) for t in LEXICONS[k][name]]), F.array().cast("array<string>"))
@@ -34,7 +47,7 @@ def lexicon(lang: Column, name: str) -> Column:
 
 def sentences(text: Column) -> Column:
     """Array of sentences; blank ones are left out."""
-    return F.filter(F.split(text, SENTENCE_BREAK), lambda s: F.trim(s) != "")
+    return F.filter(F.split(text, SENTENCE_BREAK), lambda s: strip(s) != "")
 
 
 def tokens(text: Column) -> Column:

@@ -106,9 +106,13 @@ def test_clauses_follow_the_tree(spark):
     assert (m.subordination, m.depth) == (1.0, pytest.approx(13 / 9)) and m.dependency_length == pytest.approx((1 + 1 + 4 + 1 + 2 + 1 + 6) / 7)
 
 
-def test_spelling_and_cycles():
-    assert clauses.spell(["l'", "uomo", "(", "vero", ")", ",", "ride"]) == "l'uomo (vero), ride"
-    import numpy as np
-
-    assert len(clauses.ancestors(np.array([2, 1, 2]), np.zeros(3, bool))) == 3
-    assert list(clauses.depths(np.array([0, 1, 2, 3]))) == [0, 1, 2, 3]
+def test_spelling_and_cycles(spark):
+    from pyspark.sql import functions as F
+
+    tokens = F.array(*[F.lit(t) for t in ["l'", "uomo", "(", "vero", ")", ",", "ride"]])
+    assert spark.range(1).select(clauses.spell(tokens).alias("t")).first().t == "l'uomo (vero), ride"
+    trees = [([word("a", h, "dep", "NOUN", 0) for h in heads],) for heads in ([2, 1, 2], [0, 1, 2, 3])]
+    rows = spark.createDataFrame(trees, f"words {clauses.WORDS}")
+    got = rows.select(F.size(clauses.owners(F.col("words"), F.array().cast("array<int>"))).alias("n"), clauses.depths(F.col("words")).alias("d")).collect()
+    assert got[0].n == 3
+    assert list(got[1].d) == [0, 1, 2, 3]

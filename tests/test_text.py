@@ -49,7 +49,8 @@ def test_lines_are_trimmed_of_blanks_alone(spark):
 def test_packer_keeps_its_units(spark):
     rng = random.Random(1)
     units = [("p", "x" * rng.randint(1, 90)) for _ in range(200)]
-    out = chunk.pack(units, 100, 20, 120)
+    one = spark.createDataFrame([(units,)], "u array<struct<loc string, text string>>").select(chunk.pack(F.col("u"), 100, 20, 120).alias("p")).first()
+    out = [(c.loc, c.text) for c in one.p]
     assert " ".join(t for _, t in out) == " ".join(u for _, u in units)
     assert all(len(t) <= 120 for _, t in out[:-1])
     got = chunk.chunks(docs(spark, "# A\nalpha. Beta\n# B\ngamma", None)).collect()
