@@ -142,13 +142,13 @@ def linked(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     stars = k.join(least, "key").select(F.col("c.id").alias("u"), F.col("id").alias("v"), "fp", F.col("c.fp").alias("to")).where((F.col("u") != F.col("v")) & _near("fp", "to", max_bits))
     some = materialize(stars.select("u", "v").distinct(), "links")
     first = components(some)
-    now = k.join(first.select(F.col("node").alias("id"), F.col("component").alias("in")), "id", "left").withColumn("in", F.coalesce("in", "id"))
-    apart = now.groupBy("key").agg((F.min("in") < F.max("in")).alias("apart")).where("apart").select("key")
-    left = materialize(now.join(apart, "key"), "apart")
-    met = left.alias("a").join(left.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.in") != F.col("b.in")) & _near("a.fp", "b.fp", max_bits))
+    told = first.select(F.col("node").alias("id"), F.col("component").alias("in"))
+    now = materialize(k.join(told, "id", "left").withColumn("in", F.coalesce("in", "id")), "apart")
+    # Only what links different components comes out of the join.
+    met = now.alias("a").hint("merge").join(now.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.in") != F.col("b.in")) & _near("a.fp", "b.fp", max_bits))
     more = materialize(met.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), "links")
     found = first if more.isEmpty() else components(some.union(more))
-    for used in (k, some, left, more):
+    for used in (k, some, now, more):
         discard(used)
     return found
 
