@@ -164,8 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         found = drawn.select("h", words("text").alias("words")).collect()
         return [np.frombuffer(r.words, np.int32) for r in sorted(found, key=lambda r: r.h)]
 
-    # Labelled ids join on their key; only the drawn texts come here.
-    positives = sample(docs.join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), POSITIVES)
+    # At most twice POSITIVES ids are broadcast, so texts needn't move to meet their labels.
+    ids = least_hashes(marks.where("toxic = 1").select("doc_id", F.xxhash64("doc_id", F.lit(6)).alias("h")), "h", 2 * POSITIVES)
+    positives = sample(docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi"), POSITIVES)
     holds, texts = _holds(docs)
     if not positives or not texts:
         return Model({}, 0.0, prior)
