@@ -18,6 +18,7 @@ WHITE = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 SENTENCE_BREAK = r"(?<=[.!?])" + WHITE + r"+(?=[A-ZÀ-ÝΑ-Ω])"
 TOKEN = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
+_SPANS = "array<struct<{} string, start int, end int>>"
 NOT_BEFORE, NOT_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
@@ -50,6 +51,39 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, SENTENCE_BREAK), lambda s: strip(s) != "")
 
 
+def spans(text: Column) -> Column:
+    """Array of (text, start, end; from 0, in code points) of the sentences that sentences() gives."""
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS.format("text")).alias("out"))
+
+    def walk(s: Column) -> Column:
+        def step(a: Column, part: Column) -> Column:
+            end = a["at"] + F.length(part["part"])
+            own = F.array(F.struct(part["part"].alias("text"), a["at"].alias("start"), end.alias("end")))
+            return F.struct((end + F.coalesce(F.length(part["gap"]), F.lit(0))).alias("at"), F.concat(a["out"], own).alias("out"))
+
+        return F.aggregate(F.arrays_zip(s["part"].alias("part"), s["gap"].alias("gap")), first, step, lambda a: a["out"])
+
+    cut = F.struct(F.split(text, SENTENCE_BREAK).alias("part"), F.regexp_extract_all(text, F.lit(SENTENCE_BREAK), F.lit(0)).alias("gap"))
+    return F.filter(let(cut, walk), lambda s: strip(s["text"]) != "")
+
+
+def located(text: Column, pattern: str) -> Column:
+    """Array of (match, start, end; from 0, in code points) of all matches of a pattern; what lies between them gives the places."""
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS.format("match")).alias("out"))
+
+    def walk(s: Column) -> Column:
+        def step(a: Column, m: Column) -> Column:
+            start = a["at"] + F.length(m["before"])
+            end = start + F.length(m["match"])
+            return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(m["match"].alias("match"), start.alias("start"), end.alias("end")))).alias("out"))
+
+        pairs = F.arrays_zip(F.slice(s["before"], 1, F.size(s["match"])).alias("before"), s["match"].alias("match"))
+        return F.aggregate(pairs, first, step, lambda a: a["out"])
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(found, lambda m: F.when(F.size(m) > 0, let(F.struct(F.split(text, pattern).alias("before"), m.alias("match")), walk)).otherwise(F.array().cast(_SPANS.format("match"))))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
 

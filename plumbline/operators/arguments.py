@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import CONCLUSIVE, EXPLICATIVE, QUANTIFIERS
-from plumbline.functions.text import by_lang, contains_any, count_phrases, lexicon, sentences
+from plumbline.functions.text import WHITE, by_lang, contains_any, count_phrases, lexicon, sentences, strip
 from plumbline.operators.profile import explicit_premises
 
-SEQUITUR, MIN_WORDS, CIRCLE, RESTATED = 0.12, 5, 0.70, 0.5
+SEQUITUR, MIN_WORDS = 0.12, 5
 
 
 def kind(text: Column, lang: Column) -> Column:
@@ -40,25 +40,26 @@ def thesis_index(sents: Column, lang: Column) -> Column:
 
 def inventory(notes: DataFrame) -> DataFrame:
     """(doc_id, arg_idx, text, thesis, kind): all sentences but the thesis support it."""
-    rows = notes.select("doc_id", "lang", "sents", thesis_index(F.col("sents"), F.col("lang")).alias("t")).where("t is not null")
-    each = rows.select("doc_id", "lang", "t", F.get("sents", F.col("t")).alias("thesis"), F.posexplode("sents").alias("arg_idx", "text")).where("arg_idx <> t")
+    units = notes.select("doc_id", "lang", F.transform("sents", strip).alias("units"))
+    rows = units.withColumn("t", thesis_index(F.col("units"), F.col("lang"))).where("t is not null")
+    each = rows.select("doc_id", "lang", "t", F.get("units", F.col("t")).alias("thesis"), F.posexplode("units").alias("arg_idx", "text")).where("arg_idx <> t")
     return each.select("doc_id", "arg_idx", "text", "thesis", kind(F.col("text"), F.col("lang")).alias("kind"))
 
 
 def objective(text: Column) -> Column:
     """The first sentence of more than eight characters, cut to 200: what a text is about when no model says it."""
-    return F.substring(F.get(F.filter(F.transform(sentences(text), lambda x: F.trim(x)), lambda s: F.length(s) > 8), F.lit(0)), 1, 200)
+    return F.substring(F.get(F.filter(F.transform(sentences(text), strip), lambda s: F.length(s) > 8), F.lit(0)), 1, 200)
 
 
 def suspect(candidate: Column, lang: Column) -> Column:
     """Whether a premise holds a universal quantifier (as a token) or a booster (as a phrase)."""
-    words = F.split(F.trim(F.lower(candidate)), r"\s+")
+    words = F.split(strip(F.lower(candidate)), f"{WHITE}+")
     return F.arrays_overlap(words, by_lang(lang, lambda k: F.array(*[F.lit(q) for q in QUANTIFIERS[k]]))) | (count_phrases(candidate, lang, "booster") > 0)
 
 
 def context(text: Column, premises: Column) -> Column:
     """An argument and its different premises, joined and cut to what a model reads."""
-    parts = F.filter(F.transform(F.array_distinct(F.concat(F.array(text), premises)), lambda x: F.trim(x)), lambda p: p != "")
+    parts = F.filter(F.array_distinct(F.transform(F.concat(F.array(text), premises), strip)), lambda p: p != "")
     return F.substring(F.array_join(parts, " "), 1, 1500)
 
 
@@ -89,31 +90,3 @@ def non_sequiturs(arguments: DataFrame, entails: Column, necessity: Column) -> D
     hits = hits.withColumn("severity", 1 - F.col("p")).withColumn("confidence", confidence).withColumn("attack", F.when(necessity, "undercut").otherwise("undermine"))
     worst = Window.partitionBy("doc_id", F.substring("thesis", 1, 200)).orderBy(F.desc("severity"), "arg_idx")
     return hits.withColumn("nth", F.row_number().over(worst)).where("nth = 1").drop("nth", "p")
-
-
-def circles(pairs: DataFrame, forward: Column, backward: Column) -> DataFrame:
-    """Most severe circle of each thesis from rows (doc_id, arg_idx, pos, premise, thesis): mutual entailment of texts that don't restate each other."""
-    live = pairs.where((F.col("premise") != F.col("thesis")) & ~F.lower("premise").rlike(r"^\s*(if|se|qualora)\b") & (content_jaccard(F.col("premise"), F.col("thesis")) <= RESTATED))
-    hit = live.withColumn("severity", F.least(forward, backward)).where(F.col("severity") >= CIRCLE)
-    first = hit.groupBy("doc_id", "arg_idx").agg(F.min_by(F.struct("thesis", "premise", "severity"), "pos").alias("h"))
-    return first.groupBy("doc_id", "h.thesis").agg(F.max_by(F.struct("h.premise", "h.severity"), "h.severity").alias("b")).select("doc_id", "thesis", "b.premise", "b.severity")
-
-
-def verifications(arguments: DataFrame, findings: DataFrame, worst: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, arg_idx, valid, fallacy): an argument that begins within a finding's span, or up to 200 characters after it, or that doesn't follow, isn't valid.
-
-    Interval join within a document: rows meet on doc_id only, after short keys have replaced texts.
-    """
-    at = arguments.join(texts, "doc_id").select("doc_id", "arg_idx", F.substring(F.col("text"), 1, 200).alias("key"), (F.expr("instr(lower(doc_text), lower(substring(text, 1, 60)))") - 1).alias("at"))
-    spans = findings.select("doc_id", "kind", "start", "end")
-    near = at.join(spans, "doc_id", "left").where(F.col("start").isNull() | ((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end") + 200)))
-    first = near.groupBy("doc_id", "arg_idx").agg(F.min_by("kind", F.struct("start", "kind")).alias("fallacy"))
-    bad = worst.select("doc_id", F.substring("text", 1, 200).alias("key")).distinct().withColumn("bad", F.lit(True))
-    out = at.select("doc_id", "arg_idx", "key").join(first, ["doc_id", "arg_idx"], "left").join(bad, ["doc_id", "key"], "left")
-    return out.select("doc_id", "arg_idx", (F.col("fallacy").isNull() & F.col("bad").isNull()).alias("valid"), "fallacy")
-
-
-def objective_integrity(source: Column, latent: Column, forward: Column, backward: Column, contradicts: Column, disperses: Column) -> Column:
-    """Null where nothing was measured; 1 without a latent objective or where either entails the other."""
-    measured = F.when(F.greatest(forward, backward) >= 0.12, 1.0).when((forward == 0) & (backward == 0), F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.when(contradicts >= disperses, 1 - contradicts).otherwise(1 - 0.4 * disperses)))
-    return F.when(source != "llm", F.lit(None)).when(F.coalesce(F.trim(latent), F.lit("")) == "", 1.0).otherwise(measured)

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import PARATEXT
+from plumbline.functions.text import LINE_BREAK, WHITE, let, strip
 
 FRONT = r"(?s)^---\s*\n(.*?)\n---\s*\n"
 COMMENT = r"(?s)<!--.*?-->"
-NOTE = r"^\s*\d{1,3}\s*$"
+NOTE = r"^\d{1,3}$"
 LEAST_FREQUENCY, HEADER_CHARS, HEAD = 3, 80, 160
 
 
@@ -23,12 +24,13 @@ def front_language(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, "\n")
+    """Lines; what follows a break at the end is none."""
+    return let(F.split(text, LINE_BREAK), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
 def recurring_lines(text: Column, least: int = LEAST_FREQUENCY) -> Column:
     """Sorted short lines that occur at least so often and end no sentence."""
-    trimmed = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) < HEADER_CHARS) & ~x.rlike("[.!?]$"))
+    trimmed = F.filter(F.transform(lines(text), strip), lambda x: (x != "") & (F.length(x) < HEADER_CHARS) & ~x.rlike("[.!?]$"))
     # Sorted, equal lines stand together: a line recurs if it equals the one least - 1 places on.
     ordered = F.sort_array(trimmed)
     hits = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(ordered) - (least - 1), F.lit(1))), lambda i: F.get(ordered, i - 1) == F.get(ordered, i + (least - 2))), lambda i: F.get(ordered, i - 1))
@@ -36,19 +38,18 @@ def recurring_lines(text: Column, least: int = LEAST_FREQUENCY) -> Column:
 
 
 def reflow(text: Column) -> Column:
-    blocks = F.transform(F.split(text, r"\n\s*\n"), lambda b: F.array_join(F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: x != ""), " "))
-    return F.array_join(F.transform(F.filter(blocks, lambda b: b != ""), lambda b: F.regexp_replace(b, r"\s{2,}", " ")), "\n\n")
+    blocks = F.transform(F.split(text, rf"\n{WHITE}*\n"), lambda b: F.array_join(F.filter(F.transform(F.split(b, LINE_BREAK), strip), lambda x: x != ""), " "))
+    return F.array_join(F.transform(F.filter(blocks, lambda b: b != ""), lambda b: F.regexp_replace(b, f"{WHITE}{{2,}}", " ")), "\n\n")
 
 
 def clean(docs: DataFrame, reflowed: bool = True) -> DataFrame:
     """(doc_id, text, chars_before, chars_after, reduction_pct, front_lang, comments, frame_lines, headers)."""
     step = docs.select("doc_id", F.col("text").alias("raw"), F.regexp_replace("text", FRONT, "").alias("body"))
-    step = step.select("doc_id", "raw", F.regexp_count("body", F.lit(COMMENT)).alias("comments"), F.regexp_replace("body", COMMENT, "").alias("body"))
-    step = step.withColumn("recurring", recurring_lines(F.col("body")))
-    kept = F.filter(lines(F.col("body")), lambda x: ~F.array_contains(F.col("recurring"), F.trim(x)) & ~F.trim(x).rlike(NOTE))
-    step = step.withColumn("kept", kept)
+    # Lines are counted before comments go.
+    step = step.select("doc_id", "raw", F.regexp_count("body", F.lit(COMMENT)).alias("comments"), recurring_lines(F.col("body")).alias("recurring"), lines(F.regexp_replace("body", COMMENT, "")).alias("lines"))
+    step = step.withColumn("kept", F.filter("lines", lambda x: ~F.array_contains(F.col("recurring"), strip(x)) & ~strip(x).rlike(NOTE)))
     text = F.array_join("kept", "\n")
-    text = F.trim(F.regexp_replace(reflow(text) if reflowed else text, r"\n{3,}", "\n\n"))
+    text = strip(F.regexp_replace(reflow(text) if reflowed else text, r"\n{3,}", "\n\n"))
     out = step.withColumn("clean", text)
     before, after = F.length("raw"), F.length("clean")
     return out.select(
@@ -59,7 +60,7 @@ def clean(docs: DataFrame, reflowed: bool = True) -> DataFrame:
         F.round(F.when(before > 0, 100.0 * (1 - after / before)).otherwise(0.0), 1).alias("reduction_pct"),
         front_language(F.col("raw")).alias("front_lang"),
         F.col("comments").cast("long").alias("comments"),
-        (F.size(lines(F.col("body"))) - F.size("kept")).cast("long").alias("frame_lines"),
+        (F.size("lines") - F.size("kept")).cast("long").alias("frame_lines"),
         F.slice("recurring", 1, 10).alias("headers"),
     )
 
@@ -69,12 +70,12 @@ def clean_chunk(text: Column, recurring: Column, reflowed: bool = True) -> Colum
 
     Only whole lines go: a recurring line that packing has joined to the sentence before it stays.
     """
-    kept = F.array_join(F.filter(lines(F.regexp_replace(text, COMMENT, "")), lambda x: ~F.array_contains(recurring, F.trim(x)) & ~F.trim(x).rlike(NOTE)), "\n")
-    return F.trim(F.regexp_replace(reflow(kept) if reflowed else kept, r"\n{3,}", "\n\n"))
+    kept = F.array_join(F.filter(lines(F.regexp_replace(text, COMMENT, "")), lambda x: ~F.array_contains(recurring, strip(x)) & ~strip(x).rlike(NOTE)), "\n")
+    return strip(F.regexp_replace(reflow(kept) if reflowed else kept, r"\n{3,}", "\n\n"))
 
 
 def paratext(title: Column, text: Column) -> Column:
     """The first marker that the title holds or the text begins with, or null."""
-    head = F.substring(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), 1, HEAD)
+    head = F.substring(strip(F.regexp_replace(F.lower(text), f"{WHITE}+", " ")), 1, HEAD)
     marks = F.array(*[F.lit(m) for m in PARATEXT])
     return F.get(F.filter(marks, lambda m: F.contains(F.lower(F.coalesce(title, F.lit(""))), m) | F.startswith(head, m)), F.lit(0))

@@ -14,7 +14,7 @@ from plumbline.operators import chunk, clean, score
 
 def cleaned_chunks(docs: DataFrame, target: int = chunk.TARGET, least: int = chunk.LEAST, most: int = chunk.MOST) -> DataFrame:
     """(doc_id, lang, chunk_id, title, loc, chars, text, reason): reason names the paratext that a chunk is, or is null."""
-    base = docs.select("doc_id", "lang", F.coalesce(clean.recurring_lines(F.regexp_replace("text", clean.COMMENT, "")), F.array().cast("array<string>")).alias("recurring"), "text")
+    base = docs.select("doc_id", "lang", F.coalesce(clean.recurring_lines(F.col("text")), F.array().cast("array<string>")).alias("recurring"), "text")
     cut = chunk.chunks(base, target, least, most, keep=("doc_id", "lang", "recurring"))
     return cut.select("doc_id", "lang", "chunk_id", "title", "loc", F.length("text").cast("long").alias("chars"), clean.clean_chunk(F.col("text"), F.col("recurring")).alias("text"), clean.paratext(F.col("title"), F.col("text")).alias("reason"))
 

@@ -12,10 +12,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 384
+#: Rows of a block of cosines; rows of a block of a group; least sentences that have topics; context of a candidate premise.
+BLOCK, GROUP_BLOCK, TOPIC_LEAST, CONTEXT, CONTEXT_CHARS = 512, 2048, 20, 5, 1500
 _BUCKET: dict[str, int] = {}
 
 
@@ -51,11 +53,17 @@ def sentence_buckets(sents: DataFrame) -> DataFrame:
     return each.withColumn("bucket", bucket_column(F.col("w"))).groupBy("doc_id", "sent_idx", "bucket").agg(F.sum("n").alias("n"))
 
 
-def coherence_values(sents: list[str]) -> tuple[float, float, float, float]:
-    """Local mean, global mean, drift, thematic score of a document's sentences."""
+def vectors(sents: list[str], given: list | None = None) -> np.ndarray:
+    """Unit vectors of sentences, one a row: those given, else hashed."""
+    x = np.array([encode(s) for s in sents]) if given is None else np.array([np.asarray(v, float) for v in given])
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def coherence_values(sents: list[str], given: list | None = None, topics: int = 0) -> tuple[float, float, float, float]:
+    """Local mean, global mean, drift, thematic score of a document's sentences (or their vectors, and how many topics they have)."""
     if not len(sents):
         return 1.0, 1.0, 0.0, 1.0
-    x = np.array([encode(s) for s in sents])
+    x = vectors(sents, given)
     n = len(x)
     local = float((x[1:] * x[:-1]).sum(axis=1).mean()) if n > 1 else 1.0
     total = x.sum(axis=0)
@@ -68,38 +76,111 @@ def coherence_values(sents: list[str]) -> tuple[float, float, float, float]:
         centre = total / n
         lengths = np.linalg.norm(means, axis=1) * np.linalg.norm(centre)
         drift = float(np.std(means @ centre / np.maximum(lengths, 1e-12)))
-    return local, overall, drift, 0.6 * (1 - min(1.0, 3 * drift)) + 0.4
+    spread = 1.0 if topics <= 2 else max(0.0, 1 - 0.15 * (topics - 2))
+    return local, overall, drift, 0.6 * (1 - min(1.0, 3 * drift)) + 0.4 * spread
+
 
+def _columns(sents: Column, encode_all, topics=None) -> list[Column]:
+    """Sentences with their vectors and number of topics, null and 0 without a model. Fewer than TOPIC_LEAST sentences have none."""
+    given = encode_all(sents) if encode_all else F.lit(None).cast("array<array<double>>")
+    count = F.when(F.size(sents) >= TOPIC_LEAST, topics(sents)).otherwise(0) if topics else F.lit(0)
+    return [sents, given, F.coalesce(count, F.lit(0)).cast("int")]
 
-def coherence(sents: Column) -> Column:
-    """Column (local, overall, drift, thematic) of an array of sentences."""
+
+def coherence(sents: Column, encode_all=None, topics=None) -> Column:
+    """Column (local, overall, drift, thematic) of an array of sentences; encode_all and topics: column functions of models."""
 
     @F.pandas_udf("local double, overall double, drift double, thematic double")
-    def measured(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([coherence_values(list(s) if s is not None else []) for s in column], columns=["local", "overall", "drift", "thematic"])
+    def measured(column: pd.Series, given: pd.Series, count: pd.Series) -> pd.DataFrame:
+        rows = [coherence_values(list(s) if s is not None else [], v, int(n)) for s, v, n in zip(column, given, count, strict=True)]
+        return pd.DataFrame(rows, columns=["local", "overall", "drift", "thematic"])
+
+    return measured(*_columns(sents, encode_all, topics))
 
-    return measured(sents)
 
+def nearest(x: np.ndarray, y: np.ndarray, top: int, skip_own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x the places and cosines of its top rows of y, the nearest first, ties by place; in blocks of rows."""
+    top = min(top, len(y))
+    places, cosines = np.zeros((len(x), top), int), np.zeros((len(x), top))
+    for at in range(0, len(x), BLOCK):
+        sim = x[at : at + BLOCK] @ y.T
+        if skip_own:
+            sim[np.arange(len(sim)), at + np.arange(len(sim))] = -1.0
+        order = np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :top]
+        places[at : at + BLOCK], cosines[at : at + BLOCK] = order, np.take_along_axis(sim, order, 1)
+    return places, cosines
 
-def premises_used(sents: list[str], least: float = 0.4, top: int = 3) -> list[list[int]]:
+
+def premises_used(sents: list[str], least: float = 0.4, top: int = 3, given: list | None = None) -> list[list[int]]:
     """For each sentence, the positions of the most similar others above the least cosine."""
     if len(sents) < 2:
         return [[] for _ in sents]
-    x = np.array([encode(s) for s in sents])
-    out = []
-    for k in range(len(x)):
-        sim = x @ x[k]
-        sim[k] = -1.0
-        near = np.lexsort((np.arange(len(sim)), -sim))[:top]
-        out.append([int(j) for j in near if sim[j] > least])
-    return out
+    x = vectors(sents, given)
+    places, cosines = nearest(x, x, top, True)
+    return [[int(j) for j, c in zip(p, s, strict=True) if c > least] for p, s in zip(places, cosines, strict=True)]
 
 
-def used_premises(sents: Column) -> Column:
+def used_premises(sents: Column, encode_all=None) -> Column:
     """Column of arrays: for each sentence the positions of the premises it uses (premises_used)."""
 
     @F.pandas_udf("array<array<int>>")
-    def near(column: pd.Series) -> pd.Series:
-        return pd.Series([premises_used(list(s)) if s is not None else [] for s in column])
+    def near(column: pd.Series, given: pd.Series, _: pd.Series) -> pd.Series:
+        return pd.Series([premises_used(list(s), given=v) if s is not None else [] for s, v in zip(column, given, strict=True)])
+
+    return near(*_columns(sents, encode_all))
 
-    return near(sents)
+
+def context_values(asked: list[str], sents: list[str], own: list | None = None, given: list | None = None) -> list[tuple]:
+    """(best cosine with any sentence, the CONTEXT nearest sentences as one text of at most CONTEXT_CHARS) of each candidate."""
+    if not len(sents):
+        return [(None, "") for _ in asked]
+    places, cosines = nearest(vectors(asked, own), vectors(sents, given), CONTEXT, False) if len(asked) else ([], [])
+    return [(float(c[0]), " ".join(sents[j] for j in p)[:CONTEXT_CHARS]) for p, c in zip(places, cosines, strict=True)]
+
+
+def contexts(asked: Column, sents: Column, encode_all=None) -> Column:
+    """Array of (best, context) for candidates against sentences."""
+    none = F.lit(None).cast("array<array<double>>")
+
+    @F.pandas_udf("array<struct<best double, context string>>")
+    def found(a: pd.Series, s: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        rows = zip(a, s, x, y, strict=True)
+        return pd.Series([[{"best": b, "context": c} for b, c in context_values(list(p if p is not None else []), list(q if q is not None else []), u, v)] for p, q, u, v in rows])
+
+    return found(asked, sents, encode_all(asked) if encode_all else none, encode_all(sents) if encode_all else none)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Inner product of two arrays; the cosine of unit vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def top_neighbours(rows: DataFrame, key: str, vector: str, group: str, top: int = 3, least: float = 0.4) -> DataFrame:
+    """(group, key, rank, neighbour, cosine): the nearest other rows of a row's group above the least cosine, for groups of any size.
+
+    Groups are cut into blocks; each two blocks of a group are a unit of bounded size, whose best are merged.
+    """
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
+    base = rows.select(F.col(group).alias("g"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).join(sizes.withColumnRenamed(group, "g"), "g")
+    placed = base.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asks = placed.select("g", F.col("block").alias("i"), every.alias("j"), "k", "v")
+    gives = placed.select("g", every.alias("i"), F.col("block").alias("j"), "k", "v")
+    kind = dict(rows.dtypes)[group]
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"g": [], "k": [], "neighbour": [], "cosine": []})
+        b = b.sort_values("k")
+        x, y = (np.stack(d["v"].to_numpy()) for d in (a, b))
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+        out = []
+        for k, row in zip(a["k"], x, strict=True):
+            sim = y @ row
+            near = [j for j in np.argsort(-np.round(sim, 12), kind="stable")[: top + 1] if b["k"].iloc[j] != k and sim[j] > least][:top]
+            out += [(a["g"].iloc[0], k, b["k"].iloc[j], float(sim[j])) for j in near]
+        return pd.DataFrame(out, columns=["g", "k", "neighbour", "cosine"])
+
+    best = asks.groupBy("g", "i", "j").cogroup(gives.groupBy("g", "i", "j")).applyInPandas(meet, f"g {kind}, k long, neighbour long, cosine double")
+    order = Window.partitionBy("g", "k").orderBy(F.desc(F.round("cosine", 12)), "neighbour")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(F.col("g").alias(group), F.col("k").alias(key), "rank", "neighbour", "cosine")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import ERODES, WEIGHTS
 from plumbline.operators.inductive import health
+from plumbline.operators.score import scored
 
 COUNTED = [*ERODES, "hedging_excess"]
 
@@ -29,6 +30,17 @@ def text_features(scored: DataFrame, found: DataFrame) -> DataFrame:
     return scored.join(counts, "doc_id", "left").na.fill(0, zero)
 
 
+def analysed_features(analysed: DataFrame) -> DataFrame:
+    """text_features of analysed rows (score.analysis), without a join."""
+    sure = F.filter("found", lambda x: x["confirmed"])
+    rows = scored(analysed.withColumns({"n_findings": F.size("found").cast("long"), "n_confirmed": F.size(sure).cast("long"), "worst": F.array_max(F.transform(sure, lambda x: x["severity"]))}), "found", "n_findings", "n_confirmed", "worst")
+    return rows.select("*", *[_count_of(k) for k in COUNTED]).drop("found")
+
+
+def _count_of(kind: str):
+    return F.size(F.filter("found", lambda x: F.substring_index(x["kind"], ":", 1) == kind)).cast("long").alias(f"n_{kind}")
+
+
 def document_features(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     """One flat row a document of scored chunks and answers (doc_id, chunk_id, axis, answer, error, bad_json).
 

@@ -1,16 +1,21 @@
-"""Findings by pattern: fallacies, horn markers, abstract terms; confirmation and deduplication."""
+"""Findings by pattern: fallacies, horn markers, abstract terms. Arrays on a document's row, so nothing shuffles."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import ABSTRACT_STOPWORDS, ABSTRACT_SUFFIXES, ABSTRACT_TERMS, ARGUMENTATIVE, FALLACIES_EN, FALLACIES_IT, MARKERS
-from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, by_lang, phrase_pattern
+from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, by_lang, let, located, phrase_pattern, strip
 
-SAME_SENTENCE = 2
+FALLACY = "array<struct<kind string, start int, end int, severity double, confidence double, confirmed boolean, source string, sent_idx int, match string>>"
+MARKED = "array<struct<horn string, subtype string, match string, start int, occurrences long, confidence double>>"
+
+
+def none_of(kind: str) -> Column:
+    return F.array().cast(kind)
 
 
 def java(pattern: str) -> str:
@@ -19,73 +24,82 @@ def java(pattern: str) -> str:
     return "(?iu)" + re.sub(r"\\b$", lambda _: NOT_AFTER, body)
 
 
-def fallacy_table(spark) -> DataFrame:
-    rows = [(k, *p) for k, table in (("en", FALLACIES_EN), ("it", FALLACIES_IT)) for p in table]
-    return spark.createDataFrame(rows, "lang string, kind string, pattern string, severity double, confidence double")
+def grouped(items: Column, key, rank) -> Column:
+    """Array of (first, best, n) of items with equal keys: places of the first and of the greatest rank (the first of equals), and how many; by first.
+
+    Sorted once, so equal keys stand together.
+    """
+    placed = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("key"), (-rank(x)).alias("minus"), i.alias("at"))))
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["key"] != F.get(s, i - 1)["key"]))
 
+        def told(starts: Column) -> Column:
+            ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(s)))
+            return F.zip_with(starts, ends, lambda a, b: F.struct(F.array_min(F.transform(F.slice(s, a + 1, b - a), lambda x: x["at"])).alias("first"), F.get(s, a)["at"].alias("best"), (b - a).alias("n")))
 
-def _matches(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
+        return F.sort_array(let(starts, told))
 
+    return F.coalesce(let(placed, lambda s: F.when(F.size(s) > 0, cut(s))), none_of("array<struct<first int, best int, n int>>"))
 
-def fallacy_hits(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, match, nth, severity, confidence): every match; a document meets only its language's patterns.
 
-    All patterns run in one pass over a row, so documents aren't multiplied by patterns.
+def first_best(items: Column, key, rank) -> Column:
+    """Of items with equal keys the one with the greatest rank, the first of equals, in the order of the keys' first items."""
+    return let(items, lambda own: F.transform(grouped(own, key, rank), lambda g: F.get(own, g["best"])))
+
+
+def pattern_fallacies(text: Column, lang: Column, tables: dict[str, list] | None = None) -> Column:
+    """Array of FALLACY: every match of the language's patterns, different by place and kind; a language without a table has none.
+
+    tables: by language, rows of (kind, pattern, severity, confidence). All patterns run in one pass over a row.
     """
+    tables = {"en": FALLACIES_EN, "it": FALLACIES_IT} if tables is None else tables
 
-    def found(table: list) -> Column:
-        return F.concat(*[_tagged(F.col("text"), *p) for p in table])
+    def hits(kind: str, pattern: str, severity: float, confidence: float) -> Column:
+        def row(m: Column) -> Column:
+            return F.struct(
+                F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit(float(severity)).alias("severity"), F.lit(float(confidence)).alias("confidence"),
+                F.lit(False).alias("confirmed"), F.lit("pattern").alias("source"), F.lit(None).cast("int").alias("sent_idx"), m["match"].alias("match"),
+            )
 
-    own = F.when(F.col("lang") == "en", found(FALLACIES_EN)).when(F.col("lang") == "it", found(FALLACIES_IT))
-    return docs.where("text is not null").select("doc_id", F.inline(own))
+        return F.transform(located(text, java(pattern)), row)
 
+    found = none_of(FALLACY)
+    for k, table in tables.items():
+        found = F.when(lang == k, F.concat(*[hits(*p) for p in table]).cast(FALLACY) if table else none_of(FALLACY)).otherwise(found)
+    return first_best(F.coalesce(found, none_of(FALLACY)), lambda f: F.struct(f["start"], f["end"], f["kind"]), lambda _: F.lit(0))
 
-def _tagged(text: Column, kind: str, pattern: str, severity: float, confidence: float) -> Column:
-    def row(match: Column, nth: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), match.alias("match"), nth.cast("long").alias("nth"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"))
 
-    return F.transform(_matches(text, pattern), row)
+def fallacy_hits(docs: DataFrame, tables: dict[str, list] | None = None) -> DataFrame:
+    """(doc_id, nth, kind, start, end, severity, confidence, match) of each pattern fallacy, in its document's order."""
+    each = docs.where("text is not null").select("doc_id", F.posexplode(pattern_fallacies(F.col("text"), F.col("lang"), tables)).alias("nth", "f"))
+    return each.select("doc_id", "nth", *[f"f.{c}" for c in ("kind", "start", "end", "severity", "confidence", "match")])
 
 
-def argumentative(sentence: Column, lang: Column) -> Column:
+def argumentative(sentence: Column, lang: Column, terms: dict[str, list[str]] = ARGUMENTATIVE) -> Column:
     """Whether a sentence has a word of arguing: only these need a model's look."""
-    return by_lang(lang, lambda k: sentence.rlike(phrase_pattern(ARGUMENTATIVE[k])))
+    return by_lang(lang, lambda k: sentence.rlike(phrase_pattern(terms[k])))
 
 
-def confirmed(regex: DataFrame, model: DataFrame) -> DataFrame:
-    """Pattern findings (doc_id, sent_idx, kind, ...) with confirmed: a model finding of the kind in the same sentence, or in the document where the sentence is unknown."""
-    by_sentence = model.select("doc_id", "sent_idx", "kind").distinct().withColumn("s", F.lit(True))
-    by_doc = model.select("doc_id", "kind").distinct().withColumn("d", F.lit(True))
-    out = regex.join(by_sentence, ["doc_id", "sent_idx", "kind"], "left").join(by_doc, ["doc_id", "kind"], "left")
-    return out.withColumn("confirmed", F.coalesce(F.when(F.col("sent_idx").isNull(), F.col("d")).otherwise(F.col("s")), F.lit(False))).drop("s", "d")
+def markers_in(text: Column, markers: list) -> Column:
+    """Array of (horn, subtype, match, start, occurrences, confidence): equal matches of a horn are one, with the first marker's subtype and place."""
 
+    def hits(horn: str, subtype: str, pattern: str, confidence: float) -> Column:
+        return F.transform(located(text, java(pattern)), lambda m: F.struct(F.lit(horn).alias("horn"), F.lit(subtype).alias("subtype"), F.lower(strip(m["match"])).alias("match"), m["start"].alias("start"), F.lit(float(confidence)).alias("confidence")))
 
-def top_per_sentence(found: DataFrame, top: int = SAME_SENTENCE) -> DataFrame:
-    best = Window.partitionBy("doc_id", "sent_idx").orderBy(F.desc("confidence"), "kind")
-    return found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= top).drop("nth")
+    def counted(found: Column) -> Column:
+        return F.transform(grouped(found, lambda h: F.struct(h["horn"], h["match"]), lambda _: F.lit(0)), lambda g: told(F.get(found, g["first"]), g["n"]))
 
+    def told(h: Column, n: Column) -> Column:
+        return F.struct(h["horn"].alias("horn"), h["subtype"].alias("subtype"), h["match"].alias("match"), h["start"].alias("start"), n.cast("long").alias("occurrences"), h["confidence"].alias("confidence"))
 
-def best_per_span(found: DataFrame) -> DataFrame:
-    best = Window.partitionBy("doc_id", "kind", "start", "end").orderBy(F.desc("confidence"), F.desc("severity"))
-    return found.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+    return let(F.concat(*[hits(*m) for m in markers]), counted) if markers else none_of(MARKED)
 
 
 def marker_hits(docs: DataFrame, horns: tuple[str, ...] | None = None, markers: list = MARKERS) -> DataFrame:
-    """(doc_id, horn, subtype, match, occurrences, confidence): equal matches of a horn are one hit, of the first marker."""
+    """(doc_id, horn, subtype, match, start, occurrences, confidence) of documents, for some horns or all."""
     live = [m for m in markers if horns is None or m[0] in horns]
-    each = [_marked(F.col("text"), k, *m) for k, m in enumerate(live)]
-    rows = docs.where("text is not null").select("doc_id", F.inline(F.concat(*each)))
-    return rows.groupBy("doc_id", "horn", F.lower(F.trim("match")).alias("match")).agg(
-        F.min_by("subtype", F.struct("marker", "nth")).alias("subtype"), F.count("*").alias("occurrences"), F.min_by("confidence", F.struct("marker", "nth")).alias("confidence")
-    )
-
-
-def _marked(text: Column, k: int, horn: str, subtype: str, pattern: str, confidence: float) -> Column:
-    def row(match: Column, nth: Column) -> Column:
-        return F.struct(F.lit(horn).alias("horn"), F.lit(subtype).alias("subtype"), match.alias("match"), F.lit(k).alias("marker"), nth.alias("nth"), F.lit(confidence).alias("confidence"))
-
-    return F.transform(_matches(text, pattern), row)
+    return docs.where("text is not null").select("doc_id", F.inline(markers_in(F.col("text"), live)))
 
 
 def suffix_forms(suffixes: list[tuple[str, int]] = ABSTRACT_SUFFIXES) -> list[tuple[str, int]]:
@@ -94,16 +108,33 @@ def suffix_forms(suffixes: list[tuple[str, int]] = ABSTRACT_SUFFIXES) -> list[tu
     return [(form, least) for s, least in suffixes for form in dict.fromkeys((s, s[:-1] + plural.get(s[-1], s[-1])))]
 
 
+def terms_in(text: Column, lexicon: list[str], suffixes: list[tuple[str, int]], stopwords: list[str]) -> Column:
+    """Array of (term, source, first, occurrences): lexicon terms and words with a nominal suffix, the most frequent first, then by place."""
+    words = F.regexp_extract_all(text, F.lit(rf"{NOT_BEFORE}([A-Za-zÀ-ÿ][a-zà-ÿ']{{2,}}){NOT_AFTER}"), F.lit(1))
+    bare = F.transform(words, lambda w, i: F.struct(F.lower(F.element_at(F.split(w, "'"), -1)).alias("term"), i.alias("at")))
+
+    def source(term: Column) -> Column:
+        ends = F.lit(False)
+        for s, least in suffix_forms(suffixes):
+            ends = ends | (term.endswith(s) & (F.length(term) >= least))
+        return F.when((F.length(term) < 3) | term.isin(*stopwords), F.lit(None)).when(term.isin(*lexicon), "lexicon").when(ends, "suffix")
+
+    def counted(found: Column) -> Column:
+        return F.sort_array(F.transform(grouped(found, lambda x: x["term"], lambda _: F.lit(0)), lambda g: F.struct((-g["n"]).alias("minus"), F.get(found, g["first"])["at"].alias("first"), F.get(found, g["first"])["term"].alias("term"))))
+
+    kept = F.filter(bare, lambda x: source(x["term"]).isNotNull())
+    return F.transform(let(kept, counted), lambda t: F.struct(t["term"].alias("term"), source(t["term"]).alias("source"), t["first"].alias("first"), (-t["minus"]).cast("long").alias("occurrences")))
+
+
+def ranked_terms(docs: DataFrame, lexicon: list[str] = ABSTRACT_TERMS, suffixes: list[tuple[str, int]] = ABSTRACT_SUFFIXES, stopwords: list[str] = ABSTRACT_STOPWORDS) -> DataFrame:
+    """(doc_id, nth, term, source, first, occurrences): candidates of abstract terms, the most frequent first; first: the place among the words."""
+    each = docs.where("text is not null").select("doc_id", F.posexplode(terms_in(F.col("text"), lexicon, suffixes, stopwords)).alias("nth", "t"))
+    return each.select("doc_id", "nth", "t.*")
+
+
 def abstract_terms(docs: DataFrame) -> DataFrame:
     """(doc_id, term, source, occurrences): lexicon terms, and words with a nominal suffix."""
-    words = F.regexp_extract_all(F.col("text"), F.lit(rf"{NOT_BEFORE}([A-Za-zÀ-ÿ][a-zà-ÿ']{{2,}}){NOT_AFTER}"), F.lit(1))
-    bare = F.transform(words, lambda w: F.lower(F.element_at(F.split(w, "'"), -1)))
-    each = docs.where("text is not null").select("doc_id", F.explode(bare).alias("term")).where((F.length("term") >= 3) & ~F.col("term").isin(*ABSTRACT_STOPWORDS))
-    suffix = F.lit(False)
-    for s, least in suffix_forms():
-        suffix = suffix | (F.col("term").endswith(s) & (F.length("term") >= least))
-    source = F.when(F.col("term").isin(*ABSTRACT_TERMS), "lexicon").when(suffix, "suffix")
-    return each.withColumn("source", source).where("source is not null").groupBy("doc_id", "term", "source").agg(F.count("*").alias("occurrences"))
+    return ranked_terms(docs).select("doc_id", "term", "source", "occurrences")
 
 
 def inclosure(transcends: Column, closes: Column, mode: Column, answer: Column, error: Column) -> Column:

@@ -8,10 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed import AUTHORITY, QUOTES, REFERENCE
-from plumbline.functions.text import by_lang, contains_any, count_in, count_phrases, lettered, lexicon, rounded, sentences, style_list, tokens, upos
+from plumbline.functions.fixed import AUTHORITY, QUOTES, REFERENCE, SUBORDINATE_RELATIONS
+from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, by_lang, contains_any, count_in, count_phrases, lettered, lexicon, located, rounded, sentences, style_list, tokens, upos
+from plumbline.operators.clauses import depths
 
 MTLD_TTR, LEAST_TOKENS = 0.72, 30
+#: Characters after an appeal to authority in which a citation may stand, and those shown around it.
+NEAR, AROUND = 100, 30
+# The best mean depth and subordination.
+DEPTH, SUBORDINATION = 4.5, 0.6
 
 
 def _factors(words: list[str], threshold: float) -> float:
@@ -42,10 +47,10 @@ def mtld(words: Column) -> Column:
     return folded(words)
 
 
-def annotated(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang) with arrays sents, toks (all tokens), words (lower-cased, with a letter) and tags (their parts of speech)."""
+def annotated(docs: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, lang, keep...) with arrays sents, toks (all tokens), words (lower-cased, with a letter) and tags (their parts of speech)."""
     text, lang = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("lang"), F.lit("it"))
-    base = docs.select("doc_id", text.alias("text"), lang.alias("lang"))
+    base = docs.select("doc_id", text.alias("text"), lang.alias("lang"), *keep)
     return base.withColumns({"sents": sentences(F.col("text")), "toks": tokens(F.col("text"))}).withColumn("words", lettered(F.col("toks"))).withColumn("tags", F.transform("words", lambda w: upos(w, F.col("lang"))))
 
 
@@ -72,13 +77,43 @@ def profile(notes: DataFrame, with_mtld: bool = True) -> DataFrame:
 
 
 def syntax_quality(profiled: DataFrame) -> Column:
-    """0 to 1, or null below LEAST_TOKENS tokens. Without a parser depth and subordination are 0."""
+    """0 to 1, or null below LEAST_TOKENS tokens. Columns depth and subordination of a parse count if there; without one they are 0."""
     arc = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("mtld") - 30) / 60))
     gulp = 1 - F.least(F.lit(1.0), F.abs(F.col("gulpease") - 55) / 35)
-    value = F.when(F.col("lang") == "en", 0.35 * arc / 0.80).otherwise(0.35 * arc + 0.20 * gulp)
+
+    def tree(name: str, best: float) -> Column:
+        return 1 - F.least(F.lit(1.0), F.abs(F.col(name) - best) / best) if name in profiled.columns else F.lit(0.0)
+
+    depth, sub = tree("depth", DEPTH), tree("subordination", SUBORDINATION)
+    value = F.when(F.col("lang") == "en", (0.35 * arc + 0.25 * depth + 0.20 * sub) / 0.80).otherwise(0.35 * arc + 0.25 * depth + 0.20 * sub + 0.20 * gulp)
     return F.when(F.col("n_token") >= LEAST_TOKENS, value)
 
 
+def tree_columns(parsed: Column) -> dict[str, Column]:
+    """depth, subordination, dependency_length, subordinates and passives of an array of parsed sentences."""
+    words = F.flatten(F.transform(parsed, lambda s: F.transform(s, lambda w, i: F.struct((i + 1).alias("at"), w["text"].rlike(r"\p{L}").alias("live"), w["head"].alias("head"), w["deprel"].alias("deprel")))))
+    live = F.filter(words, lambda w: w["live"])
+    count = lambda relations: F.size(F.filter(live, lambda w: w["deprel"].isin(*relations)))
+    linked = F.filter(live, lambda w: w["head"] > 0)
+    far = F.flatten(F.transform(parsed, depths))
+    roots = F.greatest(count(["root"]), F.lit(0))
+    return {
+        "depth": F.coalesce(F.try_divide(F.aggregate(far, F.lit(0.0), lambda a, x: a + x), F.size(far)), F.lit(0.0)),
+        "subordination": count(SUBORDINATE_RELATIONS) / F.when(roots > 0, roots).otherwise(F.greatest(F.size(parsed), F.lit(1))),
+        "dependency_length": F.coalesce(F.try_divide(F.aggregate(linked, F.lit(0), lambda a, w: a + F.abs(w["at"] - w["head"]).cast("int")), F.size(linked)), F.lit(0.0)),
+        "subordinates": count(SUBORDINATE_RELATIONS),
+        "passives": count(["aux:pass", "nsubj:pass"]),
+    }
+
+
+def syntax_style(rows: DataFrame) -> DataFrame:
+    """(doc_id, subordinate, passive): rates a thousand lettered words of rows (doc_id, parsed: array of parsed sentences)."""
+    own = tree_columns(F.col("parsed"))
+    n = F.size(F.filter(F.flatten("parsed"), lambda w: w["text"].rlike(r"\p{L}")))
+    per = 1000.0 / F.greatest(n, F.lit(1))
+    return rows.select("doc_id", rounded(own["subordinates"] * per, 3).alias("subordinate"), rounded(own["passives"] * per, 3).alias("passive"))
+
+
 def pos_distribution(notes: DataFrame, top: int = 15) -> DataFrame:
     """(doc_id, upos, n): the most frequent tags of each document."""
     pairs = F.transform(F.array_distinct("tags"), lambda t: F.struct((-F.size(F.filter("tags", lambda x: x == t))).alias("n"), t.alias("upos")))
@@ -124,28 +159,44 @@ def person_names(text: Column) -> Column:
     return F.filter(names, lambda n: ~n.isin("Il", "La", "Lo", "I", "Le"))
 
 
-def uncited_pattern(k: str) -> str:
-    """A use of authority that no quotation or reference follows within 100 characters."""
-    return f"(?s){AUTHORITY[k]}(?!.{{0,99}}{QUOTES})(?!.{{0,90}}(?i:{REFERENCE}))"
+def _bounded(pattern: str) -> str:
+    """A pattern with its outer word boundaries spelt out."""
+    return re.sub(r"\\b$", lambda _: NOT_AFTER, re.sub(r"^\\b", lambda _: NOT_BEFORE, pattern))
 
 
-def authorities(notes: DataFrame) -> DataFrame:
-    """(doc_id, nth, person, severity, confidence): every uncited appeal to an authority, with its name."""
+def uncited(text: Column, lang: Column, patterns: dict[str, str] | None = None) -> Column:
+    """Array of (person, start, end, context): uses of authority that no quotation or reference follows within NEAR characters."""
+    patterns = patterns or AUTHORITY
+
+    def found(k: str) -> Column:
+        pattern = _bounded(patterns[k])
+        groups = range(1, re.compile(patterns[k]).groups + 1)
+
+        def open_(m: Column) -> Column:
+            after = F.substring(text, m["end"] + 1, F.lit(NEAR))
+            return ~after.rlike(QUOTES) & ~after.rlike("(?i)" + REFERENCE)
+
+        def told(m: Column) -> Column:
+            person = F.coalesce(*[F.nullif(F.regexp_extract(m["match"], patterns[k], g), F.lit("")) for g in groups], m["match"])
+            begin = F.greatest(F.lit(0), m["start"] - AROUND)
+            return F.struct(person.alias("person"), m["start"].alias("start"), m["end"].alias("end"), F.substring(text, begin + 1, m["end"] + AROUND - begin).alias("context"))
 
-    def people(k: str) -> Column:
-        groups = range(1, re.compile(AUTHORITY[k]).groups + 1)
-        found = [F.regexp_extract_all("text", F.lit(uncited_pattern(k)), F.lit(g)) for g in groups]
-        return F.transform(found[0], lambda n, i: F.coalesce(*[F.nullif(F.get(f, i), F.lit("")) for f in found]))
+        return F.transform(F.filter(located(text, pattern), open_), told)
 
-    each = notes.select("doc_id", F.posexplode(by_lang(F.col("lang"), people)).alias("nth", "person"))
+    return by_lang(lang, found)
+
+
+def authorities(notes: DataFrame) -> DataFrame:
+    """(doc_id, nth, person, start, end, context, severity, confidence): every uncited appeal to an authority, with its name."""
+    each = notes.select("doc_id", F.posexplode(uncited(F.col("text"), F.col("lang"))).alias("nth", "a")).select("doc_id", "nth", "a.*")
     return each.withColumns({"severity": F.lit(0.6), "confidence": F.lit(0.65)})
 
 
 def bias_labels(notes: DataFrame) -> DataFrame:
     """(doc_id, labels, source): excesses with their ratios, up to three uncited names, and the first person named."""
     b, names = bias_columns(), F.col("names")
-    by = authorities(notes).groupBy("doc_id").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("nth", "person"))), 1, 3), lambda x: x["person"]).alias("names"))
-    rows = notes.select("doc_id", *[b[k].alias(k) for k in ("hedging", "booster", "hedging_severity", "booster_severity")], person_names(F.col("text")).alias("people")).join(by, "doc_id", "left")
+    first = F.transform(F.slice(uncited(F.col("text"), F.col("lang")), 1, 3), lambda a: a["person"])
+    rows = notes.select("doc_id", *[b[k].alias(k) for k in ("hedging", "booster", "hedging_severity", "booster_severity")], person_names(F.col("text")).alias("people"), first.alias("names"))
     told = [F.when(F.col(f"{k}_severity").isNotNull(), F.format_string(f"{k}_excess(%.3f)", k)) for k in ("hedging", "booster")]
     people = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.concat(F.lit("appeal_to_authority:"), n))
     return rows.select("doc_id", F.concat(F.array_compact(F.array(*told)), people).alias("labels"), F.coalesce(F.get("people", F.lit(0)), F.lit("unknown")).alias("source"))
@@ -156,7 +207,7 @@ def bias_columns() -> dict[str, Column]:
     text, lang = F.col("text"), F.col("lang")
     words = F.greatest(F.size(F.filter("toks", lambda w: w.rlike(r"^\p{L}+$"))), F.lit(1))
     hedging, booster = count_phrases(text, lang, "hedging") / words, count_phrases(text, lang, "booster") / words
-    uncited = by_lang(lang, lambda k: F.regexp_count(text, F.lit(uncited_pattern(k))))
+    open_ = F.size(uncited(text, lang))
     person = F.size(person_names(text)) > 0
     cited = text.rlike(QUOTES) | text.rlike("(?i)" + REFERENCE)
     severity = F.when(booster > 0.04, F.least(F.lit(1.0), booster / 0.12))
@@ -165,9 +216,9 @@ def bias_columns() -> dict[str, Column]:
         "booster": booster,
         "hedging_severity": F.when(hedging > 0.06, F.least(F.lit(1.0), hedging / 0.15)),
         "booster_severity": severity,
-        "uncited": uncited.cast("long"),
+        "uncited": open_.cast("long"),
         "expertise": person & cited,
-        "source_credibility": F.when(uncited > 0, 0.45).otherwise(0.75),
+        "source_credibility": F.when(open_ > 0, 0.45).otherwise(0.75),
         "linguistic_bias": F.greatest(F.lit(0.0), 1 - F.coalesce(severity, F.lit(0.0))),
     }
 

@@ -6,37 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import WEIGHTS
-from plumbline.operators.score import band, message
+from plumbline.operators.score import band, message, scored
 
 
 def bar(x: Column, width: int = 20) -> Column:
     """A bar of filled and empty blocks; empty for null."""
     full = F.greatest(F.lit(0), F.least(F.lit(width), F.round(x * width).cast("int")))
-    return F.when(x.isNull(), "").otherwise(F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full)))
+    return F.when(x.isNull(), "").otherwise(F.rpad(F.repeat(F.lit("█"), full), width, "░"))
 
 
-def components_table() -> Column:
-    def line(k: str) -> Column:
-        shown = F.coalesce(F.format_string("%.3f", F.col(k)), F.lit("not measured"))
-        return F.concat(F.lit(f"| {k} | "), F.when(F.col(k).isNull(), "not measured").otherwise(shown), F.lit(" | "), bar(F.col(k)), F.lit(" |"))
+def components_list() -> Column:
+    """A line of each component: its bar, its value, its name; those without a value are named at the end."""
+    lines = [F.when(F.col(k).isNotNull(), F.concat(F.lit("    "), bar(F.col(k)), F.format_string(" %.3f  ", F.col(k)), F.lit(k.replace("_", " ")))) for k in WEIGHTS]
+    without = F.concat_ws(", ", *[F.when(F.col(k).isNull(), F.lit(k.replace("_", " "))) for k in WEIGHTS])
+    return F.concat(F.concat_ws("\n", *lines), F.when(without != "", F.concat(F.lit("\n\nNot measured: "), without, F.lit("."))).otherwise(""))
 
-    return F.concat_ws("\n", F.lit("| Component | Value | Bar |"), F.lit("|---|---|---|"), *[line(k) for k in WEIGHTS])
 
-
-def text_reports(scored: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, report) of every scored document (score.score); findings by confidence, the strongest first."""
-    shown = F.concat(F.lit("- "), F.when(F.col("confirmed"), "").otherwise("(suspect) "), message(F.col("kind"), F.col("severity"), F.col("confidence"), F.transform_values("detail", lambda _, v: F.substring(v, 1, 120))))
-    lists = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "ord", "kind", shown.alias("line")))).alias("f"))
-    rows = scored.join(lists, "doc_id", "left")
-    lines = F.transform(F.coalesce("f", F.array().cast("array<struct<c: double, ord: int, kind: string, line: string>>")), lambda x: x["line"])
-    body = F.concat(
+def _body(lines: Column) -> Column:
+    return F.concat(
         F.format_string("# Report %s\n\n**ε = %.4f** (%s, %s)\n\n## Components\n\n", F.col("doc_id").cast("string"), F.col("epsilon"), band(F.col("epsilon")), F.col("state")),
-        components_table(),
+        components_list(),
         F.format_string("\n\n## Findings (%d)\n\n", F.size(lines)),
         F.when(F.size(lines) == 0, "None.").otherwise(F.array_join(lines, "\n")),
         F.lit("\n"),
     )
-    return rows.select("doc_id", body.alias("report"))
+
+
+def _line(confirmed: Column, kind: Column, severity: Column, confidence: Column, detail: Column) -> Column:
+    return F.concat(F.lit("- "), F.when(confirmed, "").otherwise("(suspect) "), message(kind, severity, confidence, F.transform_values(detail, lambda _, v: F.substring(v, 1, 120))))
+
+
+def analysed_reports(analysed: DataFrame) -> DataFrame:
+    """(doc_id, report) of analysed rows (score.analysis), without a shuffle; findings by confidence, the strongest first."""
+    each = F.transform("found", lambda x: F.struct((-x["confidence"]).alias("c"), x["ord"].alias("ord"), x["kind"].alias("kind"), _line(x["confirmed"], x["kind"], x["severity"], x["confidence"], x["detail"]).alias("line")))
+    lines = F.transform(F.sort_array(each), lambda x: x["line"])
+    return scored(analysed, "found").select("doc_id", _body(lines).alias("report"))
+
+
+def text_reports(scored: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, report) of scored documents (score.score) and stored findings; findings by confidence, the strongest first."""
+    shown = _line(F.col("confirmed"), F.col("kind"), F.col("severity"), F.col("confidence"), F.col("detail"))
+    lists = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "ord", "kind", shown.alias("line")))).alias("f"))
+    rows = scored.join(lists, "doc_id", "left")
+    lines = F.transform(F.coalesce("f", F.array().cast("array<struct<c: double, ord: int, kind: string, line: string>>")), lambda x: x["line"])
+    return rows.select("doc_id", _body(lines).alias("report"))
 
 
 def document_reports(reduced: DataFrame, chunks: DataFrame, discarded: DataFrame) -> DataFrame:

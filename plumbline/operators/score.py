@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed import ERODES, WEIGHTS
+from plumbline.functions.fixed import ARGUMENTATIVE, ERODES, WEIGHTS
 from plumbline.functions.text import rounded
-from plumbline.operators import arguments, embed, profile
-from plumbline.operators.findings import fallacy_hits
+from plumbline.operators import arguments, assess, profile
+from plumbline.sources.providers import Models
 
-FLOOR, NOTHING, STATE = 1e-3, 0.5, 0.3
+# Clamp, score of nothing measured, state and warning.
+FLOOR, NOTHING, STATE, TOO_HIGH = 1e-3, 0.5, 0.3, 0.95
+BALANCE = "very high: check the balance"
 BANDS = ((0.85, "high"), (0.65, "medium"), (0.40, "low"))
 DENSITY = ((0.01, "low"), (0.03, "medium"), (0.06, "high"))
 
@@ -53,40 +55,104 @@ def density_band(x: Column) -> Column:
     return out.otherwise("critical")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """One row a document with every component, measured without models. Row-local: no shuffle at all."""
-    notes = profile.profile(profile.annotated(docs))
-    notes = notes.withColumns({"coherence": embed.coherence(F.col("sents")), "t": arguments.thesis_index(F.col("sents"), F.col("lang")), "explicit": F.size(profile.explicit_premises(F.col("sents")))})
-    supports = F.when(F.col("t").isNull(), 0).otherwise(F.size("sents") - 1)
-    lang = F.col("lang")
-    deductive = F.exists(F.transform("sents", lambda s, i: (i != F.col("t")) & (arguments.kind(s, lang) == "deductive")), lambda x: F.coalesce(x, F.lit(False)))
-    biased = profile.bias_columns()
-    return notes.select(
-        "doc_id",
-        "lang",
-        F.length("text").alias("chars"),
-        F.size("sents").cast("long").alias("n_sentence"),
-        F.col("n_token"),
-        F.when(F.col("explicit") >= 2, 1.0).alias("premise_transparency"),
-        F.lit(1.0).alias("formal_validity"),
-        F.lit(1.0).alias("fallacy_absence"),
-        structure(supports, F.size("sents"), F.col("t").isNotNull() & deductive).alias("argument_structure"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("coherence.local"))).alias("semantic_cohesion"),
-        F.col("coherence.thematic").alias("thematic_coherence"),
-        profile.syntax_quality(notes).alias("syntax_quality"),
-        biased["linguistic_bias"].alias("linguistic_bias"),
-        biased["source_credibility"].alias("source_credibility"),
-        F.lit(None).cast("double").alias("objective_integrity"),
-        F.col("coherence.drift").alias("drift"),
-    )
-
-
-def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, components..., epsilon, state): rounded once, at the edge."""
-    rows = components(docs)
-    eps = geometric_mean({k: F.col(k) for k in WEIGHTS})
-    out = rows.withColumn("epsilon", eps)
-    return out.select("doc_id", "lang", "n_sentence", "n_token", *[rounded(F.col(k), 4).alias(k) for k in WEIGHTS], rounded(F.col("epsilon"), 4).alias("epsilon"), F.when(F.col("epsilon") > STATE, ">d").otherwise("<d").alias("state"))
+FOUND = "array<struct<ord int, kind string, severity double, confidence double, detail map<string,string>, confirmed boolean>>"
+
+
+def _details(**cols: Column) -> Column:
+    return F.create_map(*[x for k, c in cols.items() for x in (F.lit(k), c.cast("string"))])
+
+
+def _finding(order: int, kind: Column | str, severity: Column, confidence: Column | float, detail: Column, confirmed: Column | bool = True) -> Column:
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(F.lit(order).alias("ord"), as_column(kind).alias("kind"), severity.cast("double").alias("severity"), as_column(confidence).cast("double").alias("confidence"), detail.alias("detail"), as_column(confirmed).alias("confirmed"))
+
+
+def found_in(b: dict[str, Column]) -> Column:
+    """Array of FOUND of an assessed row, in a fixed order of origins: fallacies, bias, non-sequiturs, circles, density, drift, objective.
+
+    Pattern fallacies are suspects (confirmed false) until a model confirms them; excess hedging is told but lowers no component.
+    """
+    ratio = lambda c: F.create_map(F.lit("ratio"), F.format_string("%.3f", c))
+    goal, drift = F.col("integrity"), F.col("coherence.drift")
+    lone = [
+        _finding(1, "hedging_excess", b["hedging_severity"], 0.8, ratio(b["hedging"])),
+        _finding(1, "booster_excess", b["booster_severity"], 0.8, ratio(b["booster"])),
+    ]
+    late = [
+        _finding(4, "critical_density", F.when(F.col("density_band").isin("high", "critical"), F.least(F.lit(1.0), F.col("density") / 0.06)), 0.8, _details(density=F.format_string("%.4f", F.col("density")), band=F.col("density_band"))),
+        _finding(5, "thematic_incoherence", F.when(drift > 0.25, F.least(F.lit(1.0), drift * 2.5)), 0.7, F.create_map(F.lit("drift"), F.format_string("%.4f", drift))),
+        _finding(6, F.concat(F.lit("objective_"), goal["kind"]), F.when(goal["value"] < 1, F.round(1 - goal["value"], 4)), F.round(goal["p"], 4), _details(kind=goal["kind"])),
+    ]
+    parts = [
+        F.transform("fallacies", lambda f: _finding(0, F.concat(F.lit("fallacy:"), f["kind"]), f["severity"], f["confidence"], _details(match=f["match"], source=f["source"]), f["confirmed"])),
+        F.array(*lone),
+        F.transform(profile.uncited(F.col("text"), F.col("lang")), lambda a: _finding(1, "appeal_to_authority", F.lit(0.6), 0.65, _details(person=a["person"], context=a["context"]))),
+        F.transform("sequiturs", lambda x: _finding(2, "non_sequitur", x["severity"], x["confidence"], _details(thesis=x["thesis"], argument=x["text"], attack=x["attack"], horn=F.coalesce(x["horn"], F.lit(""))))),
+        F.transform("circles", lambda x: _finding(3, "fallacy:circular_reasoning", x["severity"], x["severity"], _details(thesis=x["thesis"], premise=x["premise"]))),
+        F.array(*late),
+    ]
+    return F.filter(F.concat(*[p.cast(FOUND) for p in parts]), lambda x: x["severity"].isNotNull())
+
+
+def analysis(docs: DataFrame, models: Models = Models(), tables: dict[str, list] | None = None, terms: dict[str, list[str]] = ARGUMENTATIVE) -> DataFrame:  # noqa: B008
+    """One row a document with every component, the score, findings and what led to them. Row-local: no shuffle at all.
+
+    doc_id, lang, chars, n_sentence, n_token, components, epsilon, state, warnings, density,
+    density_band, found (FOUND), arguments, fallacies, sequiturs, circles, verdicts, premises, integrity, summary.
+    """
+    notes = profile.profile(assess.assessed(docs, models, tables, terms))
+    if models.parse:
+        notes = notes.withColumns({k: c for k, c in profile.tree_columns(F.col("parsed")).items() if k in ("depth", "subordination")})
+    args, n_units = F.size("arguments"), F.size("units")
+    hidden = F.col("premises.n_implicit") + F.col("premises.n_suspect")
+    notes = notes.withColumn("density", F.round(density(hidden, F.col("text")), 4)).withColumn("density_band", density_band(F.col("density")))
+    b = profile.bias_columns()
+    notes = notes.withColumns({"found": found_in(b), **{k: b[k] for k in ("linguistic_bias", "source_credibility")}})
+    per = F.greatest(F.when(args > 0, args).otherwise(n_units), F.lit(1))
+
+    def flaws(severities: Column) -> Column:
+        return defect_score(F.array_max(severities), F.aggregate(severities, F.lit(0.0), lambda a, x: a + x), per)
+
+    sure = F.concat(F.transform(F.filter("fallacies", lambda f: f["confirmed"]), lambda f: f["severity"]), F.transform("circles", lambda c: c["severity"]))
+    measured = {
+        "premise_transparency": F.when(F.col("premises.n_explicit") + hidden >= 2, F.col("premises.score")),
+        "formal_validity": flaws(F.transform("sequiturs", lambda x: x["severity"])),
+        "fallacy_absence": flaws(sure),
+        "argument_structure": structure(args, n_units, F.exists("arguments", lambda a: a["kind"] == "deductive")),
+        "semantic_cohesion": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("coherence.local"))),
+        "thematic_coherence": F.col("coherence.thematic"),
+        "syntax_quality": profile.syntax_quality(notes),
+        "linguistic_bias": F.col("linguistic_bias"),
+        "source_credibility": F.col("source_credibility"),
+        "objective_integrity": F.col("integrity.value"),
+    }
+    kinds = lambda name, sure: F.size(F.filter("found", lambda x: (F.substring_index(x["kind"], ":", 1) == name) & sure(x)))
+    backends = F.create_map(*[F.lit(x) for kv in models.snapshot().items() for x in kv])
+    summary = F.struct(
+        n_units.alias("n_units"), args.alias("n_arguments"), F.col("premises.n_explicit").alias("n_explicit"), F.col("premises.n_implicit").alias("n_implicit"), F.col("premises.n_suspect").alias("n_suspect"),
+        kinds("fallacy", lambda _: F.lit(True)).alias("n_fallacies"), kinds("fallacy", lambda x: x["confirmed"]).alias("n_confirmed"), kinds("fallacy", lambda x: ~x["confirmed"]).alias("n_suspected"),
+        F.size("circles").alias("n_circles"), F.size("sequiturs").alias("n_sequiturs"), F.size(F.filter("sequiturs", lambda x: x["horn"] == "C3")).alias("n_c3"),
+        F.size(F.filter("verdicts", lambda v: ~v["valid"])).alias("n_invalid"), F.col("coherence.drift").alias("drift"), arguments.objective(F.col("text")).alias("objective"),
+        F.filter(F.array(*[F.when(c.isNull(), F.lit(k)) for k, c in measured.items()]), lambda x: x.isNotNull()).alias("unmeasured"), backends.alias("backends"), F.lit(models.degraded).alias("degraded"),
+    )
+    rows = notes.select("doc_id", "lang", F.length("text").alias("chars"), F.size("sents").cast("long").alias("n_sentence"), "n_token", *[c.alias(k) for k, c in measured.items()], "density", "density_band", "found", "arguments", "fallacies", "sequiturs", "circles", "verdicts", "premises", "integrity", summary.alias("summary"))
+    rows = rows.withColumn("epsilon", geometric_mean({k: F.col(k) for k in WEIGHTS}))
+    high = F.when(F.col("epsilon") > TOO_HIGH, F.array(F.lit(BALANCE))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumns({"state": F.when(F.col("epsilon") > STATE, ">d").otherwise("<d"), "warnings": high})
+
+
+def components(docs: DataFrame, models: Models = Models()) -> DataFrame:  # noqa: B008
+    """One row a document with every component, at full precision."""
+    return analysis(docs, models).select("doc_id", "lang", "chars", "n_sentence", "n_token", *WEIGHTS, F.col("summary.drift").alias("drift"))
+
+
+def scored(analysed: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, lang, n_sentence, n_token, components..., epsilon, state, keep...) of analysed rows: rounded once, at the edge."""
+    return analysed.select("doc_id", "lang", "n_sentence", "n_token", *[rounded(F.col(k), 4).alias(k) for k in WEIGHTS], rounded(F.col("epsilon"), 4).alias("epsilon"), "state", *keep)
+
+
+def score(docs: DataFrame, models: Models = Models()) -> DataFrame:  # noqa: B008
+    return scored(analysis(docs, models))
 
 
 def genesis(rows: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -106,43 +172,42 @@ def message(kind: Column, severity: Column, confidence: Column, detail: Column)
     return F.format_string("[%s] sev=%.2f conf=%.2f — %s", kind, severity, confidence, shown)
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """(doc_id, ord, kind, severity, confidence, detail, confirmed): what lowers or marks a text, in a fixed order of origins.
+def told(analysed: DataFrame) -> DataFrame:
+    """(doc_id, ord, kind, severity, confidence, detail, confirmed) of analysed rows."""
+    return analysed.select("doc_id", F.inline("found"))
+
+
+def findings(docs: DataFrame, models: Models = Models(), tables: dict[str, list] | None = None) -> DataFrame:  # noqa: B008
+    """(doc_id, ord, kind, severity, confidence, detail, confirmed): what lowers or marks a text, in a fixed order of origins."""
+    return told(analysis(docs, models, tables))
+
+
+def _eroded(kind: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for k, c in ERODES.items() for x in (k, c)]), F.substring_index(kind, ":", 1))
 
-    Pattern fallacies are suspects (confirmed false) until a model confirms them; excess hedging is
-    told but lowers no component. Density findings need implicit premises, so a model.
-    """
-    notes = profile.annotated(docs).withColumn("drift", embed.coherence(F.col("sents"))["drift"])
-    b, ratio = profile.bias_columns(), lambda c: F.create_map(F.lit("ratio"), F.format_string("%.3f", c))
-    cases = [
-        ("hedging_excess", 1, b["hedging_severity"], 0.8, ratio(b["hedging"])),
-        ("booster_excess", 1, b["booster_severity"], 0.8, ratio(b["booster"])),
-        ("appeal_to_authority", 1, F.when(b["uncited"] > 0, 0.6), 0.65, F.create_map(F.lit("uses"), b["uncited"].cast("string"))),
-        ("thematic_incoherence", 4, F.when(F.col("drift") > 0.25, F.least(F.lit(1.0), F.col("drift") * 2.5)), 0.7, F.create_map(F.lit("drift"), F.format_string("%.4f", F.col("drift")))),
-    ]
-    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(o).alias("ord"), s.alias("severity"), F.lit(c).alias("confidence"), d.alias("detail")) for k, o, s, c, d in cases])
-    own = notes.select("doc_id", F.inline(F.filter(rows, lambda r: r["severity"].isNotNull()))).withColumn("confirmed", F.lit(True))
-    hits = fallacy_hits(docs).select("doc_id", F.lit(0).alias("ord"), F.concat(F.lit("fallacy:"), F.col("kind")).alias("kind"), "severity", "confidence", F.create_map(F.lit("match"), F.col("match")).alias("detail"), F.lit(False).alias("confirmed"))
-    return hits.unionByName(own)
+
+def causes(analysed: DataFrame) -> DataFrame:
+    """(doc_id, component, value, erosion, rank, causes) of analysed rows, without a shuffle: genesis and with_causes in one."""
+    total = sum((F.when(F.col(k).isNull(), 0.0).otherwise(F.lit(w)) for k, w in WEIGHTS.items()), F.lit(0.0))
+
+    def row(k: str, w: float) -> Column:
+        erosion = -F.lit(w) / total * F.log(F.greatest(F.lit(FLOOR), F.least(F.lit(1.0), F.col(k))))
+        own = F.filter("found", lambda x: x["confirmed"] & (_eroded(x["kind"]) == k))
+        kinds = F.transform(F.array_sort(F.transform(own, lambda x: F.struct((-x["severity"]).alias("minus"), x["kind"].alias("kind")))), lambda x: x["kind"])
+        return F.when(F.col(k).isNotNull(), F.struct((-F.round(erosion, 9)).alias("order"), F.lit(k).alias("component"), rounded(F.col(k), 4).alias("value"), rounded(erosion, 6).alias("erosion"), kinds.alias("causes")))
+
+    each = F.array_sort(F.array_compact(F.array(*[row(k, w) for k, w in WEIGHTS.items()])))
+    shown = analysed.select("doc_id", F.posexplode(each).alias("nth", "c"))
+    return shown.select("doc_id", "c.component", "c.value", "c.erosion", (F.col("nth") + 1).alias("rank"), "c.causes")
 
 
 def with_causes(rows: DataFrame, found: DataFrame) -> DataFrame:
     """genesis rows with causes: confirmed findings that erode the component, the most severe first."""
-    eroded = F.element_at(F.create_map(*[F.lit(x) for k, c in ERODES.items() for x in (k, c)]), F.substring_index("kind", ":", 1))
     cause = F.struct((-F.col("severity")).alias("minus"), "kind")
-    by = found.where("confirmed").withColumn("component", eroded).where("component is not null").groupBy("doc_id", "component").agg(F.sort_array(F.collect_list(cause)).alias("c"))
+    by = found.where("confirmed").withColumn("component", _eroded(F.col("kind"))).where("component is not null").groupBy("doc_id", "component").agg(F.sort_array(F.collect_list(cause)).alias("c"))
     return rows.join(by, ["doc_id", "component"], "left").withColumn("causes", F.coalesce(F.transform("c", lambda x: x["kind"]), F.array().cast("array<string>"))).drop("c")
 
 
-def combine(found: list[DataFrame]) -> DataFrame:
-    """Findings (doc_id, kind, severity, confidence, detail map) in a fixed order of origins."""
-    out = None
-    for k, f in enumerate(found):
-        part = f.select("doc_id", F.lit(k).alias("ord"), "kind", "severity", "confidence", "detail")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def document_score(chunks: DataFrame) -> DataFrame:
     """(doc_id, epsilon, n_chunks): mean of logs weighted by raw length, over scored chunks (doc_id, chars, epsilon)."""
     live = F.col("epsilon") > 0
