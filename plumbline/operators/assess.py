@@ -41,7 +41,7 @@ CANDIDATES, EXPLICIT, IMPLIED, SHOWN = 8, 0.85, 0.6, 20
 KEY_CHARS, AFTER_SPAN, HEAD = 60, 200, 200
 INTEGRAL, CONTRADICTION, DISPERSION = 0.12, 1.0, 0.4
 
-ARGUMENT = "array<struct<arg_idx int, text string, thesis string, kind string, premises array<string>, confidence double>>"
+ARGUMENT = "array<struct<arg_idx int, text string, thesis string, kind string, confidence double>>"
 SEQUITURS = "array<struct<thesis string, text string, severity double, confidence double, horn string, attack string>>"
 CIRCLES = "array<struct<thesis string, premise string, severity double>>"
 VERDICTS = "array<struct<arg_idx int, kind string, valid boolean, fallacy string>>"
@@ -95,32 +95,36 @@ def one_of_each(found: Column) -> Column:
     return first_best(found, lambda f: F.struct(f["kind"], f["start"], f["end"]), lambda f: f["confidence"])
 
 
-def premises_of(units: Column, near: Column) -> Column:
+def premises_used(units: Column, near: Column) -> Column:
     """For each unit the units that it uses as premises."""
     return F.transform(near, lambda own: F.transform(own, lambda j: F.get(units, j)))
 
 
-def _argument(i: Column, text: Column, thesis: Column, lang: Column, premises: Column, confidence: Column) -> Column:
-    return F.struct(i.alias("arg_idx"), text.alias("text"), thesis.alias("thesis"), arguments.kind(text, lang).alias("kind"), premises.alias("premises"), confidence.alias("confidence"))
+def premises_of(a: Column, used: Column) -> Column:
+    """The premises of an argument: the units that its own uses, without the thesis unless a model has told them apart."""
+    own = F.get(used, a["arg_idx"])
+    return F.filter(own, lambda p: (a["confidence"] > 0) | (p != a["thesis"]))
 
 
-def inventory(units: Column, lang: Column, used: Column, models: Models) -> Column:
+def _argument(i: Column, text: Column, thesis: Column, lang: Column, confidence: Column) -> Column:
+    return F.struct(i.alias("arg_idx"), text.alias("text"), thesis.alias("thesis"), arguments.kind(text, lang).alias("kind"), confidence.alias("confidence"))
+
+
+def inventory(units: Column, lang: Column, models: Models) -> Column:
     """Array of ARGUMENT: units that a model calls support of its first claim; else, with a conclusive marker, all units but the last marked one."""
-    thesis = arguments.thesis_index(units, lang)
-    listed = F.transform(units, lambda u, i: F.struct(i.alias("i"), u.alias("u"), F.get(used, i).alias("p")))
+    listed = F.transform(units, lambda u, i: F.struct(i.alias("i"), u.alias("u")))
 
     def marked(t: Column) -> Column:
         goal = F.get(units, t)
-        others = F.filter(listed, lambda x: x["i"] != t)
-        return F.transform(others, lambda x: _argument(x["i"], x["u"], goal, lang, F.filter(x["p"], lambda p: p != goal), F.lit(0.0)))
+        return F.transform(F.filter(listed, lambda x: x["i"] != t), lambda x: _argument(x["i"], x["u"], goal, lang, F.lit(0.0)))
 
-    plain = F.coalesce(let(thesis, lambda t: F.when(t.isNotNull(), marked(t))), none_of(ARGUMENT)).cast(ARGUMENT)
+    plain = F.coalesce(let(arguments.thesis_index(units, lang), lambda t: F.when(t.isNotNull(), marked(t))), none_of(ARGUMENT)).cast(ARGUMENT)
     if models.label is even_all:
         return plain
     best = F.transform(models.label(units, [CLAIM, SUPPORT, NEITHER], UNIT_QUESTION, False), lambda r: F.get(r, F.lit(0)))
-    told = F.zip_with(listed, best, lambda x, b: F.struct(x["i"].alias("i"), x["u"].alias("u"), x["p"].alias("p"), F.when(b["score"] > UNIT_LEAST, b["label"]).alias("label"), b["score"].alias("score")))
+    told = F.zip_with(listed, best, lambda x, b: F.struct(x["i"].alias("i"), x["u"].alias("u"), F.when(b["score"] > UNIT_LEAST, b["label"]).alias("label"), b["score"].alias("score")))
     claim = F.coalesce(F.get(F.filter(told, lambda x: x["label"] == CLAIM), F.lit(0))["u"], F.get(units, F.lit(0)))
-    supports = F.transform(F.filter(told, lambda x: x["label"] == SUPPORT), lambda x: _argument(x["i"], x["u"], claim, lang, x["p"], F.round(x["score"], 4)))
+    supports = F.transform(F.filter(told, lambda x: x["label"] == SUPPORT), lambda x: _argument(x["i"], x["u"], claim, lang, F.round(x["score"], 4)))
     return F.when(F.size(supports) > 0, supports.cast(ARGUMENT)).otherwise(plain)
 
 
@@ -128,12 +132,12 @@ def _necessary(x: Column) -> Column:
     return F.coalesce(x.rlike(f"(?iu){NOT_BEFORE}{NECESSITY}{NOT_AFTER}"), F.lit(False))
 
 
-def non_sequiturs(args: Column, models: Models) -> Column:
+def non_sequiturs(args: Column, used: Column, models: Models) -> Column:
     """Array of SEQUITURS: of each thesis the worst argument that is known not to yield it."""
     if models.entail is unknown_all:
         return none_of(SEQUITURS)
     long = F.filter(args, lambda a: (strip(a["thesis"]) != "") & (strip(a["thesis"]) != strip(a["text"])) & (F.size(F.filter(F.split(a["text"], f"{WHITE}+"), lambda w: w != "")) >= MIN_WORDS))
-    asked = F.transform(long, lambda a: F.struct(arguments.context(a["text"], a["premises"]).alias("premise"), strip(a["thesis"]).alias("hypothesis")))
+    asked = F.transform(long, lambda a: F.struct(arguments.context(a["text"], premises_of(a, used)).alias("premise"), strip(a["thesis"]).alias("hypothesis")))
     scored = F.zip_with(long, models.entail(asked), lambda a, p: F.struct(a.alias("a"), p.alias("p")))
 
     def finding(x: Column) -> Column:
@@ -167,14 +171,14 @@ def restatable(premise: Column, thesis: Column) -> Column:
     return (premise != "") & (thesis != "") & (premise != thesis) & ~conditional & (arguments.content_jaccard(premise, thesis) <= RESTATED)
 
 
-def circles(args: Column, models: Models) -> Column:
+def circles(args: Column, used: Column, models: Models) -> Column:
     """Array of CIRCLES: of each thesis the most severe premise that entails it and is entailed by it; an argument counts its first."""
     if models.entail is unknown_all:
         return none_of(CIRCLES)
 
     def pairs_of(a: Column) -> Column:
         thesis = strip(a["thesis"])
-        each = F.transform(F.concat(F.array(a["text"]), a["premises"]), lambda p: F.struct(a["arg_idx"].alias("arg_idx"), thesis.alias("thesis"), strip(p).alias("premise")))
+        each = F.transform(F.concat(F.array(a["text"]), premises_of(a, used)), lambda p: F.struct(a["arg_idx"].alias("arg_idx"), thesis.alias("thesis"), strip(p).alias("premise")))
         return F.filter(each, lambda x: restatable(x["premise"], x["thesis"]))
 
     pairs = F.flatten(F.transform(args, pairs_of))
@@ -281,7 +285,7 @@ def integrity(declared: Column, latent: Column, models: Models) -> Column:
 def assessed(docs: DataFrame, models: Models = Models(), tables: dict[str, list] | None = None, terms: dict[str, list[str]] = ARGUMENTATIVE) -> DataFrame:  # noqa: B008
     """Annotated docs (doc_id, text, lang; declared, latent: a model's objective, if known) with all findings as columns.
 
-    sents, spans, units, parsed, coherence, fallacies, arguments, sequiturs, circles, premises,
+    sents, spans, units, used (premises by unit), parsed, coherence, fallacies, arguments, sequiturs, circles, premises,
     verdicts, integrity, beside those of profile.annotated.
     """
     goal = [c for c in ("declared", "latent") if c in docs.columns]
@@ -290,9 +294,9 @@ def assessed(docs: DataFrame, models: Models = Models(), tables: dict[str, list]
     rows = notes.withColumns({"spans": spans(F.col("text")), "units": F.transform("sents", strip)})
     rows = rows.withColumn("parsed", models.parse(F.col("sents"), lang)) if models.parse else rows
     parsed = F.col("parsed") if models.parse else None
-    rows = rows.withColumns({"coherence": embed.coherence(F.col("sents"), models.encode, models.topics), "near": embed.used_premises(F.col("units"), models.encode)})
-    rows = rows.withColumns({"patterns": pattern_fallacies(F.col("text"), lang, tables), "seen": model_fallacies(F.col("sents"), lang, models, terms), "arguments": inventory(F.col("units"), lang, premises_of(F.col("units"), F.col("near")), models)})
-    rows = rows.withColumns({"fallacies": one_of_each(F.concat(confirmed(F.col("patterns"), F.col("seen"), F.col("spans")), F.col("seen"))), "sequiturs": non_sequiturs(F.col("arguments"), models), "circles": circles(F.col("arguments"), models), "premises": premises(F.col("sents"), lang, parsed, models)})
+    rows = rows.withColumns({"coherence": embed.coherence(F.col("sents"), models.encode, models.topics), "used": premises_used(F.col("units"), embed.used_premises(F.col("units"), models.encode))})
+    rows = rows.withColumns({"patterns": pattern_fallacies(F.col("text"), lang, tables), "seen": model_fallacies(F.col("sents"), lang, models, terms), "arguments": inventory(F.col("units"), lang, models)})
+    rows = rows.withColumns({"fallacies": one_of_each(F.concat(confirmed(F.col("patterns"), F.col("seen"), F.col("spans")), F.col("seen"))), "sequiturs": non_sequiturs(F.col("arguments"), F.col("used"), models), "circles": circles(F.col("arguments"), F.col("used"), models), "premises": premises(F.col("sents"), lang, parsed, models)})
     rows = rows.withColumn("verdicts", verdicts(F.col("text"), F.col("arguments"), F.col("fallacies"), F.col("sequiturs")))
     told = integrity(F.col("declared"), F.col("latent") if "latent" in goal else F.lit(None).cast("string"), models) if "declared" in goal else F.lit(None).cast("struct<value double, kind string, p double>")
-    return rows.withColumn("integrity", told).drop("near", "patterns", "seen", *goal)
+    return rows.withColumn("integrity", told).drop("patterns", "seen", *goal)

@@ -98,7 +98,7 @@ def analysis(docs: DataFrame, models: Models = Models(), tables: dict[str, list]
     """One row a document with every component, the score, findings and what led to them. Row-local: no shuffle at all.
 
     doc_id, lang, chars, n_sentence, n_token, components, epsilon, state, warnings, density,
-    density_band, found (FOUND), arguments, fallacies, sequiturs, circles, verdicts, premises, integrity, summary.
+    density_band, found (FOUND), arguments, used, fallacies, sequiturs, circles, verdicts, premises, integrity, summary.
     """
     notes = profile.profile(assess.assessed(docs, models, tables, terms))
     if models.parse:
@@ -135,7 +135,7 @@ def analysis(docs: DataFrame, models: Models = Models(), tables: dict[str, list]
         F.size(F.filter("verdicts", lambda v: ~v["valid"])).alias("n_invalid"), F.col("coherence.drift").alias("drift"), arguments.objective(F.col("text")).alias("objective"),
         F.filter(F.array(*[F.when(c.isNull(), F.lit(k)) for k, c in measured.items()]), lambda x: x.isNotNull()).alias("unmeasured"), backends.alias("backends"), F.lit(models.degraded).alias("degraded"),
     )
-    rows = notes.select("doc_id", "lang", F.length("text").alias("chars"), F.size("sents").cast("long").alias("n_sentence"), "n_token", *[c.alias(k) for k, c in measured.items()], "density", "density_band", "found", "arguments", "fallacies", "sequiturs", "circles", "verdicts", "premises", "integrity", summary.alias("summary"))
+    rows = notes.select("doc_id", "lang", F.length("text").alias("chars"), F.size("sents").cast("long").alias("n_sentence"), "n_token", *[c.alias(k) for k, c in measured.items()], "density", "density_band", "found", "arguments", "used", "fallacies", "sequiturs", "circles", "verdicts", "premises", "integrity", summary.alias("summary"))
     rows = rows.withColumn("epsilon", geometric_mean({k: F.col(k) for k in WEIGHTS}))
     high = F.when(F.col("epsilon") > TOO_HIGH, F.array(F.lit(BALANCE))).otherwise(F.array().cast("array<string>"))
     return rows.withColumns({"state": F.when(F.col("epsilon") > STATE, ">d").otherwise("<d"), "warnings": high})
