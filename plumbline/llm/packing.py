@@ -4,8 +4,9 @@ Each document's hashed byte n-gram vector is projected to a few dimensions, the
 key is the sort key of a range partitioning, and each range is filled into sequences in key order,
 so that a sequence holds neighbouring documents. The ranges hold equal bytes, as far as a sample of
 keys tells; a key that fills several ranges (many equal texts) is dealt to all of them in turn,
-which keeps the order. One shuffle moves the texts; the tokens never move. Only the last sequence
-of a range can be short.
+which keeps the order. One shuffle moves the texts; the tokens never move. Neighbouring copies of a
+row, as mixing leaves them, travel as one row with a count. Only the last sequence of a range can be
+short.
 
 Defined results: a null text counts as empty (one piece with the end id); a null id is kept;
 repeated rows are packed each on its own; equal keys go by id and text; texts of any length are
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import small_batches
 
 BUCKETS, DIMS, BITS, BLOCK = 2048, 3, 10, 1 << 20
-#: Sampled keys for each range, in expectation, from which the ranges' ends are told.
-SAMPLED = 64
+#: Sampled keys for each range, in expectation, from which the ranges' ends are told; most copies that travel as one row.
+SAMPLED, RUN = 64, 64
 
 #: Piece rows of a packing.
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -136,16 +137,17 @@ def _fill(batches: Iterator[pa.RecordBatch], vocabulary: str, length: int, end_i
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for doc_id, text, copies in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copies")), strict=True):
             ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
-            start = 0
-            while start < len(ids):
-                take = min(length - used, len(ids) - start)
-                crc = zlib.crc32(ids[start : start + take].tobytes())
-                rows.append((doc_id, start, take, crc, len(ids), sequence, used))
-                start, used = start + take, used + take
-                if used == length:
-                    sequence, used = sequence + 1, 0
+            for _ in range(copies):
+                start = 0
+                while start < len(ids):
+                    take = min(length - used, len(ids) - start)
+                    crc = zlib.crc32(ids[start : start + take].tobytes())
+                    rows.append((doc_id, start, take, crc, len(ids), sequence, used))
+                    start, used = start + take, used + take
+                    if used == length:
+                        sequence, used = sequence + 1, 0
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), names)
 
 
@@ -172,6 +174,19 @@ def _ranges(keys: np.ndarray, ends: np.ndarray, seen: int) -> np.ndarray:
     return first + (seen + np.arange(len(keys))) % (last - first + 1)
 
 
+def _runs(ids: list, texts: list) -> tuple[list[int], list[int]]:
+    """Places of the first of equal neighbours, and how many there are, RUN at most."""
+    firsts: list[int] = []
+    counts: list[int] = []
+    for k, row in enumerate(zip(ids, texts, strict=True)):
+        if firsts and counts[-1] < RUN and row == (ids[firsts[-1]], texts[firsts[-1]]):
+            counts[-1] += 1
+        else:
+            firsts.append(k)
+            counts.append(1)
+    return firsts, counts
+
+
 def pack(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0) -> DataFrame:
     """Pieces of all documents (doc_id, text) in sequences of at most length tokens."""
     spark = docs.sparkSession
@@ -183,13 +198,16 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0)
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
         for b in batches:
-            keys = curve_keys(b.column("text").to_pylist())
+            own, texts_ = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            firsts, counts = _runs(own, texts_)
+            keys = curve_keys([texts_[k] for k in firsts])
             ranges = _ranges(keys, ends, seen)
             seen += len(keys)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(keys, pa.int64()), pa.array(ranges, pa.int32())], ["doc_id", "text", "curve", "part"])
+            one = b.take(pa.array(firsts, pa.int32()))
+            yield pa.RecordBatch.from_arrays([one.column("doc_id"), one.column("text"), pa.array(counts, pa.int32()), pa.array(keys, pa.int64()), pa.array(ranges, pa.int32())], ["doc_id", "text", "copies", "curve", "part"])
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _fill(batches, vocabulary, length, end_id)
 
-    along = texts.mapInArrow(keyed, "doc_id long, text string, curve long, part int").repartitionById(tasks, "part")
-    return along.sortWithinPartitions("curve", "doc_id", F.crc32(F.col("text").cast("binary"))).select("doc_id", "text").mapInArrow(filled, SCHEMA)
+    along = texts.mapInArrow(keyed, "doc_id long, text string, copies int, curve long, part int").repartitionById(tasks, "part")
+    return along.sortWithinPartitions("curve", "doc_id", F.crc32(F.col("text").cast("binary"))).select("doc_id", "text", "copies").mapInArrow(filled, SCHEMA)
