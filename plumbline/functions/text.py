@@ -41,6 +41,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bind(body, *values: Column) -> Column:
+    """body of values that are each evaluated once, however often body's lambdas use them."""
+    return let(F.struct(*[v.alias(f"v{k}") for k, v in enumerate(values)]), lambda s: body(*[s[f"v{k}"] for k in range(len(values))]))
+
+
 def lexicon(lang: Column, name: str) -> Column:
     """Array of a file lexicon's terms."""
     return by_file_lang(lang, lambda k: F.array(*[F.lit(t) for t in LEXICONS[k][name]]), F.array().cast("array<string>"))

@@ -27,7 +27,7 @@ from plumbline.functions.fixed import (
     SUPPORT,
     UNIT_QUESTION,
 )
-from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, WHITE, let, spans, strip
+from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, WHITE, bind, let, spans, strip
 from plumbline.operators import arguments, embed, profile
 from plumbline.operators.findings import FALLACY, argumentative, first_best, none_of, pattern_fallacies
 from plumbline.sources.providers import Models, even_all, unknown_all
@@ -81,13 +81,13 @@ def model_fallacies(sents: Column, lang: Column, models: Models, terms: dict[str
 def confirmed(patterns: Column, model: Column, places: Column) -> Column:
     """Pattern fallacies with confirmed: the model sees the same kind in the sentence where they begin, or anywhere if none holds them."""
 
-    def told(f: Column) -> Column:
+    def told(f: Column, model: Column, places: Column) -> Column:
         inside = F.filter(F.transform(places, lambda s, i: F.struct(i.alias("i"), s["start"].alias("a"), s["end"].alias("b"))), lambda s: (s["a"] <= f["start"]) & (f["start"] < s["b"]))
         here = F.get(inside, F.lit(0))["i"]
         same = F.exists(model, lambda m: (m["kind"] == f["kind"]) & (here.isNull() | (m["sent_idx"] == here)))
         return F.struct(*[f[c].alias(c) for c in ("kind", "start", "end", "severity", "confidence")], same.alias("confirmed"), f["source"].alias("source"), here.alias("sent_idx"), f["match"].alias("match"))
 
-    return F.transform(patterns, told).cast(FALLACY)
+    return bind(lambda p, m, s: F.transform(p, lambda f: told(f, m, s)), patterns, model, places).cast(FALLACY)
 
 
 def one_of_each(found: Column) -> Column:
@@ -97,7 +97,7 @@ def one_of_each(found: Column) -> Column:
 
 def premises_used(units: Column, near: Column) -> Column:
     """For each unit the units that it uses as premises."""
-    return F.transform(near, lambda own: F.transform(own, lambda j: F.get(units, j)))
+    return bind(lambda u, n: F.transform(n, lambda own: F.transform(own, lambda j: F.get(u, j))), units, near)
 
 
 def premises_of(a: Column, used: Column) -> Column:
@@ -114,17 +114,20 @@ def inventory(units: Column, lang: Column, models: Models) -> Column:
     """Array of ARGUMENT: units that a model calls support of its first claim; else, with a conclusive marker, all units but the last marked one."""
     listed = F.transform(units, lambda u, i: F.struct(i.alias("i"), u.alias("u")))
 
-    def marked(t: Column) -> Column:
-        goal = F.get(units, t)
-        return F.transform(F.filter(listed, lambda x: x["i"] != t), lambda x: _argument(x["i"], x["u"], goal, lang, F.lit(0.0)))
+    def marked(own: Column, t: Column) -> Column:
+        all_, goal = F.transform(own, lambda u, i: F.struct(i.alias("i"), u.alias("u"))), F.get(own, t)
+        return bind(lambda x, g: F.transform(F.filter(x, lambda y: y["i"] != t), lambda y: _argument(y["i"], y["u"], g, lang, F.lit(0.0))), all_, goal)
 
-    plain = F.coalesce(let(arguments.thesis_index(units, lang), lambda t: F.when(t.isNotNull(), marked(t))), none_of(ARGUMENT)).cast(ARGUMENT)
+    plain = F.coalesce(bind(lambda own: let(arguments.thesis_index(own, lang), lambda t: F.when(t.isNotNull(), marked(own, t))), units), none_of(ARGUMENT)).cast(ARGUMENT)
     if models.label is even_all:
         return plain
     best = F.transform(models.label(units, [CLAIM, SUPPORT, NEITHER], UNIT_QUESTION, False), lambda r: F.get(r, F.lit(0)))
     told = F.zip_with(listed, best, lambda x, b: F.struct(x["i"].alias("i"), x["u"].alias("u"), F.when(b["score"] > UNIT_LEAST, b["label"]).alias("label"), b["score"].alias("score")))
-    claim = F.coalesce(F.get(F.filter(told, lambda x: x["label"] == CLAIM), F.lit(0))["u"], F.get(units, F.lit(0)))
-    supports = F.transform(F.filter(told, lambda x: x["label"] == SUPPORT), lambda x: _argument(x["i"], x["u"], claim, lang, F.round(x["score"], 4)))
+    def supported(all_: Column) -> Column:
+        claim = F.coalesce(F.get(F.filter(all_, lambda x: x["label"] == CLAIM), F.lit(0))["u"], F.get(all_, F.lit(0))["u"])
+        return let(claim, lambda c: F.transform(F.filter(all_, lambda x: x["label"] == SUPPORT), lambda x: _argument(x["i"], x["u"], c, lang, F.round(x["score"], 4))))
+
+    supports = let(told, supported)
     return F.when(F.size(supports) > 0, supports.cast(ARGUMENT)).otherwise(plain)
 
 
@@ -132,13 +135,25 @@ def _necessary(x: Column) -> Column:
     return F.coalesce(x.rlike(f"(?iu){NOT_BEFORE}{NECESSITY}{NOT_AFTER}"), F.lit(False))
 
 
-def non_sequiturs(args: Column, used: Column, models: Models) -> Column:
-    """Array of SEQUITURS: of each thesis the worst argument that is known not to yield it."""
+def sequitur_pairs(args: Column, used: Column) -> Column:
+    """Array of (a, premise, hypothesis): arguments that are long enough and have a thesis, with what should yield it."""
+
+    def pairs(args: Column, used: Column) -> Column:
+        long = F.filter(args, lambda a: (strip(a["thesis"]) != "") & (strip(a["thesis"]) != strip(a["text"])) & (F.size(F.filter(F.split(a["text"], f"{WHITE}+"), lambda w: w != "")) >= MIN_WORDS))
+        return F.transform(long, lambda a: F.struct(a.alias("a"), arguments.context(a["text"], premises_of(a, used)).alias("premise"), strip(a["thesis"]).alias("hypothesis")))
+
+    return bind(pairs, args, used)
+
+
+def _asked(pairs: Column) -> Column:
+    return F.transform(pairs, lambda x: F.struct(x["premise"].alias("premise"), x["hypothesis"].alias("hypothesis")))
+
+
+def non_sequiturs(pairs: Column, models: Models) -> Column:
+    """Array of SEQUITURS of sequitur_pairs: of each thesis the worst argument that is known not to yield it."""
     if models.entail is unknown_all:
         return none_of(SEQUITURS)
-    long = F.filter(args, lambda a: (strip(a["thesis"]) != "") & (strip(a["thesis"]) != strip(a["text"])) & (F.size(F.filter(F.split(a["text"], f"{WHITE}+"), lambda w: w != "")) >= MIN_WORDS))
-    asked = F.transform(long, lambda a: F.struct(arguments.context(a["text"], premises_of(a, used)).alias("premise"), strip(a["thesis"]).alias("hypothesis")))
-    scored = F.zip_with(long, models.entail(asked), lambda a, p: F.struct(a.alias("a"), p.alias("p")))
+    scored = F.zip_with(pairs, models.entail(_asked(pairs)), lambda x, p: F.struct(x["a"].alias("a"), p.alias("p")))
 
     def finding(x: Column) -> Column:
         need = _necessary(x["a"]["thesis"]) | _necessary(x["a"]["text"])
@@ -171,21 +186,27 @@ def restatable(premise: Column, thesis: Column) -> Column:
     return (premise != "") & (thesis != "") & (premise != thesis) & ~conditional & (arguments.content_jaccard(premise, thesis) <= RESTATED)
 
 
-def circles(args: Column, used: Column, models: Models) -> Column:
-    """Array of CIRCLES: of each thesis the most severe premise that entails it and is entailed by it; an argument counts its first."""
-    if models.entail is unknown_all:
-        return none_of(CIRCLES)
+def circle_pairs(args: Column, used: Column) -> Column:
+    """Array of (arg_idx, thesis, shown, premise, hypothesis): each premise that may make a circle with its thesis, as it is and as it is compared."""
+
+    def pairs(args: Column, used: Column) -> Column:
+        def of(a: Column) -> Column:
+            each = F.transform(F.concat(F.array(a["text"]), premises_of(a, used)), lambda p: F.struct(a["arg_idx"].alias("arg_idx"), strip(a["thesis"]).alias("thesis"), strip(p).alias("shown")))
+            live = F.filter(each, lambda x: restatable(x["shown"], x["thesis"]))
+            return F.transform(live, lambda x: F.struct(x["arg_idx"].alias("arg_idx"), x["thesis"].alias("thesis"), x["shown"].alias("shown"), enriched(x["shown"], x["thesis"]).alias("premise"), x["thesis"].alias("hypothesis")))
 
-    def pairs_of(a: Column) -> Column:
-        thesis = strip(a["thesis"])
-        each = F.transform(F.concat(F.array(a["text"]), premises_of(a, used)), lambda p: F.struct(a["arg_idx"].alias("arg_idx"), thesis.alias("thesis"), strip(p).alias("premise")))
-        return F.filter(each, lambda x: restatable(x["premise"], x["thesis"]))
+        return F.flatten(F.transform(args, of))
 
-    pairs = F.flatten(F.transform(args, pairs_of))
-    forth = F.transform(pairs, lambda x: F.struct(enriched(x["premise"], x["thesis"]).alias("premise"), x["thesis"].alias("hypothesis")))
-    back = F.transform(forth, lambda x: F.struct(x["hypothesis"].alias("premise"), x["premise"].alias("hypothesis")))
-    least = F.zip_with(models.entail(forth), models.entail(back), lambda a, b: F.least(a, b))
-    scored = F.zip_with(pairs, least, lambda x, s: F.struct(x["arg_idx"].alias("arg_idx"), x["thesis"].alias("thesis"), x["premise"].alias("premise"), s.alias("s")))
+    return bind(pairs, args, used)
+
+
+def circles(pairs: Column, models: Models) -> Column:
+    """Array of CIRCLES of circle_pairs: of each thesis the most severe premise that entails it and is entailed by it; an argument counts its first."""
+    if models.entail is unknown_all:
+        return none_of(CIRCLES)
+    back = F.transform(pairs, lambda x: F.struct(x["hypothesis"].alias("premise"), x["premise"].alias("hypothesis")))
+    least = F.zip_with(models.entail(_asked(pairs)), models.entail(back), lambda a, b: F.least(a, b))
+    scored = F.zip_with(pairs, least, lambda x, s: F.struct(x["arg_idx"].alias("arg_idx"), x["thesis"].alias("thesis"), x["shown"].alias("premise"), s.alias("s")))
     hits = F.filter(scored, lambda x: x["s"] >= CIRCLE)
     first = first_best(hits, lambda x: x["arg_idx"], lambda _: F.lit(0))
     shown = F.transform(first, lambda x: F.struct(F.substring(x["thesis"], 1, HEAD).alias("thesis"), F.substring(x["premise"], 1, HEAD).alias("premise"), F.round(x["s"], 4).alias("severity"))).cast(CIRCLES)
@@ -197,20 +218,24 @@ def candidates(sents: Column, parsed: Column | None) -> Column:
     if parsed is None:
         return F.slice(sents, 1, CANDIDATES)
 
-    def spoken(words: Column) -> Column:
-        placed = F.transform(words, lambda w, i: F.struct((i + 1).alias("at"), w.alias("w")))
-        root = F.get(F.filter(placed, lambda p: (p["w"]["deprel"] == "root") & p["w"]["upos"].isin("VERB", "AUX")), F.lit(0))
-        name = lambda w: F.coalesce(F.nullif(w["lemma"], F.lit("")), w["text"])
+    name = lambda w: F.coalesce(F.nullif(w["lemma"], F.lit("")), w["text"])
 
+    def spoken(placed: Column, root: Column) -> Column:
         def last(relations: list[str]) -> Column:
             own = F.filter(placed, lambda p: (p["w"]["head"] == root["at"]) & p["w"]["deprel"].isin(*relations))
             return F.when(F.size(own) > 0, name(F.element_at(own, -1)["w"])).otherwise(F.lit(""))
 
-        subject, verb = last(["nsubj", "nsubj:pass"]), F.coalesce(root["w"]["lemma"], F.lit(""))
-        said = strip(F.concat_ws(" ", subject, verb, last(["obj", "obl", "ccomp", "xcomp"])))
-        return F.when((subject != "") & (verb != "") & (F.length(said) > 6), said)
+        def said(subject: Column, verb: Column, rest: Column) -> Column:
+            whole = strip(F.concat_ws(" ", subject, verb, rest))
+            return F.when((subject != "") & (verb != "") & (F.length(whole) > 6), whole)
 
-    return F.slice(F.array_compact(F.transform(parsed, spoken)), 1, CANDIDATES)
+        return bind(said, last(["nsubj", "nsubj:pass"]), F.coalesce(root["w"]["lemma"], F.lit("")), last(["obj", "obl", "ccomp", "xcomp"]))
+
+    def sentence(words: Column) -> Column:
+        placed = F.transform(words, lambda w, i: F.struct((i + 1).alias("at"), w.alias("w")))
+        return let(placed, lambda p: let(F.get(F.filter(p, lambda x: (x["w"]["deprel"] == "root") & x["w"]["upos"].isin("VERB", "AUX")), F.lit(0)), lambda root: spoken(p, root)))
+
+    return F.slice(F.array_compact(F.transform(parsed, sentence)), 1, CANDIDATES)
 
 
 def is_suspect(candidate: Column, lang: Column) -> Column:
@@ -249,16 +274,14 @@ def verdicts(text: Column, args: Column, fallacies: Column, sequiturs: Column) -
 
     A key recurs there if the stretch from the place's start up to the key's length past its end holds it.
     """
-    low = F.lower(text)
-
-    def verdict(a: Column) -> Column:
+    def verdict(a: Column, low: Column, fallacies: Column, sequiturs: Column) -> Column:
         key = F.lower(F.substring(a["text"], 1, KEY_CHARS))
         near = F.filter(fallacies, lambda f: (key != "") & F.contains(F.substring(low, f["start"] + 1, f["end"] - f["start"] + AFTER_SPAN + F.length(key)), key))
         fallacy = F.get(near, F.lit(0))["kind"]
         loose = F.exists(sequiturs, lambda s: s["text"] == F.substring(a["text"], 1, HEAD))
         return F.struct(a["arg_idx"].alias("arg_idx"), a["kind"].alias("kind"), (fallacy.isNull() & ~loose).alias("valid"), fallacy.alias("fallacy"))
 
-    return F.transform(args, verdict).cast(VERDICTS)
+    return bind(lambda low, own, f, s: F.transform(own, lambda a: verdict(a, low, f, s)), F.lower(text), args, fallacies, sequiturs).cast(VERDICTS)
 
 
 def integrity(declared: Column, latent: Column, models: Models) -> Column:
@@ -296,7 +319,10 @@ def assessed(docs: DataFrame, models: Models = Models(), tables: dict[str, list]
     parsed = F.col("parsed") if models.parse else None
     rows = rows.withColumns({"coherence": embed.coherence(F.col("sents"), models.encode, models.topics), "used": premises_used(F.col("units"), embed.used_premises(F.col("units"), models.encode))})
     rows = rows.withColumns({"patterns": pattern_fallacies(F.col("text"), lang, tables), "seen": model_fallacies(F.col("sents"), lang, models, terms), "arguments": inventory(F.col("units"), lang, models)})
-    rows = rows.withColumns({"fallacies": one_of_each(F.concat(confirmed(F.col("patterns"), F.col("seen"), F.col("spans")), F.col("seen"))), "sequiturs": non_sequiturs(F.col("arguments"), F.col("used"), models), "circles": circles(F.col("arguments"), F.col("used"), models), "premises": premises(F.col("sents"), lang, parsed, models)})
+    rows = rows.withColumns({"fallacies": one_of_each(F.concat(confirmed(F.col("patterns"), F.col("seen"), F.col("spans")), F.col("seen"))), "premises": premises(F.col("sents"), lang, parsed, models)})
+    if models.entail is not unknown_all:
+        rows = rows.withColumns({"follows": sequitur_pairs(F.col("arguments"), F.col("used")), "returns": circle_pairs(F.col("arguments"), F.col("used"))})
+    rows = rows.withColumns({"sequiturs": non_sequiturs(F.col("follows"), models), "circles": circles(F.col("returns"), models)})
     rows = rows.withColumn("verdicts", verdicts(F.col("text"), F.col("arguments"), F.col("fallacies"), F.col("sequiturs")))
     told = integrity(F.col("declared"), F.col("latent") if "latent" in goal else F.lit(None).cast("string"), models) if "declared" in goal else F.lit(None).cast("struct<value double, kind string, p double>")
-    return rows.withColumn("integrity", told).drop("patterns", "seen", *goal)
+    return rows.withColumn("integrity", told).drop("patterns", "seen", "follows", "returns", *goal)

@@ -106,7 +106,9 @@ def nearest(x: np.ndarray, y: np.ndarray, top: int, skip_own: bool) -> tuple[np.
         sim = x[at : at + BLOCK] @ y.T
         if skip_own:
             sim[np.arange(len(sim)), at + np.arange(len(sim))] = -1.0
-        order = np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :top]
+        # Rounded, so that sums in another order tie alike.
+        sim = np.round(sim, 12)
+        order = np.argsort(-sim, axis=1, kind="stable")[:, :top]
         places[at : at + BLOCK], cosines[at : at + BLOCK] = order, np.take_along_axis(sim, order, 1)
     return places, cosines
 
@@ -176,8 +178,8 @@ def top_neighbours(rows: DataFrame, key: str, vector: str, group: str, top: int
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
         out = []
         for k, row in zip(a["k"], x, strict=True):
-            sim = y @ row
-            near = [j for j in np.argsort(-np.round(sim, 12), kind="stable")[: top + 1] if b["k"].iloc[j] != k and sim[j] > least][:top]
+            sim = np.round(y @ row, 12)
+            near = [j for j in np.argsort(-sim, kind="stable")[: top + 1] if b["k"].iloc[j] != k and sim[j] > least][:top]
             out += [(a["g"].iloc[0], k, b["k"].iloc[j], float(sim[j])) for j in near]
         return pd.DataFrame(out, columns=["g", "k", "neighbour", "cosine"])
 

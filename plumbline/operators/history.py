@@ -51,7 +51,7 @@ def approved(runs: DataFrame, labels: DataFrame, key: str, verdict: Column) -> D
 def trace_flag(bad_json: Column, error: Column, finish: Column, length: Column) -> Column:
     """Health of a model call: the first of these that holds."""
     return (
-        F.when(bad_json, "bad_json").when(error, "error").when((finish == "length") & (length == 0), "truncated_empty").when(length == 0, "empty").when(finish == "length", "truncated").otherwise("ok")
+        F.when(bad_json, "bad_json").when(error, "error").when((finish == "length") & (length == 0), "truncated").when(length == 0, "empty").when(finish == "length", "truncated").otherwise("ok")
     )
 
 
@@ -80,16 +80,66 @@ def per_class(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
     return found.select("class", "n", "hits", (F.col("hits") / F.col("n")).alias("accuracy"), low.alias("low"), high.alias("high"))
 
 
-def stride_sample(rows: DataFrame, stratum: str, key: str, per_stratum: int) -> DataFrame:
-    """The same number of each stratum, evenly spread over its rows by key."""
+def stride_sample(rows: DataFrame, stratum: str, key: str, per_stratum: int = 0, natural: int = 0) -> DataFrame:
+    """Rows of each stratum evenly spread by key: the same number of each, or (natural: the whole) in proportion to their sizes, one at least.
+
+    Of n rows the i-th of k is taken at the place i n / k, rounded down.
+    """
     order = Window.partitionBy(stratum).orderBy(key)
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("size"))
+    if natural:
+        total = rows.agg(F.count("*")).first()[0]
+        wanted = F.greatest(F.lit(1), F.bround(F.lit(natural) * F.col("size") / F.lit(max(1, total))).cast("long"))
+    else:
+        wanted = F.lit(per_stratum)
     placed = rows.join(sizes, stratum).withColumn("nth", F.row_number().over(order) - 1)
-    take = F.least(F.lit(per_stratum), F.col("size"))
+    take = F.least(wanted, F.col("size"))
     chosen = (F.col("nth") * take) % F.col("size") < take
     return placed.where(chosen).drop("nth", "size")
 
 
+def forced_sample(rows: DataFrame, n: int) -> DataFrame:
+    """(doc_id, why) of about n gold rows (doc_id, lang: the stratum, positive, forced): all forced positives, the rest of 60 % by turns of the
+    strata, then negatives, forced ones (traps) first for half of their places, others spread evenly over the rest."""
+    ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy("positive", "forced", "lang").orderBy("doc_id")))
+    counts = rows.agg(F.count_if(F.col("positive") & F.col("forced")), F.count_if(~F.col("positive") & ~F.col("forced"))).first()
+    positives = max(counts[0], int(n * 0.6))
+    more = ranked.where(F.col("positive") & ~F.col("forced")).orderBy("turn", "lang", "doc_id").limit(positives - counts[0])
+    certain = rows.where(F.col("positive") & F.col("forced"))
+    negatives = max(6, n - positives)
+    traps = rows.where(~F.col("positive") & F.col("forced")).orderBy("doc_id").limit(max(6, negatives // 2))
+    left = negatives - traps.count()
+    step = max(1, counts[1] // max(1, left))
+    plain = rows.where(~F.col("positive") & ~F.col("forced")).withColumn("nth", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")) - 1)
+    spread = plain.where((F.col("nth") % step == 0) & (F.col("nth") < step * left))
+    parts = [(certain, "forced"), (more, "stratum"), (traps, "trap"), (spread, "spread")]
+    out = None
+    for part, why in parts:
+        own = part.select("doc_id", F.lit(why).alias("why"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def detector(gold: DataFrame, hits: DataFrame) -> DataFrame:
+    """(subtype, tp, fp, drop) of each marker: hits (id, subtype) on gold rows (id, positive); a marker with many false hits and no true one is to go."""
+    met = hits.join(gold, "id").groupBy("subtype").agg(F.count_if("positive").alias("tp"), F.count_if(~F.col("positive")).alias("fp"))
+    return met.withColumn("drop", (F.col("fp") > 5) & (F.col("tp") == 0))
+
+
+def detector_rates(gold: DataFrame, hits: DataFrame) -> DataFrame:
+    """(positives, found, recall, negatives, false, false_rate, passes): whether any marker fires, with the gates of recall and false alarms."""
+    met = gold.join(hits.select("id").distinct().withColumn("hit", F.lit(True)), "id", "left")
+    got = met.agg(F.count_if("positive").alias("positives"), F.count_if(F.col("positive") & F.col("hit")).alias("found"), F.count_if(~F.col("positive")).alias("negatives"), F.count_if(~F.col("positive") & F.col("hit")).alias("false"))
+    rates = got.withColumns({"recall": F.coalesce(F.try_divide("found", "positives"), F.lit(0.0)), "false_rate": F.coalesce(F.try_divide("false", "negatives"), F.lit(0.0))})
+    return rates.withColumn("passes", (F.col("recall") >= 0.5) & (F.col("false_rate") <= 0.25))
+
+
+def macro(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """(n, classes, accuracy, macro): macro averages the accuracies of the classes."""
+    per = rows.groupBy(gold).agg(F.count("*").alias("n"), F.count_if(F.col(gold) == F.col(predicted)).alias("hits"))
+    return per.agg(F.sum("n").alias("n"), F.count("*").alias("classes"), (F.sum("hits") / F.sum("n")).alias("accuracy"), F.avg(F.col("hits") / F.col("n")).alias("macro"))
+
+
 def recall(expected: DataFrame, found: DataFrame, keys: list[str]) -> float:
     n = expected.select(keys).distinct().count()
     return expected.select(keys).intersect(found.select(keys)).count() / n if n else math.nan

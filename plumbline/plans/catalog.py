@@ -259,7 +259,8 @@ def d_chunk_scores(spark, d):
 
 
 def d_reduced(spark, d):
-    return document.reduced(document.chunk_scores(document.cleaned_chunks(docs(spark, d))))
+    rows = document.reduced(document.chunk_scores(document.cleaned_chunks(docs(spark, d))))
+    return rows.select("doc_id", *[rounded(F.col(k), 6).alias(k) for k in ("epsilon", "lowest", "highest")], "n_chunks", "chars")
 
 
 def d_reports(spark, d):
