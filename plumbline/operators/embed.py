@@ -167,13 +167,13 @@ def top_neighbours(rows: DataFrame, key: str, vector: str, group: str, top: int
     placed = base.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     asks = placed.select("g", F.col("block").alias("i"), every.alias("j"), "k", "v")
-    gives = placed.select("g", every.alias("i"), F.col("block").alias("j"), "k", "v")
+    gives = placed.select(F.col("g").alias("g2"), every.alias("i2"), F.col("block").alias("j2"), F.col("k").alias("k2"), F.col("v").alias("v2"))
     kind = dict(rows.dtypes)[group]
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"g": [], "k": [], "neighbour": [], "cosine": []})
-        b = b.sort_values("k")
+        b = b.rename(columns={"k2": "k", "v2": "v"}).sort_values("k")
         x, y = (np.stack(d["v"].to_numpy()) for d in (a, b))
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
         out = []
@@ -183,6 +183,6 @@ def top_neighbours(rows: DataFrame, key: str, vector: str, group: str, top: int
             out += [(a["g"].iloc[0], k, b["k"].iloc[j], float(sim[j])) for j in near]
         return pd.DataFrame(out, columns=["g", "k", "neighbour", "cosine"])
 
-    best = asks.groupBy("g", "i", "j").cogroup(gives.groupBy("g", "i", "j")).applyInPandas(meet, f"g {kind}, k long, neighbour long, cosine double")
+    best = asks.groupBy("g", "i", "j").cogroup(gives.groupBy("g2", "i2", "j2")).applyInPandas(meet, f"g {kind}, k long, neighbour long, cosine double")
     order = Window.partitionBy("g", "k").orderBy(F.desc(F.round("cosine", 12)), "neighbour")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(F.col("g").alias(group), F.col("k").alias(key), "rank", "neighbour", "cosine")

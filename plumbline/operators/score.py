@@ -146,9 +146,14 @@ def components(docs: DataFrame, models: Models = Models()) -> DataFrame:  # noqa
     return analysis(docs, models).select("doc_id", "lang", "chars", "n_sentence", "n_token", *WEIGHTS, F.col("summary.drift").alias("drift"))
 
 
+def _shown(x: Column, digits: int) -> Column:
+    """Rounded with ties upward, whatever the order of the sums."""
+    return rounded(F.round(x.cast("double"), 10) + 1e-9, digits)
+
+
 def scored(analysed: DataFrame, *keep: str) -> DataFrame:
     """(doc_id, lang, n_sentence, n_token, components..., epsilon, state, keep...) of analysed rows: rounded once, at the edge."""
-    return analysed.select("doc_id", "lang", "n_sentence", "n_token", *[rounded(F.col(k), 4).alias(k) for k in WEIGHTS], rounded(F.col("epsilon"), 4).alias("epsilon"), "state", *keep)
+    return analysed.select("doc_id", "lang", "n_sentence", "n_token", *[_shown(F.col(k), 4).alias(k) for k in WEIGHTS], _shown(F.col("epsilon"), 4).alias("epsilon"), "state", *keep)
 
 
 def score(docs: DataFrame, models: Models = Models()) -> DataFrame:  # noqa: B008
@@ -164,7 +169,7 @@ def genesis(rows: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     erosion = -weight / F.col("total") * F.log(F.greatest(F.lit(FLOOR), F.least(F.lit(1.0), F.col("value"))))
     ranked = each.withColumn("erosion", erosion)
     order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("erosion", 9)), "component")
-    return ranked.select("doc_id", "component", rounded(F.col("value"), 4).alias("value"), rounded(F.col("erosion"), 6).alias("erosion"), F.row_number().over(order).alias("rank"))
+    return ranked.select("doc_id", "component", _shown(F.col("value"), 4).alias("value"), _shown(F.col("erosion"), 6).alias("erosion"), F.row_number().over(order).alias("rank"))
 
 
 def message(kind: Column, severity: Column, confidence: Column, detail: Column) -> Column:
@@ -194,7 +199,7 @@ def causes(analysed: DataFrame) -> DataFrame:
         erosion = -F.lit(w) / total * F.log(F.greatest(F.lit(FLOOR), F.least(F.lit(1.0), F.col(k))))
         own = F.filter("found", lambda x: x["confirmed"] & (_eroded(x["kind"]) == k))
         kinds = F.transform(F.array_sort(F.transform(own, lambda x: F.struct((-x["severity"]).alias("minus"), x["kind"].alias("kind")))), lambda x: x["kind"])
-        return F.when(F.col(k).isNotNull(), F.struct((-F.round(erosion, 9)).alias("order"), F.lit(k).alias("component"), rounded(F.col(k), 4).alias("value"), rounded(erosion, 6).alias("erosion"), kinds.alias("causes")))
+        return F.when(F.col(k).isNotNull(), F.struct((-F.round(erosion, 9)).alias("order"), F.lit(k).alias("component"), _shown(F.col(k), 4).alias("value"), _shown(erosion, 6).alias("erosion"), kinds.alias("causes")))
 
     each = F.array_sort(F.array_compact(F.array(*[row(k, w) for k, w in WEIGHTS.items()])))
     shown = analysed.select("doc_id", F.posexplode(each).alias("nth", "c"))

@@ -81,7 +81,7 @@ def p_profile(spark, d):
 
 def p_mtld(spark, d):
     p = profile.profile(notes(spark, d))
-    return p.select("doc_id", rounded(F.col("mtld"), 2).alias("mtld"), rounded(profile.syntax_quality(p), 4).alias("syntax_quality"))
+    return p.select("doc_id", rounded(F.col("mtld"), 2).alias("mtld"), rounded(F.round(profile.syntax_quality(p), 10) + 1e-9, 4).alias("syntax_quality"))
 
 
 def y_style(spark, d):

@@ -6,14 +6,9 @@ Builders take the name of a table (doc_id, text, lang) and give common table exp
 from __future__ import annotations
 
 from plumbline.functions.fixed import (
-    ABSTRACT_STOPWORDS,
     AUTHORITY,
     CONCLUSIVE,
     CONDITION,
-    ERODES,
-    EXPLICIT_PREMISE,
-    FALLACIES_EN,
-    FALLACIES_IT,
     FALLACY_LABELS,
     MARKERS,
     NECESSITY,
@@ -23,7 +18,7 @@ from plumbline.functions.fixed import (
     REFERENCE,
     WEIGHTS,
 )
-from plumbline.plans import judged
+from plumbline.plans import catalog, judged
 from plumbline.plans.sql import BIAS, BREAK, EXPLICIT, WS, _kind_sql, _list, _phrases, _sql, notes_of, sents, split_lines, strip
 
 LETTER = r"\p{L}\p{N}_"
@@ -156,7 +151,7 @@ def mtld_sql(source: str = "notes") -> str:
     return rf"""
         mw AS (SELECT doc_id, d, i, w FROM (SELECT doc_id, 0 AS d, CAST(generate_subscripts(words, 1) AS INTEGER) AS i, unnest(words) AS w FROM {source} UNION ALL SELECT doc_id, 1, CAST(generate_subscripts(words, 1) AS INTEGER), unnest(list_reverse(words)) FROM {source})),
         mp AS (SELECT doc_id, d, i, coalesce(lag(i) OVER (PARTITION BY doc_id, d, w ORDER BY i), 0) AS p FROM mw),
-        ml AS (SELECT doc_id, d, count(*) AS n, list({{'p': p, 'i': i, 's': 1, 't': 0, 'f': 0}} ORDER BY i) AS x FROM mp GROUP BY doc_id, d),
+        ml AS (SELECT doc_id, d, count(*) AS n, list({{'p': p, 'i': i, 's': 1, 't': 0, 'f': 0}} ORDER BY i) AS ws FROM mp GROUP BY doc_id, d),
         mf AS (SELECT doc_id, n, list_reduce(list_prepend({{'p': 0, 'i': 0, 's': 1, 't': 0, 'f': 0}}, ws), lambda a, x: {_STEP}) AS r FROM ml),
         mv AS (SELECT doc_id, n, r.f + CASE WHEN n >= r.s THEN least(1.0, greatest(0.0, (1 - r.t / (n - r.s + 1)::DOUBLE) / (1 - 0.72::DOUBLE))) ELSE 0 END AS k FROM mf),
         mt AS (SELECT {source}.doc_id, coalesce(avg(CASE WHEN k > 0 THEN n / k ELSE n END), 0) AS mtld FROM {source} LEFT JOIN mv ON mv.doc_id = {source}.doc_id GROUP BY 1)"""
@@ -204,11 +199,11 @@ def components_sql(table: str) -> str:
     return f"""{notes_of(table)}, {vectors_sql()}, {COHERENCE}, {mtld_sql()}, {BIAS}, {arguments_sql()},
         ag AS (SELECT doc_id, count(*) AS n, bool_or(kind = 'deductive') AS deductive FROM plain GROUP BY doc_id),
         comp AS (SELECT prof2.doc_id, lang, len(sents) AS sentences, n_token,
-            CASE WHEN {EXPLICIT} >= 2 THEN 1.0 END AS premise_transparency, 1.0 AS formal_validity, 1.0 AS fallacy_absence,
+            CASE WHEN {EXPLICIT} >= 2 THEN 1.0::DOUBLE END AS premise_transparency, 1.0::DOUBLE AS formal_validity, 1.0::DOUBLE AS fallacy_absence,
             CASE WHEN len(sents) = 0 THEN 0.0 ELSE least(1.0, least(1.0, coalesce(ag.n, 0) / len(sents)) + CASE WHEN coalesce(ag.deductive, false) THEN 0.1 ELSE 0.0 END) END AS argument_structure,
             greatest(0.0, least(1.0, local)) AS semantic_cohesion, thematic AS thematic_coherence, {syntax()} AS syntax_quality,
             greatest(0.0, 1 - CASE WHEN booster > 0.04 THEN least(1.0, booster / 0.12) ELSE 0.0 END) AS linguistic_bias,
-            CASE WHEN len({uncited(AUTHORITY)}) > 0 THEN 0.45 ELSE 0.75 END AS source_credibility, CAST(NULL AS DOUBLE) AS objective_integrity, drift, hedging, booster
+            CASE WHEN len({uncited(AUTHORITY)}) > 0 THEN 0.45::DOUBLE ELSE 0.75::DOUBLE END AS source_credibility, CAST(NULL AS DOUBLE) AS objective_integrity, drift, hedging, booster
             FROM prof2 JOIN coh USING (doc_id) JOIN mt USING (doc_id) JOIN b USING (doc_id) LEFT JOIN ag USING (doc_id))"""
 
 
@@ -218,14 +213,14 @@ def _weighted(value) -> str:
 
 TOTAL = _weighted(lambda k, w: str(w))
 EPSILON = f"exp(({_weighted(lambda k, w: f'{w} * ln(greatest(0.001, least(1.0, {k})))')}) / ({TOTAL}))"
-ROUNDED = ", ".join(f"round({k}, 4) AS {k}" for k in WEIGHTS)
-SCORED = f"SELECT doc_id, lang, CAST(sentences AS BIGINT) AS n_sentence, n_token, {ROUNDED}, round({EPSILON}, 4) AS epsilon, CASE WHEN {EPSILON} > 0.3 THEN '>d' ELSE '<d' END AS state FROM comp"
+ROUNDED = ", ".join(f"round(round({k}, 10) + 1e-9, 4) AS {k}" for k in WEIGHTS)
+SCORED = f"SELECT doc_id, lang, CAST(sentences AS BIGINT) AS n_sentence, n_token, {ROUNDED}, round(round({EPSILON}, 10) + 1e-9, 4) AS epsilon, CASE WHEN {EPSILON} > 0.3 THEN '>d' ELSE '<d' END AS state FROM comp"
 
 
 def genesis_sql(causes: bool) -> str:
     rows = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS component, {k} AS value, -{w} / ({TOTAL}) * ln(greatest(0.001, least(1.0, {k}))) AS erosion{', hedging, booster, drift, source_credibility AS credit' if causes else ''} FROM comp WHERE {k} IS NOT NULL" for k, w in WEIGHTS.items())
     told = """, CASE component WHEN 'linguistic_bias' THEN CASE WHEN booster > 0.04 THEN 'booster_excess' ELSE '' END WHEN 'thematic_coherence' THEN CASE WHEN drift > 0.25 THEN 'thematic_incoherence' ELSE '' END ELSE '' END AS causes""" if causes else ""
-    return f"SELECT doc_id, component, round(value, 4) AS value, round(erosion, 6) AS erosion, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(erosion, 9) DESC, component) AS INTEGER) AS rank{told} FROM ({rows})"
+    return f"SELECT doc_id, component, round(round(value, 10) + 1e-9, 4) AS value, round(round(erosion, 10) + 1e-9, 6) + 0.0 AS erosion, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(erosion, 9) DESC, component) AS INTEGER) AS rank{told} FROM ({rows})"
 
 
 # Stand-in models
@@ -415,7 +410,7 @@ def given_sql() -> str:
             round((n_implicit + n_suspect) / greatest(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')), 1), 4) AS density FROM prof2 JOIN coh USING (doc_id) JOIN mt USING (doc_id) JOIN b USING (doc_id) LEFT JOIN ag USING (doc_id) LEFT JOIN tr USING (doc_id) JOIN tacit USING (doc_id) JOIN ig USING (doc_id)),
         comp AS (SELECT base.doc_id, lang, len(sents) AS sentences, n_token, CASE WHEN n_explicit + n_implicit + n_suspect >= 2 THEN score END AS premise_transparency, {flaw('sf')} AS formal_validity, {flaw('cf')} AS fallacy_absence,
             CASE WHEN len(sents) = 0 THEN 0.0 ELSE least(1.0, least(1.0, n_args / len(sents)) + CASE WHEN deductive THEN 0.1 ELSE 0.0 END) END AS argument_structure, greatest(0.0, least(1.0, local)) AS semantic_cohesion, thematic AS thematic_coherence,
-            {syntax('tree_depth', 'sub_ratio')} AS syntax_quality, greatest(0.0, 1 - CASE WHEN booster > 0.04 THEN least(1.0, booster / 0.12) ELSE 0.0 END) AS linguistic_bias, CASE WHEN len({uncited(AUTHORITY)}) > 0 THEN 0.45 ELSE 0.75 END AS source_credibility,
+            {syntax('tree_depth', 'sub_ratio')} AS syntax_quality, greatest(0.0, 1 - CASE WHEN booster > 0.04 THEN least(1.0, booster / 0.12) ELSE 0.0 END) AS linguistic_bias, CASE WHEN len({uncited(AUTHORITY)}) > 0 THEN 0.45::DOUBLE ELSE 0.75::DOUBLE END AS source_credibility,
             integrity AS objective_integrity, drift, hedging, booster, density, ikind, CASE WHEN density < 0.01 THEN 'low' WHEN density < 0.03 THEN 'medium' WHEN density < 0.06 THEN 'high' ELSE 'critical' END AS density_band
             FROM base LEFT JOIN sf USING (doc_id) LEFT JOIN cf USING (doc_id))"""
 
@@ -463,16 +458,17 @@ def scores_of_chunks(table: str = "documents") -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL of the registered queries."""
+    known = catalog.queries() | judged.queries()
+    return {k: v for k, v in _all().items() if k in known}
+
+
+def _all() -> dict[str, str]:
     score = f"WITH {components_sql('documents')}"
     given = f"WITH {given_sql()}"
     by_chunk = f"WITH {scores_of_chunks()}, {components_sql('live')}, cp AS (SELECT doc, chunk_id, title, loc, chars, {EPSILON} AS epsilon FROM comp JOIN live USING (doc_id))"
     every = notes_of()
     arguments = f"{every}, {vectors_sql()}, {labelled_arguments_sql()}, {USED}"
-    tables = {"en": FALLACIES_EN, "it": FALLACIES_IT}
-    counted = ", ".join(f"count(*) FILTER (split_part(kind, ':', 1) = '{k}') AS n_{k}" for k in [*ERODES, "hedging_excess"])
-    zero = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in [*ERODES, "hedging_excess"])
-    found = f"{patterns_sql(tables)}, sq AS (SELECT 0 AS doc_id, 0.0 AS severity WHERE false), ci AS (SELECT 0 AS doc_id, 0.0 AS severity WHERE false), fl AS (SELECT doc_id, kind, severity, false AS confirmed FROM pf)"
-    plain_found = FOUND[: FOUND.index("            UNION ALL SELECT doc_id, 4")] + "            UNION ALL SELECT doc_id, 5, 'thematic_incoherence', true, least(1.0, drift * 2.5) FROM comp WHERE drift > 0.25)"
     used = f"""{notes_of()}, {vectors_sql()}, {USED.split('used AS')[0].rstrip().rstrip(',')}"""
     return {
         "t_clean": f"WITH {clean_sql('documents', False)}",
@@ -481,10 +477,10 @@ def oracle_sql() -> dict[str, str]:
         "c_blocks": f"WITH {SECTIONED}, {blocks_sql('sectioned')} SELECT doc_id, generate_subscripts(blocks, 1) - 1 AS block, unnest(blocks).loc AS loc, sha256(unnest(blocks).text) AS sha256 FROM k2",
         "c_chunks": f"WITH {chunks_sql('documents')} SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, {TITLE} AS title, start, start + length(text) AS \"end\", loc FROM chunks",
         "c_chunks_sectioned": f"WITH {SECTIONED}, {chunks_sql('sectioned', 1500, 400, 2000)} SELECT doc_id, chunk_id, {TITLE} AS title, sha256(text) AS text, start, start + length(text) AS \"end\", loc FROM chunks",
-        "p_mtld": f"WITH {every}, {mtld_sql()} SELECT doc_id, round(mtld, 2) AS mtld, round({syntax()}, 4) AS syntax_quality FROM prof2 JOIN mt USING (doc_id)",
+        "p_mtld": f"WITH {every}, {mtld_sql()} SELECT doc_id, round(mtld, 2) AS mtld, round(round({syntax()}, 10) + 1e-9, 4) AS syntax_quality FROM prof2 JOIN mt USING (doc_id)",
         "e_coherence": f"WITH {every}, {vectors_sql()}, {COHERENCE} SELECT doc_id, round(local, 4) AS local, round(overall, 4) AS overall, round(drift, 4) AS drift, round(thematic, 4) AS thematic FROM coh",
         "e_premises_used": f"WITH {used} SELECT st.doc_id, CAST(st.i AS INTEGER) AS sent_idx, coalesce(string_agg(us.j, ',' ORDER BY nth) FILTER (round(c, 12) > 0.4), '') AS premises FROM st LEFT JOIN us ON us.doc_id = st.doc_id AND us.i = st.i GROUP BY st.doc_id, st.i",
-        "b_authority": f"SELECT doc_id, CAST(len({uncited(AUTHORITY)}) AS BIGINT) AS uncited, len({PEOPLE}) > 0 AND {CITED} AS expertise, CASE WHEN len({uncited(AUTHORITY)}) > 0 THEN 0.45 ELSE 0.75 END AS source_credibility FROM documents",
+        "b_authority": f"SELECT doc_id, CAST(len({uncited(AUTHORITY)}) AS BIGINT) AS uncited, len({PEOPLE}) > 0 AND {CITED} AS expertise, CASE WHEN len({uncited(AUTHORITY)}) > 0 THEN 0.45::DOUBLE ELSE 0.75::DOUBLE END AS source_credibility FROM documents",
         "b_uncited": f"SELECT doc_id, CAST(nth - 1 AS INTEGER) AS nth, regexp_extract(m.match, '{judged.AUTHORITY}', 1) AS person, m.start AS start, m.\"end\" AS \"end\", sha256(substr(text, greatest(0, m.start - 30) + 1, m.\"end\" + 30 - greatest(0, m.start - 30))) AS context_sha256 FROM (SELECT doc_id, text, generate_subscripts(u, 1) AS nth, unnest(u) AS m FROM (SELECT doc_id, text, {uncited({'en': judged.AUTHORITY, 'it': judged.AUTHORITY})} AS u FROM documents))",
         "b_labels": f"WITH {every}, {BIAS} SELECT doc_id, array_to_string(list_filter([CASE WHEN hedging > 0.06 THEN printf('hedging_excess(%.3f)', hedging) END, CASE WHEN booster > 0.04 THEN printf('booster_excess(%.3f)', booster) END], lambda x: x IS NOT NULL), ';') AS labels, coalesce(({PEOPLE})[1], 'unknown') AS source FROM documents JOIN b USING (doc_id)",
         "m_markers": markers_sql(MARKERS),
@@ -509,8 +505,6 @@ def oracle_sql() -> dict[str, str]:
         "x_score": f"{score} {SCORED}",
         "x_genesis": f"{score} {genesis_sql(False)}",
         "x_causes": f"{score} {genesis_sql(True)}",
-        "x_features": f"""{score}, {found}, {plain_found}, cnt AS (SELECT doc_id, count(*) AS n_findings, count(*) FILTER (confirmed) AS n_confirmed, max(severity) FILTER (confirmed) AS worst, {counted} FROM fo GROUP BY doc_id)
-            SELECT s.*, coalesce(n_findings, 0) AS n_findings, coalesce(n_confirmed, 0) AS n_confirmed, worst, {zero} FROM ({SCORED}) s LEFT JOIN cnt USING (doc_id)""",
         "i_panel": f"""{score} SELECT doc_id, 'measured' AS side, unit, CASE WHEN used THEN 'ok' ELSE 'absent' END AS health, used, 'measured' AS route FROM (SELECT doc_id, unnest(['syntax_quality', 'bias', 'fallacies', 'arguments', 'non_sequiturs', 'circles', 'premises', 'coherence', 'objective_integrity']) AS unit,
                 unnest([syntax_quality IS NOT NULL, true, true, true, true, true, premise_transparency IS NOT NULL, true, false]) AS used FROM comp)
             UNION ALL SELECT doc_id, 'judged', 'trilemma', CASE WHEN toxic = 1 THEN 'error' ELSE 'ok' END, toxic IS DISTINCT FROM 1, CASE WHEN toxic = 1 THEN 'discarded' ELSE 'parity' END FROM labels""",
