@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed import AXES, PARITY, WEIGHTS
+from plumbline.functions.fixed import ABSTRACT_STOPWORDS, ABSTRACT_SUFFIXES, ABSTRACT_TERMS, AXES, PARITY, WEIGHTS
+from plumbline.functions.text import strip
+from plumbline.operators.findings import terms_in
 from plumbline.sources.providers import answer_tokens
 
 
@@ -93,3 +95,19 @@ def candidates(hits: DataFrame, top: int = 15) -> DataFrame:
     line = F.format_string("%s/%s (conf=%.2f): «%s»", "horn", "subtype", "confidence", F.substring("match", 1, 80))
     kept = hits.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= top)
     return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+
+
+def bad_faith_calls(docs: DataFrame, prompt: str) -> DataFrame:
+    """(doc_id, axis, prompt, max_tokens) of documents (doc_id, text, declared, latent) whose latent objective differs from the declared one; the others have nothing to diagnose."""
+    said, meant = strip(F.coalesce("declared", F.lit(""))), strip(F.coalesce("latent", F.lit("")))
+    body = F.concat(F.lit(prompt + "\n\n"), F.col("text"), F.lit("\n\nDeclared: "), said, F.lit("\nLatent: "), meant)
+    rows = docs.where(F.col("text").isNotNull() & (said != "") & (meant != "") & (said != meant))
+    return rows.select("doc_id", F.lit("bad_faith").alias("axis"), body.alias("prompt"), F.lit(2048).alias("max_tokens"))
+
+
+def term_calls(docs: DataFrame, prompt: str, top: int = 20) -> DataFrame:
+    """(doc_id, axis, prompt, max_tokens) that ask for a verdict on a document's most frequent candidates of abstract terms; documents without any aren't asked."""
+    own = F.slice(terms_in(F.col("text"), ABSTRACT_TERMS, ABSTRACT_SUFFIXES, ABSTRACT_STOPWORDS), 1, top)
+    rows = docs.where("text is not null").withColumn("listed", F.array_join(F.transform(own, lambda t: t["term"]), ", ")).where("listed <> ''")
+    body = F.concat(F.lit(prompt + "\n\n"), F.col("text"), F.lit("\n\nTerms: "), F.col("listed"))
+    return rows.select("doc_id", F.lit("terms").alias("axis"), body.alias("prompt"), answer_tokens(body).alias("max_tokens"))

@@ -368,3 +368,10 @@ NAMES = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in NAMES}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of these queries."""
+    from plumbline.plans import sql, sql_more
+
+    return {k: v for k, v in (sql.oracle_sql() | sql_more.oracle_sql()).items() if k in queries()}

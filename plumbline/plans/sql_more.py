@@ -478,7 +478,7 @@ def _all() -> dict[str, str]:
         "c_chunks": f"WITH {chunks_sql('documents')} SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, {TITLE} AS title, start, start + length(text) AS \"end\", loc FROM chunks",
         "c_chunks_sectioned": f"WITH {SECTIONED}, {chunks_sql('sectioned', 1500, 400, 2000)} SELECT doc_id, chunk_id, {TITLE} AS title, sha256(text) AS text, start, start + length(text) AS \"end\", loc FROM chunks",
         "p_mtld": f"WITH {every}, {mtld_sql()} SELECT doc_id, round(mtld, 2) AS mtld, round(round({syntax()}, 10) + 1e-9, 4) AS syntax_quality FROM prof2 JOIN mt USING (doc_id)",
-        "e_coherence": f"WITH {every}, {vectors_sql()}, {COHERENCE} SELECT doc_id, round(local, 4) AS local, round(overall, 4) AS overall, round(drift, 4) AS drift, round(thematic, 4) AS thematic FROM coh",
+        "e_coherence": f"WITH {every}, {vectors_sql()}, {COHERENCE} SELECT doc_id, round(local, 4) AS local, round(overall, 4) AS overall, round(drift, 4) + 0.0 AS drift, round(thematic, 4) AS thematic FROM coh",
         "e_premises_used": f"WITH {used} SELECT st.doc_id, CAST(st.i AS INTEGER) AS sent_idx, coalesce(string_agg(us.j, ',' ORDER BY nth) FILTER (round(c, 12) > 0.4), '') AS premises FROM st LEFT JOIN us ON us.doc_id = st.doc_id AND us.i = st.i GROUP BY st.doc_id, st.i",
         "b_authority": f"SELECT doc_id, CAST(len({uncited(AUTHORITY)}) AS BIGINT) AS uncited, len({PEOPLE}) > 0 AND {CITED} AS expertise, CASE WHEN len({uncited(AUTHORITY)}) > 0 THEN 0.45::DOUBLE ELSE 0.75::DOUBLE END AS source_credibility FROM documents",
         "b_uncited": f"SELECT doc_id, CAST(nth - 1 AS INTEGER) AS nth, regexp_extract(m.match, '{judged.AUTHORITY}', 1) AS person, m.start AS start, m.\"end\" AS \"end\", sha256(substr(text, greatest(0, m.start - 30) + 1, m.\"end\" + 30 - greatest(0, m.start - 30))) AS context_sha256 FROM (SELECT doc_id, text, generate_subscripts(u, 1) AS nth, unnest(u) AS m FROM (SELECT doc_id, text, {uncited({'en': judged.AUTHORITY, 'it': judged.AUTHORITY})} AS u FROM documents))",

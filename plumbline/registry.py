@@ -40,8 +40,8 @@ METHODS = {
         _m("annotate", "input", M, "feed", "operators.profile:annotated"),
         _m("encode", "input", M, "feed", "operators.embed:encode"),
         _m("clauses", "input", D, "feed", "operators.clauses:clauses"),
-        _m("zero_shot", "entailment", M, "feed", "sources.providers:even"),
-        _m("entail", "entailment", M, "feed", "sources.providers:entailment"),
+        _m("zero_shot", "entailment", M, "feed", "sources.providers:zero_shot"),
+        _m("entail", "entailment", M, "feed", "sources.providers:entailments"),
         _m("profile", "profile", D, "feed", "operators.profile:profile"),
         _m("syntax_quality", "profile", D, "component", "operators.profile:syntax_quality", "syntax_quality"),
         _m("style", "style", D, "none", "operators.profile:style"),
@@ -49,7 +49,7 @@ METHODS = {
         _m("fallacies", "fallacies", M, "component", "operators.findings:fallacy_hits", "fallacy_absence"),
         _m("arguments", "arguments", M, "component", "operators.arguments:inventory", "argument_structure"),
         _m("non_sequiturs", "arguments", M, "component", "operators.arguments:non_sequiturs", "formal_validity"),
-        _m("circles", "arguments", M, "component", "operators.arguments:circles", "fallacy_absence"),
+        _m("circles", "arguments", M, "component", "operators.assess:circles", "fallacy_absence"),
         _m("premises", "premises", M, "component", "operators.arguments:premises", "premise_transparency"),
         _m("coherence", "coherence", D, "component", "operators.embed:coherence", "semantic_cohesion", "thematic_coherence"),
         _m("geometric_mean", "score", D, "combiner", "operators.score:geometric_mean"),
@@ -57,14 +57,14 @@ METHODS = {
         _m("genesis", "score", D, "none", "operators.score:genesis"),
         _m("density", "score", D, "none", "operators.score:density"),
         _m("objective", "objective", M, "feed", "operators.arguments:objective"),
-        _m("objective_integrity", "objective", M, "component", "operators.arguments:objective_integrity", "objective_integrity"),
-        _m("bad_faith", "objective", M, "parity", "operators.inductive:calls"),
-        _m("analyse", "orchestration", O, "parity", "operators.score:score"),
+        _m("objective_integrity", "objective", M, "component", "operators.assess:integrity", "objective_integrity"),
+        _m("bad_faith", "objective", M, "parity", "operators.inductive:bad_faith_calls"),
+        _m("analyse", "orchestration", O, "parity", "operators.score:analysis"),
         _m("judge", "orchestration", O, "parity", "operators.inductive:calls"),
         _m("horn_markers", "markers", D, "feed", "operators.findings:marker_hits"),
         _m("inclosure", "markers", D, "feed", "operators.findings:inclosure"),
         _m("abstract_terms", "markers", D, "feed", "operators.findings:abstract_terms"),
-        _m("term_verdicts", "markers", M, "feed", "operators.inductive:calls"),
+        _m("term_verdicts", "markers", M, "feed", "operators.inductive:term_calls"),
         _m("report", "output", D, "none", "operators.report:text_reports"),
         _m("promote", "output", D, "none", "sources.stores:promote"),
         _m("clean", "documents", D, "none", "operators.clean:clean"),
