@@ -535,3 +535,55 @@ def test_every_query_is_registered():
 
     names = list(e.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+# Hot groups: one id, or copies of one row, in a third of the table or more
+
+
+def test_copies_of_a_row_are_sharded_evenly(spark):
+    rows = [(1, "x" * 200, "en", "a")] * 400 + [(k, "y" * 5, "en", f"s{k:04d}") for k in range(400)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).collect()
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert max(sizes) <= 1.02 * min(sizes) + 216
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_text_values_have_the_places_of_their_ranks(spark):
+    rng = random.Random(21)
+    rows = [(k, "t" * rng.randint(0, 50), "en", f"host{rng.randint(0, 900)}") for k in range(1500)]
+    base = spark.createDataFrame([(k, len(t) + 16, zlib.crc32(t.encode()), n, s) for n, (k, t, _, s) in enumerate(rows)], "doc_id long, size long, text_crc32 long, tie long, d_0 string")
+    place = {r.doc_id: r.p_0 for r in sharding._places(base, ("source",)).collect()}
+    order = sorted(s for _, _, _, s in rows)
+    for k, _, _, s in rows:
+        low, high = order.index(s), len(order) - order[::-1].index(s)
+        assert low / len(order) <= place[k] < high / len(order)
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    from plumbline.llm.common import least_hashes
+
+    rows = spark.createDataFrame([(7, "same")] * 3000 + [(7, f"t{k}") for k in range(3000)], "doc_id long, text string")
+    got = least_hashes(rows.select("text", F.xxhash64("text").alias("h")), "h", 100).collect()
+    assert len(got) == 100 and len({r.text for r in got}) == 100
+
+
+def test_packing_deals_a_hot_key_to_several_ranges(spark):
+    ends = np.array([5, 9, 9, 9, 12])
+    got = packing._ranges(np.array([9] * 8 + [4, 5, 10, 13]), ends, 0)
+    assert set(got[:8]) == {1, 2, 3, 4} and got[8] == 0 and got[9] in (0, 1) and got[10] == 4 and got[11] == 5
+    assert packing._runs([1, 1, 2, 2], ["a", "a", "a", "b"]) == ([0, 2, 3], [2, 1, 1])
+
+
+def test_toxicity_of_the_table_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    got = queries.op6_pu_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    hit = sum(r.predicted == 1 and r.toxic == 1 for r in got)
+    assert hit >= 0.5 * sum(r.toxic == 1 for r in got) and hit >= 0.5 * sum(r.predicted for r in got)
+
+
+def test_mixing_of_the_table_tells_its_error(spark):
+    got = queries.op8_soft_mixing(spark, "/root/testdata/sf0.01")
+    r = got.select("target_error", "converged").distinct().collect()
+    assert len(r) == 1 and r[0].converged and r[0].target_error < 1e-6
