@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, ctph, langid, mixing, packing, secrets, sharding, simhash, toxicity
+from plumbline.llm import ann, chat, ctph, langid, mixing, packing, secrets, sharding, simhash, toxicity, wand, whitening
 from plumbline.llm.common import id_remainder, small_batches, table
 
 #: Token shares of the mixture, by quality and toxicity of the labels.
@@ -82,6 +82,14 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_range_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 8)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_curve_packing, op2_centroid_language, op3_kd_sharding, op4_secret_scan, op5_golay_simhash, op6_pu_toxicity, op7_event_chat, op8_soft_mixing, op9_adaptive_scan, op10_piecewise_hash, pipeline)
+    named = (op1_curve_packing, op2_centroid_language, op3_kd_sharding, op4_secret_scan, op5_golay_simhash, op6_pu_toxicity, op7_event_chat, op8_soft_mixing, op9_adaptive_scan, op10_piecewise_hash, op12_block_max_wand, op13_range_whitening, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -114,4 +122,26 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(7 + sum(length(erole) + length(etext) + 23) AS BIGINT) AS formatted_chars
         FROM shown GROUP BY conv_id""",
+    "op12_block_max_wand": r"""
+        WITH whole AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        docs AS (SELECT r, doc_id, terms, len(terms) AS n FROM whole WHERE len(terms) > 0),
+        size AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+        postings AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term),
+        frequency AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+        asked AS (
+            SELECT item_id, text, term, count(*) AS times
+            FROM (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term, generate_subscripts(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), 1) AS place FROM benchmark)
+            GROUP BY item_id, text, term),
+        weighed AS (
+            SELECT item_id, text, term, times * CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w
+            FROM asked JOIN frequency USING (term), size),
+        scored AS (
+            SELECT item_id, text, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM weighed JOIN postings USING (term) JOIN docs USING (r), size
+            GROUP BY item_id, text, r, doc_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
