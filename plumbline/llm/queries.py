@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, ctph, langid, mixing, packing, secrets, sharding, simhash, toxicity, wand, whitening
+from plumbline.llm import ann, chat, ctph, langid, mixing, packing, secrets, sharding, simhash, toxicity, wand, warc, whitening
 from plumbline.llm.common import id_remainder, small_batches, table
 
 #: Token shares of the mixture, by quality and toxicity of the labels.
@@ -82,6 +82,11 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read(archives)
+
+
 def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wand.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
@@ -97,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_curve_packing, op2_centroid_language, op3_kd_sharding, op4_secret_scan, op5_golay_simhash, op6_pu_toxicity, op7_event_chat, op8_soft_mixing, op9_adaptive_scan, op10_piecewise_hash, op12_block_max_wand, op13_range_whitening, pipeline)
+    named = (op1_curve_packing, op2_centroid_language, op3_kd_sharding, op4_secret_scan, op5_golay_simhash, op6_pu_toxicity, op7_event_chat, op8_soft_mixing, op9_adaptive_scan, op10_piecewise_hash, op11_dictionary_warc, op12_block_max_wand, op13_range_whitening, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -122,6 +127,17 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(7 + sum(length(erole) + length(etext) + 23) AS BIGINT) AS formatted_chars
         FROM shown GROUP BY conv_id""",
+    "op11_dictionary_warc": r"""
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        roles AS (
+            SELECT page_id, payload, sha1(payload) AS hex, row_number() OVER w AS place, first_value(page_id) OVER w AS response
+            FROM payloads WINDOW w AS (PARTITION BY payload ORDER BY page_id DESC NULLS LAST)),
+        digits AS (SELECT *, [CAST('0x' || substr(hex, 5 * g + 1, 5) AS BIGINT) FOR g IN range(8)] AS groups FROM roles)
+        SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+            array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((groups[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31) + 1 AS INTEGER), 1) FOR k IN range(32)], '') AS payload_digest,
+            CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN place > 1 THEN response END AS refers_to
+        FROM digits""",
     "op12_block_max_wand": r"""
         WITH whole AS (
             SELECT row_number() OVER () AS r, doc_id,
