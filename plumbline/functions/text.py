@@ -19,6 +19,8 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 SENTENCE_BREAK = r"(?<=[.!?])" + WHITE + r"+(?=[A-ZÀ-ÝΑ-Ω])"
 TOKEN = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
 _SPANS = "array<struct<{} string, start int, end int>>"
+#: Items of a block of running sums.
+BLOCK = 64
 NOT_BEFORE, NOT_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
@@ -46,9 +48,14 @@ def bind(body, *values: Column) -> Column:
     return let(F.struct(*[v.alias(f"v{k}") for k, v in enumerate(values)]), lambda s: body(*[s[f"v{k}"] for k in range(len(values))]))
 
 
+def listed(terms: list[str] | tuple[str, ...]) -> Column:
+    """Array of fixed terms, as one literal that is cut once when the plan is made."""
+    return F.split(F.lit("\x1f".join(terms)), "\x1f") if terms else F.array().cast("array<string>")
+
+
 def lexicon(lang: Column, name: str) -> Column:
     """Array of a file lexicon's terms."""
-    return by_file_lang(lang, lambda k: F.array(*[F.lit(t) for t in LEXICONS[k][name]]), F.array().cast("array<string>"))
+    return by_file_lang(lang, lambda k: listed(LEXICONS[k][name]), F.array().cast("array<string>"))
 
 
 def sentences(text: Column) -> Column:
@@ -56,37 +63,65 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, SENTENCE_BREAK), lambda s: strip(s) != "")
 
 
+def running(sizes: Column) -> Column:
+    """Running sums of an array of ints, each with its own: linear in the array's size.
+
+    A fold copies what it has built at each step, so it only ever builds a block: blocks are summed first, and each is
+    filled in from where the one before it ends.
+    """
+
+    def filled(block: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, x: let(a["at"] + x, lambda at: F.struct(at.alias("at"), F.concat(a["out"], F.array(at)).alias("out")))
+        return F.aggregate(block, first, step, lambda a: a["out"])
+
+    def summed(own: Column) -> Column:
+        count = F.ceil(F.size(own) / BLOCK).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(own, k * BLOCK + 1, BLOCK))
+        return F.when(F.size(own) <= BLOCK, filled(own, F.lit(0))).otherwise(let(cut, wide))
+
+    def wide(cut: Column) -> Column:
+        totals = F.transform(cut, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(cut, F.concat(F.array(F.lit(0)), filled(totals, F.lit(0))), lambda block, at: F.when(block.isNotNull(), filled(block, at)).otherwise(F.array().cast("array<int>"))))
+
+    return let(sizes.cast("array<int>"), summed)
+
+
 def spans(text: Column) -> Column:
     """Array of (text, start, end; from 0, in code points) of the sentences that sentences() gives."""
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS.format("text")).alias("out"))
-
-    def walk(s: Column) -> Column:
-        def step(a: Column, part: Column) -> Column:
-            end = a["at"] + F.length(part["part"])
-            own = F.array(F.struct(part["part"].alias("text"), a["at"].alias("start"), end.alias("end")))
-            return F.struct((end + F.coalesce(F.length(part["gap"]), F.lit(0))).alias("at"), F.concat(a["out"], own).alias("out"))
 
-        return F.aggregate(F.arrays_zip(s["part"].alias("part"), s["gap"].alias("gap")), first, step, lambda a: a["out"])
+    def placed(s: Column) -> Column:
+        lengths = F.zip_with(s["part"], s["gap"], lambda p, g: F.length(p) + F.coalesce(F.length(g), F.lit(0)))
+        starts = F.concat(F.array(F.lit(0)), running(lengths))
+        return F.transform(F.arrays_zip(s["part"].alias("part"), F.slice(starts, 1, F.size(s["part"])).alias("at")), lambda x: F.struct(x["part"].alias("text"), x["at"].alias("start"), (x["at"] + F.length(x["part"])).alias("end")))
 
     cut = F.struct(F.split(text, SENTENCE_BREAK).alias("part"), F.regexp_extract_all(text, F.lit(SENTENCE_BREAK), F.lit(0)).alias("gap"))
-    return F.filter(let(cut, walk), lambda s: strip(s["text"]) != "")
+    return F.filter(F.when(text.isNotNull(), let(cut, placed)), lambda s: strip(s["text"]) != "")
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Array of (match, start, end; from 0, in code points) of all matches of a pattern; what lies between them gives the places."""
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS.format("match")).alias("out"))
+def matches(text: Column, pattern: str, **fields: Column) -> Column:
+    """What placed() takes: the matches of a pattern and what lies before each, with further fields; null without a match."""
+    named = [c.alias(k) for k, c in fields.items()]
+    return F.when(text.rlike(pattern), F.struct(*named, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.split(text, pattern).alias("before")))
+
 
-    def walk(s: Column) -> Column:
-        def step(a: Column, m: Column) -> Column:
-            start = a["at"] + F.length(m["before"])
-            end = start + F.length(m["match"])
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(m["match"].alias("match"), start.alias("start"), end.alias("end")))).alias("out"))
+def placed(found: list[Column], fields: list[str] | tuple[str, ...] = ()) -> Column:
+    """Array of (fields, match, start, end; from 0, in code points) of all matches() of a text; what lies between them gives the places.
 
-        pairs = F.arrays_zip(F.slice(s["before"], 1, F.size(s["match"])).alias("before"), s["match"].alias("match"))
-        return F.aggregate(pairs, first, step, lambda a: a["out"])
+    All patterns share one expression, so that a plan of many patterns is built and analysed as fast as one of few.
+    """
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(found, lambda m: F.when(F.size(m) > 0, let(F.struct(F.split(text, pattern).alias("before"), m.alias("match")), walk)).otherwise(F.array().cast(_SPANS.format("match"))))
+    def of(s: Column) -> Column:
+        before = F.slice(s["before"], 1, F.size(s["match"]))
+        ends = running(F.zip_with(before, s["match"], lambda b, m: F.length(b) + F.length(m)))
+        return F.zip_with(s["match"], ends, lambda m, end: F.struct(*[s[f].alias(f) for f in fields], m.alias("match"), (end - F.length(m)).alias("start"), end.alias("end")))
+
+    return F.flatten(F.transform(F.array_compact(F.array(*found)), of))
+
+
+def located(text: Column, pattern: str) -> Column:
+    """Array of (match, start, end; from 0, in code points) of all matches of a pattern; null for a null text."""
+    return F.when(text.isNotNull(), placed([matches(text, pattern)]))
 
 
 def tokens(text: Column) -> Column:
@@ -112,8 +147,8 @@ def upos(word: Column, lang: Column) -> Column:
 
 
 def count_in(words: Column, terms: Column | list) -> Column:
-    listed = F.array(*[F.lit(t) for t in terms]) if isinstance(terms, list) else terms
-    return F.size(F.filter(words, lambda w: F.array_contains(listed, w)))
+    own = listed(terms) if isinstance(terms, list) else terms
+    return F.size(F.filter(words, lambda w: F.array_contains(own, w)))
 
 
 def phrase_pattern(terms: list[str]) -> str:
@@ -131,7 +166,7 @@ def contains_any(text: Column, terms: Column) -> Column:
 
 
 def style_list(lang: Column, name: str) -> Column:
-    return by_lang(lang, lambda k: F.array(*[F.lit(t) for t in STYLE[k][name]]))
+    return by_lang(lang, lambda k: listed(STYLE[k][name]))
 
 
 def rounded(x: Column, digits: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import CONCLUSIVE, EXPLICATIVE, QUANTIFIERS
-from plumbline.functions.text import WHITE, by_lang, contains_any, count_phrases, lexicon, sentences, strip
+from plumbline.functions.text import WHITE, by_lang, contains_any, count_phrases, lexicon, listed, sentences, strip
 from plumbline.operators.profile import explicit_premises
 
 SEQUITUR, MIN_WORDS = 0.12, 5
@@ -19,7 +19,7 @@ SEQUITUR, MIN_WORDS = 0.12, 5
 def kind(text: Column, lang: Column) -> Column:
     """The first list of which a term is contained (not as a word) names the kind."""
     low = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    explicative = by_lang(lang, lambda k: F.array(*[F.lit(t) for t in EXPLICATIVE[k]]))
+    explicative = by_lang(lang, lambda k: listed(EXPLICATIVE[k]))
     return (
         F.when(contains_any(low, lexicon(lang, "causal")), "deductive")
         .when(contains_any(low, lexicon(lang, "inductive")), "inductive")
@@ -33,7 +33,7 @@ def kind(text: Column, lang: Column) -> Column:
 
 def thesis_index(sents: Column, lang: Column) -> Column:
     """Place (from 0) of the last sentence with a conclusive marker; null without one or with fewer than two sentences."""
-    marks = by_lang(lang, lambda k: F.array(*[F.lit(t) for t in CONCLUSIVE[k]]))
+    marks = by_lang(lang, lambda k: listed(CONCLUSIVE[k]))
     hits = F.filter(F.transform(sents, lambda s, i: F.when(contains_any(F.lower(s), marks), i)), lambda i: i.isNotNull())
     return F.when(F.size(sents) >= 2, F.array_max(hits))
 
@@ -54,7 +54,7 @@ def objective(text: Column) -> Column:
 def suspect(candidate: Column, lang: Column) -> Column:
     """Whether a premise holds a universal quantifier (as a token) or a booster (as a phrase)."""
     words = F.split(strip(F.lower(candidate)), f"{WHITE}+")
-    return F.arrays_overlap(words, by_lang(lang, lambda k: F.array(*[F.lit(q) for q in QUANTIFIERS[k]]))) | (count_phrases(candidate, lang, "booster") > 0)
+    return F.arrays_overlap(words, by_lang(lang, lambda k: listed(QUANTIFIERS[k]))) | (count_phrases(candidate, lang, "booster") > 0)
 
 
 def context(text: Column, premises: Column) -> Column:

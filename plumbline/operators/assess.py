@@ -4,6 +4,10 @@ A document stays one row; findings are arrays of structs on it, so no operator h
 come in through sources.providers.Models; without them the fallbacks hold (entailment 0.0 is
 "unknown", zero-shot scores are even), and what only a model can find is empty.
 
+A model is asked in plain columns of their own: what it is asked is one column, its answer the next, and
+what is read from the answer a third. Answers enter array functions as arguments only, never within a
+lambda, where Spark can't run a Python function. The operators here therefore take answers as columns.
+
 Places are counted in code points from 0, ends exclusive. A null text has no findings.
 """
 
@@ -58,23 +62,28 @@ def _labelled(p: Column, ranked: Column, kind: Column) -> Column:
     )
 
 
-def model_fallacies(sents: Column, lang: Column, models: Models, terms: dict[str, list[str]] = ARGUMENTATIVE) -> Column:
-    """Array of FALLACY of the sentences with a word of arguing (terms): labels of at least FALLACY_LEAST, the best two of a sentence.
+def asked_sentences(sents: Column, lang: Column, terms: dict[str, list[str]] = ARGUMENTATIVE) -> Column:
+    """Array of (sent_idx, text) of the sentences with a word of arguing (terms)."""
+    return F.filter(F.transform(sents, lambda s, i: F.struct(i.alias("sent_idx"), s.alias("text"))), lambda p: argumentative(p["text"], lang, terms))
+
+
+def fallacy_answers(asked: Column, lang: Column, models: Models) -> dict[str, Column]:
+    """By language of the labels, what a model says of asked sentences; rows of other languages ask nothing."""
+    nobody = F.array().cast("array<string>")
+    texts = {k: F.when((lang == "en") == (k == "en"), F.transform(asked, lambda p: p["text"])).otherwise(nobody) for k in FALLACY_LABELS}
+    return {f"ranked_{k}": models.label(texts[k], list(names.values()), FALLACY_QUESTION[k], True) for k, names in FALLACY_LABELS.items()}
+
+
+def model_fallacies(asked: Column, lang: Column, answers: dict[str, Column]) -> Column:
+    """Array of FALLACY of asked_sentences by their fallacy_answers: labels of at least FALLACY_LEAST, the best two of a sentence.
 
     Their place is the sentence's own stretch from 0.
     """
-    if models.label is even_all:
-        return none_of(FALLACY)
-    placed = F.transform(sents, lambda s, i: F.struct(i.alias("sent_idx"), s.alias("text")))
-    asked = F.filter(placed, lambda p: argumentative(p["text"], lang, terms))
-    out = None
+    out = none_of(FALLACY)
     for k, names in FALLACY_LABELS.items():
-        own = F.when((lang == "en") == (k == "en"), asked).otherwise(F.filter(asked, lambda _: F.lit(False)))
-        scores = models.label(F.transform(own, lambda p: p["text"]), list(names.values()), FALLACY_QUESTION[k], True)
         kind = F.create_map(*[F.lit(x) for name, label in names.items() for x in (label, name)])
-
-        here = F.flatten(F.zip_with(own, scores, lambda p, ranked: _labelled(p, ranked, kind))).cast(FALLACY)  # noqa: B023
-        out = here if out is None else F.concat(out, here)
+        here = F.flatten(F.zip_with(asked, answers[f"ranked_{k}"], lambda p, ranked: _labelled(p, ranked, kind))).cast(FALLACY)  # noqa: B023
+        out = F.when((lang == "en") == (k == "en"), here).otherwise(out)
     return out
 
 
@@ -110,25 +119,29 @@ def _argument(i: Column, text: Column, thesis: Column, lang: Column, confidence:
     return F.struct(i.alias("arg_idx"), text.alias("text"), thesis.alias("thesis"), arguments.kind(text, lang).alias("kind"), confidence.alias("confidence"))
 
 
-def inventory(units: Column, lang: Column, models: Models) -> Column:
-    """Array of ARGUMENT: units that a model calls support of its first claim; else, with a conclusive marker, all units but the last marked one."""
-    listed = F.transform(units, lambda u, i: F.struct(i.alias("i"), u.alias("u")))
+def plain_inventory(units: Column, lang: Column) -> Column:
+    """Array of ARGUMENT: with a conclusive marker all units but the last marked one, which is their thesis."""
 
     def marked(own: Column, t: Column) -> Column:
         all_, goal = F.transform(own, lambda u, i: F.struct(i.alias("i"), u.alias("u"))), F.get(own, t)
         return bind(lambda x, g: F.transform(F.filter(x, lambda y: y["i"] != t), lambda y: _argument(y["i"], y["u"], g, lang, F.lit(0.0))), all_, goal)
 
-    plain = F.coalesce(bind(lambda own: let(arguments.thesis_index(own, lang), lambda t: F.when(t.isNotNull(), marked(own, t))), units), none_of(ARGUMENT)).cast(ARGUMENT)
-    if models.label is even_all:
-        return plain
-    best = F.transform(models.label(units, [CLAIM, SUPPORT, NEITHER], UNIT_QUESTION, False), lambda r: F.get(r, F.lit(0)))
-    told = F.zip_with(listed, best, lambda x, b: F.struct(x["i"].alias("i"), x["u"].alias("u"), F.when(b["score"] > UNIT_LEAST, b["label"]).alias("label"), b["score"].alias("score")))
+    return F.coalesce(bind(lambda own: let(arguments.thesis_index(own, lang), lambda t: F.when(t.isNotNull(), marked(own, t))), units), none_of(ARGUMENT)).cast(ARGUMENT)
+
+
+def inventory(units: Column, lang: Column, plain: Column, ranked: Column) -> Column:
+    """Array of ARGUMENT: units that a model (ranked: its answers) calls support of its first claim; without any, the plain inventory."""
+    told = F.zip_with(
+        F.transform(units, lambda u, i: F.struct(i.alias("i"), u.alias("u"))),
+        F.transform(ranked, lambda r: F.get(r, F.lit(0))),
+        lambda x, b: F.struct(x["i"].alias("i"), x["u"].alias("u"), F.when(b["score"] > UNIT_LEAST, b["label"]).alias("label"), b["score"].alias("score")),
+    )
+
     def supported(all_: Column) -> Column:
         claim = F.coalesce(F.get(F.filter(all_, lambda x: x["label"] == CLAIM), F.lit(0))["u"], F.get(all_, F.lit(0))["u"])
         return let(claim, lambda c: F.transform(F.filter(all_, lambda x: x["label"] == SUPPORT), lambda x: _argument(x["i"], x["u"], c, lang, F.round(x["score"], 4))))
 
-    supports = let(told, supported)
-    return F.when(F.size(supports) > 0, supports.cast(ARGUMENT)).otherwise(plain)
+    return F.coalesce(let(let(told, supported).cast(ARGUMENT), lambda own: F.when(F.size(own) > 0, own)), plain)
 
 
 def _necessary(x: Column) -> Column:
@@ -145,15 +158,15 @@ def sequitur_pairs(args: Column, used: Column) -> Column:
     return bind(pairs, args, used)
 
 
-def _asked(pairs: Column) -> Column:
-    return F.transform(pairs, lambda x: F.struct(x["premise"].alias("premise"), x["hypothesis"].alias("hypothesis")))
+def asked_pairs(pairs: Column, back: bool = False) -> Column:
+    """What a model is asked of pairs: (premise, hypothesis) alone, turned round if back."""
+    a, b = ("hypothesis", "premise") if back else ("premise", "hypothesis")
+    return F.transform(pairs, lambda x: F.struct(x[a].alias("premise"), x[b].alias("hypothesis")))
 
 
-def non_sequiturs(pairs: Column, models: Models) -> Column:
-    """Array of SEQUITURS of sequitur_pairs: of each thesis the worst argument that is known not to yield it."""
-    if models.entail is unknown_all:
-        return none_of(SEQUITURS)
-    scored = F.zip_with(pairs, models.entail(_asked(pairs)), lambda x, p: F.struct(x["a"].alias("a"), p.alias("p")))
+def non_sequiturs(pairs: Column, entailed: Column) -> Column:
+    """Array of SEQUITURS of sequitur_pairs and a model's answers: of each thesis the worst argument that is known not to yield it."""
+    scored = F.zip_with(pairs, entailed, lambda x, p: F.struct(x["a"].alias("a"), p.alias("p")))
 
     def finding(x: Column) -> Column:
         need = _necessary(x["a"]["thesis"]) | _necessary(x["a"]["text"])
@@ -200,12 +213,9 @@ def circle_pairs(args: Column, used: Column) -> Column:
     return bind(pairs, args, used)
 
 
-def circles(pairs: Column, models: Models) -> Column:
-    """Array of CIRCLES of circle_pairs: of each thesis the most severe premise that entails it and is entailed by it; an argument counts its first."""
-    if models.entail is unknown_all:
-        return none_of(CIRCLES)
-    back = F.transform(pairs, lambda x: F.struct(x["hypothesis"].alias("premise"), x["premise"].alias("hypothesis")))
-    least = F.zip_with(models.entail(_asked(pairs)), models.entail(back), lambda a, b: F.least(a, b))
+def circles(pairs: Column, forth: Column, back: Column) -> Column:
+    """Array of CIRCLES of circle_pairs and a model's answers both ways: of each thesis the most severe premise that entails it and is entailed by it; an argument counts its first."""
+    least = F.zip_with(forth, back, lambda a, b: F.least(a, b))
     scored = F.zip_with(pairs, least, lambda x, s: F.struct(x["arg_idx"].alias("arg_idx"), x["thesis"].alias("thesis"), x["shown"].alias("premise"), s.alias("s")))
     hits = F.filter(scored, lambda x: x["s"] >= CIRCLE)
     first = first_best(hits, lambda x: x["arg_idx"], lambda _: F.lit(0))
@@ -242,18 +252,22 @@ def is_suspect(candidate: Column, lang: Column) -> Column:
     return F.coalesce(arguments.suspect(candidate, lang), F.lit(False))
 
 
-def premises(sents: Column, lang: Column, parsed: Column | None, models: Models) -> Column:
-    """Column (explicit, implicit, suspect: arrays, n_explicit, n_implicit, n_suspect, score): lists are cut, the score isn't."""
+def tacit_pairs(asked: Column, near: Column) -> Column:
+    """Array of (premise, hypothesis): candidates that no sentence says already, with their context (embed.contexts)."""
+    each = F.zip_with(asked, near, lambda c, n: F.struct(n["context"].alias("premise"), c.alias("hypothesis"), n["best"].alias("best")))
+    return asked_pairs(F.filter(each, lambda x: F.coalesce(x["best"] <= EXPLICIT, F.lit(True))))
+
+
+def premises(sents: Column, lang: Column, asked: Column, pairs: Column | None = None, entailed: Column | None = None) -> Column:
+    """Column (explicit, implicit, suspect: arrays, n_explicit, n_implicit, n_suspect, score): lists are cut, the score isn't.
+
+    pairs and entailed: tacit_pairs and a model's answers; without them nothing is implied.
+    """
     explicit = F.transform(profile.explicit_premises(sents), strip)
-    asked = candidates(sents, parsed)
-    empty = none_of("array<string>")
-    if models.entail is unknown_all:
-        implied = empty
+    if pairs is None or entailed is None:
+        implied = none_of("array<string>")
     else:
-        near = embed.contexts(asked, sents, models.encode)
-        open_ = F.filter(F.zip_with(asked, near, lambda c, n: F.struct(n["context"].alias("premise"), c.alias("hypothesis"), n["best"].alias("best"))), lambda x: F.coalesce(x["best"] <= EXPLICIT, F.lit(True)))
-        pairs = F.transform(open_, lambda x: F.struct(x["premise"].alias("premise"), x["hypothesis"].alias("hypothesis")))
-        held = F.filter(F.zip_with(pairs, models.entail(pairs), lambda x, p: F.struct(x["hypothesis"].alias("c"), p.alias("p"))), lambda x: x["p"] > IMPLIED)
+        held = F.filter(F.zip_with(pairs, entailed, lambda x, p: F.struct(x["hypothesis"].alias("c"), p.alias("p"))), lambda x: x["p"] > IMPLIED)
         implied = F.transform(held, lambda x: x["c"])
 
     def told(s: Column) -> Column:
@@ -284,45 +298,95 @@ def verdicts(text: Column, args: Column, fallacies: Column, sequiturs: Column) -
     return bind(lambda low, own, f, s: F.transform(own, lambda a: verdict(a, low, f, s)), F.lower(text), args, fallacies, sequiturs).cast(VERDICTS)
 
 
-def integrity(declared: Column, latent: Column, models: Models) -> Column:
-    """Column (value, kind, p) of an objective told by a model: whether what is said and what is pursued hang together; null values aren't measured."""
+def goal_pairs(declared: Column, latent: Column) -> Column:
+    """What a model is asked of an objective: whether what is said yields what is pursued, and the reverse."""
+    said, meant = strip(declared), strip(F.coalesce(latent, F.lit("")))
+    return F.array(F.struct(said.alias("premise"), meant.alias("hypothesis")), F.struct(meant.alias("premise"), said.alias("hypothesis")))
+
+
+def goal_question(declared: Column, latent: Column) -> Column:
+    # Fixed value: the question's text.
+    return F.array(F.concat(F.lit("Obiettivo dichiarato: "), strip(declared), F.lit(". Obiettivo latente: "), strip(F.coalesce(latent, F.lit(""))), F.lit(".")))
+
+
+def integrity(declared: Column, latent: Column, both: Column | None = None, ranked: Column | None = None) -> Column:
+    """Column (value, kind, p) of an objective told by a model: whether what is said and what is pursued hang together; null values aren't measured.
+
+    both and ranked: a model's answers to goal_pairs and to goal_question.
+    """
     said, meant = strip(declared), strip(F.coalesce(latent, F.lit("")))
     nothing = F.lit(None)
 
     def result(value: Column, kind: Column | None, p: Column | None = None) -> Column:
         return F.struct(value.cast("double").alias("value"), (nothing if kind is None else kind).cast("string").alias("kind"), (nothing if p is None else p).cast("double").alias("p"))
 
-    if models.entail is unknown_all:
-        measured = result(nothing, None)
-    else:
-        both = models.entail(F.array(F.struct(said.alias("premise"), meant.alias("hypothesis")), F.struct(meant.alias("premise"), said.alias("hypothesis"))))
-        asked = F.concat(F.lit("Obiettivo dichiarato: "), said, F.lit(". Obiettivo latente: "), meant, F.lit("."))
-        top = F.get(F.get(models.label(F.array(asked), RELATIONS, RELATION_QUESTION, False), F.lit(0)), F.lit(0))
+    def told(x: Column) -> Column:
+        top, best = x["top"], x["best"]
         split = result(F.round(F.greatest(F.lit(0.0), 1 - F.when(top["label"] == RELATIONS[1], CONTRADICTION).otherwise(DISPERSION) * top["score"]), 4), F.when(top["label"] == RELATIONS[1], "contradictory").otherwise("dispersed"), F.round(top["score"], 4))
-        best = F.array_max(both)
-        measured = F.when(best <= 0, result(nothing, None)).when(best >= INTEGRAL, result(F.lit(1.0), F.lit("integral"))).otherwise(split)
+        return F.when(best <= 0, result(nothing, None)).when(best >= INTEGRAL, result(F.lit(1.0), F.lit("integral"))).otherwise(split)
+
+    measured = result(nothing, None) if both is None or ranked is None else let(F.struct(F.array_max(both).alias("best"), F.get(F.get(ranked, F.lit(0)), F.lit(0)).alias("top")), told)
     whole = F.when((meant == "") | (meant == said), result(F.lit(1.0), F.lit("integral"))).otherwise(measured)
     return F.when(F.coalesce(said, F.lit("")) == "", result(nothing, None)).otherwise(whole)
 
 
+def staged(rows: DataFrame, answers: dict[str, Column]) -> DataFrame:
+    """rows with answers of Python functions as columns of a stage of their own.
+
+    The optimizer would move a call that is read once into the expression that reads it, also where no Python function can
+    run; it moves nothing that isn't deterministic, so each answer passes a condition on its partition that always holds.
+    """
+    return rows.withColumns({k: F.when(F.spark_partition_id() >= 0, c) for k, c in answers.items()}) if answers else rows
+
+
 def assessed(docs: DataFrame, models: Models = Models(), tables: dict[str, list] | None = None, terms: dict[str, list[str]] = ARGUMENTATIVE) -> DataFrame:  # noqa: B008
     """Annotated docs (doc_id, text, lang; declared, latent: a model's objective, if known) with all findings as columns.
 
     sents, spans, units, used (premises by unit), parsed, coherence, fallacies, arguments, sequiturs, circles, premises,
     verdicts, integrity, beside those of profile.annotated.
     """
-    goal = [c for c in ("declared", "latent") if c in docs.columns]
-    lang = F.col("lang")
-    notes = profile.annotated(docs, keep=goal)
-    rows = notes.withColumns({"spans": spans(F.col("text")), "units": F.transform("sents", strip)})
-    rows = rows.withColumn("parsed", models.parse(F.col("sents"), lang)) if models.parse else rows
-    parsed = F.col("parsed") if models.parse else None
-    rows = rows.withColumns({"coherence": embed.coherence(F.col("sents"), models.encode, models.topics), "used": premises_used(F.col("units"), embed.used_premises(F.col("units"), models.encode))})
-    rows = rows.withColumns({"patterns": pattern_fallacies(F.col("text"), lang, tables), "seen": model_fallacies(F.col("sents"), lang, models, terms), "arguments": inventory(F.col("units"), lang, models)})
-    rows = rows.withColumns({"fallacies": one_of_each(F.concat(confirmed(F.col("patterns"), F.col("seen"), F.col("spans")), F.col("seen"))), "premises": premises(F.col("sents"), lang, parsed, models)})
-    if models.entail is not unknown_all:
+    goal = "declared" in docs.columns
+    lang, latent = F.col("lang"), F.col("latent") if "latent" in docs.columns else F.lit(None).cast("string")
+    entails, labels = models.entail is not unknown_all, models.label is not even_all
+    rows = profile.annotated(docs, keep=[c for c in ("declared", "latent") if c in docs.columns])
+    before = {*rows.columns, "spans", "units", "parsed", "coherence", "used", "fallacies", "arguments", "premises", "sequiturs", "circles", "verdicts", "integrity"} - {"declared", "latent"}
+    vectors = (lambda name: F.col(name)) if models.encode else (lambda _: None)
+    rows = rows.withColumns({"spans": spans(F.col("text")), "units": F.transform("sents", strip), "asked_sents": asked_sentences(F.col("sents"), lang, terms)})
+
+    # What models say of the sentences.
+    first = {"parsed": models.parse(F.col("sents"), lang)} if models.parse else {}
+    if models.encode:
+        first |= {"sent_vectors": models.encode(F.col("sents")), "unit_vectors": models.encode(F.col("units"))}
+    if labels:
+        first |= {"ranked_units": models.label(F.col("units"), [CLAIM, SUPPORT, NEITHER], UNIT_QUESTION, False), **fallacy_answers(F.col("asked_sents"), lang, models)}
+    rows = staged(rows, first)
+    rows = staged(rows, {"coherence": embed.coherence(F.col("sents"), vectors("sent_vectors"), models.topics), "near_units": embed.used_premises(F.col("units"), vectors("unit_vectors"))})
+    rows = rows.withColumns({"used": premises_used(F.col("units"), F.col("near_units")), "patterns": pattern_fallacies(F.col("text"), lang, tables), "plain": plain_inventory(F.col("units"), lang)})
+    seen = model_fallacies(F.col("asked_sents"), lang, {f"ranked_{k}": F.col(f"ranked_{k}") for k in FALLACY_LABELS}) if labels else none_of(FALLACY)
+    own = inventory(F.col("units"), lang, F.col("plain"), F.col("ranked_units")) if labels else F.col("plain")
+    rows = rows.withColumns({"seen": seen, "arguments": own, "asked": candidates(F.col("sents"), F.col("parsed") if models.parse else None)})
+    rows = rows.withColumn("fallacies", one_of_each(F.concat(confirmed(F.col("patterns"), F.col("seen"), F.col("spans")), F.col("seen"))))
+
+    # What an entailment model says of what the findings rest on.
+    if entails:
         rows = rows.withColumns({"follows": sequitur_pairs(F.col("arguments"), F.col("used")), "returns": circle_pairs(F.col("arguments"), F.col("used"))})
-    rows = rows.withColumns({"sequiturs": non_sequiturs(F.col("follows"), models), "circles": circles(F.col("returns"), models)})
-    rows = rows.withColumn("verdicts", verdicts(F.col("text"), F.col("arguments"), F.col("fallacies"), F.col("sequiturs")))
-    told = integrity(F.col("declared"), F.col("latent") if "latent" in goal else F.lit(None).cast("string"), models) if "declared" in goal else F.lit(None).cast("struct<value double, kind string, p double>")
-    return rows.withColumn("integrity", told).drop("patterns", "seen", "follows", "returns", *goal)
+        rows = staged(rows, {"asked_vectors": models.encode(F.col("asked"))} if models.encode else {})
+        rows = staged(rows, {"near_asked": embed.contexts(F.col("asked"), F.col("sents"), vectors("asked_vectors"), vectors("sent_vectors"))})
+        rows = rows.withColumns({"tacit": tacit_pairs(F.col("asked"), F.col("near_asked")), "forth_asked": asked_pairs(F.col("returns")), "back_asked": asked_pairs(F.col("returns"), True), "follows_asked": asked_pairs(F.col("follows"))})
+        answers = {"follows_p": models.entail(F.col("follows_asked")), "forth_p": models.entail(F.col("forth_asked")), "back_p": models.entail(F.col("back_asked")), "tacit_p": models.entail(F.col("tacit"))}
+        if goal:
+            rows = rows.withColumns({"goal_asked": goal_pairs(F.col("declared"), latent), "goal_text": goal_question(F.col("declared"), latent)})
+            answers |= {"goal_p": models.entail(F.col("goal_asked")), "goal_ranked": models.label(F.col("goal_text"), RELATIONS, RELATION_QUESTION, False)}
+        rows = staged(rows, answers)
+    rows = rows.withColumns(
+        {
+            "sequiturs": non_sequiturs(F.col("follows"), F.col("follows_p")) if entails else none_of(SEQUITURS),
+            "circles": circles(F.col("returns"), F.col("forth_p"), F.col("back_p")) if entails else none_of(CIRCLES),
+            "premises": premises(F.col("sents"), lang, F.col("asked"), *((F.col("tacit"), F.col("tacit_p")) if entails else ())),
+        }
+    )
+    told = F.lit(None).cast("struct<value double, kind string, p double>")
+    if goal:
+        told = integrity(F.col("declared"), latent, *((F.col("goal_p"), F.col("goal_ranked")) if entails else ()))
+    rows = rows.withColumns({"verdicts": verdicts(F.col("text"), F.col("arguments"), F.col("fallacies"), F.col("sequiturs")), "integrity": told})
+    return rows.select(*[c for c in rows.columns if c in before])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import PARATEXT
-from plumbline.functions.text import LINE_BREAK, WHITE, let, strip
+from plumbline.functions.text import LINE_BREAK, WHITE, let, listed, strip
 
 FRONT = r"(?s)^---\s*\n(.*?)\n---\s*\n"
 COMMENT = r"(?s)<!--.*?-->"
@@ -77,5 +77,5 @@ def clean_chunk(text: Column, recurring: Column, reflowed: bool = True) -> Colum
 def paratext(title: Column, text: Column) -> Column:
     """The first marker that the title holds or the text begins with, or null."""
     head = F.substring(strip(F.regexp_replace(F.lower(text), f"{WHITE}+", " ")), 1, HEAD)
-    marks = F.array(*[F.lit(m) for m in PARATEXT])
+    marks = listed(PARATEXT)
     return F.get(F.filter(marks, lambda m: F.contains(F.lower(F.coalesce(title, F.lit(""))), m) | F.startswith(head, m)), F.lit(0))

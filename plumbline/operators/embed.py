@@ -80,22 +80,26 @@ def coherence_values(sents: list[str], given: list | None = None, topics: int =
     return local, overall, drift, 0.6 * (1 - min(1.0, 3 * drift)) + 0.4 * spread
 
 
-def _columns(sents: Column, encode_all, topics=None) -> list[Column]:
-    """Sentences with their vectors and number of topics, null and 0 without a model. Fewer than TOPIC_LEAST sentences have none."""
-    given = encode_all(sents) if encode_all else F.lit(None).cast("array<array<double>>")
+def given_vectors(sents: Column, encode_all) -> Column:
+    """A model's vectors of sentences; null without a model."""
+    return encode_all(sents) if encode_all else F.lit(None).cast("array<array<double>>")
+
+
+def _columns(sents: Column, given: Column, topics=None) -> list[Column]:
+    """Sentences with their vectors and number of topics, 0 without a model. Fewer than TOPIC_LEAST sentences have none."""
     count = F.when(F.size(sents) >= TOPIC_LEAST, topics(sents)).otherwise(0) if topics else F.lit(0)
     return [sents, given, F.coalesce(count, F.lit(0)).cast("int")]
 
 
-def coherence(sents: Column, encode_all=None, topics=None) -> Column:
-    """Column (local, overall, drift, thematic) of an array of sentences; encode_all and topics: column functions of models."""
+def coherence(sents: Column, given: Column | None = None, topics=None) -> Column:
+    """Column (local, overall, drift, thematic) of an array of sentences; given: a model's vectors of them; topics: a model's column function."""
 
     @F.pandas_udf("local double, overall double, drift double, thematic double")
     def measured(column: pd.Series, given: pd.Series, count: pd.Series) -> pd.DataFrame:
         rows = [coherence_values(list(s) if s is not None else [], v, int(n)) for s, v, n in zip(column, given, count, strict=True)]
         return pd.DataFrame(rows, columns=["local", "overall", "drift", "thematic"])
 
-    return measured(*_columns(sents, encode_all, topics))
+    return measured(*_columns(sents, given_vectors(sents, None) if given is None else given, topics))
 
 
 def nearest(x: np.ndarray, y: np.ndarray, top: int, skip_own: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -122,14 +126,14 @@ def premises_used(sents: list[str], least: float = 0.4, top: int = 3, given: lis
     return [[int(j) for j, c in zip(p, s, strict=True) if c > least] for p, s in zip(places, cosines, strict=True)]
 
 
-def used_premises(sents: Column, encode_all=None) -> Column:
+def used_premises(sents: Column, given: Column | None = None) -> Column:
     """Column of arrays: for each sentence the positions of the premises it uses (premises_used)."""
 
     @F.pandas_udf("array<array<int>>")
     def near(column: pd.Series, given: pd.Series, _: pd.Series) -> pd.Series:
         return pd.Series([premises_used(list(s), given=v) if s is not None else [] for s, v in zip(column, given, strict=True)])
 
-    return near(*_columns(sents, encode_all))
+    return near(*_columns(sents, given_vectors(sents, None) if given is None else given))
 
 
 def context_values(asked: list[str], sents: list[str], own: list | None = None, given: list | None = None) -> list[tuple]:
@@ -140,16 +144,16 @@ def context_values(asked: list[str], sents: list[str], own: list | None = None,
     return [(float(c[0]), " ".join(sents[j] for j in p)[:CONTEXT_CHARS]) for p, c in zip(places, cosines, strict=True)]
 
 
-def contexts(asked: Column, sents: Column, encode_all=None) -> Column:
-    """Array of (best, context) for candidates against sentences."""
-    none = F.lit(None).cast("array<array<double>>")
+def contexts(asked: Column, sents: Column, own: Column | None = None, given: Column | None = None) -> Column:
+    """Array of (best, context) for candidates against sentences; own and given: a model's vectors of either."""
+    none = given_vectors(sents, None)
 
     @F.pandas_udf("array<struct<best double, context string>>")
     def found(a: pd.Series, s: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         rows = zip(a, s, x, y, strict=True)
         return pd.Series([[{"best": b, "context": c} for b, c in context_values(list(p if p is not None else []), list(q if q is not None else []), u, v)] for p, q, u, v in rows])
 
-    return found(asked, sents, encode_all(asked) if encode_all else none, encode_all(sents) if encode_all else none)
+    return found(asked, sents, none if own is None else own, none if given is None else given)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import ABSTRACT_STOPWORDS, ABSTRACT_SUFFIXES, ABSTRACT_TERMS, ARGUMENTATIVE, FALLACIES_EN, FALLACIES_IT, MARKERS
-from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, by_lang, let, located, phrase_pattern, strip
+from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, by_lang, let, matches, phrase_pattern, placed, strip
 
 FALLACY = "array<struct<kind string, start int, end int, severity double, confidence double, confirmed boolean, source string, sent_idx int, match string>>"
 MARKED = "array<struct<horn string, subtype string, match string, start int, occurrences long, confidence double>>"
@@ -55,19 +55,23 @@ def pattern_fallacies(text: Column, lang: Column, tables: dict[str, list] | None
     """
     tables = {"en": FALLACIES_EN, "it": FALLACIES_IT} if tables is None else tables
 
-    def hits(kind: str, pattern: str, severity: float, confidence: float) -> Column:
-        def row(m: Column) -> Column:
-            return F.struct(
-                F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit(float(severity)).alias("severity"), F.lit(float(confidence)).alias("confidence"),
-                F.lit(False).alias("confirmed"), F.lit("pattern").alias("source"), F.lit(None).cast("int").alias("sent_idx"), m["match"].alias("match"),
-            )
+    fields = ("kind", "severity", "confidence")
+    nobody = F.lit(None).cast("struct<kind string, severity double, confidence double, match array<string>, before array<string>>")
+    # The n-th pattern of each language in the n-th place, so that all languages share one expression.
+    found = []
+    for n in range(max((len(t) for t in tables.values()), default=0)):
+        own = nobody
+        for k, table in tables.items():
+            if n < len(table):
+                kind, pattern, severity, confidence = table[n]
+                own = F.when(lang == k, matches(text, java(pattern), kind=F.lit(kind), severity=F.lit(float(severity)), confidence=F.lit(float(confidence)))).otherwise(own)
+        found.append(own)
 
-        return F.transform(located(text, java(pattern)), row)
+    def row(m: Column) -> Column:
+        return F.struct(*[m[c].alias(c) for c in ("kind", "start", "end", "severity", "confidence")], F.lit(False).alias("confirmed"), F.lit("pattern").alias("source"), F.lit(None).cast("int").alias("sent_idx"), m["match"].alias("match"))
 
-    found = none_of(FALLACY)
-    for k, table in tables.items():
-        found = F.when(lang == k, F.concat(*[hits(*p) for p in table]).cast(FALLACY) if table else none_of(FALLACY)).otherwise(found)
-    return first_best(F.coalesce(found, none_of(FALLACY)), lambda f: F.struct(f["start"], f["end"], f["kind"]), lambda _: F.lit(0))
+    hits = F.transform(placed(found, fields), row).cast(FALLACY) if found else none_of(FALLACY)
+    return first_best(hits, lambda f: F.struct(f["start"], f["end"], f["kind"]), lambda _: F.lit(0))
 
 
 def fallacy_hits(docs: DataFrame, tables: dict[str, list] | None = None) -> DataFrame:
@@ -84,16 +88,17 @@ def argumentative(sentence: Column, lang: Column, terms: dict[str, list[str]] =
 def markers_in(text: Column, markers: list) -> Column:
     """Array of (horn, subtype, match, start, occurrences, confidence): equal matches of a horn are one, with the first marker's subtype and place."""
 
-    def hits(horn: str, subtype: str, pattern: str, confidence: float) -> Column:
-        return F.transform(located(text, java(pattern)), lambda m: F.struct(F.lit(horn).alias("horn"), F.lit(subtype).alias("subtype"), F.lower(strip(m["match"])).alias("match"), m["start"].alias("start"), F.lit(float(confidence)).alias("confidence")))
-
     def counted(found: Column) -> Column:
         return F.transform(grouped(found, lambda h: F.struct(h["horn"], h["match"]), lambda _: F.lit(0)), lambda g: told(F.get(found, g["first"]), g["n"]))
 
     def told(h: Column, n: Column) -> Column:
         return F.struct(h["horn"].alias("horn"), h["subtype"].alias("subtype"), h["match"].alias("match"), h["start"].alias("start"), n.cast("long").alias("occurrences"), h["confidence"].alias("confidence"))
 
-    return let(F.concat(*[hits(*m) for m in markers]), counted) if markers else none_of(MARKED)
+    if not markers:
+        return none_of(MARKED)
+    found = [matches(text, java(pattern), horn=F.lit(horn), subtype=F.lit(subtype), confidence=F.lit(float(confidence))) for horn, subtype, pattern, confidence in markers]
+    own = F.transform(placed(found, ("horn", "subtype", "confidence")), lambda m: F.struct(*[m[c].alias(c) for c in ("horn", "subtype")], F.lower(strip(m["match"])).alias("match"), m["start"].alias("start"), m["confidence"].alias("confidence")))
+    return let(own, counted)
 
 
 def marker_hits(docs: DataFrame, horns: tuple[str, ...] | None = None, markers: list = MARKERS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import AUTHORITY, QUOTES, REFERENCE, SUBORDINATE_RELATIONS
-from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, by_lang, contains_any, count_in, count_phrases, lettered, lexicon, located, rounded, sentences, style_list, tokens, upos
+from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, by_lang, contains_any, count_in, count_phrases, lettered, lexicon, listed, located, rounded, sentences, style_list, tokens, upos
 from plumbline.operators.clauses import depths
 
 MTLD_TTR, LEAST_TOKENS = 0.72, 30
@@ -230,5 +230,5 @@ def bias(notes: DataFrame) -> DataFrame:
 def explicit_premises(sents: Column) -> Column:
     from plumbline.functions.fixed import EXPLICIT_PREMISE
 
-    marks = F.array(*[F.lit(m) for m in EXPLICIT_PREMISE])
+    marks = listed(EXPLICIT_PREMISE)
     return F.filter(sents, lambda s: contains_any(F.lower(s), marks))

@@ -179,7 +179,7 @@ def h_tacit(spark, d):
 
 
 def h_candidates(spark, d):
-    rows = docs(spark, d).select("doc_id", assess.candidates(sentences(F.col("text")), parse(sentences(F.col("text")), F.col("lang"))).alias("c"))
+    rows = _parsed(spark, d).select("doc_id", assess.candidates(F.col("sents"), F.col("parsed")).alias("c"))
     return rows.select("doc_id", F.posexplode("c").alias("nth", "candidate"))
 
 
@@ -288,7 +288,7 @@ def v_forced_sample(spark, d):
 
 NAMES = (
     t_clean_marked, t_recurring_marked, c_blocks, c_chunks_sectioned, f_spans, f_argumentative_given, f_confirmed, m_markers_given, m_inclosure_given, m_terms_ranked, g_labelled, v_sequiturs, v_circles,
-    v_verdicts, v_integrity, v_jaccard, p_tree, b_uncited, e_top_neighbours, q_call_health, q_chunk_resume,
+    v_verdicts, v_integrity, v_jaccard, h_tacit, h_candidates, a_tree_clauses, p_tree, y_syntax, x_given, x_given_findings, x_given_summary, b_uncited, e_top_neighbours, q_call_health, q_chunk_resume,
     d_call_budget, q_first_sight, v_detector, v_macro, v_natural_sample, v_forced_sample,
 )
 

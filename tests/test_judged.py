@@ -1,19 +1,21 @@
 """Models as plug-ins, and queries with stand-ins against their SQL on the smallest tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import assess, inductive, score
+from plumbline.operators import assess, embed, inductive, score
 from plumbline.plans import judged, sql_more
+from plumbline.sources import providers
 from plumbline.sources.providers import Models, discover
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["t_clean_marked", "c_blocks", "c_chunks_sectioned", "f_spans", "f_confirmed", "m_markers_given", "m_terms_ranked", "v_sequiturs", "v_circles", "v_verdicts", "v_integrity", "b_uncited", "v_forced_sample"])
+@pytest.mark.parametrize("name", ["t_clean_marked", "c_blocks", "c_chunks_sectioned", "f_spans", "f_confirmed", "m_markers_given", "m_terms_ranked", "v_sequiturs", "v_circles", "v_verdicts", "v_integrity", "b_uncited", "v_forced_sample", "h_tacit", "h_candidates", "a_tree_clauses", "y_syntax", "x_given", "x_given_findings", "x_given_summary"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in os.listdir(SF):
@@ -25,6 +27,49 @@ def test_query_equals_its_sql(spark, name):
     assert rows and rows == sorted(repr(tuple(r[names.index(c)] for c in cols)) for r in want.fetchall())
 
 
+def in_python():
+    """Providers, whose models are made within, so that they travel to workers by value."""
+    relations, tags = judged.RELATIONS, judged.TAGS
+
+    def entail_model():
+        return lambda a, b: [(13 * len(p) + 7 * len(h)) % 1009 / 1009.0 for p, h in zip(a, b, strict=True)]
+
+    def label_model():
+        return lambda texts, labels, question, several: [[(len(t) * (7 * i + 3)) % 101 / 101.0 for i in range(len(labels))] for t in texts]
+
+    def encode_model():
+        return lambda texts: [embed.encode(t).tolist() for t in texts]
+
+    def parse_model():
+        def words(sentence):
+            out = []
+            for k, m in enumerate(re.finditer(r"\w+|[^\w\s]", sentence)):
+                at = k + 1
+                relation = {1: "root", 2: "nsubj", 3: "obj"}.get(at, relations[at % len(relations)])
+                tag = "VERB" if at == 1 else tags[at % len(tags)]
+                out.append({"text": m[0], "lemma": m[0].lower(), "upos": tag, "head": at // 2, "deprel": relation, "start": m.start(), "end": m.end()})
+            return out
+
+        return lambda sents, lang: [words(s) for s in sents]
+
+    return {"entail": providers.entailments(entail_model), "label": providers.zero_shot(label_model), "encode": providers.encoder(encode_model), "parse": providers.parser(parse_model)}
+
+
+COLUMNS = {"entail": judged.entail, "label": judged.label, "parse": judged.parse}
+
+
+@pytest.mark.parametrize("kinds", [("entail",), ("label",), ("encode",), ("parse",), ("entail", "label", "encode", "parse")])
+def test_score_with_models_as_python_functions(spark, kinds):
+    """Models that run in Python workers, each and together, give what the same arithmetic gives as built-in columns."""
+    rows = judged.given(spark, SF).where("doc_id < 40")
+    got, want = (score.analysis(rows, Models(**{k: f for k, f in made.items() if k in kinds}), judged.TABLES, judged.TERMS) for made in (in_python(), COLUMNS))
+    shown = ["doc_id", "found", "arguments", "fallacies", "sequiturs", "circles", "verdicts", "premises", "integrity", F.round("epsilon", 9).alias("epsilon")]
+    a, b = ({r.doc_id: r for r in x.select(*shown).collect()} for x in (got, want))
+    assert len(a) == 40 and a == b
+    assert ("entail" in kinds) == any(r.sequiturs for r in a.values())
+    assert ({"entail", "parse"} <= {*kinds}) == any(r.premises.n_implicit + r.premises.n_suspect for r in a.values())
+
+
 def test_findings_lower_the_score(spark):
     docs = spark.createDataFrame([(0, "Everyone knows that cats fly. Therefore all cats must fly away from here.", "en")], "doc_id long, text string, lang string")
 
