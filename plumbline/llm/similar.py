@@ -170,11 +170,15 @@ def groups(docs: DataFrame) -> DataFrame:
     texts = _named(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select(*ROW, "text")
     prints = materialize(texts.mapInPandas(_described, "__none boolean, __id long, __text long, node long, size int, keys array<long>"), "sets")
     # Copies of a node are one; any of its rows serves to read its text again.
-    nodes = prints.groupBy("node").agg(F.min("size").alias("size"), F.min(F.struct(*ROW)).alias("row"), F.min("keys").alias("keys"))
-    keyed = nodes.select("node", "size", "row", F.explode("keys").alias("key"))
-    shared = materialize(keyed.join(_kept_keys(keyed, F.count("*") > 1), "key").select("key", "node", "size", "row"), "shared")
-    wanted = shared.select("row.*").distinct()
+    nodes = materialize(prints.groupBy("node").agg(F.min("size").alias("size"), F.min(F.struct(*ROW)).alias("row"), F.min("keys").alias("keys")), "nodes")
+    # Most keys have one node: these go by their count alone, before anything else is known of a key.
+    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+    repeated = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = materialize(keyed.join(repeated, "key", "left_semi").select("key", "node", "size"), "met")
+    shared = materialize(met.join(_kept_keys(met, F.count("*") > 1), "key").select("key", "node", "size"), "shared")
+    wanted = nodes.select("node", "row").join(shared.select("node").distinct(), "node", "left_semi").select("row.*")
     sets = materialize(texts.join(wanted, ROW, "left_semi").mapInPandas(_sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "shingles")
+    discard(met)
     centre = shared.groupBy("key").agg(F.min(F.struct("node", "size")).alias("c"))
     stars = shared.join(centre, "key").where(F.col("node") != F.col("c.node")).where(_fits(F.col("size"), F.col("c.size")))
     some = _checked(stars.select(F.col("c.node").alias("u"), F.col("node").alias("v")).distinct(), sets)
@@ -193,7 +197,7 @@ def groups(docs: DataFrame) -> DataFrame:
     links = [some, pairs, crowds]
     found = components(reduce(DataFrame.union, links)).withColumnRenamed("component", "in")
     out = materialize(prints.join(found, "node", "left").select(*ROW, "node", F.coalesce("in", "node").alias("group")), "groups")
-    for used in (prints, shared, sets, open_, *links):
+    for used in (prints, nodes, shared, sets, open_, *links):
         discard(used)
     return out
 
