@@ -1,8 +1,7 @@
 """K-d tree sharding by bytes, in DataFrame functions only.
 
 A row's place in each metadata dimension is a number from 0 to 1 that rises with the column's value:
-for numbers the value within its range, for texts the share of rows with lesser values, however
-many values there are. Rows with equal values, copies of one row too, are spread over their value's
+the share of rows with lesser values, however many values there are and however far apart. Rows with equal values, copies of one row too, are spread over their value's
 stretch by a hash of the row and its place in the input, so a value or a row that holds a third of
 the table is cut like any other.
 
@@ -80,31 +79,25 @@ def _unit(*parts: Column | str) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def _places(base: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
-    """(doc_id, size, text_crc32, tie, p_0, p_1, ...) of rows (doc_id, size, text_crc32, tie, d_0, d_1, ...)."""
-    kinds = dict(base.dtypes)
-    numbers = [k for k in range(len(dimensions)) if kinds[f"d_{k}"] in _NUMBERS]
+def _number(x: Column, kind: str) -> Column:
+    """A number as a value that sorts and joins by itself; null and what isn't finite are one value below all others."""
+    x = F.when(~F.isnan(x) & (F.abs(x) < F.lit(math.inf)), x) if kind in ("float", "double") else x
+    return F.struct(x.isNotNull().alias("known"), F.coalesce(x, F.lit(0).cast(kind)).alias("value"))
 
-    def number(k: int) -> Column:
-        x = F.col(f"d_{k}").cast("double")
-        return F.when(~F.isnan(x) & (F.abs(x) < F.lit(math.inf)), x)
 
-    ends = base.agg(F.count("*").alias("n"), *[f(number(k)).alias(f"{name}_{k}") for k in numbers for name, f in (("lo", F.min), ("hi", F.max))]).first()
+def _places(base: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
+    """(doc_id, size, text_crc32, tie, p_0, p_1, ...) of rows (doc_id, size, text_crc32, tie, d_0, d_1, ...)."""
+    n = base.count()
     out = base
     for k in range(len(dimensions)):
         spread = _unit("doc_id", "text_crc32", "tie", F.lit(k))
-        if k in numbers:
-            lo, hi = ends[f"lo_{k}"] or 0.0, ends[f"hi_{k}"] or 0.0
-            place = (F.coalesce(number(k) - F.lit(lo) + 1.0, F.lit(0.0)) + spread) / F.lit(hi - lo + 2.0)
-        else:
-            out = out.join(_shares(base, k), f"d_{k}", "left")
-            place = (F.col(f"before_{k}") + spread * F.col(f"rows_{k}")) / F.lit(float(max(1, ends.n)))
-        out = out.withColumn(f"p_{k}", place)
+        out = out.join(_shares(base, k), f"d_{k}", "left")
+        out = out.withColumn(f"p_{k}", (F.col(f"before_{k}") + spread * F.col(f"rows_{k}")) / F.lit(float(max(1, n))))
     return out.select("doc_id", "size", "text_crc32", "tie", *[f"p_{k}" for k in range(len(dimensions))])
 
 
 def _shares(base: DataFrame, k: int) -> DataFrame:
-    """(d_k, before_k, rows_k): for each text value the rows with lesser values and with it.
+    """(d_k, before_k, rows_k): for each value the rows with lesser values and with it.
 
     Values are sorted over the cluster; only a count for each partition meets in one place.
     """
@@ -182,7 +175,7 @@ def assign(docs: DataFrame, shards: int = 40, dimensions: tuple[str, ...] = DIME
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for all docs (doc_id, text and the dimensions)."""
     n_dims, kinds = len(dimensions), dict(docs.dtypes)
     bytes_ = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    values = [F.col(d) if kinds[d] in _NUMBERS else F.coalesce(F.col(d).cast("string"), F.lit("")) for d in dimensions]
+    values = [_number(F.col(d), kinds[d]) if kinds[d] in _NUMBERS else F.coalesce(F.col(d).cast("string"), F.lit("")) for d in dimensions]
     rows = docs.select("doc_id", *[v.alias(f"d_{k}") for k, v in enumerate(values)], (F.octet_length(bytes_) + EXTRA).cast("long").alias("size"), F.crc32(bytes_).alias("text_crc32"))
     # Written at once, as places in the input tell copies of a row apart.
     base = materialize(rows.withColumn("tie", F.monotonically_increasing_id()), "sizes")
