@@ -7,8 +7,9 @@ expected domain totals, the sum of rate x tokens x posterior, match the targets:
 aggregation over a compact table, whose result is a number a domain and a pair of domains. Steps are
 scaled by the domains' Gram matrix over the rows that may still move.
 
-Tokens are runs of letters. Rates become whole copies by rounding up or down at random by id, with
-the rate as expectation.
+Tokens are runs of letters. Rates become whole copies by rounding up or down by the row's place in a
+written table, with the rate as expectation, so rows that share an id or a text are rounded each on
+their own.
 
 Defined results: null and wordless texts have no tokens and the prior's posteriors; labels of ids
 without a document, null ids and null domains are left out; domains of the targets without a
@@ -154,21 +155,43 @@ def solve(rows: DataFrame, targets: list[float], least: float = 0.0, growth: flo
     return rates
 
 
-def copies(rate: Column, key: Column) -> Column:
-    """Whole copies whose expectation is the rate."""
-    chance = F.pmod(F.xxhash64(key, F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return F.floor(rate + chance).cast("long")
+def copies(rate: Column, place: Column) -> Column:
+    """Whole copies whose expectation is the rate: rounded up or down by the row's place, whatever its id.
+
+    place: monotonically_increasing_id() of a written table. The places of a partition's rows, times the golden ratio,
+    cover the stretch from 0 to 1 evenly, so that the roundings of like rows cancel out.
+    """
+    index, part = F.pmod(place, F.lit(1 << 33)), F.shiftright(place, 33)
+    start = F.pmod(F.xxhash64(part, F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.floor(rate + F.pmod(index * F.lit((5**0.5 - 1) / 2) + start, F.lit(1.0))).cast("long")
+
+
+def realised(rows: DataFrame, n: Column, targets: np.ndarray | None) -> float:
+    """The largest miss of a domain's tokens in rows (tokens, p_0, p_1, ...) repeated n times, as a share of the targets' sum."""
+    if targets is None or not targets.sum():
+        return 0.0
+    got = rows.withColumn("n", n).agg(*[F.sum(F.col("n") * F.col("tokens") * F.col(f"p_{k}")) for k in range(len(targets))]).first()
+    return float(np.abs(np.array([x or 0.0 for x in got]) - targets).max() / targets.sum())
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, growth: float = 1.0) -> DataFrame:
-    """(doc_id, tokens, p_<domain>..., rate, copies, target_error, converged) of each row of docs (doc_id, text)."""
+    """(doc_id, tokens, p_<domain>..., rate, copies, target_error, converged, realised_error) of each row of docs (doc_id, text).
+
+    target_error: of the rates; realised_error: of whole copies.
+    """
     domains = sorted(targets)
     model = fit(docs, labelled, domains)
-    rows = materialize(model.attach(docs.select("doc_id", F.col("text").alias("t")), "t").drop("t"), "posteriors")
+    rows = _placed(model.attach(docs.select("doc_id", F.col("text").alias("t")), "t").drop("t"))
     rates = solve(rows, [targets[d] for d in domains], least, growth)
-    rated = rows.withColumn("rate", rates.column())
+    n = copies(rates.column(), F.col("place"))
     shown = [F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(domains)]
-    return rated.select("doc_id", "tokens", *shown, "rate", copies(F.col("rate"), F.coalesce("doc_id", F.lit(0))).alias("copies"), F.lit(rates.error).alias("target_error"), F.lit(rates.converged).alias("converged"))
+    errors = {"target_error": rates.error, "converged": rates.converged, "realised_error": realised(rows, n, rates.targets)}
+    return rows.select("doc_id", "tokens", *shown, rates.column().alias("rate"), n.alias("copies"), *[F.lit(v).alias(k) for k, v in errors.items()])
+
+
+def _placed(classified: DataFrame) -> DataFrame:
+    """Classified rows, written once with their place."""
+    return materialize(classified.withColumn("place", F.monotonically_increasing_id()), "posteriors")
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, growth: float = 1.0) -> DataFrame:
@@ -179,9 +202,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least
     domains = sorted(targets)
     model = fit(docs, labelled, domains)
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("t"))
-    rows = materialize(model.attach(whole, "t").drop("t"), "posteriors")
+    rows = _placed(model.attach(whole, "t").drop("t"))
     rates = solve(rows.drop("row"), [targets[d] for d in domains], least, growth)
     if not rates.converged:
         warnings.warn(f"mixing targets are missed by up to {rates.error:.6f} of all tokens", stacklevel=2)
-    rated = rows.select("row", copies(rates.column(), F.coalesce(F.col("row.doc_id"), F.lit(0))).alias("n"))
+    rated = rows.select("row", copies(rates.column(), F.col("place")).alias("n"))
     return rated.select("row", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).select("row.*")
