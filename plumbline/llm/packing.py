@@ -3,7 +3,7 @@
 Each document's hashed byte n-gram vector is projected to a few dimensions, the point's Hilbert
 key is the sort key of a range partitioning, and each range is filled into sequences in key order,
 so that a sequence holds neighbouring documents. The ranges hold equal bytes, as far as a sample of
-keys tells; a key that fills several ranges (many equal texts) is dealt to all of them in turn,
+keys tells, and their number follows from the bytes alone, so that padding doesn't depend on settings; a key that fills several ranges (many equal texts) is dealt to all of them in turn,
 which keeps the order. One shuffle moves the texts; the tokens never move. Neighbouring copies of a
 row, as mixing leaves them, travel as one row with a count. Only the last sequence of a range can be
 short.
@@ -15,6 +15,7 @@ packed whole; an empty table gives no rows; other columns are ignored, whatever
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import small_batches
 
 BUCKETS, DIMS, BITS, BLOCK = 2048, 3, 10, 1 << 20
-#: Sampled keys for each range, in expectation, from which the ranges' ends are told; most copies that travel as one row.
-SAMPLED, RUN = 64, 64
+#: Sampled rows, in expectation, from which the ranges' ends are told: one in SAMPLED, at least and at most so many; most copies that travel as one row.
+SAMPLED, SAMPLED_LEAST, SAMPLED_MOST, RUN = 128, 1 << 14, 1 << 22, 64
+#: Bytes of a range: at least some five hundred sequences, so that short last ones are few; more where there would be over so many ranges, up to so many bytes.
+RANGE, RANGES, RANGE_MOST = 2 << 20, 4096, 512 << 20
 
 #: Piece rows of a packing.
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -151,20 +154,27 @@ def _fill(batches: Iterator[pa.RecordBatch], vocabulary: str, length: int, end_i
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), names)
 
 
-def _ends(texts: DataFrame, tasks: int) -> np.ndarray:
-    """Keys at which tasks ranges of equal bytes end, all but the last; from a sample, of which SAMPLED keys a range come here."""
+def ranges_of(size: float) -> int:
+    """How many ranges texts of that many bytes make, whatever the session's settings."""
+    return max(1, math.ceil(size / min(RANGE_MOST, max(RANGE, size / RANGES))))
+
+
+def _ends(texts: DataFrame) -> np.ndarray:
+    """Keys at which ranges of equal bytes end, all but the last; from a bounded sample, which tells the bytes of all as well."""
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(curve_keys(own), pa.int64()), pa.array([len(t or "") + 16 for t in own], pa.int64())], ["curve", "size"])
 
-    share = SAMPLED * tasks / max(1, texts.count())
+    n = texts.count()
+    share = min(SAMPLED_MOST, max(SAMPLED_LEAST, n / SAMPLED)) / max(1, n)
     some = texts.sample(share, 1) if share < 1 else texts
     found = some.select("text").mapInArrow(weighed, "curve long, size long").toPandas().sort_values("curve")
     if not len(found):
         return np.zeros(0, np.int64)
     upto = found["size"].cumsum().to_numpy()
+    tasks = ranges_of(upto[-1] / min(1.0, share))
     return found["curve"].to_numpy()[np.searchsorted(upto, upto[-1] * np.arange(1, tasks) / tasks)]
 
 
@@ -192,8 +202,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0)
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = _ends(texts, tasks)
+    ends = _ends(texts)
+    tasks = len(ends) + 1
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
