@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.llm import ann, chat, ctph, langid, mixing, packing, queries, secrets, sharding, similar, simhash, toxicity
+from plumbline.llm.common import materialize
 from plumbline.llm.graph import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -541,7 +542,7 @@ def test_every_query_is_registered():
     import __spark_entry__ as e
 
     names = list(e.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 # Hot groups: one id, or copies of one row, in a third of the table or more
@@ -583,14 +584,80 @@ def test_packing_deals_a_hot_key_to_several_ranges(spark):
 
 
 def test_toxicity_of_the_table_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
     got = queries.op6_pu_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()
     hit = sum(r.predicted == 1 and r.toxic == 1 for r in got)
-    assert hit >= 0.5 * sum(r.toxic == 1 for r in got) and hit >= 0.5 * sum(r.predicted for r in got)
+    assert hit >= 0.85 * sum(r.toxic == 1 for r in got) and hit >= 0.85 * sum(r.predicted for r in got)
 
 
 def test_mixing_of_the_table_tells_its_error(spark):
     got = queries.op8_soft_mixing(spark, "/root/testdata/sf0.01")
     r = got.select("target_error", "converged").distinct().collect()
     assert len(r) == 1 and r[0].converged and r[0].target_error < 1e-6
+
+
+def test_large_hot_ids_and_fractions_are_cut_by_rank(spark):
+    rng = random.Random(4)
+    hot = 2**62 - 3
+    rows = [(hot if k % 3 == 0 else 2**62 + rng.randrange(1 << 60), "w " * rng.randrange(1, 200), "en", f"s{k % 5}", k) for k in range(1800)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long"), 8).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert len(got) == 8 and max(r.b for r in got) < 1.02 * min(r.b for r in got)
+    part = spark.createDataFrame([(None if k % 7 == 0 else float("nan") if k % 11 == 0 else k / 1000, "w " * 20, k) for k in range(3000)], "score double, text string, doc_id long")
+    own = sharding.assign(part, 6, ("score",)).join(part.select("doc_id", "score"), "doc_id").where("score >= 0 and not isnan(score)")
+    ends = own.groupBy("shard").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).orderBy("shard").collect()
+    assert all(a.hi < b.lo for a, b in zip(ends, ends[1:], strict=False)) and len(ends) >= 5
+
+
+def plain_kd(points, sizes, shards, bounds):
+    """Shards of places (rows of points) by a plain k-d tree at weighted medians of the widest dimension."""
+    if shards == 1 or not len(points):
+        return np.zeros(len(points), int)
+    d = int(np.argmax(points.max(axis=0) - points.min(axis=0)))
+    order = np.argsort(points[:, d], kind="stable")
+    upto, left = np.cumsum(sizes[order]), shards // 2
+    at = int(np.argmin(np.abs(np.append(0, upto) - upto[-1] * left / shards)))
+    out = np.zeros(len(points), int)
+    out[order[:at]] = plain_kd(points[order[:at]], sizes[order[:at]], left, bounds)
+    out[order[at:]] = left + plain_kd(points[order[at:]], sizes[order[at:]], shards - left, bounds)
+    return out
+
+
+def test_shards_equal_a_plain_tree(spark, monkeypatch):
+    """Over the same places, the distributed histograms cut as a plain tree does."""
+    monkeypatch.setattr(sharding, "CLOSE", 0.0)
+    places, seen = sharding._places, []
+
+    def kept(base, dimensions):
+        seen.append(materialize(places(base, dimensions), "kept"))
+        return seen[-1]
+
+    monkeypatch.setattr(sharding, "_places", kept)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = {(r.doc_id, r.text_crc32): r.shard for r in sharding.assign(docs, 6).collect()}
+    rows = seen[0].collect()
+    want = plain_kd(np.array([[r.p_0, r.p_1, r.p_2] for r in rows]), np.array([r["size"] for r in rows]), 6, None)
+    assert [got[r.doc_id, r.text_crc32] for r in rows] == want.tolist()
+
+
+def test_one_id_in_a_third_of_rows_still_meets_the_mixture(spark):
+    rng = random.Random(6)
+    good, bad = [f"good{'abcdefghij'[k]}" for k in range(10)], [f"bad{'abcdefghij'[k]}" for k in range(10)]
+    rows = [(5 if k % 3 == 0 else None if k % 7 == 0 else k, " ".join(rng.choices(good if k % 2 else bad, k=50))) for k in range(900)]
+    labels = spark.createDataFrame([(k, "good" if k % 2 else "bad") for k in range(900) if k % 3 and k % 7], "doc_id long, domain string")
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), labels, {"good": 0.6, "bad": 0.4}).toPandas()
+    total = (got.copies * got.tokens).sum()
+    assert abs((got.copies * got.tokens * got.p_good).sum() / total - 0.6) < 0.01
+    assert got.converged.all() and got.realised_error.nunique() == 1 and got.realised_error[0] < 0.01
+
+
+@pytest.mark.parametrize("partitions", ["3", "200"])
+def test_padding_is_small_whatever_the_setting(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = queries.op1_curve_packing(spark, "/root/testdata/sf0.01").groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got.tokens > 0.99 * got.sequences * 1024
+    assert packing.ranges_of(0) == 1 and packing.ranges_of(100 << 40) == 204_800 and packing.ranges_of(9 << 30) == 4096
