@@ -171,17 +171,25 @@ class Segment:
         return pa.Table.from_batches([documents, each]).combine_chunks().to_batches()[0]
 
 
-def statistics(docs: DataFrame) -> tuple[int, int]:
-    """(documents with a term, their terms with repeats)."""
-    counted = docs.select(F.regexp_count("text", F.lit(TERM)).cast("long").alias("n")).where("n > 0")
-    found = counted.agg(F.count("*").alias("n"), F.sum("n").alias("total")).first()
-    return found.n, found.total or 0
+def statistics(texts: DataFrame) -> tuple[int, int]:
+    """(documents with a term, their terms with repeats) of texts (text binary)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = total = 0
+        for b in batches:
+            sizes = [len(terms(t)) for t in b.column(0).to_pylist()]
+            n, total = n + sum(map(bool, sizes)), total + sum(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], ["n", "total"])
+
+    found = texts.mapInArrow(counted, "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    return found.n or 0, found.total or 0
 
 
 def index(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """(index, documents with a term, their terms) of docs (doc_id, text), written to the shared folder."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n, total = statistics(texts)
+    texts = texts.withColumn("text", F.col("text").cast("binary"))
+    n, total = statistics(texts.select("text"))
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId() << 24, 0
@@ -195,7 +203,7 @@ def index(docs: DataFrame) -> tuple[DataFrame, int, int]:
         if now.ids:
             yield now.rows(part + made)
 
-    return materialize(texts.select("doc_id", F.col("text").cast("binary")).mapInArrow(built, INDEX), "index"), n, total
+    return materialize(texts.mapInArrow(built, INDEX), "index"), n, total
 
 
 class Postings:
@@ -261,6 +269,8 @@ def search(docs: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
     asked = queries.select("item_id", "text").distinct().select("item_id", F.xxhash64("text").alias("query"), "text")
     blocks = -(-asked.count() // QUERIES) or 1
     uses = asked.select("item_id", "query", F.explode(term_column(F.col("text"))).alias("term")).groupBy("item_id", "query", "term").agg(F.count("*").alias("times"))
+    # Written, so that its size is known when the join is planned: few terms are broadcast, many meet the index in a shuffle.
+    uses = materialize(uses, "terms")
     frequency = table.join(uses.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("docs").alias("df"))
     gain = F.floor(F.lit(float(WEIGHT)) * F.ln(F.lit(2.0 * n + 2) / (2.0 * F.col("df") + 1)))
     block = F.pmod(F.xxhash64("item_id", "query"), F.lit(blocks)).cast("int")
@@ -295,4 +305,5 @@ def search(docs: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     out = materialize(ranked.select("item_id", "rank", "doc_id", "score"), "ranked")
     discard(table)
+    discard(uses)
     return out
