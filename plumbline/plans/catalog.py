@@ -107,7 +107,8 @@ def e_hash_buckets(spark, d):
 
 def e_coherence(spark, d):
     n = docs(spark, d).select("doc_id", embed.coherence(sentences(F.coalesce("text", F.lit("")))).alias("c"))
-    return n.select("doc_id", *[rounded(F.col(f"c.{k}"), 4).alias(k) for k in ("local", "overall", "drift", "thematic")])
+    # A sum of no cosines may be a negative zero.
+    return n.select("doc_id", *[(rounded(F.col(f"c.{k}"), 4) + 0.0).alias(k) for k in ("local", "overall", "drift", "thematic")])
 
 
 # Findings, arguments, score

@@ -7,14 +7,16 @@ The stand-in parser makes a binary tree of a sentence's tokens.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import TOKEN, located, rounded, sentences, strip
-from plumbline.operators import arguments, assess, chunk, clauses, clean, embed, findings, history, profile, score
+from plumbline.operators import arguments, assess, chunk, clauses, clean, embed, findings, history, profile, score, waves
 from plumbline.plans.catalog import docs, read, runs
+from plumbline.sources import stores
 from plumbline.sources.providers import Models
 
 #: Patterns that occur in the driver's prose, by language: kind, pattern, severity, confidence.
@@ -229,6 +231,24 @@ def x_given_summary(spark, d):
     return analysed(spark, d).select("doc_id", *[F.col(f"summary.{n}").cast("long").alias(n) for n in names])
 
 
+# Calls in waves
+
+#: Prompts of the calls; the stand-in model answers with the length of what it is asked.
+PROMPTS = {"objective": "State the objective.", "arsenal": "Look critically.", "r1": "Find foundations.", "trilemma": "Name the horn.", "inclosure": "Look for limits."}
+
+
+def length_model():
+    return lambda prompt, most: f'{{"n": {len(prompt)}}}'
+
+
+def i_waves(spark, d):
+    """Answers of all waves over whole documents; lengths tell that later prompts hold the earlier answers."""
+    units = docs(spark, d).select("doc_id", F.lit(0).cast("long").alias("chunk_id"), "text")
+    plan = waves.judged_plan(PROMPTS, last="Sum up.", slice=1_000_000)
+    answers = waves.run(units, plan, {"default": length_model}, f"{stores.scratch(spark)}/plumbline/ledger-{uuid.uuid4().hex}")
+    return answers.select("doc_id", "axis", "wave", F.get_json_object("answer", "$.n").cast("long").alias("n"))
+
+
 # Neighbours, history, evaluation
 
 
@@ -245,8 +265,6 @@ def q_call_health(spark, d):
 
 def q_chunk_resume(spark, d):
     """Chunks without a stored result, where documents with a good label have theirs."""
-    from plumbline.sources import stores
-
     cut = chunk.chunks(docs(spark, d)).select("doc_id", "chunk_id")
     done = cut.join(read(spark, d, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     return stores.missing(cut, done, ["doc_id", "chunk_id"]).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"))
@@ -288,7 +306,7 @@ def v_forced_sample(spark, d):
 
 NAMES = (
     t_clean_marked, t_recurring_marked, c_blocks, c_chunks_sectioned, f_spans, f_argumentative_given, f_confirmed, m_markers_given, m_inclosure_given, m_terms_ranked, g_labelled, v_sequiturs, v_circles,
-    v_verdicts, v_integrity, v_jaccard, h_tacit, h_candidates, a_tree_clauses, p_tree, y_syntax, x_given, x_given_findings, x_given_summary, b_uncited, e_top_neighbours, q_call_health, q_chunk_resume,
+    v_verdicts, v_integrity, v_jaccard, h_tacit, h_candidates, a_tree_clauses, p_tree, y_syntax, x_given, x_given_findings, x_given_summary, i_waves, b_uncited, e_top_neighbours, q_call_health, q_chunk_resume,
     d_call_budget, q_first_sight, v_detector, v_macro, v_natural_sample, v_forced_sample,
 )
 

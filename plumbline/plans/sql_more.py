@@ -18,6 +18,7 @@ from plumbline.functions.fixed import (
     REFERENCE,
     WEIGHTS,
 )
+from plumbline.operators import waves
 from plumbline.plans import catalog, judged
 from plumbline.plans.sql import BIAS, BREAK, EXPLICIT, WS, _kind_sql, _list, _phrases, _sql, notes_of, sents, split_lines, strip
 
@@ -457,6 +458,21 @@ def scores_of_chunks(table: str = "documents") -> str:
         live AS (SELECT doc_id || ':' || chunk_id AS doc_id, doc_id AS doc, chunk_id, loc, title, chars, text, lang FROM q2 WHERE reason IS NULL)"""
 
 
+def waves_sql() -> str:
+    """The answers of judged.i_waves from its plan's definition: each prompt is written out, and its answer holds its length."""
+    plan = waves.judged_plan(judged.PROMPTS, last="Sum up.")
+    axes = [c.axis for c in plan.calls]
+    steps, columns, before = [], ["doc_id", "text"], "documents"
+    for nth, wave in enumerate(plan.waves()):
+        for c in wave:
+            fed = "".join(f" || chr(10) || chr(10) || 'Answer of {f}:' || chr(10) || '{{\"n\": ' || n_{f} || '}}'" for f in c.feeds)
+            prompt = c.prompt.replace("'", "''")
+            steps.append(f"w_{c.axis} AS (SELECT {', '.join(columns)}, length('{prompt}' || chr(10) || chr(10) || text{fed}) AS n_{c.axis} FROM {before})")
+            columns, before = [*columns, f"n_{c.axis}"], f"w_{c.axis}"
+    of = {c.axis: nth for nth, wave in enumerate(plan.waves()) for c in wave}
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT doc_id, '{a}' AS axis, {of[a]} AS wave, CAST(n_{a} AS BIGINT) AS n FROM {before}" for a in axes)
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the registered queries."""
     known = catalog.queries() | judged.queries()
@@ -478,7 +494,7 @@ def _all() -> dict[str, str]:
         "c_chunks": f"WITH {chunks_sql('documents')} SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, {TITLE} AS title, start, start + length(text) AS \"end\", loc FROM chunks",
         "c_chunks_sectioned": f"WITH {SECTIONED}, {chunks_sql('sectioned', 1500, 400, 2000)} SELECT doc_id, chunk_id, {TITLE} AS title, sha256(text) AS text, start, start + length(text) AS \"end\", loc FROM chunks",
         "p_mtld": f"WITH {every}, {mtld_sql()} SELECT doc_id, round(mtld, 2) AS mtld, round(round({syntax()}, 10) + 1e-9, 4) AS syntax_quality FROM prof2 JOIN mt USING (doc_id)",
-        "e_coherence": f"WITH {every}, {vectors_sql()}, {COHERENCE} SELECT doc_id, round(local, 4) AS local, round(overall, 4) AS overall, round(drift, 4) + 0.0 AS drift, round(thematic, 4) AS thematic FROM coh",
+        "e_coherence": f"WITH {every}, {vectors_sql()}, {COHERENCE} SELECT doc_id, round(local, 4) + 0.0 AS local, round(overall, 4) + 0.0 AS overall, round(drift, 4) + 0.0 AS drift, round(thematic, 4) + 0.0 AS thematic FROM coh",
         "e_premises_used": f"WITH {used} SELECT st.doc_id, CAST(st.i AS INTEGER) AS sent_idx, coalesce(string_agg(us.j, ',' ORDER BY nth) FILTER (round(c, 12) > 0.4), '') AS premises FROM st LEFT JOIN us ON us.doc_id = st.doc_id AND us.i = st.i GROUP BY st.doc_id, st.i",
         "b_authority": f"SELECT doc_id, CAST(len({uncited(AUTHORITY)}) AS BIGINT) AS uncited, len({PEOPLE}) > 0 AND {CITED} AS expertise, CASE WHEN len({uncited(AUTHORITY)}) > 0 THEN 0.45::DOUBLE ELSE 0.75::DOUBLE END AS source_credibility FROM documents",
         "b_uncited": f"SELECT doc_id, CAST(nth - 1 AS INTEGER) AS nth, regexp_extract(m.match, '{judged.AUTHORITY}', 1) AS person, m.start AS start, m.\"end\" AS \"end\", sha256(substr(text, greatest(0, m.start - 30) + 1, m.\"end\" + 30 - greatest(0, m.start - 30))) AS context_sha256 FROM (SELECT doc_id, text, generate_subscripts(u, 1) AS nth, unnest(u) AS m FROM (SELECT doc_id, text, {uncited({'en': judged.AUTHORITY, 'it': judged.AUTHORITY})} AS u FROM documents))",
@@ -510,6 +526,7 @@ def _all() -> dict[str, str]:
             UNION ALL SELECT doc_id, 'judged', 'trilemma', CASE WHEN toxic = 1 THEN 'error' ELSE 'ok' END, toxic IS DISTINCT FROM 1, CASE WHEN toxic = 1 THEN 'discarded' ELSE 'parity' END FROM labels""",
         "d_chunk_scores": f"{by_chunk} SELECT doc AS doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, title, loc, chars, round(epsilon, 4) AS epsilon FROM cp",
         "d_reduced": f"{by_chunk} SELECT doc AS doc_id, round(exp(sum(chars * ln(epsilon)) / sum(chars)), 6) AS epsilon, count(*) AS n_chunks, round(min(epsilon), 6) AS lowest, round(max(epsilon), 6) AS highest, CAST(sum(chars) AS BIGINT) AS chars FROM cp GROUP BY doc",
+        "i_waves": waves_sql(),
         "x_given": f"{given} {SCORED.replace(' FROM comp', ', density, density_band FROM comp')}",
         "x_given_findings": f"{given}, {FOUND} SELECT doc_id, ord, kind, confirmed, count(*) AS n, round(sum(severity), 4) AS severity FROM fo GROUP BY ALL",
         "x_given_summary": f"""{given}, {FOUND} SELECT comp.doc_id, sentences AS n_units, coalesce(ag.n, 0) AS n_arguments, tacit.n_explicit, tacit.n_implicit, tacit.n_suspect, (SELECT count(*) FROM fo WHERE fo.doc_id = comp.doc_id AND starts_with(kind, 'fallacy')) AS n_fallacies,

@@ -20,6 +20,33 @@ def append(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     (out.partitionBy(*by) if by else out).parquet(path)
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); only a local session without one gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        import tempfile
+
+        _LOCAL[app] = tempfile.mkdtemp(prefix="plumbline-")
+    return _LOCAL[app]
+
+
+def settle(rows: DataFrame, tag: str) -> DataFrame:
+    """rows written once to the shared folder and read back, so that what is asked of them doesn't change under way."""
+    import uuid
+
+    path = f"{scratch(rows.sparkSession)}/plumbline/{tag}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def append_lines(rows: DataFrame, path: str) -> None:
     """Append as JSON lines (labels, training logs, call traces)."""
     rows.write.mode("append").json(path)
