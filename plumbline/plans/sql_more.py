@@ -344,10 +344,12 @@ VERDICTS = """
 _TOKENS = rf"regexp_extract_all(s, '[{LETTER}]+|[^{LETTER}\s]')"
 _REL = f"CASE k WHEN 1 THEN 'root' WHEN 2 THEN 'nsubj' WHEN 3 THEN 'obj' ELSE {_list(judged.RELATIONS)}[k % {len(judged.RELATIONS)} + 1] END"
 _TAG = f"CASE k WHEN 1 THEN 'VERB' ELSE {_list(judged.TAGS)}[k % {len(judged.TAGS)} + 1] END"
-PARSED = f"""
+PARSED = rf"""
         ps AS (SELECT doc_id, lang, CAST(generate_subscripts(sents, 1) - 1 AS INTEGER) AS sent_idx, unnest(sents) AS s FROM (SELECT doc_id, lang, {sents()} AS sents FROM documents)),
-        pt AS (SELECT doc_id, lang, sent_idx, s, len(t) AS n, CAST(generate_subscripts(t, 1) AS INTEGER) AS k, unnest(t) AS w, unnest({located('s', rf'[{LETTER}]+|[^{LETTER}\s]')}) AS m FROM (SELECT *, {_TOKENS} AS t FROM ps)),
-        pw AS (SELECT *, CAST(k // 2 AS INTEGER) AS head, {_REL} AS rel, {_TAG} AS tag, regexp_matches(w, '\\p{{L}}') AS live FROM pt)"""
+        pt0 AS (SELECT doc_id, lang, sent_idx, s, len(t) AS n, CAST(generate_subscripts(t, 1) AS INTEGER) AS k, unnest(t) AS w, unnest(string_split_regex(s, '[{LETTER}]+|[^{LETTER}\s]')[1:len(t)]) AS gap FROM (SELECT *, {_TOKENS} AS t FROM ps)),
+        pt1 AS (SELECT *, CAST(sum(length(gap) + length(w)) OVER (PARTITION BY doc_id, sent_idx ORDER BY k) AS INTEGER) AS z FROM pt0),
+        pt AS (SELECT doc_id, lang, sent_idx, s, n, k, w, {{'start': z - CAST(length(w) AS INTEGER), 'end': z}} AS m FROM pt1),
+        pw AS (SELECT *, CAST(k // 2 AS INTEGER) AS head, {_REL} AS rel, {_TAG} AS tag, regexp_matches(w, '\p{{L}}') AS live FROM pt)"""
 _SUB = "rel IN ('acl', 'advcl', 'ccomp', 'xcomp', 'acl:relcl')"
 _BASE = "string_split(rel, ':')[1]"
 CLAUSES = rf"""
@@ -467,7 +469,7 @@ def waves_sql() -> str:
         for c in wave:
             fed = "".join(f" || chr(10) || chr(10) || 'Answer of {f}:' || chr(10) || '{{\"n\": ' || n_{f} || '}}'" for f in c.feeds)
             prompt = c.prompt.replace("'", "''")
-            steps.append(f"w_{c.axis} AS (SELECT {', '.join(columns)}, length('{prompt}' || chr(10) || chr(10) || text{fed}) AS n_{c.axis} FROM {before})")
+            steps.append(f"w_{c.axis} AS MATERIALIZED (SELECT {', '.join(columns)}, length('{prompt}' || chr(10) || chr(10) || text{fed}) AS n_{c.axis} FROM {before})")
             columns, before = [*columns, f"n_{c.axis}"], f"w_{c.axis}"
     of = {c.axis: nth for nth, wave in enumerate(plan.waves()) for c in wave}
     return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT doc_id, '{a}' AS axis, {of[a]} AS wave, CAST(n_{a} AS BIGINT) AS n FROM {before}" for a in axes)
