@@ -98,6 +98,17 @@ def stride_sample(rows: DataFrame, stratum: str, key: str, per_stratum: int = 0,
     return placed.where(chosen).drop("nth", "size")
 
 
+def in_order(rows: DataFrame, key: str) -> DataFrame:
+    """rows with nth, their place by key from 0: sorted over the cluster and written; only a count of each partition meets in one place."""
+    from plumbline.sources import stores
+
+    placed = stores.settle(rows.orderBy(key).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part, inside = F.shiftright("__at", 33), F.pmod("__at", F.lit(1 << 33))
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    ahead = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__ahead"))
+    return placed.withColumn("__part", part).join(ahead, "__part").withColumn("nth", F.col("__ahead") + inside).drop("__at", "__part", "__ahead")
+
+
 def forced_sample(rows: DataFrame, n: int) -> DataFrame:
     """(doc_id, why) of about n gold rows (doc_id, lang: the stratum, positive, forced): all forced positives, the rest of 60 % by turns of the
     strata, then negatives, forced ones (traps) first for half of their places, others spread evenly over the rest."""
@@ -110,7 +121,7 @@ def forced_sample(rows: DataFrame, n: int) -> DataFrame:
     traps = rows.where(~F.col("positive") & F.col("forced")).orderBy("doc_id").limit(max(6, negatives // 2))
     left = negatives - traps.count()
     step = max(1, counts[1] // max(1, left))
-    plain = rows.where(~F.col("positive") & ~F.col("forced")).withColumn("nth", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")) - 1)
+    plain = in_order(rows.where(~F.col("positive") & ~F.col("forced")), "doc_id")
     spread = plain.where((F.col("nth") % step == 0) & (F.col("nth") < step * left))
     parts = [(certain, "forced"), (more, "stratum"), (traps, "trap"), (spread, "spread")]
     out = None
@@ -183,3 +194,23 @@ def set_recall(expected: DataFrame, found: DataFrame, keys: list[str], group: st
     """(group, n, hits, recall) by one join, for expected terms of each group."""
     f = found.select(*keys).distinct().withColumn("hit", F.lit(1))
     return expected.select(group, *keys).distinct().join(f, keys, "left").groupBy(group).agg(F.count("*").alias("n"), F.count("hit").alias("hits"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
+def rerun_gate(first: DataFrame, second: DataFrame, columns: list[str]) -> DataFrame:
+    """(lost, gained, passes): rows of one stored run that the other lacks, repeats counted; a rerun of the same input must have neither."""
+    a, b = first.select(*columns), second.select(*columns)
+    lost, gained = (x.groupBy().agg(F.count("*").alias(k)) for x, k in ((a.exceptAll(b), "lost"), (b.exceptAll(a), "gained")))
+    return lost.crossJoin(gained).withColumn("passes", (F.col("lost") == 0) & (F.col("gained") == 0))
+
+
+def paraphrase_gate(found: DataFrame, group: str, text: str, answer: str, least: float = 0.8) -> DataFrame:
+    """(group, n, agree, rate, passes): how many paraphrases of a group (one row a text) get its commonest answer, ties by the least; a null answer is one too."""
+    by = found.select(group, text, F.coalesce(F.col(answer).cast("string"), F.lit("")).alias("a")).distinct().groupBy(group, "a").agg(F.count("*").alias("k"))
+    got = by.groupBy(group).agg(F.sum("k").alias("n"), F.max("k").alias("agree"))
+    return got.withColumn("rate", F.col("agree") / F.col("n")).withColumn("passes", F.col("rate") >= least)
+
+
+def window_health(calls: DataFrame, start: Column, end: Column, most_failed: float = 0.1) -> DataFrame:
+    """(model, n, failed, share, passes) of calls (model, flag, ts) from start up to end: the gate of a stress run's own calls."""
+    own = calls.where((F.col("ts") >= start) & (F.col("ts") < end)).groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("flag") != "ok").alias("failed"))
+    return own.withColumn("share", F.col("failed") / F.col("n")).withColumn("passes", F.col("share") <= most_failed)

@@ -20,6 +20,36 @@ def append(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     (out.partitionBy(*by) if by else out).parquet(path)
 
 
+#: Columns of the tables of runs; report is the whole run as JSON. The counters tell how much of a run failed.
+TEXT_RUN = "doc_hash string, sig string, path string, lang string, chars long, epsilon double, state string, components map<string,double>, n_findings long, n_axes long, n_failed long, report string, ts timestamp"
+DOCUMENT_RUN = "doc_hash string, sig string, path string, lang string, chars long, epsilon double, n_chunks long, n_skipped long, n_axes long, n_failed long, report string, ts timestamp"
+
+
+def save_runs(rows: DataFrame, path: str, schema: str = TEXT_RUN) -> int:
+    """Append runs under a schema, once for each document and signature; how many were new.
+
+    Columns that rows lack are null, further ones don't enter the table, a column of another type is cast and a value that
+    can't be is an error. A run without doc_hash or sig is an error too.
+    """
+    from pyspark.errors import AnalysisException
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(schema).fields
+    typed = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    keys = ["doc_hash", "sig"]
+    one = typed.select(*[F.when(F.col(k).isNull(), F.raise_error(F.lit(f"a run has no {k}"))).otherwise(F.col(k)).alias(k) if k in keys else F.col(k) for k in typed.columns])
+    rest = [f.name for f in fields if f.name not in keys]
+    one = one.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts", "report")).alias("r")).select(*keys, *[f"r.{c}" for c in rest])
+    try:
+        one = missing(one, rows.sparkSession.read.schema(schema).parquet(path), keys)
+    except AnalysisException as none:
+        if none.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new = settle(one, "runs")
+    append(new, path)
+    return new.count()
+
+
 _LOCAL: dict[str, str] = {}
 
 
