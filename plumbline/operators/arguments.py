@@ -71,14 +71,35 @@ def premises(notes: DataFrame) -> DataFrame:
     return notes.select("doc_id", n.cast("long").alias("explicit"), n.cast("long").alias("total"), score.alias("score"))
 
 
-def content_jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the sets of words of three letters or more; 0 if either is empty."""
+def content(x: Column) -> Column:
+    """The different words of three letters or more."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.length(w) > 2))
 
-    def own(x: Column) -> Column:
-        return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.length(w) > 2))
 
-    union = F.size(F.array_union(own(a), own(b)))
-    return F.when((F.size(own(a)) == 0) | (F.size(own(b)) == 0), 0.0).otherwise(F.size(F.array_intersect(own(a), own(b))) / F.greatest(union, F.lit(1)))
+def content_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the contents; 0 if either is empty."""
+    union = F.size(F.array_union(content(a), content(b)))
+    return F.when((F.size(content(a)) == 0) | (F.size(content(b)) == 0), 0.0).otherwise(F.size(F.array_intersect(content(a), content(b))) / F.greatest(union, F.lit(1)))
+
+
+def restatements(sents: DataFrame, items: DataFrame, over: float) -> DataFrame:
+    """(doc_id, sent_idx, item_id, item_sent, jaccard) of sentences (doc_id, sent_idx, sentence) whose content is like an item's sentence (item_id, item_sent, sentence): above over.
+
+    A set-similarity join without pairs of all: who shares more than a share of an item's words shares one of its
+    rarest, as many as may be missing and one more, so only sentences with one of these words meet it.
+    """
+    asked = items.select("item_id", "item_sent", content(F.col("sentence")).alias("b")).where("size(b) > 0")
+    told = sents.select("doc_id", "sent_idx", content(F.col("sentence")).alias("a")).where("size(a) > 0")
+    words = told.select("doc_id", "sent_idx", "a", F.explode("a").alias("w"))
+    wanted = asked.select("item_id", "item_sent", "b", F.explode("b").alias("w"))
+    often = words.select("w").join(wanted.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    ranked = wanted.join(often, "w").groupBy("item_id", "item_sent", "b").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("by"))
+    # Words that no sentence has are the rarest of all: they use up places of the prefix first.
+    free = F.size("b") - F.floor(F.size("b") * over).cast("int") - (F.size("b") - F.size("by"))
+    prefix = ranked.withColumn("free", free).where("free > 0").select("item_id", "item_sent", "b", F.explode(F.slice("by", 1, F.col("free"))).alias("p")).select("item_id", "item_sent", "b", "p.w")
+    met = words.join(prefix, "w").groupBy("doc_id", "sent_idx", "item_id", "item_sent").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    jaccard = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
+    return met.withColumn("jaccard", jaccard).where(F.col("jaccard") > over).drop("a", "b")
 
 
 def non_sequiturs(arguments: DataFrame, entails: Column, necessity: Column) -> DataFrame:

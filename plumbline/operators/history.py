@@ -199,8 +199,9 @@ def set_recall(expected: DataFrame, found: DataFrame, keys: list[str], group: st
 def rerun_gate(first: DataFrame, second: DataFrame, columns: list[str]) -> DataFrame:
     """(lost, gained, passes): rows of one stored run that the other lacks, repeats counted; a rerun of the same input must have neither."""
     a, b = first.select(*columns), second.select(*columns)
-    lost, gained = (x.groupBy().agg(F.count("*").alias(k)) for x, k in ((a.exceptAll(b), "lost"), (b.exceptAll(a), "gained")))
-    return lost.crossJoin(gained).withColumn("passes", (F.col("lost") == 0) & (F.col("gained") == 0))
+    unlike = a.exceptAll(b).select(F.lit(True).alias("first")).unionAll(b.exceptAll(a).select(F.lit(False).alias("first")))
+    counted = unlike.agg(F.count_if("first").alias("lost"), F.count_if(~F.col("first")).alias("gained"))
+    return counted.withColumn("passes", (F.col("lost") == 0) & (F.col("gained") == 0))
 
 
 def paraphrase_gate(found: DataFrame, group: str, text: str, answer: str, least: float = 0.8) -> DataFrame:

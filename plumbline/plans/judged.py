@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import TOKEN, located, rounded, sentences, strip
-from plumbline.operators import arguments, assess, chunk, clauses, clean, embed, findings, history, profile, score, waves
+from plumbline.operators import arguments, assess, chunk, clauses, clean, embed, features, findings, history, profile, score, waves
 from plumbline.plans.catalog import docs, read, runs
 from plumbline.sources import stores
 from plumbline.sources.providers import Models
@@ -174,6 +174,13 @@ def v_jaccard(spark, d):
     return each.select("doc_id", "sent_idx", rounded(x, 6).alias("jaccard"), (x > assess.RESTATED).alias("restated"))
 
 
+def v_restated(spark, d):
+    """Sentences of documents that say again what a sentence of a benchmark item says."""
+    each = lambda rows, key, nth: rows.select(key, F.posexplode(sentences(F.col("text"))).alias(nth, "sentence"))
+    found = arguments.restatements(each(docs(spark, d), "doc_id", "sent_idx"), each(read(spark, d, "benchmark"), "item_id", "item_sent"), assess.RESTATED)
+    return found.withColumn("jaccard", rounded(F.col("jaccard"), 6))
+
+
 def h_tacit(spark, d):
     rows = assessed(spark, d).select("doc_id", "premises.*")
     lists = [F.array_join(c, "|").alias(c) for c in ("implicit", "suspect")]
@@ -275,6 +282,48 @@ def d_call_budget(spark, d):
     return history.budget(cut, F.lit(5), 12).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "kept")
 
 
+def _reports(spark, d):
+    """Conversations as stored reports of documents, their turns as chunks."""
+    t = read(spark, d, "conversations")
+    quotient = F.col("turn") / 8.0
+    told = F.when(F.col("role") == "user", F.array(F.lit("[fallacia_logica] a fonte=regex_it confermata=True"), F.lit("[non_sequitur] b"))).otherwise(F.array(F.lit("[fallacia_logica] c fonte=nli_zeroshot")))
+    det = F.struct(F.struct(quotient.alias("a"), F.when(F.col("turn") % 2 == 0, quotient + 1).alias("b")).alias("componenti_epsilon"), told.alias("patologie"))
+    horn = F.struct(F.struct(F.when(F.col("turn") % 3 == 1, F.concat(F.lit("C"), "turn")).alias("corno")).alias("llm"))
+    form = F.struct(F.struct(F.when(F.col("turn") % 4 == 2, "presente").otherwise("assente").alias("forma"), F.concat(F.lit("m"), "turn").alias("modo")).alias("llm"))
+    failed = F.when(F.col("turn") % 2 == 1, F.array(F.concat(F.lit("r"), "turn"))).otherwise(F.array().cast("array<string>"))
+    chunk_ = F.struct("turn", det.alias("det"), F.struct(horn.alias("trilemma"), form.alias("inclosura"), failed.alias("assi_falliti")).alias("ind"))
+    by = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(chunk_)).alias("chunk"), (F.count("*") / 16.0).alias("eps_doc"))
+    return by.select("conv_id", F.to_json(F.struct("eps_doc", "chunk")).alias("report"))
+
+
+def q_document_reports(spark, d):
+    rows = features.normalised_document_runs(_reports(spark, d), "conv_id")
+    parts = [rounded(F.col("components")[k], 6).alias(f"mean_{k}") for k in ("a", "b")]
+    return rows.select("conv_id", "epsilon", *parts, "horn", "inclosure", "inclosure_mode", F.array_join("failed_axes", ",").alias("failed_axes"), *[f"n_{k}" for k in ("chunks", "findings", "fallacies", "by_pattern", "by_model", "confirmed", "sequiturs")])
+
+
+def q_window_health(spark, d):
+    """Health of calls in a window of time, by model."""
+    e = read(spark, d, "events")
+    flag = history.trace_flag(F.col("value") < 5, F.col("event_type") == "error", F.when(F.col("value") > 60, "length").otherwise("stop"), F.pmod("event_id", F.lit(4)))
+    calls = e.select(F.col("event_type").alias("model"), flag.alias("flag"), F.pmod("event_id", F.lit(1000)).alias("ts"))
+    got = history.window_health(calls, F.lit(100), F.lit(700), 0.4)
+    return got.withColumn("share", rounded(F.col("share"), 6))
+
+
+def q_rerun_gate(spark, d):
+    """What two stored runs lack of each other: of the second, labels of toxic documents are turned."""
+    a = read(spark, d, "labels").select("doc_id", "quality", "toxic")
+    return history.rerun_gate(a, a.withColumn("quality", F.when(F.col("toxic") == 1, 1 - F.col("quality")).otherwise(F.col("quality"))), ["doc_id", "quality", "toxic"])
+
+
+def v_paraphrases(spark, d):
+    """Documents of a source as paraphrases of each other, which should get the same label."""
+    gold = _gold(spark, d).join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    got = history.paraphrase_gate(gold.select("source", "doc_id", "quality"), "source", "doc_id", "quality", 0.7)
+    return got.withColumn("rate", rounded(F.col("rate"), 6))
+
+
 def q_first_sight(spark, d):
     return history.document_view(runs(spark, d)).select("doc_hash", "first_seen", "path")
 
@@ -306,8 +355,8 @@ def v_forced_sample(spark, d):
 
 NAMES = (
     t_clean_marked, t_recurring_marked, c_blocks, c_chunks_sectioned, f_spans, f_argumentative_given, f_confirmed, m_markers_given, m_inclosure_given, m_terms_ranked, g_labelled, v_sequiturs, v_circles,
-    v_verdicts, v_integrity, v_jaccard, h_tacit, h_candidates, a_tree_clauses, p_tree, y_syntax, x_given, x_given_findings, x_given_summary, i_waves, b_uncited, e_top_neighbours, q_call_health, q_chunk_resume,
-    d_call_budget, q_first_sight, v_detector, v_macro, v_natural_sample, v_forced_sample,
+    v_verdicts, v_integrity, v_jaccard, v_restated, h_tacit, h_candidates, a_tree_clauses, p_tree, y_syntax, x_given, x_given_findings, x_given_summary, i_waves, b_uncited, e_top_neighbours, q_call_health, q_chunk_resume,
+    d_call_budget, q_first_sight, q_document_reports, q_window_health, q_rerun_gate, v_paraphrases, v_detector, v_macro, v_natural_sample, v_forced_sample,
 )
 
 

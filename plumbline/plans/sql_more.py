@@ -529,6 +529,21 @@ def _all() -> dict[str, str]:
         "d_chunk_scores": f"{by_chunk} SELECT doc AS doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, title, loc, chars, round(epsilon, 4) AS epsilon FROM cp",
         "d_reduced": f"{by_chunk} SELECT doc AS doc_id, round(exp(sum(chars * ln(epsilon)) / sum(chars)), 6) AS epsilon, count(*) AS n_chunks, round(min(epsilon), 6) AS lowest, round(max(epsilon), 6) AS highest, CAST(sum(chars) AS BIGINT) AS chars FROM cp GROUP BY doc",
         "i_waves": waves_sql(),
+        "v_restated": f"""WITH a AS (SELECT doc_id, CAST(generate_subscripts(sents, 1) - 1 AS INTEGER) AS sent_idx, unnest(sents) AS s FROM (SELECT doc_id, {sents()} AS sents FROM documents)),
+            b AS (SELECT item_id, CAST(generate_subscripts(sents, 1) - 1 AS INTEGER) AS item_sent, unnest(sents) AS s FROM (SELECT item_id, {sents()} AS sents FROM benchmark)),
+            x AS (SELECT doc_id, sent_idx, {_content('s')} AS u FROM a), y AS (SELECT item_id, item_sent, {_content('s')} AS v FROM b),
+            z AS (SELECT doc_id, sent_idx, item_id, item_sent, len(list_intersect(u, v))::DOUBLE / (len(u) + len(v) - len(list_intersect(u, v))) AS j FROM x JOIN y ON len(u) > 0 AND len(v) > 0 AND len(u) > 0.5 * len(v) AND len(v) > 0.5 * len(u))
+            SELECT doc_id, sent_idx, item_id, item_sent, round(j, 6) AS jaccard FROM z WHERE j > 0.5""",
+        "q_document_reports": """SELECT conv_id, count(*) / 16.0::DOUBLE AS epsilon, round(avg(turn / 8.0::DOUBLE), 6) AS mean_a, round(avg(turn / 8.0::DOUBLE + 1) FILTER (turn % 2 = 0), 6) AS mean_b,
+            coalesce('C' || min(turn) FILTER (turn % 3 = 1), '') AS horn, count(*) FILTER (turn % 4 = 2) > 0 AS inclosure, coalesce('m' || min(turn) FILTER (turn % 4 = 2), '') AS inclosure_mode,
+            coalesce(array_to_string(list_sort(list(DISTINCT 'r' || turn) FILTER (turn % 2 = 1)), ','), '') AS failed_axes, count(*) AS n_chunks, CAST(sum(CASE WHEN role = 'user' THEN 2 ELSE 1 END) AS BIGINT) AS n_findings, count(*) AS n_fallacies,
+            count(*) FILTER (role = 'user') AS n_by_pattern, count(*) FILTER (role IS DISTINCT FROM 'user') AS n_by_model, count(*) FILTER (role = 'user') AS n_confirmed, count(*) FILTER (role = 'user') AS n_sequiturs FROM conversations GROUP BY conv_id""",
+        "q_window_health": """WITH c AS (SELECT event_type AS model, CASE WHEN value < 5 THEN 'bad_json' WHEN event_type = 'error' THEN 'error' WHEN value > 60 AND event_id % 4 = 0 THEN 'truncated' WHEN event_id % 4 = 0 THEN 'empty' WHEN value > 60 THEN 'truncated' ELSE 'ok' END AS flag FROM events WHERE event_id % 1000 >= 100 AND event_id % 1000 < 700)
+            SELECT model, count(*) AS n, count(*) FILTER (flag <> 'ok') AS failed, round(count(*) FILTER (flag <> 'ok') / count(*), 6) AS share, count(*) FILTER (flag <> 'ok') / count(*) <= 0.4 AS passes FROM c GROUP BY model""",
+        "q_rerun_gate": """WITH b AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 1 - quality ELSE quality END AS quality, toxic FROM labels), l AS (SELECT doc_id, quality, toxic FROM labels EXCEPT ALL SELECT * FROM b), g AS (SELECT * FROM b EXCEPT ALL SELECT doc_id, quality, toxic FROM labels)
+            SELECT (SELECT count(*) FROM l) AS lost, (SELECT count(*) FROM g) AS gained, (SELECT count(*) FROM l) + (SELECT count(*) FROM g) = 0 AS passes""",
+        "v_paraphrases": """WITH x AS (SELECT DISTINCT source, doc_id, coalesce(CAST(quality AS VARCHAR), '') AS a FROM documents JOIN labels USING (doc_id)), k AS (SELECT source, a, count(*) AS k FROM x GROUP BY ALL)
+            SELECT source, CAST(sum(k) AS BIGINT) AS n, max(k) AS agree, round(max(k) / sum(k), 6) AS rate, max(k) / sum(k) >= 0.7 AS passes FROM k GROUP BY source""",
         "x_given": f"{given} {SCORED.replace(' FROM comp', ', density, density_band FROM comp')}",
         "x_given_findings": f"{given}, {FOUND} SELECT doc_id, ord, kind, confirmed, count(*) AS n, round(sum(severity), 4) AS severity FROM fo GROUP BY ALL",
         "x_given_summary": f"""{given}, {FOUND} SELECT comp.doc_id, sentences AS n_units, coalesce(ag.n, 0) AS n_arguments, tacit.n_explicit, tacit.n_implicit, tacit.n_suspect, (SELECT count(*) FROM fo WHERE fo.doc_id = comp.doc_id AND starts_with(kind, 'fallacy')) AS n_fallacies,
