@@ -360,7 +360,8 @@ def assessed(docs: DataFrame, models: Models = Models(), tables: dict[str, list]
     if labels:
         first |= {"ranked_units": models.label(F.col("units"), [CLAIM, SUPPORT, NEITHER], UNIT_QUESTION, False), **fallacy_answers(F.col("asked_sents"), lang, models)}
     rows = staged(rows, first)
-    rows = staged(rows, {"coherence": embed.coherence(F.col("sents"), vectors("sent_vectors"), models.topics), "near_units": embed.used_premises(F.col("units"), vectors("unit_vectors"))})
+    rows = staged(rows, {"topics": models.topics(F.col("sents"))} if models.topics else {})
+    rows = staged(rows, {"coherence": embed.coherence(F.col("sents"), vectors("sent_vectors"), (lambda _: F.col("topics")) if models.topics else None), "near_units": embed.used_premises(F.col("units"), vectors("unit_vectors"))})
     rows = rows.withColumns({"used": premises_used(F.col("units"), F.col("near_units")), "patterns": pattern_fallacies(F.col("text"), lang, tables), "plain": plain_inventory(F.col("units"), lang)})
     seen = model_fallacies(F.col("asked_sents"), lang, {f"ranked_{k}": F.col(f"ranked_{k}") for k in FALLACY_LABELS}) if labels else none_of(FALLACY)
     own = inventory(F.col("units"), lang, F.col("plain"), F.col("ranked_units")) if labels else F.col("plain")

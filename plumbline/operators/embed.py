@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 DIM = 384
 #: Rows of a block of cosines; rows of a block of a group; least sentences that have topics; context of a candidate premise.
 BLOCK, GROUP_BLOCK, TOPIC_LEAST, CONTEXT, CONTEXT_CHARS = 512, 2048, 20, 5, 1500
+#: Cosine at which a sentence joins a topic; sentences that make one.
+TOPIC_ALIKE, TOPIC_SIZE = 0.3, 3
 _BUCKET: dict[str, int] = {}
 
 
@@ -102,6 +104,36 @@ def coherence(sents: Column, given: Column | None = None, topics=None) -> Column
     return measured(*_columns(sents, given_vectors(sents, None) if given is None else given, topics))
 
 
+def topic_number(sents: list[str], given: list | None = None, alike: float = TOPIC_ALIKE, least: int = TOPIC_SIZE) -> int:
+    """How many topics sentences have: each joins the nearest topic whose mean is at least so alike (ties: the oldest), else it begins one.
+
+    One pass in the sentences' order, so the same text always has the same topics; topics of fewer than least sentences aren't counted.
+    """
+    if not len(sents):
+        return 0
+    sums: list[np.ndarray] = []
+    sizes: list[int] = []
+    for v in vectors(sents, given):
+        near = np.round([v @ s / max(float(np.linalg.norm(s)), 1e-12) for s in sums], 12)
+        at = int(np.argmax(near)) if len(near) else -1
+        if at >= 0 and near[at] >= alike:
+            sums[at], sizes[at] = sums[at] + v, sizes[at] + 1
+        else:
+            sums.append(v)
+            sizes.append(1)
+    return sum(n >= least for n in sizes)
+
+
+def topic_counter(encode_all=None):
+    """A column function array of sentences -> number of topics, for Models(topics=...); encode_all: a model's vectors, else hashed ones."""
+
+    @F.pandas_udf("int")
+    def counted(column: pd.Series, given: pd.Series) -> pd.Series:
+        return pd.Series([topic_number(list(s), v) if s is not None else 0 for s, v in zip(column, given, strict=True)], dtype="int32")
+
+    return lambda sents: counted(sents, given_vectors(sents, encode_all))
+
+
 def nearest(x: np.ndarray, y: np.ndarray, top: int, skip_own: bool) -> tuple[np.ndarray, np.ndarray]:
     """For each row of x the places and cosines of its top rows of y, the nearest first, ties by place; in blocks of rows."""
     top = min(top, len(y))

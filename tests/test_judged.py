@@ -15,7 +15,7 @@ from plumbline.sources.providers import Models, discover
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["t_clean_marked", "c_blocks", "c_chunks_sectioned", "f_spans", "f_confirmed", "m_markers_given", "m_terms_ranked", "v_sequiturs", "v_circles", "v_verdicts", "v_integrity", "b_uncited", "v_forced_sample", "h_tacit", "h_candidates", "a_tree_clauses", "y_syntax", "x_given", "x_given_findings", "x_given_summary"])
+@pytest.mark.parametrize("name", ["t_clean_marked", "c_blocks", "c_chunks_sectioned", "f_spans", "f_confirmed", "m_markers_given", "m_terms_ranked", "v_sequiturs", "v_circles", "v_verdicts", "v_integrity", "b_uncited", "v_forced_sample", "h_tacit", "h_candidates", "a_tree_clauses", "y_syntax", "x_given", "x_given_findings", "x_given_summary", "i_waves", "v_restated", "q_document_reports", "v_paraphrases"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in os.listdir(SF):
@@ -70,6 +70,16 @@ def test_score_with_models_as_python_functions(spark, kinds):
     assert ({"entail", "parse"} <= {*kinds}) == any(r.premises.n_implicit + r.premises.n_suspect for r in a.values())
 
 
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_topics_count_in_the_thematic_score(spark, n):
+    words = ["cats purr softly", "ships sail far", "bread bakes slowly", "stars shine bright", "clocks tick loud"]
+    sents = [f"{words[k % n]} {words[k % n]} day{k}" for k in range(30)] + ["one more", "another thing"]
+    assert embed.topic_number(sents) == n
+    docs = spark.createDataFrame([(0, ". ".join(s.capitalize() for s in sents) + ".", "en"), (1, "Too short. To have topics.", "en")], "doc_id long, text string, lang string")
+    with_topics, without = ({r.doc_id: r.thematic_coherence for r in score.analysis(docs, m).select("doc_id", "thematic_coherence").collect()} for m in (Models(topics=embed.topic_counter()), Models()))
+    assert without[0] - with_topics[0] == pytest.approx(0.4 * 0.15 * max(0, n - 2)) and with_topics[1] == without[1]
+
+
 def test_findings_lower_the_score(spark):
     docs = spark.createDataFrame([(0, "Everyone knows that cats fly. Therefore all cats must fly away from here.", "en")], "doc_id long, text string, lang string")
 
