@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.fixed import PARATEXT
 from plumbline.functions.text import LINE_BREAK, WHITE, let, listed, strip
 
+# Patterns of marks, and limits.
 FRONT = r"(?s)^---\s*\n(.*?)\n---\s*\n"
 COMMENT = r"(?s)<!--.*?-->"
 NOTE = r"^\d{1,3}$"

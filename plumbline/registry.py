@@ -48,9 +48,9 @@ METHODS = {
         _m("bias", "bias", D, "component", "operators.profile:bias", "linguistic_bias", "source_credibility"),
         _m("fallacies", "fallacies", M, "component", "operators.findings:fallacy_hits", "fallacy_absence"),
         _m("arguments", "arguments", M, "component", "operators.arguments:inventory", "argument_structure"),
-        _m("non_sequiturs", "arguments", M, "component", "operators.arguments:non_sequiturs", "formal_validity"),
+        _m("non_sequiturs", "arguments", M, "component", "operators.assess:non_sequiturs", "formal_validity"),
         _m("circles", "arguments", M, "component", "operators.assess:circles", "fallacy_absence"),
-        _m("premises", "premises", M, "component", "operators.arguments:premises", "premise_transparency"),
+        _m("premises", "premises", M, "component", "operators.assess:premises", "premise_transparency"),
         _m("coherence", "coherence", D, "component", "operators.embed:coherence", "semantic_cohesion", "thematic_coherence"),
         _m("geometric_mean", "score", D, "combiner", "operators.score:geometric_mean"),
         _m("panel", "score", D, "combiner", "operators.inductive:panel"),

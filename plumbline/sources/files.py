@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import strip
+
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, sha256, bytes, basename, chars), one row a file; bytes that aren't UTF-8 are replaced."""
@@ -34,7 +36,7 @@ def checked(files: DataFrame, expected: DataFrame) -> DataFrame:
 
 def lexicon(spark: SparkSession, path: str, comments: bool = False) -> DataFrame:
     """(term): trimmed, lower-cased, different lines; comments: lines that begin with # are none."""
-    rows = spark.read.text(path).select(F.lower(F.trim("value")).alias("term")).where("term <> ''")
+    rows = spark.read.text(path).select(F.lower(strip(F.col("value"))).alias("term")).where("term <> ''")
     return (rows.where(~F.startswith("term", F.lit("#"))) if comments else rows).distinct()
 
 
