@@ -230,31 +230,37 @@ class Postings:
 def best(lists: list[tuple[int, Postings]], ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(local documents, scores) of the most best documents of a segment for one query of (weight, postings)."""
     cuts = np.unique(np.concatenate([p.lasts for _, p in lists]))  # a range runs from after the cut before it to its own
-    covering = [np.searchsorted(p.lasts, cuts) for _, p in lists]
-    bounds = np.zeros(len(cuts), np.int64)
-    for (w, p), at in zip(lists, covering, strict=True):
-        bounds += w * p.impacts[at]
-    range_of = np.searchsorted(cuts, np.arange(len(ids) + 1))
+    walks = [(w, p, own, w * p.impacts[own]) for w, p, own in ((w, p, np.searchsorted(p.lasts, cuts)) for w, p in lists)]
+    walks.sort(key=lambda x: -int(x[3].max()))
+    bounds = np.sum([top for *_, top in walks], axis=0)
+    range_of = np.searchsorted(cuts, np.arange(len(ids)))
     order = np.argsort(-bounds, kind="stable")
-    docs, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    docs, scores, held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(ids) + 1, np.int64)
     threshold, at, step = 1, 0, STEP
     while at < len(order):
         reached = order[at : at + step]
-        reached = reached[bounds[reached] >= threshold]
-        if not len(reached):
-            break
         inside = np.zeros(len(cuts) + 1, bool)
-        inside[reached] = True
-        sums = np.zeros(len(ids) + 1, np.int64)
-        for (w, p), own in zip(lists, covering, strict=True):
-            blocks = np.unique(own[reached])
+        inside[reached[bounds[reached] >= threshold]] = True
+        new = np.flatnonzero(inside[range_of])
+        if not len(new):
+            break
+        sums, rest = np.zeros(len(new), np.int64), bounds
+        for w, p, own, top in walks:
+            # A document stays while what it has and the maxima of the terms still to come may reach the threshold.
+            rest = rest - top
+            blocks = np.unique(own[range_of[new]])
             if blocks[-1] == len(p.lasts):
                 blocks = blocks[:-1]
             if len(blocks):
                 here, gains = p.read(blocks)
-                sums[here] += w * gains
-        new = np.flatnonzero((sums[:-1] >= threshold) & inside[range_of[:-1]])
-        docs, scores = np.append(docs, new), np.append(scores, sums[new])
+                held[here] = w * gains
+                sums = sums + held[new]
+                held[here] = 0
+            may = sums + rest[range_of[new]] >= threshold
+            new, sums = new[may], sums[may]
+            if not len(new):
+                break
+        docs, scores = np.append(docs, new), np.append(scores, sums)
         keep = np.lexsort((ids[docs], -scores))[:most]
         docs, scores = docs[keep], scores[keep]
         if len(keep) == most:
