@@ -14,6 +14,8 @@ from plumbline.functions.text import WHITE, by_lang, contains_any, count_phrases
 from plumbline.operators.profile import explicit_premises
 
 SEQUITUR, MIN_WORDS = 0.12, 5
+#: Adherence to an objective that nobody measured.
+EVEN = 0.5
 
 
 def kind(text: Column, lang: Column) -> Column:
@@ -51,6 +53,21 @@ def objective(text: Column) -> Column:
     return F.substring(F.get(F.filter(F.transform(sentences(text), strip), lambda s: F.length(s) > 8), F.lit(0)), 1, 200)
 
 
+def goal(text: Column, declared: Column | None = None, latent: Column | None = None, adherence: Column | None = None) -> Column:
+    """(declared, latent, adherence, source): a model's objective where it names one, else that of the text's own opening.
+
+    Adherence of the text to it is within 0 and 1; where nobody measured it, it is EVEN.
+    """
+    none = F.lit(None).cast("string")
+    said = F.nullif(strip(declared), F.lit("")) if declared is not None else none
+    measured = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(adherence.cast("double"), F.lit(EVEN)))) if adherence is not None else F.lit(EVEN)
+    by_model = said.isNotNull()
+    return F.struct(
+        F.coalesce(said, objective(text)).alias("declared"), F.when(by_model, F.nullif(strip(latent), F.lit("")) if latent is not None else none).alias("latent"),
+        F.when(by_model, measured).otherwise(EVEN).alias("adherence"), F.when(by_model, "model").otherwise("pattern").alias("source"),
+    )
+
+
 def suspect(candidate: Column, lang: Column) -> Column:
     """Whether a premise holds a universal quantifier (as a token) or a booster (as a phrase)."""
     words = F.split(strip(F.lower(candidate)), f"{WHITE}+")

@@ -340,21 +340,24 @@ def staged(rows: DataFrame, answers: dict[str, Column]) -> DataFrame:
 
 
 def assessed(docs: DataFrame, models: Models = Models(), tables: dict[str, list] | None = None, terms: dict[str, list[str]] = ARGUMENTATIVE) -> DataFrame:  # noqa: B008
-    """Annotated docs (doc_id, text, lang; declared, latent: a model's objective, if known) with all findings as columns.
+    """Annotated docs (doc_id, text, lang; declared, latent, adherence: a model's objective, if known) with all findings as columns.
 
-    sents, spans, units, used (premises by unit), parsed, coherence, fallacies, arguments, sequiturs, circles, premises,
+    sents, spans, units, used (premises by unit), parsed and entities (with models of these), goal, coherence, fallacies, arguments, sequiturs, circles, premises,
     verdicts, integrity, beside those of profile.annotated.
     """
     goal = "declared" in docs.columns
+    told_goal = arguments.goal(F.col("text"), *[F.col(c) if c in docs.columns else None for c in ("declared", "latent", "adherence")])
     lang, latent = F.col("lang"), F.col("latent") if "latent" in docs.columns else F.lit(None).cast("string")
     entails, labels = models.entail is not unknown_all, models.label is not even_all
-    rows = profile.annotated(docs, keep=[c for c in ("declared", "latent") if c in docs.columns])
-    before = {*rows.columns, "spans", "units", "parsed", "coherence", "used", "fallacies", "arguments", "premises", "sequiturs", "circles", "verdicts", "integrity"} - {"declared", "latent"}
+    rows = profile.annotated(docs, keep=[c for c in ("declared", "latent", "adherence") if c in docs.columns])
+    before = {*rows.columns, "spans", "units", "parsed", "coherence", "used", "fallacies", "arguments", "premises", "sequiturs", "circles", "verdicts", "integrity", "goal", "entities"} - {"declared", "latent", "adherence"}
     vectors = (lambda name: F.col(name)) if models.encode else (lambda _: None)
-    rows = rows.withColumns({"spans": spans(F.col("text")), "units": F.transform("sents", strip), "asked_sents": asked_sentences(F.col("sents"), lang, terms)})
+    rows = rows.withColumns({"spans": spans(F.col("text")), "units": F.transform("sents", strip), "asked_sents": asked_sentences(F.col("sents"), lang, terms), "goal": told_goal})
 
     # What models say of the sentences.
     first = {"parsed": models.parse(F.col("sents"), lang)} if models.parse else {}
+    if models.tag:
+        first |= {"entities": models.tag(F.col("text"), lang)}
     if models.encode:
         first |= {"sent_vectors": models.encode(F.col("sents")), "unit_vectors": models.encode(F.col("units"))}
     if labels:

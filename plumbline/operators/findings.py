@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.fixed import ABSTRACT_STOPWORDS, ABSTRACT_SUFFIXES, ABSTRACT_TERMS, ARGUMENTATIVE, FALLACIES_EN, FALLACIES_IT, MARKERS
+from plumbline.functions.fixed import ABSTRACT_STOPWORDS, ABSTRACT_SUFFIXES, ABSTRACT_TERMS, ARGUMENTATIVE, FALLACIES_EN, FALLACIES_IT, MARKERS, PERFORMED
 from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, by_lang, let, matches, phrase_pattern, placed, strip
 
 FALLACY = "array<struct<kind string, start int, end int, severity double, confidence double, confirmed boolean, source string, sent_idx int, match string>>"
@@ -145,5 +145,5 @@ def abstract_terms(docs: DataFrame) -> DataFrame:
 def inclosure(transcends: Column, closes: Column, mode: Column, answer: Column, error: Column) -> Column:
     """Column (presence, signal): both signs make an inclosure, one a partial one; only its use or self-diagnosis signals."""
     presence = F.when(error, "indeterminate").when(transcends & closes, "present").when(transcends | closes, "partial").otherwise("absent")
-    signal = F.when((presence == "present") & mode.isin("USE", "SELF_DIAGNOSIS"), answer)
+    signal = F.when((presence == "present") & mode.isin(*PERFORMED), answer)
     return F.struct(presence.alias("presence"), signal.alias("signal"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import AUTHORITY, QUOTES, REFERENCE, SUBORDINATE_RELATIONS
-from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, by_lang, contains_any, count_in, count_phrases, lettered, lexicon, listed, located, rounded, sentences, style_list, tokens, upos
+from plumbline.functions.text import NOT_AFTER, NOT_BEFORE, bind, by_lang, contains_any, count_in, count_phrases, let, lettered, lexicon, listed, located, rounded, running, sentences, spans, style_list, tokens, upos
 from plumbline.operators.clauses import depths
 
 MTLD_TTR, LEAST_TOKENS = 0.72, 30
@@ -159,6 +159,51 @@ def person_names(text: Column) -> Column:
     return F.filter(names, lambda n: ~n.isin("Il", "La", "Lo", "I", "Le"))
 
 
+#: Entities of a text as a tagger finds them; places in code points from 0, ends exclusive.
+ENTITIES = "array<struct<text string, type string, start int, end int>>"
+
+
+def people(text: Column, entities: Column | None = None) -> Column:
+    """Names of persons, in order: of a tagger's entities (ENTITIES) where it found any of whatever type, else by their capitals.
+
+    A person's name is of letters and blanks only.
+    """
+    if entities is None:
+        return person_names(text)
+    kept = F.filter(entities, lambda e: e["type"].isin("PER", "PERSON") & F.replace(e["text"], F.lit(" "), F.lit("")).rlike(r"\A\p{L}+\z"))
+    return F.when(F.size(entities) > 0, F.transform(kept, lambda e: e["text"])).otherwise(person_names(text))
+
+
+def entity_places(entities: Column, places: Column) -> Column:
+    """Array of (text, type, start, end, sent_idx, whole) of entities met with sentences (text.spans), by place.
+
+    sent_idx is the sentence an entity begins in, null between sentences; whole tells whether it ends there too. Starts of both
+    are sorted together, and the sentences begun before an entity are a running count: no entity is compared with each sentence.
+    """
+
+    def told(e: Column, nth: Column, places: Column) -> Column:
+        own = F.get(places, nth)
+        within = (nth >= 0) & (e["start"] < own["end"])
+        return F.struct(*[e[k].alias(k) for k in ("text", "type", "start", "end")], F.when(within, nth).alias("sent_idx"), F.coalesce(within & (e["end"] <= own["end"]), F.lit(False)).alias("whole"))
+
+    def met(entities: Column, places: Column) -> Column:
+        begun = F.transform(places, lambda p, i: F.struct(p["start"].alias("start"), F.lit(0).alias("entity"), i.alias("i")))
+        tagged = F.transform(entities, lambda e, i: F.struct(e["start"].alias("start"), F.lit(1).alias("entity"), i.alias("i")))
+        return let(F.sort_array(F.concat(begun, tagged)), lambda marks: counted(marks, entities, places))
+
+    def counted(marks: Column, entities: Column, places: Column) -> Column:
+        each = F.zip_with(marks, running(F.transform(marks, lambda m: 1 - m["entity"])), lambda m, n: F.struct(m["entity"].alias("entity"), m["i"].alias("i"), (n - 1).alias("nth")))
+        return F.transform(F.filter(each, lambda x: x["entity"] == 1), lambda x: told(F.get(entities, x["i"]), x["nth"], places))
+
+    return bind(met, F.filter(entities, lambda e: e["start"].isNotNull()), places)
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """(doc_id, nth, text, type, start, end, sent_idx, whole) of rows (doc_id, text, entities); a null text or no entities give no rows."""
+    each = rows.where("text is not null").select("doc_id", F.posexplode(entity_places(F.col("entities"), spans(F.col("text")))).alias("nth", "e"))
+    return each.select("doc_id", "nth", "e.*")
+
+
 def _bounded(pattern: str) -> str:
     """A pattern with its outer word boundaries spelt out."""
     return re.sub(r"\\b$", lambda _: NOT_AFTER, re.sub(r"^\\b", lambda _: NOT_BEFORE, pattern))
@@ -194,21 +239,26 @@ def authorities(notes: DataFrame) -> DataFrame:
 
 def bias_labels(notes: DataFrame) -> DataFrame:
     """(doc_id, labels, source): excesses with their ratios, up to three uncited names, and the first person named."""
-    b, names = bias_columns(), F.col("names")
+    tagged = _entities(notes)
+    b, names = bias_columns(tagged), F.col("names")
     first = F.transform(F.slice(uncited(F.col("text"), F.col("lang")), 1, 3), lambda a: a["person"])
-    rows = notes.select("doc_id", *[b[k].alias(k) for k in ("hedging", "booster", "hedging_severity", "booster_severity")], person_names(F.col("text")).alias("people"), first.alias("names"))
+    rows = notes.select("doc_id", *[b[k].alias(k) for k in ("hedging", "booster", "hedging_severity", "booster_severity")], people(F.col("text"), tagged).alias("people"), first.alias("names"))
     told = [F.when(F.col(f"{k}_severity").isNotNull(), F.format_string(f"{k}_excess(%.3f)", k)) for k in ("hedging", "booster")]
-    people = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.concat(F.lit("appeal_to_authority:"), n))
-    return rows.select("doc_id", F.concat(F.array_compact(F.array(*told)), people).alias("labels"), F.coalesce(F.get("people", F.lit(0)), F.lit("unknown")).alias("source"))
+    appeals = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.concat(F.lit("appeal_to_authority:"), n))
+    return rows.select("doc_id", F.concat(F.array_compact(F.array(*told)), appeals).alias("labels"), F.coalesce(F.get("people", F.lit(0)), F.lit("unknown")).alias("source"))
+
+
+def _entities(notes: DataFrame) -> Column | None:
+    return F.col("entities") if "entities" in notes.columns else None
 
 
-def bias_columns() -> dict[str, Column]:
-    """Ratios, severities (null: none), uncited authorities and both components, over annotated rows."""
+def bias_columns(entities: Column | None = None) -> dict[str, Column]:
+    """Ratios, severities (null: none), uncited authorities, the first person and both components, over annotated rows (and a tagger's entities)."""
     text, lang = F.col("text"), F.col("lang")
     words = F.greatest(F.size(F.filter("toks", lambda w: w.rlike(r"^\p{L}+$"))), F.lit(1))
     hedging, booster = count_phrases(text, lang, "hedging") / words, count_phrases(text, lang, "booster") / words
     open_ = F.size(uncited(text, lang))
-    person = F.size(person_names(text)) > 0
+    persons = people(text, entities)
     cited = text.rlike(QUOTES) | text.rlike("(?i)" + REFERENCE)
     severity = F.when(booster > 0.04, F.least(F.lit(1.0), booster / 0.12))
     return {
@@ -217,14 +267,15 @@ def bias_columns() -> dict[str, Column]:
         "hedging_severity": F.when(hedging > 0.06, F.least(F.lit(1.0), hedging / 0.15)),
         "booster_severity": severity,
         "uncited": open_.cast("long"),
-        "expertise": person & cited,
+        "source": F.coalesce(F.get(persons, F.lit(0)), F.lit("unknown")),
+        "expertise": (F.size(persons) > 0) & cited,
         "source_credibility": F.when(open_ > 0, 0.45).otherwise(0.75),
         "linguistic_bias": F.greatest(F.lit(0.0), 1 - F.coalesce(severity, F.lit(0.0))),
     }
 
 
 def bias(notes: DataFrame) -> DataFrame:
-    return notes.select("doc_id", *[c.alias(k) for k, c in bias_columns().items()])
+    return notes.select("doc_id", *[c.alias(k) for k, c in bias_columns(_entities(notes)).items() if k != "source"])
 
 
 def explicit_premises(sents: Column) -> Column:

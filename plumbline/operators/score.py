@@ -106,8 +106,8 @@ def analysis(docs: DataFrame, models: Models = Models(), tables: dict[str, list]
     args, n_units = F.size("arguments"), F.size("units")
     hidden = F.col("premises.n_implicit") + F.col("premises.n_suspect")
     notes = notes.withColumn("density", F.round(density(hidden, F.col("text")), 4)).withColumn("density_band", density_band(F.col("density")))
-    b = profile.bias_columns()
-    notes = notes.withColumns({"found": found_in(b), **{k: b[k] for k in ("linguistic_bias", "source_credibility")}})
+    b = profile.bias_columns(F.col("entities") if models.tag else None)
+    notes = notes.withColumns({"found": found_in(b), **{k: b[k] for k in ("linguistic_bias", "source_credibility", "expertise", "source")}})
     per = F.greatest(F.when(args > 0, args).otherwise(n_units), F.lit(1))
 
     def flaws(severities: Column) -> Column:
@@ -132,7 +132,7 @@ def analysis(docs: DataFrame, models: Models = Models(), tables: dict[str, list]
         n_units.alias("n_units"), args.alias("n_arguments"), F.col("premises.n_explicit").alias("n_explicit"), F.col("premises.n_implicit").alias("n_implicit"), F.col("premises.n_suspect").alias("n_suspect"),
         kinds("fallacy", lambda _: F.lit(True)).alias("n_fallacies"), kinds("fallacy", lambda x: x["confirmed"]).alias("n_confirmed"), kinds("fallacy", lambda x: ~x["confirmed"]).alias("n_suspected"),
         F.size("circles").alias("n_circles"), F.size("sequiturs").alias("n_sequiturs"), F.size(F.filter("sequiturs", lambda x: x["horn"] == "C3")).alias("n_c3"),
-        F.size(F.filter("verdicts", lambda v: ~v["valid"])).alias("n_invalid"), F.col("coherence.drift").alias("drift"), arguments.objective(F.col("text")).alias("objective"),
+        F.size(F.filter("verdicts", lambda v: ~v["valid"])).alias("n_invalid"), F.col("coherence.drift").alias("drift"), F.col("goal.declared").alias("objective"), "goal", "source", "expertise",
         F.filter(F.array(*[F.when(c.isNull(), F.lit(k)) for k, c in measured.items()]), lambda x: x.isNotNull()).alias("unmeasured"), backends.alias("backends"), F.lit(models.degraded).alias("degraded"),
     )
     rows = notes.select("doc_id", "lang", F.length("text").alias("chars"), F.size("sents").cast("long").alias("n_sentence"), "n_token", *[c.alias(k) for k, c in measured.items()], "density", "density_band", "found", "arguments", "used", "fallacies", "sequiturs", "circles", "verdicts", "premises", "integrity", summary.alias("summary"))
@@ -141,6 +141,45 @@ def analysis(docs: DataFrame, models: Models = Models(), tables: dict[str, list]
     return rows.withColumns({"state": F.when(F.col("epsilon") > STATE, ">d").otherwise("<d"), "warnings": high})
 
 
+# Fixed values of a trace: what every analysis is, whatever the text. Bad faith no longer weighs on the score.
+TRACED = {"system": "plumbline", "kind": "distilled", "status": "provisional", "cluster": "critical analysis", "method": "deterministic pipeline", "agent": "plumbline"}
+BAD_FAITH = 1.0
+
+
+def trace(analysed: DataFrame, on: Column | None = None) -> DataFrame:
+    """One row a document (doc_id and 34 fields): what a stored trace tells of an analysis, with the weights as they were renormalised.
+
+    on: its date, today without. Components that weren't measured are named in excluded and have neither value nor weight.
+    """
+    held = lambda k: F.col(k).isNotNull()
+    total = sum((F.when(held(k), w).otherwise(0.0) for k, w in WEIGHTS.items()), F.lit(0.0))
+    of = lambda value: F.map_from_entries(F.array_compact(F.array(*[F.when(held(k), F.struct(F.lit(k).alias("key"), value(k, w).alias("value"))) for k, w in WEIGHTS.items()])))
+    shown = F.concat(F.transform("found", lambda x: message(x["kind"], x["severity"], x["confidence"], x["detail"])), F.col("warnings"))
+    goal, counts = F.col("summary.goal"), ("n_implicit", "n_suspect", "n_units", "n_arguments", "n_fallacies", "n_confirmed", "n_suspected", "n_circles", "n_sequiturs", "n_c3")
+    fields = {k: F.lit(v) for k, v in TRACED.items()} | {
+        "date": on if on is not None else F.current_date(),
+        "vector": F.struct(F.lit(None).cast("double").alias("dogma"), _shown(F.col("epsilon"), 4).alias("doubt"), F.lit(None).cast("double").alias("memory")),
+        "state": F.col("state"),
+        "pathologies": shown,
+        **{k: F.col(f"summary.{k}").cast("long") for k in counts},
+        "density": F.col("density"),
+        "density_band": F.col("density_band"),
+        "bad_faith": F.lit(BAD_FAITH),
+        "objective_declared": goal["declared"],
+        "objective_latent": goal["latent"],
+        "objective_source": goal["source"],
+        "objective_adherence": goal["adherence"],
+        "objective_integrity": F.col("integrity.value"),
+        "objective_integrity_kind": F.col("integrity.kind"),
+        "source_credibility": F.col("source_credibility"),
+        "components": of(lambda k, _: F.greatest(F.lit(FLOOR), F.least(F.lit(1.0), F.col(k)))),
+        "excluded": F.col("summary.unmeasured"),
+        "weights": of(lambda _, w: F.lit(w) / total),
+        "backends": F.col("summary.backends"),
+    }
+    return analysed.select("doc_id", *[c.alias(k) for k, c in fields.items()])
+
+
 def components(docs: DataFrame, models: Models = Models()) -> DataFrame:  # noqa: B008
     """One row a document with every component, at full precision."""
     return analysis(docs, models).select("doc_id", "lang", "chars", "n_sentence", "n_token", *WEIGHTS, F.col("summary.drift").alias("drift"))

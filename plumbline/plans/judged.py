@@ -7,6 +7,7 @@ The stand-in parser makes a binary tree of a sentence's tokens.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import TOKEN, located, rounded, sentences, strip
-from plumbline.operators import arguments, assess, chunk, clauses, clean, embed, features, findings, history, profile, score, waves
+from plumbline.operators import arguments, assess, chunk, clauses, clean, embed, features, findings, history, inductive, profile, score, waves
 from plumbline.plans.catalog import docs, read, runs
 from plumbline.sources import stores
 from plumbline.sources.providers import Models
@@ -34,6 +35,14 @@ TAGS = ["VERB", "NOUN", "AUX", "PRON", "ADJ"]
 AUTHORITY = r"(?:of|de|von) ([a-zà-ÿ]+)"
 
 
+#: What the stand-in tagger takes for an entity; some reach into the next sentence.
+ENTITY, ENTITY_TYPES = r"tion[a-z]*[.,]? [A-Za-z]+", ["PER", "PERSON", "LOC"]
+#: Kinds of concealment and what they mean, as a verdict on a term may name them; answers of the stand-in that looks for bad faith.
+TAXONOMY = {"determinate": "names what it speaks of", "reified": "makes a thing of a process", "empty": "names nothing"}
+LIMIT_MODES, LIMIT_WORDS = ["USE", "MENTION", "self_diagnosis", ""], ["RISOLVE", "accetta", "PERFORMA", "NONE", "RISOLVE"]
+INTENTS, GRADES = ["none", "persuasive", "selfish", "manipulative"], ["absent", "suspected", "marked"]
+
+
 def entail(pairs: Column) -> Column:
     return F.transform(pairs, lambda p: F.pmod(F.length(p["premise"]) * 13 + F.length(p["hypothesis"]) * 7, F.lit(1009)) / 1009.0)
 
@@ -58,6 +67,11 @@ def parse(sents: Column, lang: Column) -> Column:
     return F.transform(sents, lambda s: F.transform(located(s, TOKEN), word))
 
 
+def tag(text: Column, lang: Column) -> Column:
+    kind = lambda m: F.element_at(F.array(*[F.lit(k) for k in ENTITY_TYPES]), (F.pmod(F.length(m["match"]), F.lit(len(ENTITY_TYPES))) + 1).cast("int"))
+    return F.transform(located(text, ENTITY), lambda m: F.struct(m["match"].alias("text"), kind(m).alias("type"), m["start"].alias("start"), m["end"].alias("end")))
+
+
 MODELS = Models(entail=entail, label=label, parse=parse)
 
 
@@ -220,9 +234,81 @@ def b_uncited(spark, d):
     return rows.select("doc_id", "nth", "a.person", "a.start", "a.end", F.sha2("a.context", 256).alias("context_sha256"))
 
 
+def b_entities(spark, d):
+    """Entities of a tagger, each with the sentence that it begins in."""
+    return profile.named(docs(spark, d).withColumn("entities", tag(F.col("text"), F.col("lang"))))
+
+
+def b_named(spark, d):
+    """Whom documents name first and whether they show expertise, by a tagger's persons."""
+    notes = profile.annotated(docs(spark, d)).withColumn("entities", tag(F.col("text"), F.col("lang")))
+    b, names = profile.bias_columns(F.col("entities")), profile.people(F.col("text"), F.col("entities"))
+    return notes.select("doc_id", F.size(names).cast("long").alias("n_people"), F.sha2(F.array_join(names, "|"), 256).alias("people_sha256"), b["source"].alias("source"), b["expertise"].alias("expertise"))
+
+
+# Horns, limits, terms and objectives as a model judges them
+
+
+def m_predetected(spark, d):
+    """What tells of a horn before a model is asked: markers, and the findings of whole analyses."""
+    rows = inductive.predetected(docs(spark, d), score.told(analysed(spark, d)), MARKERS)
+    return rows.groupBy("doc_id", "horn", "subtype", "source").agg(F.count("*").alias("n"), rounded(F.sum("confidence"), 5).alias("confidence"))
+
+
+def m_inclosure_rule(spark, d):
+    """The rule of limits over answers whose signs follow from a text's length."""
+    n = F.length("text")
+    pick = lambda words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(n, F.lit(len(words))) + 1).cast("int"))
+    sign = lambda by: F.struct((F.pmod(n, F.lit(by)) == 0).alias("holds"))
+    answer = F.to_json(F.struct(sign(2).alias("transcendence"), sign(3).alias("closure"), pick(LIMIT_MODES).alias("mode"), pick(LIMIT_WORDS).alias("limit_answer"), F.lit("yes").alias("presence")))
+    answers = docs(spark, d).where("text is not null").select("doc_id", answer.alias("answer"), F.when(F.pmod(n, F.lit(11)) == 0, "timeout").alias("error"))
+    return inductive.inclosure_verdicts(answers, findings.marker_hits(docs(spark, d), markers=MARKERS))
+
+
+def verdict_model():
+    """Judges each term that it is asked for by the term's length."""
+
+    def answer(prompt, most):
+        terms = prompt.rsplit("Terms: ", 1)[1].split(", ")
+        return json.dumps({"verdicts": [{"term": f" {t.upper()} ", "concealment": list(TAXONOMY)[len(t) % 3], "reason": str(len(t))} for t in terms]})
+
+    return answer
+
+
+def m_term_verdicts(spark, d):
+    calls = inductive.term_calls(docs(spark, d), "Judge the terms.", 20, TAXONOMY, LEXICON, SUFFIXES, NO_TERMS)
+    return inductive.term_verdicts(calls, verdict_model)
+
+
+def gap_model():
+    """Judges a gap by the length of what it is asked, and doesn't answer at some lengths."""
+
+    def answer(prompt, most):
+        n = len(prompt.split("\n\nAnswer with one")[0])
+        return "no idea" if n % 7 == 0 else json.dumps({"intent": INTENTS[n % 4], "grade": GRADES[n % 3], "findings": [str(n)], "note": None})
+
+    return answer
+
+
+def i_bad_faith(spark, d):
+    """Bad faith where the declared objective and the latent one differ, by documents: who was judged, who wasn't, and why."""
+    rows = given(spark, d).withColumn("latent", F.when(F.pmod("doc_id", F.lit(5)) != 0, F.col("latent")))
+    return inductive.bad_faith(rows, "Judge the gap.", gap_model).select("doc_id", "outcome", "why", "intent", "grade", F.array_join("findings", ",").alias("findings"))
+
+
 # The score with models
 
 
+def x_trace(spark, d):
+    """Stored traces of analyses: what they count, what they say of the objective, and the score as their components and weights give it."""
+    t = score.trace(analysed(spark, d), F.to_date(F.lit("2026-01-01")))
+    again = F.aggregate(F.map_entries("weights"), F.lit(0.0), lambda a, e: a + e["value"] * F.log(F.element_at("components", e["key"])))
+    counts = ("n_implicit", "n_suspect", "n_units", "n_arguments", "n_fallacies", "n_confirmed", "n_suspected", "n_circles", "n_sequiturs", "n_c3")
+    told = [F.col(c) for c in ("state", *counts, "density", "density_band", "objective_source", "objective_adherence", "objective_integrity_kind", "source_credibility")]
+    hashed = [F.sha2(F.coalesce(c, F.lit("")), 256).alias(f"{c}_sha256") for c in ("objective_declared", "objective_latent")]
+    return t.select("doc_id", *told, *hashed, rounded(F.col("objective_integrity"), 4).alias("objective_integrity"), F.size("pathologies").cast("long").alias("n_pathologies"), F.array_join("excluded", ",").alias("excluded"), score._shown(F.exp(again), 4).alias("epsilon"))
+
+
 def x_given(spark, d):
     a = analysed(spark, d)
     return score.scored(a, "density", "density_band")
@@ -355,7 +441,7 @@ def v_forced_sample(spark, d):
 
 NAMES = (
     t_clean_marked, t_recurring_marked, c_blocks, c_chunks_sectioned, f_spans, f_argumentative_given, f_confirmed, m_markers_given, m_inclosure_given, m_terms_ranked, g_labelled, v_sequiturs, v_circles,
-    v_verdicts, v_integrity, v_jaccard, v_restated, h_tacit, h_candidates, a_tree_clauses, p_tree, y_syntax, x_given, x_given_findings, x_given_summary, i_waves, b_uncited, e_top_neighbours, q_call_health, q_chunk_resume,
+    v_verdicts, v_integrity, v_jaccard, v_restated, h_tacit, h_candidates, a_tree_clauses, p_tree, y_syntax, x_given, x_given_findings, x_given_summary, i_waves, b_uncited, b_entities, b_named, m_predetected, m_inclosure_rule, m_term_verdicts, i_bad_faith, x_trace, e_top_neighbours, q_call_health, q_chunk_resume,
     d_call_budget, q_first_sight, q_document_reports, q_window_health, q_rerun_gate, v_paraphrases, v_detector, v_macro, v_natural_sample, v_forced_sample,
 )
 

@@ -10,6 +10,7 @@ from plumbline.functions.fixed import (
     CONCLUSIVE,
     CONDITION,
     FALLACY_LABELS,
+    LIMIT_ANSWERS,
     MARKERS,
     NECESSITY,
     PARATEXT,
@@ -475,10 +476,46 @@ def waves_sql() -> str:
     return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT doc_id, '{a}' AS axis, {of[a]} AS wave, CAST(n_{a} AS BIGINT) AS n FROM {before}" for a in axes)
 
 
+ENTITIES = f"""
+        en AS (SELECT doc_id, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS nth, unnest(u) AS m, text AS whole_text FROM (SELECT doc_id, text, {located('text', judged.ENTITY)} AS u FROM documents)),
+        et AS (SELECT doc_id, nth, m.match AS text, {_list(judged.ENTITY_TYPES)}[length(m.match) % 3 + 1] AS type, m.start AS start, m."end" AS "end" FROM en)"""
+_MEASURED = ["premise_transparency", "formal_validity", "fallacy_absence", "argument_structure", "semantic_cohesion", "thematic_coherence", "syntax_quality", "linguistic_bias", "source_credibility", "objective_integrity"]
+
+
+def of_people() -> dict[str, str]:
+    """SQL of the queries on entities, horns, limits, terms, objectives and traces."""
+    given, pick = f"WITH {given_sql()}", lambda words, n="n": f"{_list(words)}[{n} % {len(words)} + 1]"
+    fixed = len("Judge the gap.\n\n") + len("\n\nDeclared: ") + len("\nLatent: ")
+    declared, latent = strip(f"coalesce({_SAID}, '')"), strip(f"coalesce(list_transform({sents()}, lambda s: {strip('s')})[-1], '')")
+    signals = "CASE limit_answer " + " ".join(f"WHEN '{k}' THEN '{_sql(v)}'" for k, v in LIMIT_ANSWERS.items()) + " END"
+    excluded = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {k} IS NULL THEN '{k}' END" for k in _MEASURED) + "], lambda x: x IS NOT NULL), ',')"
+    counted = lambda where: f"(SELECT count(*) FROM fo WHERE fo.doc_id = comp.doc_id AND {where})"
+    return {
+        "b_entities": f"WITH {PLACES}, {ENTITIES} SELECT et.doc_id, nth, text, type, start, \"end\", sent_idx, coalesce(\"end\" <= z, false) AS whole FROM et LEFT JOIN places ON et.doc_id = places.doc_id AND a <= start AND start < z",
+        "b_named": f"""WITH {ENTITIES.strip()}, pe AS (SELECT doc_id, list(text ORDER BY nth) FILTER (type <> 'LOC' AND regexp_full_match(replace(text, ' ', ''), '\\p{{L}}+')) AS named FROM et GROUP BY doc_id),
+            pp AS (SELECT documents.doc_id, text, CASE WHEN pe.doc_id IS NULL THEN {PEOPLE} ELSE coalesce(named, []) END AS people FROM documents LEFT JOIN pe USING (doc_id))
+            SELECT doc_id, len(people) AS n_people, sha256(array_to_string(people, '|')) AS people_sha256, coalesce(people[1], 'unknown') AS source, len(people) > 0 AND {CITED} AS expertise FROM pp""",
+        "m_predetected": f"""{given} SELECT doc_id, horn, subtype, source, count(*) AS n, round(sum(confidence), 5) AS confidence FROM (SELECT doc_id, horn, subtype, 'marker' AS source, confidence FROM ({markers_sql(judged.MARKERS)})
+            UNION ALL SELECT doc_id, 'C3', 'structural', 'structure', confidence * 0.8 FROM sq WHERE horn = 'C3' UNION ALL SELECT doc_id, 'C2', 'structural', 'structure', confidence * 0.8 FROM fl WHERE regexp_matches(kind, 'petitio|circular') UNION ALL SELECT doc_id, 'C2', 'structural', 'structure', severity * 0.8 FROM ci) GROUP BY ALL""",
+        "m_inclosure_rule": f"""WITH h AS (SELECT doc_id, count(*) AS n_hits FROM ({markers_sql(judged.MARKERS, ('INCL',))}) GROUP BY doc_id), l AS (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL),
+            s AS (SELECT doc_id, n % 11 = 0 AS failed, n % 2 = 0 AS t, n % 3 = 0 AS c, upper({pick(judged.LIMIT_MODES)}) AS mode, upper({pick(judged.LIMIT_WORDS)}) AS limit_answer FROM l)
+            SELECT doc_id, CASE WHEN failed THEN 'indeterminate' WHEN t AND c THEN 'present' WHEN t OR c THEN 'partial' ELSE 'absent' END AS presence, CASE WHEN NOT failed THEN 'yes' END AS presence_model, CASE WHEN NOT failed THEN mode END AS mode, CASE WHEN NOT failed THEN limit_answer END AS limit_answer,
+            CASE WHEN NOT failed AND t AND c AND mode IN ('USE', 'SELF_DIAGNOSIS') THEN {signals} END AS signal, coalesce(n_hits, 0) AS n_hits FROM s LEFT JOIN h USING (doc_id)""",
+        "m_term_verdicts": f"SELECT doc_id, term, {_list(list(judged.TAXONOMY))}[length(term) % 3 + 1] AS concealment, CAST(length(term) AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS error FROM (WITH {terms_sql()}) WHERE nth < 20",
+        "i_bad_faith": f"""WITH g AS (SELECT doc_id, text, {declared} AS said, CASE WHEN doc_id % 5 <> 0 THEN {latent} ELSE '' END AS meant FROM documents), w AS (SELECT *, CASE WHEN text IS NULL THEN 'no text' WHEN said = '' THEN 'no objective' WHEN meant = '' OR said = meant THEN 'no gap' END AS spared, {fixed} + length(text) + length(said) + length(meant) AS n FROM g),
+            o AS (SELECT *, CASE WHEN spared IS NOT NULL THEN 'not_applicable' WHEN n % 7 = 0 THEN 'error' ELSE 'diagnosed' END AS outcome FROM w)
+            SELECT doc_id, outcome, CASE outcome WHEN 'error' THEN 'not JSON' ELSE spared END AS why, CASE outcome WHEN 'diagnosed' THEN {pick(judged.INTENTS)} END AS intent, CASE outcome WHEN 'diagnosed' THEN {pick(judged.GRADES)} END AS grade, CASE outcome WHEN 'diagnosed' THEN CAST(n AS VARCHAR) END AS findings FROM o""",
+        "x_trace": f"""{given}, {FOUND}, eps AS ({SCORED}) SELECT comp.doc_id, eps.state, tacit.n_implicit, tacit.n_suspect, sentences AS n_units, coalesce(ag.n, 0) AS n_arguments, {counted("starts_with(kind, 'fallacy')")} AS n_fallacies, {counted("starts_with(kind, 'fallacy') AND confirmed")} AS n_confirmed, {counted("starts_with(kind, 'fallacy') AND NOT confirmed")} AS n_suspected,
+            (SELECT count(*) FROM ci WHERE ci.doc_id = comp.doc_id) AS n_circles, coalesce(sf.n, 0) AS n_sequiturs, coalesce(sf.c3, 0) AS n_c3, density, density_band, CASE WHEN ob.said = '' THEN 'pattern' ELSE 'model' END AS objective_source, 0.5::DOUBLE AS objective_adherence, ikind AS objective_integrity_kind, comp.source_credibility,
+            sha256(ob.said) AS objective_declared_sha256, sha256(CASE WHEN ob.said = '' THEN '' ELSE ob.meant END) AS objective_latent_sha256, round(comp.objective_integrity, 4) AS objective_integrity, {counted('true')} + CAST(eps.epsilon > 0.95 AS BIGINT) AS n_pathologies, {excluded.replace("WHEN ", "WHEN comp.")} AS excluded, eps.epsilon
+            FROM comp JOIN eps USING (doc_id) JOIN ob USING (doc_id) JOIN tacit USING (doc_id) LEFT JOIN ag USING (doc_id) LEFT JOIN sf USING (doc_id)""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the registered queries."""
     known = catalog.queries() | judged.queries()
-    return {k: v for k, v in _all().items() if k in known}
+    return {k: v for k, v in (_all() | of_people()).items() if k in known}
 
 
 def _all() -> dict[str, str]:

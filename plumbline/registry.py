@@ -58,13 +58,13 @@ METHODS = {
         _m("density", "score", D, "none", "operators.score:density"),
         _m("objective", "objective", M, "feed", "operators.arguments:objective"),
         _m("objective_integrity", "objective", M, "component", "operators.assess:integrity", "objective_integrity"),
-        _m("bad_faith", "objective", M, "parity", "operators.inductive:bad_faith_calls"),
+        _m("bad_faith", "objective", M, "parity", "operators.inductive:bad_faith"),
         _m("analyse", "orchestration", O, "parity", "operators.score:analysis"),
         _m("judge", "orchestration", O, "parity", "operators.inductive:calls"),
         _m("horn_markers", "markers", D, "feed", "operators.findings:marker_hits"),
-        _m("inclosure", "markers", D, "feed", "operators.findings:inclosure"),
+        _m("inclosure", "markers", D, "feed", "operators.inductive:inclosure_verdicts"),
         _m("abstract_terms", "markers", D, "feed", "operators.findings:abstract_terms"),
-        _m("term_verdicts", "markers", M, "feed", "operators.inductive:term_calls"),
+        _m("term_verdicts", "markers", M, "feed", "operators.inductive:term_verdicts"),
         _m("report", "output", D, "none", "operators.report:text_reports"),
         _m("promote", "output", D, "none", "sources.stores:promote"),
         _m("clean", "documents", D, "none", "operators.clean:clean"),
@@ -114,3 +114,27 @@ def faults() -> list[str]:
 def fits(output: str, wanted: str) -> bool:
     """Whether an output type may enter an input of the wanted type."""
     return output == wanted or output in ACCEPTS.get(wanted, ())
+
+
+@dataclass(frozen=True)
+class Agent:
+    """Who may run which methods: what isn't granted must be asked for elsewhere. Unknown names raise."""
+
+    name: str
+    granted: frozenset[str]
+
+    def __post_init__(self):
+        if wrong := self.granted - METHODS.keys():
+            raise ValueError(f"unknown methods: {sorted(wrong)}")
+
+    def may(self, method: Method | str) -> bool:
+        return (method.name if isinstance(method, Method) else method) in self.granted
+
+    def available(self) -> list[str]:
+        return sorted(self.granted)
+
+    def resolve(self, name: str) -> Callable:
+        """The method's function, for those who may run it."""
+        if not self.may(name):
+            raise PermissionError(f"{self.name} may not run {name}")
+        return resolve(name)

@@ -182,6 +182,18 @@ def parser(make: Callable[[], Callable[[list[str], str], list[list[dict]]]]) ->
     return parsed
 
 
+def tagger(make: Callable[[], Callable[[str, str], list[dict]]]) -> Callable[[Column, Column], Column]:
+    """A column function (text, language) -> array of entities (operators.profile.ENTITIES); the model is made once a worker."""
+
+    @F.pandas_udf("array<struct<text string, type string, start int, end int>>")
+    def tagged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = make()
+        for texts, langs in batches:
+            yield pd.Series([None if text is None else list(model(text, lang)) for text, lang in zip(texts, langs, strict=True)], dtype="object")
+
+    return tagged
+
+
 @dataclass(frozen=True)
 class Models:
     """What the analysis asks of models, as column functions over arrays in a document's row; the fallbacks hold where none is given."""
@@ -192,6 +204,8 @@ class Models:
     parse: Callable[[Column, Column], Column] | None = None
     #: Number of topics of an array of sentences.
     topics: Callable[[Column], Column] | None = None
+    #: Entities of a text and its language; names by their capitals hold where it finds none.
+    tag: Callable[[Column, Column], Column] | None = None
     names: dict[str, str] = field(default_factory=dict)
 
     def snapshot(self) -> dict[str, str]:

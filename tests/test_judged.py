@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import assess, embed, inductive, score
+from plumbline.operators import assess, embed, inductive, profile, score
 from plumbline.plans import judged, sql_more
 from plumbline.sources import providers
 from plumbline.sources.providers import Models, discover
@@ -15,7 +15,7 @@ from plumbline.sources.providers import Models, discover
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["t_clean_marked", "c_blocks", "c_chunks_sectioned", "f_spans", "f_confirmed", "m_markers_given", "m_terms_ranked", "v_sequiturs", "v_circles", "v_verdicts", "v_integrity", "b_uncited", "v_forced_sample", "h_tacit", "h_candidates", "a_tree_clauses", "y_syntax", "x_given", "x_given_findings", "x_given_summary", "i_waves", "v_restated", "q_document_reports", "v_paraphrases"])
+@pytest.mark.parametrize("name", ["t_clean_marked", "c_blocks", "c_chunks_sectioned", "f_spans", "f_confirmed", "m_markers_given", "m_terms_ranked", "v_sequiturs", "v_circles", "v_verdicts", "v_integrity", "b_uncited", "v_forced_sample", "h_tacit", "h_candidates", "a_tree_clauses", "y_syntax", "x_given", "x_given_findings", "x_given_summary", "i_waves", "v_restated", "q_document_reports", "v_paraphrases", "b_entities", "b_named", "m_predetected", "m_inclosure_rule", "m_term_verdicts", "i_bad_faith", "x_trace"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in os.listdir(SF):
@@ -98,3 +98,69 @@ def test_calls_for_judgement(spark):
     asked = inductive.term_calls(rows, "Judge.").collect()
     assert [r.doc_id for r in asked] == [0] and asked[0].prompt.endswith("Terms: rappresentazione")
     assert discover(lambda: {"data": [{"id": "a"}, {"id": "b", "state": "loaded"}]}) == "b" and discover(lambda: {}) is None
+
+
+def test_entities_meet_sentences(spark):
+    """Entities are held against a plain search, those between sentences, over a break and without a sentence included."""
+    text = " \n Ann Lee met Bob. He left. \n\n Zoë wrote. And more"
+    ents = [(m.group(), "PER" if k % 2 else "LOC", m.start(), m.end()) for k, m in enumerate(re.finditer(r"Ann Lee|Bob\. He| \n\n|Zoë|more", text))]
+    rows = spark.createDataFrame([(0, text, ents), (1, "One. Two.", []), (2, None, ents), (3, "One. Two.", None), (4, "", ents), (5, "Ann.", [(None, None, None, None), ("Ann", "PER", 0, 3), ("Ann", "PER", 0, 3)])], f"doc_id long, text string, entities {profile.ENTITIES}")
+    got = {(r.doc_id, r.nth): (r.text, r.sent_idx, r.whole) for r in profile.named(rows).collect()}
+    breaks = [(m.start(), m.end()) for m in re.finditer(r"(?<=[.!?])\s+(?=[A-ZÀ-Ý])", text)]
+    starts, ends = [0, *[b for _, b in breaks]], [*[a for a, _ in breaks], len(text)]
+    for k, (name, _, a, z) in enumerate(ents):
+        own = [i for i, (s, e) in enumerate(zip(starts, ends, strict=True)) if s <= a < e]
+        assert got[0, k] == (name, own[0] if own else None, bool(own) and z <= ends[own[0]])
+    assert {k for k in got if k[0] != 0} == {(4, k) for k in range(len(ents))} | {(5, 0), (5, 1)}
+    assert all(got[4, k][1:] == (None, False) for k in range(len(ents))) and got[5, 0] == ("Ann", 0, True)
+
+
+def test_persons_of_a_tagger_that_runs_in_python(spark):
+    """Names come from entities where there are any, whatever their type, else from capitals."""
+
+    def make():
+        return lambda text, lang: [{"text": m[0], "type": k, "start": m.start(), "end": m.end()} for k, w in (("PER", "ann lee"), ("PERSON", "x-1"), ("ORG", "acme")) for m in re.finditer(w, text)]
+
+    docs = spark.createDataFrame([(0, "Here ann lee said « yes ». Bob too.", "en"), (1, "Then acme said « no ». Bob too.", "en"), (2, "Only Bob here.", "en"), (3, None, "en"), (4, "x-1 and ann lee.", "en")], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in score.analysis(docs, Models(tag=providers.tagger(make))).select("doc_id", "summary.source", "summary.expertise").collect()}
+    assert [rows[k].source for k in range(5)] == ["ann lee", "unknown", "Only Bob", "unknown", "ann lee"]
+    assert rows[0].expertise and not rows[1].expertise and not rows[2].expertise
+
+
+def test_trace_has_every_field(spark):
+    docs = spark.createDataFrame([(0, "Everyone knows that cats fly. Therefore all cats must fly away from here.", "en", " sell cats ", "", 7.0), (1, None, "en", None, "x", None), (2, "Cats sleep.", "en", "  ", "x", 0.25)], "doc_id long, text string, lang string, declared string, latent string, adherence double")
+    traced = score.trace(score.analysis(docs))
+    assert len(traced.columns) == 35
+    rows = {r.doc_id: r for r in traced.collect()}
+    assert (rows[0].objective_declared, rows[0].objective_latent, rows[0].objective_source, rows[0].objective_adherence) == ("sell cats", None, "model", 1.0)
+    assert (rows[2].objective_declared, rows[2].objective_latent, rows[2].objective_source, rows[2].objective_adherence) == ("Cats sleep.", None, "pattern", 0.5)
+    for r in rows.values():
+        assert sum(r.weights.values()) == pytest.approx(1) and r.components.keys() == r.weights.keys() and not {*r.excluded} & {*r.weights}
+    assert rows[1].objective_declared is None and rows[1].objective_source == "pattern" and rows[1].n_units == 0
+
+
+def test_rule_of_limits_and_outcomes(spark):
+    """The table of the rule, with signs of any shape and failed answers; one outcome a document, repeated ids included."""
+    sign = '{{"transcendence": {{"holds": {}}}, "closure": {{"holds": {}}}, "mode": "{}", "limit_answer": "{}"}}'.format
+    cases = [(0, sign("true", "true", "use", "risolve"), None), (1, sign("true", '""', "USE", "RISOLVE"), None), (2, sign("false", "0", "USE", "RISOLVE"), None), (3, sign('"yes"', "2", "MENTION", "RISOLVE"), None), (4, sign("true", "true", "SELF_DIAGNOSIS", "other"), None), (5, None, "down"), (6, None, None), (7, '{"mode": 1}', None)]
+    got = {r.doc_id: r for r in inductive.inclosure_verdicts(spark.createDataFrame(cases, "doc_id long, answer string, error string")).collect()}
+    assert [got[k].presence for k in range(8)] == ["present", "partial", "absent", "present", "present", "indeterminate", "indeterminate", "absent"]
+    assert [k for k in got if got[k].signal] == [0] and got[5].mode is None and got[7].n_hits == 0
+
+    rows = spark.createDataFrame([(0, "t", "a", "b"), (0, "t", "a", "b"), (1, "t", " a", "a "), (2, None, "a", "b"), (3, "t", None, "b"), (4, "no", "a", "b")], "doc_id long, text string, declared string, latent string")
+
+    def make():
+        return lambda prompt, most: "?" if "no" in prompt else '{"intent": "none", "grade": "absent", "findings": []}'
+
+    seen = sorted((r.doc_id, r.outcome, r.why) for r in inductive.bad_faith(rows, "Look.", make).collect())
+    assert seen == [(0, "diagnosed", None), (0, "diagnosed", None), (1, "not_applicable", "no gap"), (2, "not_applicable", "no text"), (3, "not_applicable", "no objective"), (4, "error", "not JSON")]
+
+
+def test_last_verdict_on_a_term_counts(spark):
+    docs = spark.createDataFrame([(0, "La rappresentazione."), (1, "Una rappresentazione no."), (2, "x"), (3, None)], "doc_id long, text string")
+
+    def make():
+        return lambda prompt, most: "?" if " no." in prompt else '{"verdicts": [{"term": "A", "concealment": "x"}, {"term": " a "}, {"term": " "}, {"reason": "r"}, {"term": "b", "reason": "r"}]}'
+
+    got = sorted(tuple(r) for r in inductive.term_verdicts(inductive.term_calls(docs, "Judge.", taxonomy={"k": "v"}), make).collect())
+    assert got == [(0, "a", "", "", None), (0, "b", "", "r", None), (1, None, None, None, "not JSON")]
