@@ -123,6 +123,47 @@ def missing(wanted: DataFrame, done: DataFrame | None, keys: list[str], failed:
     return wanted.join(good.select(*keys).distinct(), keys, "left_anti")
 
 
+def stamp() -> str:
+    """The time as part of a name, to the microsecond, so that names of one run after another differ and sort by time."""
+    import datetime
+
+    return datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
+
+
+def dump_evaluation(rows: DataFrame, path: str, name: str, facts: dict[str, object], shown: list[str], order: list[str]) -> tuple[str, str]:
+    """An evaluation's rows under names of this moment: <name>_<time>.csv with all columns, .md with a heading, facts and a table of shown.
+
+    Both are sorted by order and never overwritten. Null cells are empty; bars within cells are escaped, breaks become blanks.
+    Gives both paths.
+    """
+    at = stamp()
+    csv, md = f"{path}/{name}_{at}.csv", f"{path}/{name}_{at}.md"
+    rows.orderBy(*order).write.option("header", True).option("quoteAll", True).csv(csv)
+    cells = [F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\R", " ") for c in shown]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = [f"# {name} {at}", "", *[f"{k}: {v}" for k, v in facts.items()], "", "| " + " | ".join(shown) + " |", "|" + "---|" * len(shown)]
+    first = rows.sparkSession.createDataFrame([(k, t) for k, t in enumerate(head)], "part int, value string")
+    body = rows.select(F.lit(len(head)).alias("part"), line.alias("value"), *[F.col(c).alias(f"by{k}") for k, c in enumerate(order)])
+    first.unionByName(body, allowMissingColumns=True).orderBy("part", *[f"by{k}" for k in range(len(order))]).select("value").write.text(md)
+    return csv, md
+
+
+def keep_phase(result: DataFrame, path: str, phase: str) -> None:
+    """The result of a phase as JSON: the current one at <phase>, and each run's own under history/<phase>_<time>, which no later run touches."""
+    at = stamp()
+    past = f"{path}/history/{phase}_{at}"
+    result.withColumn("ts", F.lit(at)).write.json(past)
+    result.sparkSession.read.schema(result.schema.add("ts", "string")).json(past).write.mode("overwrite").json(f"{path}/{phase}")
+
+
+def log_promotions(promoted: DataFrame, lexicon_path: str, log_path: str) -> int:
+    """Append the promoted rows of promote() to the lexicon table (term), and where each came from to a log of JSON lines; how many there were."""
+    new = settle(promoted.where("state = 'promoted'"), "promoted")
+    append(new.select("term"), lexicon_path)
+    append_lines(new.select("term", "vetting", "channel", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("ts")), log_path)
+    return new.count()
+
+
 def promote(terms: DataFrame, lexicon: DataFrame, channel: str = "user") -> DataFrame:
     """(term, state, vetting, channel) of each proposed term, by its last word: empty, bad_format, present or promoted.
 

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import registry
 from plumbline.operators import features, history
 from plumbline.sources import cache, stores
 
@@ -76,3 +77,36 @@ def test_gates_of_reruns(spark):
     assert {r.model: (r.n, r.failed, r.passes) for r in history.window_health(calls, F.lit(1), F.lit(9)).collect()} == {"m": (2, 1, False), "n": (1, 0, True)}
     many = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5)
     assert all(r.k == r.nth for r in history.in_order(many, "k").collect())
+
+
+def test_evaluations_phases_and_promotions_are_kept(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "a|b", None), (1, "x\ny", 0.5), (3, None, 1.0)], "id long, text string, p double")
+    names = [stores.dump_evaluation(rows, str(tmp_path), "limits", {"model": "m", "n": 3}, ["id", "text"], ["id"]) for _ in range(2)]
+    assert len({p for pair in names for p in pair}) == 4
+    csv, md = names[0]
+    lines = [r.value for r in spark.read.text(md).collect()]
+    assert lines[0].startswith("# limits ") and lines[2:] == ["model: m", "n: 3", "", "| id | text |", "|---|---|", "| 1 | x y |", "| 2 | a\\|b |", "| 3 |  |"]
+    back = spark.read.option("header", True).option("multiLine", True).csv(csv)
+    assert back.columns == rows.columns and sorted((r.id, r.text) for r in back.collect()) == [("1", "x\ny"), ("2", "a|b"), ("3", None)]
+    for n in (1, 2):
+        stores.keep_phase(spark.createDataFrame([(n, None)], "n int, note string"), str(tmp_path), "stress")
+    assert [r.n for r in spark.read.json(str(tmp_path / "stress")).collect()] == [2]
+    assert sorted(r.n for r in spark.read.json(str(tmp_path / "history" / "*")).collect()) == [1, 2]
+
+    lexicon, log = str(tmp_path / "lexicon"), str(tmp_path / "log")
+    stores.append(spark.createDataFrame([("vita",)], "term string"), lexicon)
+    asked = spark.createDataFrame([("Vita",), ("anima",), ("",), (None,)], "term string")
+    for want in (1, 0):
+        assert stores.log_promotions(stores.promote(asked, spark.read.parquet(lexicon), "agent"), lexicon, log) == want
+    assert sorted(r.term for r in spark.read.parquet(lexicon).collect()) == ["anima", "vita"]
+    assert [(r.term, r.channel) for r in spark.read.json(log).collect()] == [("anima", "agent")]
+
+
+def test_agents_run_what_they_are_granted():
+    agent = registry.Agent("critic", frozenset({"clean", "profile"}))
+    assert agent.may("clean") and agent.may(registry.get("profile")) and not agent.may("bias") and not agent.may("nothing")
+    assert agent.available() == ["clean", "profile"] and agent.resolve("clean") is registry.resolve("clean")
+    with pytest.raises(PermissionError):
+        agent.resolve("bias")
+    with pytest.raises(ValueError):
+        registry.Agent("x", frozenset({"nothing"}))
