@@ -99,6 +99,16 @@ def test_hash_buckets_agree(spark):
     assert embed.coherence_values([]) == (1.0, 1.0, 0.0, 1.0)
 
 
+def test_word_buckets_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, 0, " Alpha beta, alpha! -"), (1, 1, "è x1"), (2, 0, None)], "doc_id long, sent_idx int, sentence string")
+    got = embed.word_buckets(rows)
+    want = sorted((1, i, embed.bucket(w)) for i, w in ((0, "alpha"), (0, "beta"), (0, "alpha"), (1, "è"), (1, "x1")))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    # Three shuffles before: by words, by sentences, by documents.
+    plan = got.groupBy("doc_id", "bucket").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_rollup_of_labels(spark):
     labels = spark.createDataFrame([("a", 1, "no"), ("a", 2, "yes"), ("b", 1, "no")], "run_uid string, pos int, verdict string")
     assert {(r.run_uid, r.verdict) for r in history.last_labels(labels).collect()} == {("a", "yes"), ("b", "no")}
