@@ -33,9 +33,11 @@ def recurring_lines(text: Column, least: int = LEAST_FREQUENCY) -> Column:
     """Sorted short lines that occur at least so often and end no sentence."""
     trimmed = F.filter(F.transform(lines(text), strip), lambda x: (x != "") & (F.length(x) < HEADER_CHARS) & ~x.rlike("[.!?]$"))
     # Sorted, equal lines stand together: a line recurs if it equals the one least - 1 places on.
-    ordered = F.sort_array(trimmed)
-    hits = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(ordered) - (least - 1), F.lit(1))), lambda i: F.get(ordered, i - 1) == F.get(ordered, i + (least - 2))), lambda i: F.get(ordered, i - 1))
-    return F.array_distinct(hits)
+    def repeated(ordered: Column) -> Column:
+        each = F.zip_with(ordered, F.slice(ordered, least, F.size(ordered)), lambda x, later: F.when(x == later, x))
+        return F.array_distinct(F.array_compact(each))
+
+    return let(F.sort_array(trimmed), repeated)
 
 
 def reflow(text: Column) -> Column:

@@ -109,6 +109,14 @@ def test_word_buckets_need_no_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_recurring_lines_are_sorted_once(spark):
+    text = "\n".join([*(f"line {k}" for k in range(500)), *["b", "a", "a.", "b", "a", "", "a", "b"]])
+    found = docs(spark, text, "a\na", None).select(clean.recurring_lines(F.col("text")).alias("r"))
+    assert [r.r for r in found.collect()] == [["a", "b"], [], None]
+    # Within a lambda the sort would be done again for each line.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1
+
+
 def test_rollup_of_labels(spark):
     labels = spark.createDataFrame([("a", 1, "no"), ("a", 2, "yes"), ("b", 1, "no")], "run_uid string, pos int, verdict string")
     assert {(r.run_uid, r.verdict) for r in history.last_labels(labels).collect()} == {("a", "yes"), ("b", "no")}
