@@ -120,3 +120,12 @@ def test_recurring_lines_are_sorted_once(spark):
 def test_rollup_of_labels(spark):
     labels = spark.createDataFrame([("a", 1, "no"), ("a", 2, "yes"), ("b", 1, "no")], "run_uid string, pos int, verdict string")
     assert {(r.run_uid, r.verdict) for r in history.last_labels(labels).collect()} == {("a", "yes"), ("b", "no")}
+
+
+def test_restatements_of_repeated_and_null_ids(spark):
+    schema = "doc_id long, sent_idx int, sentence string"
+    sents = spark.createDataFrame([(1, 0, "alpha beta gamma delta"), (1, 0, "alpha beta gamma omega"), (None, 0, "alpha beta gamma"), (2, 0, "other words only")], schema)
+    items = spark.createDataFrame([(7, 0, "Alpha beta gamma!")], "item_id long, item_sent int, sentence string")
+    got = sorted(arguments.restatements(sents, items, 0.5).collect(), key=lambda r: (r.doc_id or 0, r.jaccard))
+    # Of two sentences of one id only one was told before.
+    assert [(r.doc_id, r.sent_idx, r.item_id, r.jaccard) for r in got] == [(None, 0, 7, 1.0), (1, 0, 7, 0.75), (1, 0, 7, 0.75)]
