@@ -129,3 +129,26 @@ def test_restatements_of_repeated_and_null_ids(spark):
     got = sorted(arguments.restatements(sents, items, 0.5).collect(), key=lambda r: (r.doc_id or 0, r.jaccard))
     # Of two sentences of one id only one was told before.
     assert [(r.doc_id, r.sent_idx, r.item_id, r.jaccard) for r in got] == [(None, 0, 7, 1.0), (1, 0, 7, 0.75), (1, 0, 7, 0.75)]
+
+
+def test_texts_are_lowered_once_and_batches_are_bounded(spark):
+    from plumbline.operators import assess
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rows = assess.assessed(docs(spark, "We run because it rains. Therefore we are wet.", None))
+    found = rows.select("arguments", "premises", "verdicts", "coherence")
+    # Within the lambda over the terms a text would be lowered for each term.
+    assert "Contains(lower(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "256" and found.count() == 2
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_verdicts_reach_up_to_their_limit(spark):
+    from plumbline.operators import assess
+
+    text = "x" * 5 + "y" * 210 + "Key of ten, and more text"
+    made = spark.createDataFrame([(text, end) for end in (4, 14, 15, 16)], "text string, end int")
+    args = F.array(F.struct(F.lit(0).alias("arg_idx"), F.lit("Key of ten").alias("text"), F.lit("t").alias("thesis"), F.lit("k").alias("kind"), F.lit(0.0).alias("confidence")))
+    hit = F.array(F.struct(F.lit("bad").alias("kind"), F.lit(3).alias("start"), F.col("end")))
+    got = made.select("end", assess.verdicts(F.col("text"), args, hit, F.array().cast(assess.SEQUITURS)).alias("v")).collect()
+    assert [(r.end, r.v[0].valid, r.v[0].fallacy) for r in got] == [(4, True, None), (14, True, None), (15, False, "bad"), (16, False, "bad")]
