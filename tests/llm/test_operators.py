@@ -315,6 +315,23 @@ def test_near_copies_equal_brute_force(spark, edges, none, monkeypatch):
     assert similar.one_of_each(edges).columns == edges.columns and similar.one_of_each(none).count() == 0
 
 
+def test_fingerprints_bring_near_copies_together_without_other_keys(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(similar, "_by_hashes", lambda nodes: nodes.selectExpr("0L as key", "node", "size").limit(0))
+    rng = random.Random(13)
+    base = [rng.choices([f"w{k}" for k in range(3000)], k=600) for _ in range(12)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "z"]) for b in base]
+    # One line many times makes fingerprints alike, not the sets of shingles.
+    texts += ["a b c d e f g h i " * 3000 + " ".join(b[:100]) for b in base[:2]]
+    bits, sets = [plain_fingerprint(x) for x in texts], [plain_shingles(x) for x in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if int(bits[i] ^ bits[j]).bit_count() <= 4]
+    want = [(i, j) for i, j in near if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(want) > 6 and (25, 24) in near and (25, 24) not in want
+    got = cp.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SMALL)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(union_find(len(texts), want)))
+
+
 def test_null_and_repeated_ids_lose_no_text(spark):
     rng = random.Random(12)
     a, b, c, d = (" ".join(rng.choices([f"w{k}" for k in range(500)], k=40)) for _ in range(4))
