@@ -442,6 +442,28 @@ def test_neighbours(spark):
     assert ann.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_queries_of_a_unit_are_scanned_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1200, 64))
+    # More exact copies of a query than it may return: they are at distance zero, so is the bound.
+    x[600:680] = x[0]
+    ids = np.arange(1200)
+    index = ann.Index(x, float(np.sqrt((x * x).sum(axis=1).max())), len(x))
+    lists, y, own = index.lists(index.place(x), 1)[:, 0], x[:64], ids[:64]
+    calls, whole = [], np.argpartition
+    monkeypatch.setattr(np, "argpartition", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    got = ann.scan(y, x, ids, index.place(y, query=True), index.place(x), own, lists, [list(range(len(index.centroids)))] * 64, 20)
+    assert len(calls) <= 5 * 64 // ann.TOGETHER
+    assert [q for q, _, _ in got] == list(range(64))
+    found = 0
+    for q, near, scores in got:
+        exact = (x * y[q]).sum(axis=1)
+        best = [k for k in np.lexsort((ids, -exact)).tolist() if k != q][:20]
+        assert np.array_equal(scores, exact[near])
+        found += len(set(best) & set(near.tolist()))
+    assert got[0][1].tolist() == list(range(600, 620)) and found >= 0.95 * 64 * 20
+
+
 def test_neighbours_recall_on_the_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = table.orderBy("vec_id").collect()
