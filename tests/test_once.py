@@ -62,3 +62,27 @@ def test_style_reads_words_once_a_list(spark):
     got = profile.style(profile.annotated(rows)).collect()
     words = [set(STYLE["en"][k]) for k in ("pron_1p", "pron_2p", "pron_3p")]
     assert round(got[0].pron_2p * got[0].n_token / 1000) >= len(words[1] - words[0]) > 0 and got[1].pron_1p == 0
+
+
+def test_sentences_are_encoded_together_and_only_the_nearest_sorted():
+    import hashlib
+
+    import numpy as np
+
+    from plumbline.operators import embed
+
+    def plain(sentence):
+        v = np.zeros(embed.DIM)
+        for t in sentence.lower().split():
+            if t := "".join(filter(str.isalnum, t)):
+                v[int(hashlib.sha256(t.encode()).hexdigest(), 16) % embed.DIM] += 1
+        if not v.any():
+            v[0] = 1.0
+        return v / np.sqrt(v @ v)
+
+    sents = ["The same, the SAME; an other.", "", " - -- ", "élan ß 12a", "a " * 50, "the same"]
+    assert (embed.encode_all(sents) == np.array([plain(x) for x in sents])).all() and embed.encode_all([]).shape == (0, embed.DIM)
+    draw = np.random.default_rng(1)
+    for values, width, top in ((2, 40, 3), (10_000, 40, 3), (30, 40, 5), (5, 3, 3), (4, 2, 1), (3, 7, 0)):
+        sim = draw.integers(0, values, (25, width)) / values
+        assert (embed._greatest(sim, top) == np.argsort(-sim, axis=1, kind="stable")[:, :top]).all()
