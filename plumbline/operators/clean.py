@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import PARATEXT
-from plumbline.functions.text import LINE_BREAK, WHITE, let, listed, strip
+from plumbline.functions.text import LINE_BREAK, WHITE, bind, let, listed, strip
 
 # Patterns of marks, and limits.
 FRONT = r"(?s)^---\s*\n(.*?)\n---\s*\n"
@@ -73,12 +73,14 @@ def clean_chunk(text: Column, recurring: Column, reflowed: bool = True) -> Colum
 
     Only whole lines go: a recurring line that packing has joined to the sentence before it stays.
     """
-    kept = F.array_join(F.filter(lines(F.regexp_replace(text, COMMENT, "")), lambda x: ~F.array_contains(recurring, strip(x)) & ~strip(x).rlike(NOTE)), "\n")
+    stays = lambda x: let(strip(x), lambda bare: ~F.array_contains(recurring, bare) & ~bare.rlike(NOTE))
+    kept = F.array_join(F.filter(lines(F.regexp_replace(text, COMMENT, "")), stays), "\n")
     return strip(F.regexp_replace(reflow(kept) if reflowed else kept, r"\n{3,}", "\n\n"))
 
 
 def paratext(title: Column, text: Column) -> Column:
     """The first marker that the title holds or the text begins with, or null."""
     head = F.substring(strip(F.regexp_replace(F.lower(text), f"{WHITE}+", " ")), 1, HEAD)
-    marks = listed(PARATEXT)
-    return F.get(F.filter(marks, lambda m: F.contains(F.lower(F.coalesce(title, F.lit(""))), m) | F.startswith(head, m)), F.lit(0))
+    named = F.lower(F.coalesce(title, F.lit("")))
+    # Both are told once, not once a marker.
+    return bind(lambda named, head: F.get(F.filter(listed(PARATEXT), lambda m: F.contains(named, m) | F.startswith(head, m)), F.lit(0)), named, head)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import WEIGHTS
+from plumbline.functions.text import once
 from plumbline.operators import chunk, clean, score
 
 
@@ -16,7 +17,9 @@ def cleaned_chunks(docs: DataFrame, target: int = chunk.TARGET, least: int = chu
     """(doc_id, lang, chunk_id, title, loc, chars, text, reason): reason names the paratext that a chunk is, or is null."""
     base = docs.select("doc_id", "lang", F.coalesce(clean.recurring_lines(F.col("text")), F.array().cast("array<string>")).alias("recurring"), "text")
     cut = chunk.chunks(base, target, least, most, keep=("doc_id", "lang", "recurring"))
-    return cut.select("doc_id", "lang", "chunk_id", "title", "loc", F.length("text").cast("long").alias("chars"), clean.clean_chunk(F.col("text"), F.col("recurring")).alias("text"), clean.paratext(F.col("title"), F.col("text")).alias("reason"))
+    # A condition on the reason, and what reads the text, must not tell them again.
+    cleaned, reason = once(clean.clean_chunk(F.col("text"), F.col("recurring"))), once(clean.paratext(F.col("title"), F.col("text")))
+    return cut.select("doc_id", "lang", "chunk_id", "title", "loc", F.length("text").cast("long").alias("chars"), cleaned.alias("text"), reason.alias("reason"))
 
 
 def chunk_scores(chunks: DataFrame) -> DataFrame:
@@ -27,13 +30,23 @@ def chunk_scores(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("epsilon", eps).select("doc_id.*", *WEIGHTS, "epsilon")
 
 
-def reduced(chunks: DataFrame) -> DataFrame:
-    """(doc_id, epsilon, n_chunks, lowest, highest, chars) of scored chunks."""
+def every_score(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, title, loc, chars, reason, epsilon) of all chunks in one pass; paratext is not read and has no score."""
+    key, live = F.struct("doc_id", "chunk_id", "title", "loc", "chars", "reason"), F.col("reason").isNull()
+    rows = score.components(chunks.select(key.alias("doc_id"), F.when(live, F.col("text")).alias("text"), "lang"))
+    return rows.withColumn("epsilon", score.geometric_mean({k: F.col(k) for k in WEIGHTS})).select("doc_id.*", F.when(F.col("doc_id.reason").isNull(), F.col("epsilon")).alias("epsilon"))
+
+
+def mean_score() -> list[Column]:
+    """Aggregates of scored chunks: epsilon, n_chunks."""
     live = F.col("epsilon") > 0
     weight = F.sum(F.when(live, F.col("chars")))
-    return chunks.groupBy("doc_id").agg(
-        F.exp(F.sum(F.when(live, F.col("chars") * F.log("epsilon"))) / weight).alias("epsilon"), F.count_if(live).alias("n_chunks"), F.min("epsilon").alias("lowest"), F.max("epsilon").alias("highest"), F.sum("chars").alias("chars")
-    )
+    return [F.exp(F.sum(F.when(live, F.col("chars") * F.log("epsilon"))) / weight).alias("epsilon"), F.count_if(live).alias("n_chunks")]
+
+
+def reduced(chunks: DataFrame) -> DataFrame:
+    """(doc_id, epsilon, n_chunks, lowest, highest, chars) of scored chunks."""
+    return chunks.groupBy("doc_id").agg(*mean_score(), F.min("epsilon").alias("lowest"), F.max("epsilon").alias("highest"), F.sum("chars").alias("chars"))
 
 
 def discards(chunks: DataFrame) -> DataFrame:

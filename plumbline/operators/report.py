@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.fixed import WEIGHTS
+from plumbline.operators.document import mean_score
 from plumbline.operators.score import band, message, scored
 
 
@@ -52,12 +53,17 @@ def text_reports(scored: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("doc_id", _body(lines).alias("report"))
 
 
-def document_reports(reduced: DataFrame, chunks: DataFrame, discarded: DataFrame) -> DataFrame:
-    """(doc_id, report): the document's score, its chunks in order, and what was left out."""
+def _chunk_line() -> Column:
     row = F.format_string("| %d | %s | %s | %.4f |", "chunk_id", F.replace("title", F.lit("|"), F.lit("/")), "loc", "epsilon")
-    by = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", row.alias("line")))).alias("c"))
-    out = discarded.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", F.concat_ws(": ", "title", "reason").alias("line")))).alias("d"))
-    rows = reduced.join(by, "doc_id", "left").join(out, "doc_id", "left")
+    return F.struct("chunk_id", row.alias("line"))
+
+
+def _left_line() -> Column:
+    return F.struct("chunk_id", F.concat_ws(": ", "title", "reason").alias("line"))
+
+
+def _of_document(rows: DataFrame) -> DataFrame:
+    """(doc_id, report) of rows (doc_id, epsilon, n_chunks, c and d: sorted lines of chunks and of what was left out, null without any)."""
     left = F.array_join(F.transform("d", lambda x: F.concat(F.lit("- "), x["line"])), "\n")
     body = F.concat(
         F.format_string("# Document %s\n\n**ε = %s** over %d chunks\n\n| Chunk | Title | Place | ε |\n|---|---|---|---|\n", F.col("doc_id").cast("string"), F.coalesce(F.format_string("%.4f", "epsilon"), F.lit("-")), F.col("n_chunks")),
@@ -66,3 +72,18 @@ def document_reports(reduced: DataFrame, chunks: DataFrame, discarded: DataFrame
         F.lit("\n"),
     )
     return rows.select("doc_id", body.alias("report"))
+
+
+def document_reports(reduced: DataFrame, chunks: DataFrame, discarded: DataFrame) -> DataFrame:
+    """(doc_id, report): the document's score, its chunks in order, and what was left out."""
+    by = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(_chunk_line())).alias("c"))
+    out = discarded.groupBy("doc_id").agg(F.sort_array(F.collect_list(_left_line())).alias("d"))
+    return _of_document(reduced.join(by, "doc_id", "left").join(out, "doc_id", "left"))
+
+
+def chunk_reports(chunks: DataFrame) -> DataFrame:
+    """document_reports of all chunks, scored or left out (document.every_score): they are cut and scored once, not for each list again."""
+    live = F.col("reason").isNull()
+    lists = [F.sort_array(F.collect_list(F.when(live, _chunk_line()))).alias("c"), F.sort_array(F.collect_list(F.when(~live, _left_line()))).alias("d")]
+    rows = chunks.groupBy("doc_id").agg(*mean_score(), *lists).where(F.size("c") > 0)
+    return _of_document(rows.withColumn("d", F.when(F.size("d") > 0, F.col("d"))))
